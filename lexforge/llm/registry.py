@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm.packing import op6_packing
+from lexforge.llm.quality_classifier import op1_compression_quality
+from lexforge.llm.quality_rules import op2_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_quality": op1_compression_quality,
+    "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
 }
 ORACLE: dict[str, str] = {}
