@@ -11,6 +11,7 @@ documents of equal length tie by doc_id; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,9 @@ SLACK = 4
 #: Most underfull bins that one merging task takes.
 TASK_BINS = 50_000
 #: Words kept in a worker's cache, which is emptied beyond that.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: White-space-free ASCII marks that form a pre-token of their own after a letter.
+MARKS = ".,;:!?$#*%&"
 
 _BINS = "seq long, used int, done boolean, docs array<long>, pieces array<int>, starts array<long>, lens array<int>, crcs array<long>"
 
@@ -48,8 +51,19 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.lower = '"Lowercase"' in self.tok.to_str()
 
     def words(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each word. Marks at a word's end are a pre-token of their own when all before them is
+        letters, so the letters and the marks are looked up apart."""
+        cores = [w.rstrip(MARKS) for w in distinct]
+        cut = [len(c) < len(w) and c.isalpha() for c, w in zip(cores, distinct, strict=True)]
+        need = dict.fromkeys(c if k else w for c, w, k in zip(cores, distinct, cut, strict=True))
+        need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, distinct, cut, strict=True) if k))
+        ids = dict(zip(need, self.known(list(need)), strict=True))
+        return [ids[c] + ids[w[len(c) :]] if k else ids[w] for c, w, k in zip(cores, distinct, cut, strict=True)]
+
+    def known(self, distinct: list[str]) -> list[bytes]:
         cache = self.cache
         new = [w for w in distinct if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
@@ -64,6 +78,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends. end: an id put after each text."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        if self.lower and not pc.any(pc.match_substring(split.values, "<|")).as_py():
+            # the tokenizer lower-cases anyway; special tokens are matched before that, so not in their presence
+            split = pa.LargeListArray.from_arrays(split.offsets, pc.ascii_lower(split.values)) if isinstance(split, pa.LargeListArray) else pa.ListArray.from_arrays(split.offsets, pc.ascii_lower(split.values))
         offsets = split.offsets.to_numpy().astype(np.int64)
         flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
@@ -85,6 +102,12 @@ class WordEncoder:
         return ids, upto[ends]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a worker process and path, so its cache outlives a task."""
+    return WordEncoder(path)
+
+
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     """Best-fit decreasing: the items of each bin, by index. Open bins are kept by their free places; a bit
     mask over 0..limit finds the smallest sufficient place in constant time."""
@@ -115,7 +138,7 @@ def _tokenise(path: str, limit: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = WordEncoder(path)
+        enc = encoder(path)
         docs, pieces, starts, lens, crcs = [], [], [], [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
