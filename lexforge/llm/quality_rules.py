@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import UPPER, WORD_BREAKS, materialize, table
 
-#: name, bad when, good when; else the rule abstains. Measures are those of measure().
+#: name, bad when, good when; else the rule abstains. Measures are those of measure(). Rules on single defects
+#: never vote good: the absence of one defect says nothing about the others.
 RULES: list[tuple[str, str, str]] = [
-    ("symbols", "n_symbols > 0.02 * word_chars", "n_symbols <= 0.004 * word_chars"),
-    ("capitals", "n_upper > 0.25 * word_chars", "n_upper <= 0.08 * word_chars"),
-    ("exclamations", "n_exclaim > 0.20 * n_words", "n_exclaim <= 0.02 * n_words"),
+    ("symbols", "n_symbols > 0.02 * word_chars", "false"),
+    ("symbol_runs", "n_runs > 0.02 * n_words", "false"),
+    ("letters", "n_letters < 0.86 * word_chars", "n_letters >= 0.92 * word_chars"),
+    ("capitals", "n_upper > 0.25 * word_chars", "false"),
+    ("exclamations", "n_exclaim > 0.20 * n_words", "false"),
+    ("dup_lines", "n_dup_lines > 0.30 * n_lines", "false"),
+    ("repeats", "n_repeat_words > 0.12 * n_words", "false"),
     ("word_length", "word_chars < 2.5 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 11 * n_words"),
-    ("dup_lines", "n_dup_lines > 0.30 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
-    ("repeats", "n_repeat_words > 0.12 * n_words", "n_repeat_words <= 0.02 * n_words"),
     ("length", "n_words < 10", "n_words >= 20"),
     ("stops", "n_stops < 0.01 * n_words", "n_stops between 0.03 * n_words and 0.30 * n_words"),
 ]
@@ -61,6 +64,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.col("_rep").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]{2,}|!{2,}|(?<![^ \\x09-\\x0D])[|](?![^ \\x09-\\x0D])")).cast("long").alias("n_runs"),
+        F.length(F.regexp_replace(t, "[^\\p{L}]+", "")).cast("long").alias("n_letters"),
         (size - _without(t, UPPER)).cast("long").alias("n_upper"),
         (size - _without(t, "!")).cast("long").alias("n_exclaim"),
         (size - _without(t, ".!?。！？")).cast("long").alias("n_stops"),
