@@ -69,3 +69,27 @@ def crc_mod(id_col: str, mod: int):
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
+
+
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """df (a stored table), marked for broadcast if it has at most limit rows; beyond that a join shuffles it."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """Connected components of edges (a, b): node and comp, the smallest node reachable.
+
+    Each round takes the smallest label among a node's neighbours, then the label of that label; labels are
+    written to the shared folder after every round. Only minima are gathered per node, so hubs are harmless."""
+    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{label}-edges")
+    lab = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), f"{label}-labels")
+    while True:
+        near = both.join(lab, both["v"] == lab["node"]).groupBy("u").agg(F.min("comp").alias("m"))
+        step = lab.join(near, lab["node"] == near["u"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        top = lab.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        new = materialize(step.join(top, "comp").select("node", "old", F.least("comp", "top").alias("comp")), f"{label}-labels")
+        release(lab)
+        lab = new
+        if not new.filter("old <> comp").limit(1).count():
+            release(both)
+            return new.select("node", "comp")

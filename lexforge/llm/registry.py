@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm.line_dedup import OP7_SQL, op7_line_dedup
+from lexforge.llm.ngram_join import OP5_SQL, op5_ngram_join
 from lexforge.llm.packing import op6_packing
 from lexforge.llm.quality_classifier import op1_compression_quality
 from lexforge.llm.quality_rules import op2_quality_rules
@@ -14,10 +15,11 @@ from lexforge.llm.quality_rules import op2_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_quality_rules": op2_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
 }
-ORACLE: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLE: dict[str, str] = {"op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
