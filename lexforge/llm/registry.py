@@ -11,6 +11,7 @@ from lexforge.llm.ngram_join import OP5_SQL, op5_ngram_join
 from lexforge.llm.packing import op6_packing
 from lexforge.llm.quality_classifier import op1_compression_quality
 from lexforge.llm.quality_rules import op2_quality_rules
+from lexforge.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLE: dict[str, str] = {"op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
 
