@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import materialize, table
 
 RUN_LINES = 3
-#: Documents with deletions are broadcast to the texts up to this many; beyond it the join shuffles.
-BROADCAST_DOCS = 20_000
 
 
 def windows(docs: DataFrame, run_lines: int) -> DataFrame:
@@ -58,8 +56,8 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_
     names = docs.columns
     src = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     runs = materialize(repeated_lines(src, run_lines), "runs")
-    side = F.broadcast(runs) if runs.count() <= BROADCAST_DOCS else runs
-    both = src.join(side, src["doc_id"].eqNullSafe(side["i"]) & (F.xxhash64(src["text"]) == side["t"]), "left").drop("i", "t")
+    # shuffled at every size: the documents with deletions grow with the input
+    both = src.join(runs, src["doc_id"].eqNullSafe(runs["i"]) & (F.xxhash64(src["text"]) == runs["t"]), "left").drop("i", "t")
     both = both.withColumn("lines", F.split("text", "\n"))
     gone = "flatten(transform(runs, r -> sequence(r.first, r.first + r.lines - 1)))"
     both = both.withColumn("kept", F.expr(f"case when runs is not null then array_except(sequence(0, size(lines) - 1), {gone}) end"))
