@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexforge.llm.html_render import op8_html_render
 from lexforge.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexforge.llm.ngram_join import OP5_SQL, op5_ngram_join
 from lexforge.llm.packing import op6_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_render": op8_html_render,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLE: dict[str, str] = {"op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
