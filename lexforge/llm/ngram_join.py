@@ -51,9 +51,9 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     import xxhash
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = split.offsets.to_numpy().astype(np.int64)
-    flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+    flat = pc.ascii_lower(split.values).slice(offsets[0], offsets[-1] - offsets[0])  # not of a slice: that garbles offsets
     offsets = offsets - offsets[0]
     # leading and trailing white space gives empty strings
     keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
