@@ -35,6 +35,10 @@ from lexforge.llm.ngram_join import mix
 THRESHOLD = 50
 HALF = THRESHOLD // 2
 CHUNK_BYTES = 8 << 20
+#: Bytes whose strings are ranked at a time, so a very long text needs no more memory.
+PIECE = 1 << 20
+#: Text bytes for each bucket of either round.
+FIRST_BUCKET, SECOND_BUCKET = 16 << 20, 3 << 20
 #: Ids of exact copies up to which their list is broadcast.
 FEW = 1_000_000
 #: In a sort key, the bits of the position; the rest is the hash.
@@ -47,7 +51,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE ** i and its inverse modulo 2 ** 64, for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
+    size = (int(n) // (1 << 18) + 1) << 18
     if size not in _powers:
         _powers.clear()
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
@@ -70,34 +74,38 @@ def hashes(total: np.ndarray, start: np.ndarray, length) -> np.ndarray:
     return mix((total[start + length] - total[start]) * down[start])
 
 
-def units(data: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of THRESHOLD-byte strings with one anchor: first start, number of strings, document, anchor's hash; and sums(data)."""
-    total = sums(data)
-    n = len(data)
-    none = np.zeros(0, np.int64)
-    if n < THRESHOLD:
-        return none, none, none, none.astype(np.uint64), total
-    at = np.arange(n - HALF + 1)
-    h = hashes(total, at, HALF)
-    key = (h & ~((np.uint64(1) << PLACE_BITS) - np.uint64(1))) | at.astype(np.uint64)
-    # minimum over HALF + 1 keys, by doubling widths
-    low, width = key, 1
-    while 2 * width <= HALF + 1:
+def _piece(data: np.ndarray, a: int, b: int, starts: np.ndarray, ends: np.ndarray):
+    """units() for the strings that begin in [a, b)."""
+    part = data[a : b + THRESHOLD - 1]
+    total = sums(part)
+    n = len(part) - HALF + 1
+    h = hashes(total, np.arange(n), HALF)
+    low_bits = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    low, width = (h & ~low_bits) | np.arange(n, dtype=np.uint64), 1
+    while 2 * width <= HALF + 1:  # minimum over HALF + 1 keys, by doubling widths
         low, width = np.minimum(low[:-width], low[width:]), 2 * width
     rest = HALF + 1 - width
     if rest:
         low = np.minimum(low[:-rest], low[rest:])
-    anchor = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    count = np.maximum(0, ends - starts - THRESHOLD + 1)
-    count[skip] = 0
-    doc = np.repeat(np.arange(len(ends)), count)
-    s = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(len(doc))
-    if not len(s):
-        return none, none, none, none.astype(np.uint64), total
-    p = anchor[s]
-    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])]))
-    return s[first], np.diff(np.append(first, len(s))), doc[first], h[p[first]], total
+    lo, hi = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b)
+    first = np.maximum(starts[lo:hi], a)
+    count = np.maximum(0, np.minimum(ends[lo:hi] - THRESHOLD + 1, b) - first)
+    doc = np.repeat(np.arange(lo, hi), count)
+    s = np.repeat(first - a - (np.cumsum(count) - count), count) + np.arange(len(doc))
+    p = (low[s] & low_bits).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])])) if len(s) else s
+    times = np.diff(np.append(new, len(s)))
+    return s[new] + a, times, doc[new], h[p[new]], hashes(total, s[new], times + THRESHOLD - 1)
+
+
+def units(data: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
+    """Runs of THRESHOLD-byte strings with one anchor: first start, number of strings, document, the anchor's
+    hash and the hash of all the bytes. Documents in skip have none."""
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    shut = np.where(skip, starts, ends)
+    none = np.zeros(0, np.int64)
+    found = [_piece(data, a, min(a + PIECE, len(data)), starts, shut) for a in range(0, len(data) - THRESHOLD + 1, PIECE)]
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [none, none, none, none.astype(np.uint64), none.astype(np.uint64)]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -121,7 +129,7 @@ class Chunk:
         self.skip = np.array([d is None for d in docs], dtype=bool)
 
     def anchors(self):
-        self.start, self.count, self.doc, self.hash, self.sums = units(self.data, self.ends, self.skip)
+        self.start, self.count, self.doc, self.hash, self.same = units(self.data, self.ends, self.skip)
         self.kept, self.inverse = np.unique(short(self.hash), return_inverse=True)
         return self
 
@@ -200,13 +208,13 @@ def _discard(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
 
 
-def _second_round(buckets: int):
+def _second_round(first_buckets: int, buckets: int):
     """The surroundings of the surviving anchors of a chunk, each distinct one once, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, docs, ends, blob, bits in _rows(batches, "chunk", "docs", "ends", "blob", "bits"):
             c = Chunk(docs, ends, blob).anchors()
-            b = bucket_of(c.kept << np.uint64(16), buckets)
+            b = bucket_of(c.kept << np.uint64(16), first_buckets)
             alive = np.zeros(len(c.kept), bool)
             for x in bits:
                 lo, hi = np.searchsorted(b, [x["bucket"], x["bucket"] + 1])
@@ -216,8 +224,8 @@ def _second_round(buckets: int):
                 continue
             start, count, doc = c.start[take], c.count[take], c.doc[take]
             length = count + THRESHOLD - 1
-            same = hashes(c.sums, start, length)
-            where = b[c.inverse[take]]
+            same = c.same[take]
+            where = bucket_of(c.kept[c.inverse[take]] << np.uint64(16), buckets)
             order = np.lexsort((start, same, where))
             start, count, length, same, where = start[order], count[order], length[order], same[order], where[order]
             ids = np.array([-1 if d is None else d for d in c.docs], np.int64)[doc[order]]
@@ -288,12 +296,12 @@ def _result(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, ends, blob, found in _rows(batches, "docs", "ends", "blob", "found"):
             c = Chunk(docs, ends, blob)
-            change = np.zeros(len(c.data) + 1, np.int32)
+            change = np.zeros(len(c.data) + 1, np.int16)
             for x in found or []:
                 a = np.frombuffer(x["begins"], "<u4").astype(np.int64)
                 np.add.at(change, a, 1)
                 np.add.at(change, a + np.frombuffer(x["sizes"], "<u2"), -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int16) > 0
             out, a = [], 0
             for d, b in zip(docs, ends, strict=True):
                 g, raw = gone[a:b], c.data[a:b]
@@ -325,11 +333,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed = rest.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_chunks, "chunk long, docs array<long>, ends array<long>, blob binary, bytes long")
     chunks = materialize(packed, "chunks")
     volume = chunks.agg(F.sum("bytes")).head()[0] or 0
-    buckets = max(16, -(-volume // CHUNK_BYTES))
-    ranks = chunks.mapInArrow(_first_round(buckets), "bucket long, chunk long, ranks binary")
+    few_buckets, many_buckets = max(16, -(-volume // FIRST_BUCKET)), max(16, -(-volume // SECOND_BUCKET))
+    ranks = chunks.mapInArrow(_first_round(few_buckets), "bucket long, chunk long, ranks binary")
     bits = ranks.groupBy("bucket").applyInArrow(_discard, "chunk long, bucket long, bits binary")
     bits = materialize(bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "alive")
-    around = chunks.join(bits, "chunk").select("chunk", "docs", "ends", "blob", "bits").mapInArrow(_second_round(buckets), "bucket long, chunk long, text binary, lens binary, times binary, starts binary, ids binary")
+    around = chunks.join(bits, "chunk").select("chunk", "docs", "ends", "blob", "bits").mapInArrow(_second_round(few_buckets, many_buckets), "bucket long, chunk long, text binary, lens binary, times binary, starts binary, ids binary")
     runs = around.groupBy("bucket").applyInArrow(_rank, "chunk long, begins binary, sizes binary")
     found = materialize(runs.groupBy("chunk").agg(F.collect_list(F.struct("begins", "sizes")).alias("found")), "found")
     out = chunks.join(found, "chunk", "left").select("docs", "ends", "blob", "found").mapInArrow(_result(with_text), _OUT)
