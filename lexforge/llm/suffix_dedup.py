@@ -95,7 +95,8 @@ def _piece(data: np.ndarray, a: int, b: int, starts: np.ndarray, ends: np.ndarra
     p = (low[s] & low_bits).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])])) if len(s) else s
     times = np.diff(np.append(new, len(s)))
-    return s[new] + a, times, doc[new], h[p[new]], hashes(total, s[new], times + THRESHOLD - 1)
+    # mixed again: minima crowd at the low end, buckets want them spread
+    return s[new] + a, times, doc[new], mix(h[p[new]]), hashes(total, s[new], times + THRESHOLD - 1)
 
 
 def units(data: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
