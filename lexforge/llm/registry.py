@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm.html_render import op8_html_render
 from lexforge.llm.line_dedup import OP7_SQL, op7_line_dedup
+from lexforge.llm.lm_scoring import op4_lm_scoring
 from lexforge.llm.ngram_join import OP5_SQL, op5_ngram_join
 from lexforge.llm.packing import op6_packing
 from lexforge.llm.quality_classifier import op1_compression_quality
@@ -17,6 +18,7 @@ from lexforge.llm.suffix_dedup import op9_suffix_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_quality_rules": op2_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
