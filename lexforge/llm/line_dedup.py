@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_
     src = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     runs = materialize(repeated_lines(src, run_lines), "runs")
     # shuffled at every size: the documents with deletions grow with the input
-    both = src.join(runs, src["doc_id"].eqNullSafe(runs["i"]) & (F.xxhash64(src["text"]) == runs["t"]), "left").drop("i", "t")
+    both = src.join(runs.hint("merge"), src["doc_id"].eqNullSafe(runs["i"]) & (F.xxhash64(src["text"]) == runs["t"]), "left").drop("i", "t")
     both = both.withColumn("lines", F.split("text", "\n"))
     gone = "flatten(transform(runs, r -> sequence(r.first, r.first + r.lines - 1)))"
     both = both.withColumn("kept", F.expr(f"case when runs is not null then array_except(sequence(0, size(lines) - 1), {gone}) end"))
