@@ -6,10 +6,13 @@ D + 1 fragments at least one is equal in both: documents meet on the hash of a w
 n-grams, and frequent n-grams alone bring nobody together. The number of fragments depends on the size class;
 a class is as wide as the threshold allows, so a set sends the fragments of its own class and of the next.
 
-Exact copies of a set are one node. Nodes that share a fragment are first compared with the smallest node
-that has it; what is linked so becomes one component, and only pairs of different components that still share
-a fragment are compared after that, so no group is ever expanded into all its pairs. A comparison counts the
-overlap of each of PARTS fragments of the order separately and sums the counts per pair.
+Exact copies of a set are one node. Nodes that share a fragment are compared with the smallest node that has
+it, their leader: the overlap of each of PARTS fragments of the order is counted separately and summed per
+pair, and what differs from the leader is kept. Two nodes x, y of a leader's family differ in
+|dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are their differences from the leader. Those of them that
+are not in one component yet are joined on the rarest n-grams of these short differences, with prefix lengths
+from both sizes, and verified on the differences. So near copies that are not linked, however many, hardly
+meet, and no group is expanded into its pairs.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; repeated rows get the same component; rows with equal ids and other texts are
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import components, few, materialize, ready, release, table
@@ -157,18 +160,53 @@ def _parts(width: int, parts: int):
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one fragment of a pair: the overlap, and the n-grams that only one of the two has."""
     for batch in batches:
         x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
+        n, rest = [], []
+        for a, b in zip(x, y, strict=True):
+            u, v = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            d = np.setxor1d(u, v, assume_unique=True)
+            n.append((len(u) + len(v) - len(d)) // 2)
+            rest.append(d)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "part", "rest"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold."""
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, both (the overlap), diff (the n-grams that one of the two has) of every pair."""
     left, right = sets.select(F.col("node").alias("a"), "f", F.col("frag").alias("fa")), sets.select(F.col("node").alias("b"), "f", F.col("frag").alias("fb"))
     each = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "fa", "fb")
-    counted = each.mapInArrow(_overlap, "a long, b long, na long, nb long, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return materialize(counted.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), label)
+    parts = each.mapInArrow(_overlap, "a long, b long, na long, nb long, part long, rest array<long>")
+    return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"), F.flatten(F.collect_list("rest")).alias("diff"))
+
+
+def _within_families(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one leader's family that comp has in different components."""
+    home = lambda df, node, name: df.join(comp.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    named = home(home(diffs.select("a", "b", "nb", "diff"), "b", "cb"), "a", "ca").withColumn("m", F.size("diff"))
+    unsettled = named.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("a")
+    fam = materialize(named.join(unsettled, "a", "left_semi"), "families")
+    tok = fam.select("a", "b", F.explode("diff").alias("t"))
+    often = tok.groupBy("a", "t").agg(F.count("*").alias("df")).filter("df > 1")
+    held = tok.join(often, ["a", "t"]).join(fam.drop("diff"), ["a", "b"])
+    # place of an n-gram in its node's difference, rarest first; those nobody else has come before all others
+    w = Window.partitionBy("a", "b")
+    held = held.withColumn("at", F.col("m") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "t")))
+    most = f"cast(floor(nb * {100 - percent} / {percent}) as int) + 1"
+    held = materialize(held.filter(f"at <= {most}").select("a", "t", "b", "nb", "m", "at", "cb"), "places")
+    x, y = held.select("a", "t", *[F.col(c).alias(f"{c}1") for c in ("b", "nb", "m", "at", "cb")]), held.select("a", "t", *[F.col(c).alias(f"{c}2") for c in ("b", "nb", "m", "at", "cb")])
+    differ = f"cast(floor((nb1 + nb2) * {100 - percent} / {100 + percent}) as int)"
+    share = f"cast(ceil((m1 + m2 - {differ}) / 2) as int)"
+    met = x.join(y, ["a", "t"]).filter(F.expr(f"b1 < b2 and cb1 <> cb2 and at1 <= m1 - {share} + 1 and at2 <= m2 - {share} + 1"))
+    met = met.select("a", "b1", "b2").distinct()
+    d1, d2 = fam.select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("diff").alias("d1")), fam.select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("diff").alias("d2"))
+    both = met.join(d1, ["a", "b1"]).join(d2, ["a", "b2"])
+    apart = "size(d1) + size(d2) - 2 * size(array_intersect(d1, d2))"
+    links = both.filter(F.expr(f"{100 - percent} * (n1 + n2) >= {100 + percent} * ({apart})")).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+    out = materialize(links, "links2")
+    release(fam)
+    release(held)
+    return out
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +223,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     own = F.struct(F.col("rid"), F.col("n"))
     met = single.groupBy("key").agg(F.min(own).alias("lead"), F.max("rid").alias("last")).filter("lead.rid <> last")
     members = materialize(single.join(met.select("key", "lead"), "key"), "members")
-    near = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
-    star = members.filter("rid <> lead.rid").select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-    first = materialize(star.filter(near).distinct(), "pairs")
+    first = materialize(members.filter("rid <> lead.rid").select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
 
     # the sets of all members, from their texts
     who = materialize(members.select(F.col("rid").alias("node")).distinct().join(nodes.select("node", *same), "node").join(rows.select(F.col("rid").alias("node"), "doc_id"), "node"), "compared")
@@ -195,23 +231,18 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = texts.mapInArrow(_parts(width, PARTS), "n long, s1 long, s2 long, frags array<binary>").join(who.select("node", *same), same).dropDuplicates(["node"])
     sets = materialize(found.select("node", F.posexplode("frags").alias("f", "frag")), "parts")
 
-    links = _verify(first, sets, percent, "links")
-    comp = components(links, "near")
-    # pairs that share a fragment and are not in one component yet; the leader's pairs are settled
-    full = members.join(comp, members["rid"] == comp["node"], "left").select("key", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
-    open_keys = full.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    left = materialize(full.join(open_keys, "key", "left_semi"), "open")
-    x = left.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = left.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    again = x.join(y, "key").filter(F.expr(f"a < b and ca <> cb and {near}")).select("a", "b", "na", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(materialize(again, "pairs2"), sets, percent, "links2")
+    diffs = materialize(_compare(first, sets), "diffs")
+    links = materialize(diffs.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    release(sets)
+    more = _within_families(diffs, components(links, "near"), percent)
+    release(diffs)
     comp = components(links.unionByName(more), "near2")
 
     named = nodes.join(comp, "node", "left").select(*same, "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
     by_set = materialize(named.join(least, "comp").select(*same, "component"), "components")
     out = rows.select("doc_id", *same).join(by_set, same, "left")
-    for t in (members, first, who, sets, left, copies):
+    for t in (members, first, who, copies):
         release(t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
