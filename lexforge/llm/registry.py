@@ -13,6 +13,7 @@ from lexforge.llm.ngram_join import OP5_SQL, op5_ngram_join
 from lexforge.llm.packing import op6_packing
 from lexforge.llm.quality_classifier import op1_compression_quality
 from lexforge.llm.quality_rules import op2_quality_rules
+from lexforge.llm.sp_codec import op10_sp_codec
 from lexforge.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_html_render": op8_html_render,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_sp_codec": op10_sp_codec,
 }
 ORACLE: dict[str, str] = {"op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
 
