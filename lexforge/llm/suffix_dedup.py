@@ -141,20 +141,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     press = zstandard.ZstdCompressor(level=3)
     number = TaskContext.get().partitionId() << 24
-    docs, lens, parts, size = [], [], [], 0
+    docs, marks, lens, parts, size = [], [], [], [], 0
 
     def packed():
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([np.cumsum(lens).tolist()], pa.list_(pa.int64())), pa.array([press.compress(b"".join(parts))], pa.binary()), pa.array([size], pa.int64())], names=["chunk", "docs", "ends", "blob", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int64())), pa.array([np.cumsum(lens).tolist()], pa.list_(pa.int64())), pa.array([press.compress(b"".join(parts))], pa.binary()), pa.array([size], pa.int64())], names=["chunk", "docs", "marks", "ends", "blob", "bytes"])
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for i, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
+        for i, raw, h in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = raw or b""
             if docs and size + len(raw) > CHUNK_BYTES:
                 yield packed()
                 number += 1
-                docs, lens, parts, size = [], [], [], 0
+                docs, marks, lens, parts, size = [], [], [], [], 0
             docs.append(i)
+            marks.append(h)
             lens.append(len(raw))
             parts.append(raw)
             size += len(raw)
@@ -295,7 +296,7 @@ def _rank(t: pa.Table) -> pa.Table:
 
 def _result(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, ends, blob, found in _rows(batches, "docs", "ends", "blob", "found"):
+        for docs, marks, ends, blob, found in _rows(batches, "docs", "marks", "ends", "blob", "found"):
             c = Chunk(docs, ends, blob)
             change = np.zeros(len(c.data) + 1, np.int16)
             for x in found or []:
@@ -304,23 +305,23 @@ def _result(with_text: bool):
                 np.add.at(change, a + np.frombuffer(x["sizes"], "<u2"), -1)
             gone = np.cumsum(change[:-1], dtype=np.int16) > 0
             out, a = [], 0
-            for d, b in zip(docs, ends, strict=True):
+            for d, h, b in zip(docs, marks, ends, strict=True):
                 g, raw = gone[a:b], c.data[a:b]
                 kept = raw[~g].tobytes()
                 spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if len(g) else 0
-                out.append((d, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                out.append((d, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, h))
                 a = b
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "source_hash"])
 
     return run
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, source_hash long"
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row. kept_text, if asked for, drops
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text and source_hash (xxhash64 of the text) of every row. kept_text, if asked for, drops
     characters that a removal cut through."""
     spark = docs.sparkSession
     ready(spark)
@@ -331,7 +332,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = materialize(sig.join(first, ["n", "h1", "h2"]).filter("doc_id > first").select("doc_id", "n", "h1"), "copies")
     names = few(copies.select(F.col("doc_id").alias("i"), F.col("h1").alias("h")).distinct(), FEW)
     rest = src.join(names, (F.col("doc_id") == F.col("i")) & (F.xxhash64("text") == F.col("h")), "left_anti")
-    packed = rest.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_chunks, "chunk long, docs array<long>, ends array<long>, blob binary, bytes long")
+    packed = rest.select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("h")).mapInArrow(_chunks, "chunk long, docs array<long>, marks array<long>, ends array<long>, blob binary, bytes long")
     chunks = materialize(packed, "chunks")
     volume = chunks.agg(F.sum("bytes")).head()[0] or 0
     few_buckets, many_buckets = max(16, -(-volume // FIRST_BUCKET)), max(16, -(-volume // SECOND_BUCKET))
@@ -341,13 +342,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     around = chunks.join(bits, "chunk").select("chunk", "docs", "ends", "blob", "bits").mapInArrow(_second_round(few_buckets, many_buckets), "bucket long, chunk long, text binary, lens binary, times binary, starts binary, ids binary")
     runs = around.groupBy("bucket").applyInArrow(_rank, "chunk long, begins binary, sizes binary")
     found = materialize(runs.groupBy("chunk").agg(F.collect_list(F.struct("begins", "sizes")).alias("found")), "found")
-    out = chunks.join(found, "chunk", "left").select("docs", "ends", "blob", "found").mapInArrow(_result(with_text), _OUT)
+    out = chunks.join(found, "chunk", "left").select("docs", "marks", "ends", "blob", "found").mapInArrow(_result(with_text), _OUT)
     empty = hashlib.sha256(b"").hexdigest()
-    whole = copies.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"))
+    whole = copies.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"), F.col("h1").alias("source_hash"))
     release(sig)
     release(bits)
     return out.unionByName(whole)
 
 
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' own rows and columns with text_col shortened; rows that lose all of a text go."""
+    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    cut = dedup_substrings(docs, id_col, text_col, with_text=True)
+    cut = materialize(cut.filter("n_removed > 0").select(F.col("doc_id").alias("_i"), "source_hash", "n_bytes", "n_removed", "kept_text").dropDuplicates(["_i", "source_hash"]), "shortened")
+    both = keyed.join(cut.hint("merge"), (keyed[id_col] == cut["_i"]) & (keyed["_t"] == cut["source_hash"]), "left")
+    both = both.filter("n_removed is null or n_removed < n_bytes")
+    return both.select(*[F.coalesce("kept_text", both[c]).alias(c) if c == text_col else both[c] for c in docs.columns])
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text", "source_hash")
