@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,6 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_stored: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Delete this process's tables in the shared folder, while a session is there to do it."""
+    for path, spark in list(_stored.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _stored.pop(path, None)
+
+
 def materialize(df: DataFrame, label: str, parts: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so later stages do not depend on
     executors staying alive. The result carries its path in ``_stored_at`` for release()."""
@@ -52,6 +72,7 @@ def materialize(df: DataFrame, label: str, parts: str | None = None) -> DataFram
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _stored[path] = spark
     return out
 
 
@@ -59,9 +80,7 @@ def release(df: DataFrame) -> None:
     """Delete a table written by materialize() once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def crc_mod(id_col: str, mod: int):
