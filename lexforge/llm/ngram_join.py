@@ -17,7 +17,8 @@ meet, and no group is expanded into its pairs.
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; repeated rows get the same component; rows with equal ids and other texts are
 separate nodes that report that id; an empty table gives no rows; further columns are ignored. 64-bit n-gram
-hashes are taken as the n-grams; sets are equal when size and a 128-bit sum agree.
+hashes are taken as the n-grams, their upper 48 bits within a compared pair; sets are equal when size and a
+128-bit sum agree.
 """
 
 from __future__ import annotations
@@ -50,6 +51,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack6(x: np.ndarray) -> bytes:
+    """The six lower bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack6(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     import xxhash
@@ -152,7 +164,7 @@ def _parts(width: int, parts: int):
                 rows = []
                 for u in shingle_sets(batch.slice(at, 2000).column(0), width):
                     cuts = [0, *np.searchsorted(u, np.array([(f << 64) // parts for f in range(1, parts)], dtype=np.uint64)).tolist(), len(u)]
-                    rows.append((len(u), *_signature(u), [u[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+                    rows.append((len(u), *_signature(u), [pack6(u[a:b] >> np.uint64(16)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.binary()))], names=["n", "s1", "s2", "frags"])
 
@@ -165,7 +177,7 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
         n, rest = [], []
         for a, b in zip(x, y, strict=True):
-            u, v = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            u, v = unpack6(a).view(np.int64), unpack6(b).view(np.int64)
             d = np.setxor1d(u, v, assume_unique=True)
             n.append((len(u) + len(v) - len(d)) // 2)
             rest.append(d)

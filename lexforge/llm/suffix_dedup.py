@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import few, materialize, ready, release, table
-from lexforge.llm.ngram_join import mix
+from lexforge.llm.ngram_join import mix, pack6, unpack6
 
 THRESHOLD = 50
 HALF = THRESHOLD // 2
@@ -163,16 +163,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def _pack6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -192,7 +182,7 @@ def _first_round(buckets: int):
             value = c.kept | (low != high).astype(np.uint64)
             b = bucket_of(c.kept << np.uint64(16), buckets)
             cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-            raw = [_pack6(x) for x in np.split(value, cut[1:])] if len(b) else []
+            raw = [pack6(x) for x in np.split(value, cut[1:])] if len(b) else []
             yield pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int64)), pa.array(np.full(len(cut), chunk, np.int64)), pa.array(raw, pa.binary())], names=["bucket", "chunk", "ranks"])
 
     return run
@@ -200,7 +190,7 @@ def _first_round(buckets: int):
 
 def _discard(t: pa.Table) -> pa.Table:
     """Which ranks of each chunk occur in another document, a bit each."""
-    value = [_unpack6(r) for r in t.column("ranks").to_pylist()]
+    value = [unpack6(r) for r in t.column("ranks").to_pylist()]
     every = np.concatenate(value)
     plain = every >> np.uint64(1)
     _, inverse = np.unique(plain, return_inverse=True)
