@@ -31,7 +31,7 @@ SLACK = 4
 #: Most underfull bins that one merging task takes.
 TASK_BINS = 50_000
 #: Words kept in a worker's cache, which is emptied beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 #: White-space-free ASCII marks that form a pre-token of their own after a letter.
 MARKS = ".,;:!?$#*%&"
 
@@ -56,12 +56,22 @@ class WordEncoder:
     def words(self, distinct: list[str]) -> list[bytes]:
         """Ids of each word. Marks at a word's end are a pre-token of their own when all before them is
         letters, so the letters and the marks are looked up apart."""
-        cores = [w.rstrip(MARKS) for w in distinct]
-        cut = [len(c) < len(w) and c.isalpha() for c, w in zip(cores, distinct, strict=True)]
-        need = dict.fromkeys(c if k else w for c, w, k in zip(cores, distinct, cut, strict=True))
-        need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, distinct, cut, strict=True) if k))
+        cache = self.cache
+        out = [cache.get(w) for w in distinct]
+        miss = [i for i, ids in enumerate(out) if ids is None]
+        if not miss:
+            return out
+        new = [distinct[i] for i in miss]
+        cores = [w.rstrip(MARKS) for w in new]
+        cut = [len(c) < len(w) and c.isalpha() for c, w in zip(cores, new, strict=True)]
+        need = dict.fromkeys(c if k else w for c, w, k in zip(cores, new, cut, strict=True))
+        need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, new, cut, strict=True) if k))
         ids = dict(zip(need, self.known(list(need)), strict=True))
-        return [ids[c] + ids[w[len(c) :]] if k else ids[w] for c, w, k in zip(cores, distinct, cut, strict=True)]
+        for i, c, w, k in zip(miss, cores, new, cut, strict=True):
+            out[i] = ids[c] + ids[w[len(c) :]] if k else ids[w]
+            if k:
+                cache[w] = out[i]
+        return out
 
     def known(self, distinct: list[str]) -> list[bytes]:
         cache = self.cache
