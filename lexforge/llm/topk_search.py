@@ -30,7 +30,9 @@ from lexforge.llm.common import materialize, ready, release, table
 
 K, K1, B = 10, 1.2, 0.75
 IMPACT_UNIT = 10_000
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 4_000_000
+#: Documents of a shard fit 16-bit numbers.
+SHARD_DOCS = 60_000
 BLOCK = 64
 GROUP = 20_000
 QUERY_STEP = 50
@@ -52,18 +54,27 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word, text) with their counts, by word and text."""
-    doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    order = np.lexsort((doc, words))
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.concatenate([[0], ends])))
+    order = np.argsort(words, kind="stable")  # texts come in order already
     w, d = words[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
     return w[first], d[first], np.diff(np.append(first, len(w)))
 
 
+def _narrow(n: np.ndarray) -> bytes:
+    """Counts in 16 bits each, or in 32 if one doesn't fit."""
+    return n.astype("<u2" if not len(n) or n.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * count else "<u2")
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 16
-    ids, words, ends, have = [], [], [], 0
+    ids, words, ends, have, count = [], [], [], 0, 0
 
     def packed():
         w = np.concatenate(words)
@@ -71,17 +82,18 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, d, n = counted(w, e)
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([[0], e]))
-        row = (number, np.concatenate(ids).astype("<i8").tobytes(), length.astype("<u4").tobytes(), t[first].astype("<u8").tobytes(), np.append(first, len(t)).astype("<u4").tobytes(), d.astype("<u4").tobytes(), n.astype("<u4").tobytes(), len(e), int(length.sum()))
+        row = (number, np.concatenate(ids).astype("<i8").tobytes(), length.astype("<u4").tobytes(), t[first].astype("<u8").tobytes(), np.append(first, len(t)).astype("<u4").tobytes(), d.astype("<u2").tobytes(), _narrow(n), len(e), int(length.sum()))
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()], strict=True)], names=["shard", "ids", "lens", "terms", "starts", "docs", "tfs", "n_docs", "n_words"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             w, e = word_hashes(part.column(1))
-            if ids and have + len(w) > SHARD_WORDS:
+            if ids and (have + len(w) > SHARD_WORDS or count + part.num_rows > SHARD_DOCS):
                 yield packed()
                 number += 1
-                ids, words, ends, have = [], [], [], 0
+                ids, words, ends, have, count = [], [], [], 0, 0
+            count += part.num_rows
             # a null id sorts last among ties
             ids.append(pc.fill_null(part.column(0), (1 << 63) - 1).to_numpy(zero_copy_only=False))
             words.append(w)
@@ -100,7 +112,7 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(d, kind="stable")
             t, d, n = t[order], d[order], n[order]
             stop = np.searchsorted(d, np.arange(part.num_rows), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part.column(0).to_numpy().astype("<i8").tobytes(), stop.astype("<u4").tobytes(), t.astype("<u8").tobytes(), n.astype("<u4").tobytes(), part.num_rows), (*[pa.binary()] * 4, pa.int64()), strict=True)], names=["ids", "stops", "terms", "weights", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part.column(0).to_numpy().astype("<i8").tobytes(), stop.astype("<u4").tobytes(), t.astype("<u8").tobytes(), _narrow(n), part.num_rows), (*[pa.binary()] * 4, pa.int64()), strict=True)], names=["ids", "stops", "terms", "weights", "n"])
 
 
 def _frequencies(buckets: int):
@@ -135,8 +147,8 @@ class Shard:
         lens = np.frombuffer(r["lens"], "<u4").astype(np.float64)
         self.terms = np.frombuffer(r["terms"], "<u8")
         self.starts = np.frombuffer(r["starts"], "<u4").astype(np.int64)
-        self.docs = np.frombuffer(r["docs"], "<u4").astype(np.int32)
-        tf = np.frombuffer(r["tfs"], "<u4").astype(np.float64)
+        self.docs = np.frombuffer(r["docs"], "<u2").astype(np.int32)
+        tf = _wide(r["tfs"], len(self.docs)).astype(np.float64)
         df = np.zeros(len(self.terms), np.float64)
         b = (self.terms % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
@@ -210,7 +222,7 @@ def _search(n_docs: int, mean: float, buckets: int, k: int):
         out = []
         for r in range(right.num_rows):
             ids, stops, terms, weights = (right.column(c)[r].as_py() for c in ("ids", "stops", "terms", "weights"))
-            ids, stops, terms, weights = np.frombuffer(ids, "<i8"), np.frombuffer(stops, "<u4"), np.frombuffer(terms, "<u8"), np.frombuffer(weights, "<u4")
+            ids, stops, terms, weights = np.frombuffer(ids, "<i8"), np.frombuffer(stops, "<u4"), np.frombuffer(terms, "<u8"), _wide(weights, len(terms) // 8)
             for q, a, b in zip(ids.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
                 d, s = index.top(terms[a:b], weights[a:b], k)
                 out.append((np.full(len(d), q), d, s.astype(np.int64)))
