@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,9 @@ class Pieces:
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.splits else re.compile(r"(?s).+")
         self.cache: dict[str, tuple[bytes, float]] = {}
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_pool = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def steps(self, s: str, j: int) -> list[tuple[int, float]]:
         """Lengths and scores of the pieces that begin at j; one unknown character if no piece of length 1 does."""
@@ -111,9 +115,55 @@ class Pieces:
             total += score
         return b"".join(parts), total
 
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, where each text ends, and the scores. Texts without empty
+        words are looked up as one batch of distinct words."""
+        n = len(texts)
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " ")
+        lists = pc.split_pattern(plain, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
+        empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
+        odd = np.add.reduceat(empty, offsets[:-1]) > 0 if n else np.zeros(0, bool)
+        odd = odd | (not self.splits)
+        keep = ~np.repeat(odd, np.diff(offsets))
+        coded = flat.filter(pa.array(keep)).dictionary_encode()
+        got = [self.cached(MARK + w) for w in coded.dictionary.to_pylist()]
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.fromiter((len(g[0]) // 4 for g in got), np.int64, len(got))
+        score = np.fromiter((g[1] for g in got), np.float64, len(got))
+        pool = np.frombuffer(b"".join([g[0] for g in got]), "<u4")
+        at = np.cumsum(size) - size
+        words = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        count = size[word] if len(word) else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = pool[np.repeat(at[word] - upto[:-1], count) + np.arange(upto[-1])] if len(word) else pool
+        ends = upto[words]
+        totals = np.diff(np.concatenate([[0.0], np.cumsum(score[word] if len(word) else score)])[words])
+        if odd.any():
+            parts, lens = [], []
+            for k in range(n):
+                if odd[k]:
+                    raw, totals[k] = self.encode(self.marked(plain[k].as_py()))
+                    parts.append(np.frombuffer(raw, "<u4"))
+                else:
+                    parts.append(ids[ends[k] : ends[k + 1]])
+                lens.append(len(parts[-1]))
+            return np.concatenate(parts), np.cumsum(lens), totals
+        return ids, ends[1:], totals
+
+    def middle(self, s: str) -> tuple[np.ndarray, float]:
+        """Ids and score of a marked stretch between two boundaries."""
+        if not s:
+            return np.zeros(0, "<u4"), 0.0
+        ids, _, score = self.encode_texts(pa.array([s[1:]], pa.large_string())) if s[0] == MARK and len(s) > 1 else (np.frombuffer(self.encode(s)[0], "<u4"), None, [self.encode(s)[1]])
+        return ids, float(score[0])
+
     def decode(self, ids: np.ndarray) -> bytes:
-        raw = self.raw
-        out = b"".join([raw[i] for i in ids.tolist()])
+        size = self.raw_size[ids]
+        upto = np.cumsum(size)
+        out = self.raw_pool[np.repeat(self.raw_at[ids] - (upto - size), size) + np.arange(upto[-1])].tobytes() if len(ids) else b""
         return out[1:] if out[:1] == b" " else out
 
     # chunks: s holds the chunk's n characters and up to longest - 1 of the next
@@ -150,7 +200,7 @@ class Pieces:
             out[:, :m] = best[:, n : n + m]
         else:
             head = self.forward(s[:a], 0, a, width)[:, a] if a else np.where(np.arange(width) == 0, 0.0, _LOW)
-            middle = self.encode(s[a:b])[1]
+            middle = self.middle(s[a:b])[1]
             best = self.forward(s, b, n, 1)[0]
             tail = np.full(width, _LOW)
             m = min(width, len(best) - n)
@@ -165,7 +215,7 @@ class Pieces:
         a, b = self.cuts(s, n)
         if b < 0:
             return self._trace(s, enter, n, n + leave)
-        return self._trace(s[:a], enter, a, a) + self.encode(s[a:b])[0] + self._trace(s, b, n, n + leave)
+        return self._trace(s[:a], enter, a, a) + self.middle(s[a:b])[0].tobytes() + self._trace(s, b, n, n + leave)
 
     def _trace(self, s: str, start: int, stop: int, end: int) -> bytes:
         best, back = [_LOW] * (len(s) + 1), [start] * (len(s) + 1)
@@ -205,8 +255,11 @@ def _short(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                got = [None if t is None else p.encode(p.marked(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g and g[0] for g in got], pa.binary()), pa.array([g and g[1] for g in got], pa.float64())], names=["doc_id", "ids", "score"])
+                ids, ends, score = p.encode_texts(part.column(1))
+                raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
+                none = pc.is_null(part.column(1)).to_pylist()
+                each = [None if x else raw[4 * a : 4 * b].tobytes() for x, a, b in zip(none, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(each, pa.binary()), pa.array(score, mask=np.array(none, bool))], names=["doc_id", "ids", "score"])
 
     return run
 
