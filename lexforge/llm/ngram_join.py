@@ -6,7 +6,8 @@ D + 1 fragments at least one is equal in both: documents meet on the hash of a w
 n-grams, and frequent n-grams alone bring nobody together. The number of fragments depends on the size class;
 a class is as wide as the threshold allows, so a set sends the fragments of its own class and of the next.
 
-Exact copies of a set are one node. Nodes that share a fragment are compared with the smallest node that has
+Exact copies of a set are one node. Every chunk of documents sends its distinct keys once, by bucket, and gets
+back the smallest node of those that are shared, so a key costs a row per chunk at most. Nodes that share a fragment are compared with the smallest node that has
 it, their leader: the overlap of each of PARTS fragments of the order is counted separately and summed per
 pair, and what differs from the leader is kept. Two nodes x, y of a leader's family differ in
 |dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are their differences from the leader. Those of them that
@@ -38,6 +39,8 @@ WIDTH, PERCENT = 3, 90
 PARTS = 4
 #: Rows of longs up to which a table is broadcast.
 FEW = 200_000
+#: Keys for each bucket in which chunks' keys meet.
+BUCKET_KEYS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,26 +106,37 @@ def classes(percent: int, most: int) -> np.ndarray:
     return np.array([*out, out[-1] * 100 // percent + 1, (out[-1] * 100 // percent + 1) * 100 // percent + 1])
 
 
-def fragments(first: np.ndarray, k: int, percent: int) -> int:
-    """Number of fragments at level k: one more than the most n-grams in which a pair of its sizes may differ."""
-    return int(2 * (first[k + 1] - 1) * (100 - percent) // (100 + percent)) + 1
+def fragments(first: np.ndarray, k: int, percent: int) -> tuple[int, int]:
+    """Number of fragments at level k, and the reserve in it. D, the most n-grams in which a pair of its sizes may
+    differ, and a reserve R make D + 1 + R fragments, of which a pair has at least R + 1 in common. R is twice the
+    share of fragments that hold at most one n-gram by chance."""
+    differ = int(2 * (first[k + 1] - 1) * (100 - percent) // (100 + percent))
+    if not differ:
+        return 1, 0
+    mean = (100 + percent) / (2 * (100 - percent))
+    reserve = int(np.ceil(2 * np.exp(-mean) * (1 + mean) * (differ + 1)))
+    return differ + 1 + reserve, reserve
 
 
 def fragment_keys(u: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the fragments of set u at its own level and the next."""
+    """Hashes of the fragments of set u at its own level and the next. Fragments of at most one n-gram are left
+    out unless there are more of them than the reserve: up to that many, a fragment of two or more is common to
+    every pair of the set as well."""
     k = int(np.searchsorted(first, len(u), side="right")) - 1
     out = []
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(u))])
     for level in (k, k + 1):
-        m = fragments(first, level, percent)
+        m, reserve = fragments(first, level, percent)
         if m == 1:  # no two different sets of these sizes are linked
             continue
         place = np.arange(m, dtype=np.uint64)
         # fragment f: hashes from f/m of the range on
-        cuts = np.searchsorted(u, np.array([(f << 64) // m for f in range(m)], dtype=np.uint64) if m < 64 else place * np.uint64((1 << 64) // m))
-        cuts = np.append(cuts, len(u))
+        cuts = np.append(np.searchsorted(u, place * np.uint64((1 << 64) // m)), len(u))
+        size = np.diff(cuts)
         with np.errstate(over="ignore"):
-            out.append(mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.uint64(level << 32) + place)))
+            keys = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.uint64(level << 32) + place))
+        small = size < 2
+        out.append(keys if np.count_nonzero(small) > reserve else keys[~small])
     return np.concatenate(out) if out else u[:0]
 
 
@@ -132,25 +146,95 @@ def _signature(u: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(width: int, percent: int):
+    """Chunks of documents with their sets' sizes, signatures and fragment keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 20
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sets = shingle_sets(part.column(1), width)
                 first = classes(percent, max(map(len, sets)))
                 sig = [_signature(u) for u in sets]
-                keys = [fragment_keys(u, first, percent) for u in sets]
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = pa.array(np.concatenate(keys).view(np.int64))
-                rids = np.arange(row, row + len(sets))
-                row += len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rids), pa.array([len(u) for u in sets], pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                    names=["doc_id", "rid", "n", "s1", "s2", "keys"],
-                )
+                keys = [fragment_keys(u, first, percent) >> np.uint64(16) for u in sets]
+                cols = ([chunk], [part.column(0).to_pylist()], [[len(u) for u in sets]], [[x[0] for x in sig]], [[x[1] for x in sig]], [pack6(np.concatenate(keys))], [np.array([len(k) for k in keys], "<u4").tobytes()], [sum(map(len, keys))])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["chunk", "docs", "n", "s1", "s2", "keys", "counts", "total"])
+                chunk += 1
+
+    return run
+
+
+def _keys_of(keys: bytes, counts: bytes, copies: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's keys and the document of each, without copies; the distinct keys and each key's place in them."""
+    k = unpack6(keys)
+    doc = np.repeat(np.arange(len(counts) // 4), np.frombuffer(counts, "<u4"))
+    if copies:
+        keep = ~np.isin(doc, copies)
+        k, doc = k[keep], doc[keep]
+    known, inverse = np.unique(k, return_inverse=True)
+    return k, doc, known, inverse
+
+
+def _key_bucket(k: np.ndarray, buckets: int) -> np.ndarray:
+    return (k * np.uint64(buckets)) >> np.uint64(48)
+
+
+def _send_keys(buckets: int):
+    """Per bucket the chunk's distinct keys, each with its first document and whether it has another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, doc, known, inverse = _keys_of(r["keys"], r["counts"], r["copies"])
+                if not len(known):
+                    continue
+                low, high = np.full(len(known), 1 << 30), np.full(len(known), -1)
+                np.minimum.at(low, inverse, doc)
+                np.maximum.at(high, inverse, doc)
+                b = _key_bucket(known, buckets)
+                cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                # keys are sorted, so a bucket is a stretch of them
+                rows = [(int(b[i]), r["chunk"], pack6(x), (y << 1 | z).astype("<u2").tobytes()) for i, x, y, z in zip(cut, np.split(known, cut[1:]), np.split(low, cut[1:]), np.split((low != high).astype(np.int64), cut[1:]), strict=True)]
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "firsts"])
+
+    return run
+
+
+def _lead(t: pa.Table) -> pa.Table:
+    """For every chunk the places of its keys that two sets have, with the smallest node that has each."""
+    k = [unpack6(x) for x in t.column("keys").to_pylist()]
+    f = [np.frombuffer(x, "<u2").astype(np.int64) for x in t.column("firsts").to_pylist()]
+    rid = np.concatenate([(c << 16) | (x >> 1) for c, x in zip(t.column("chunk").to_pylist(), f, strict=True)])
+    known, inverse = np.unique(np.concatenate(k), return_inverse=True)
+    lead = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(lead, inverse, rid)
+    met = np.bincount(inverse, minlength=len(known)) + np.bincount(inverse, weights=(np.concatenate(f) & 1).astype(float), minlength=len(known)) > 1
+    edge = np.cumsum([len(x) for x in k])[:-1]
+    rows = [(c, b, np.flatnonzero(m).astype("<u4").tobytes(), x[m].astype("<i8").tobytes()) for c, b, m, x in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), np.split(met[inverse], edge), np.split(lead[inverse], edge), strict=True) if m.any()]
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "places", "leads"])
+
+
+def _pairs_of(buckets: int):
+    """Pairs (leader, node) of a chunk's nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, doc, known, inverse = _keys_of(r["keys"], r["counts"], r["copies"])
+                lead = np.full(len(known), -1)
+                b = _key_bucket(known, buckets)
+                for x in r["found"]:
+                    lead[np.searchsorted(b, x["bucket"]) + np.frombuffer(x["places"], "<u4")] = np.frombuffer(x["leads"], "<i8")
+                a, node = lead[inverse], (r["chunk"] << 16) | doc
+                keep = (a >= 0) & (a != node)
+                pair = np.unique(np.stack([a[keep], node[keep]], axis=1), axis=0)
+                n = np.array(r["n"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n[pair[:, 1] & 0xFFFF])], names=["a", "b", "nb"])
 
     return run
 
@@ -226,19 +310,24 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     ready(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(src.mapInArrow(_sets(width, percent), "doc_id long, rid long, n long, s1 long, s2 long, keys array<long>"), "sets")
+    chunks = materialize(src.mapInArrow(_sets(width, percent), "chunk long, docs array<long>, n array<long>, s1 array<long>, s2 array<long>, keys binary, counts binary, total long"), "sets")
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("docs", "n", "s1", "s2")).alias("at", "d")).select(F.expr("shiftleft(chunk, 16) + at").alias("rid"), F.col("d.docs").alias("doc_id"), "d.n", "d.s1", "d.s2")
     same = ["n", "s1", "s2"]
     nodes = materialize(rows.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "nodes")
     shared = nodes.filter("copies > 1").select(*same, "node")
-    copies = materialize(rows.select("rid", *same).join(shared, same).filter("rid <> node").select("rid"), "copies")
-    single = rows.filter("n > 0").select("rid", "n", "keys").join(few(copies, FEW), "rid", "left_anti").select("rid", "n", F.explode("keys").alias("key"))
-    own = F.struct(F.col("rid"), F.col("n"))
-    met = single.groupBy("key").agg(F.min(own).alias("lead"), F.max("rid").alias("last")).filter("lead.rid <> last")
-    members = materialize(single.join(met.select("key", "lead"), "key"), "members")
-    first = materialize(members.filter("rid <> lead.rid").select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
+    copies = rows.select("rid", *same).join(shared.hint("merge"), same).filter("rid <> node").select(F.expr("shiftright(rid, 16)").alias("chunk"), F.expr("cast(rid & 65535 as int)").alias("at"))
+    copies = materialize(copies.groupBy("chunk").agg(F.collect_list("at").alias("copies")), "copies")  # at most a chunk's documents
+    keyed = chunks.select("chunk", "n", "keys", "counts").join(copies, "chunk", "left")
+    buckets = max(16, (chunks.agg(F.sum("total")).head()[0] or 0) // BUCKET_KEYS)
+    sent = keyed.mapInArrow(_send_keys(buckets), "bucket long, chunk long, keys binary, firsts binary")
+    leads = sent.groupBy("bucket").applyInArrow(_lead, "chunk long, bucket long, places binary, leads binary")
+    leads = materialize(leads.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "places", "leads")).alias("found")), "leads")
+    found = keyed.join(leads, "chunk").mapInArrow(_pairs_of(buckets), "a long, b long, nb long")
+    first = materialize(found.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")).hint("merge"), "a").select("a", "b", "na", "nb"), "pairs")
 
     # the sets of all members, from their texts
-    who = materialize(members.select(F.col("rid").alias("node")).distinct().join(nodes.select("node", *same), "node").join(rows.select(F.col("rid").alias("node"), "doc_id"), "node"), "compared")
+    members = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    who = materialize(members.join(nodes.select("node", *same), "node").join(rows.select(F.col("rid").alias("node"), "doc_id"), "node"), "compared")
     texts = src.join(few(who.select("doc_id").distinct(), FEW), "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(_parts(width, PARTS), "n long, s1 long, s2 long, frags array<binary>").join(who.select("node", *same), same).dropDuplicates(["node"])
     sets = materialize(found.select("node", F.posexplode("frags").alias("f", "frag")), "parts")
@@ -254,7 +343,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
     by_set = materialize(named.join(least, "comp").select(*same, "component"), "components")
     out = rows.select("doc_id", *same).join(by_set, same, "left")
-    for t in (members, first, who, copies):
+    for t in (leads, first, who, copies):
         release(t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
