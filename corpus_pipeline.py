@@ -8,28 +8,50 @@ rules reject it.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import line_dedup, ngram_join, packing, quality_rules, suffix_dedup
-from lexforge.llm.common import materialize, table
+from lexforge.llm.common import forget, materialize, release, stored, table
+
+
+#: Tables that the last stage wrote on its way. Its result is written before the next stage is called.
+_on_the_way: set[str] = set()
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(_on_the_way)
+        _on_the_way.clear()
+        before = stored()
+        out = f(spark, docs, sf_dir)
+        _on_the_way.update(stored() - before)
+        return out
+
+    return run_stage
 
 
 def _recount(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_stage
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
+@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that repeat earlier ones. A document that loses all its lines goes."""
     out = line_dedup.dedup_lines(docs)
     return _recount(out.filter("dedup.n_removed < dedup.n_lines or dedup.n_lines = 0").drop("dedup"))
 
 
+@_stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies: five-word shingles, similarity 0.8 or more."""
     linked = ngram_join.join_documents(docs, width=5, percent=80)
@@ -37,12 +59,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
 
 
+@_stage
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that documents with smaller ids have. One that loses all its bytes goes."""
     out = suffix_dedup.dedup_rows(docs)
     return _recount(out)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
     import public_tokenizers
@@ -66,5 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage's result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        new = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(docs)
+        docs = new
     return docs

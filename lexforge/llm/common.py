@@ -83,6 +83,17 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def stored() -> set[str]:
+    """Paths of the tables that materialize() has written and nobody has released."""
+    return set(_stored)
+
+
+def forget(paths: set[str]) -> None:
+    """Delete these tables."""
+    for p in paths & set(_stored):
+        _delete(_stored[p], p)
+
+
 def crc_mod(id_col: str, mod: int):
     """crc32 of the id written as text, modulo mod."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod)
