@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import components, few, materialize, ready, release, table
+from lexforge.llm.hashing import hash_strings, mix, pack6, split_words, unpack6
 
 WIDTH, PERCENT = 3, 90
 #: Vertical fragments in which a pair's overlap is counted.
@@ -43,42 +43,13 @@ FEW = 200_000
 BUCKET_KEYS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser (splitmix)."""
-    x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def pack6(x: np.ndarray) -> bytes:
-    """The six lower bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    import xxhash
-
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    flat = pc.ascii_lower(split.values).slice(offsets[0], offsets[-1] - offsets[0])  # not of a slice: that garbles offsets
-    offsets = offsets - offsets[0]
-    # leading and trailing white space gives empty strings
-    keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    offsets, coded = upto[offsets], flat.filter(pa.array(keep)).dictionary_encode()
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    w = mix(words)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+    distinct, word, ends = split_words(texts)
+    w = mix(hash_strings(distinct))[word]
+    offsets = np.concatenate([[0], ends])
     n = len(w)
     with np.errstate(over="ignore"):
         whole = np.full(max(0, n - width + 1), np.uint64(width))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize, ready, table
+from lexforge.llm.hashing import hash_strings
 
 MAX_LEN = 2048
 FAN_IN = 8
@@ -30,8 +31,8 @@ FAN_IN = 8
 SLACK = 4
 #: Most underfull bins that one merging task takes.
 TASK_BINS = 50_000
-#: Words kept in a worker's cache, which is emptied beyond that.
-CACHE_WORDS = 1_200_000
+#: Words, and parts of words, that a worker keeps; it forgets all beyond that.
+KNOWN_WORDS, CACHE_WORDS = 2_000_000, 600_000
 #: White-space-free ASCII marks that form a pre-token of their own after a letter.
 MARKS = ".,;:!?$#*%&"
 
@@ -50,66 +51,82 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         self.lower = '"Lowercase"' in self.tok.to_str()
+        self.cache: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words by hash, in order; where the ids of each lie in the pool."""
+        self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def words(self, distinct: list[str]) -> list[bytes]:
+    def pieces(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Marks at a word's end are a pre-token of their own when all before them is
         letters, so the letters and the marks are looked up apart."""
+        cores = [w.rstrip(MARKS) for w in words]
+        cut = [len(c) < len(w) and c.isalpha() for c, w in zip(cores, words, strict=True)]
+        need = dict.fromkeys(c if k else w for c, w, k in zip(cores, words, cut, strict=True))
+        need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, words, cut, strict=True) if k))
         cache = self.cache
-        out = [cache.get(w) for w in distinct]
-        miss = [i for i, ids in enumerate(out) if ids is None]
-        if not miss:
-            return out
-        new = [distinct[i] for i in miss]
-        cores = [w.rstrip(MARKS) for w in new]
-        cut = [len(c) < len(w) and c.isalpha() for c, w in zip(cores, new, strict=True)]
-        need = dict.fromkeys(c if k else w for c, w, k in zip(cores, new, cut, strict=True))
-        need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, new, cut, strict=True) if k))
-        ids = dict(zip(need, self.known(list(need)), strict=True))
-        for i, c, w, k in zip(miss, cores, new, cut, strict=True):
-            out[i] = ids[c] + ids[w[len(c) :]] if k else ids[w]
-            if k:
-                cache[w] = out[i]
-        return out
-
-    def known(self, distinct: list[str]) -> list[bytes]:
-        cache = self.cache
-        new = [w for w in distinct if w not in cache]
+        new = [w for w in need if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = distinct
+            new = list(need)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [cache[w] for w in distinct]
+        return [cache[c] + cache[w[len(c) :]] if k else cache[w] for c, w, k in zip(cores, words, cut, strict=True)]
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each distinct word, and where its ids begin in the pool and how many they are."""
+        h = hash_strings(distinct)
+        if len(self.hash) + len(h) > KNOWN_WORDS:
+            self._forget()
+        order = np.argsort(h)
+        q = h[order]
+        place = np.searchsorted(self.hash, q)
+        there = self.hash[np.minimum(place, max(0, len(self.hash) - 1))] == q if len(self.hash) else np.zeros(len(q), bool)
+        miss = np.flatnonzero(~there)
+        if len(miss):
+            raw = self.pieces(distinct.take(pa.array(order[miss])).to_pylist())
+            size = np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw))
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(size) - size
+            self.used += len(ids)
+            self.hash = np.insert(self.hash, place[miss], q[miss])
+            self.at, self.size = np.insert(self.at, place[miss], begin), np.insert(self.size, place[miss], size)
+            place = np.searchsorted(self.hash, q)
+        at, size = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        at[order], size[order] = self.at[place], self.size[place]
+        return h, at, size
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words, the distinct word of each word, and where each text's words end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        values = split.values
+        if self.lower and not pc.any(pc.match_substring(values, "<|")).as_py():
+            # the tokenizer lower-cases anyway; special tokens are matched before that, so not in their presence
+            values = pc.ascii_lower(values)
+        coded = values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), (offsets - offsets[0])[1:]
 
     def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends. end: an id put after each text."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        if self.lower and not pc.any(pc.match_substring(split.values, "<|")).as_py():
-            # the tokenizer lower-cases anyway; special tokens are matched before that, so not in their presence
-            split = pa.LargeListArray.from_arrays(split.offsets, pc.ascii_lower(split.values)) if isinstance(split, pa.LargeListArray) else pa.ListArray.from_arrays(split.offsets, pc.ascii_lower(split.values))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
-        coded = flat.dictionary_encode()
-        each = self.words(coded.dictionary.to_pylist())
-        if end is not None:
-            each = [*each, np.array([end], dtype="<u4").tobytes()]
-        size = np.fromiter((len(b) // 4 for b in each), dtype=np.int64, count=len(each))
-        pool = np.frombuffer(b"".join(each), dtype="<u4")
-        begin = np.cumsum(size) - size
-        idx = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = offsets[1:]
+        distinct, word, ends = self.split(texts)
+        _, at, size = self.words(distinct)
+        pool = self.pool[: self.used]
         if end is not None:
-            idx = np.insert(idx, ends, len(each) - 1)
+            word = np.insert(word, ends, len(at))
             ends = ends + np.arange(1, len(ends) + 1)
-        n = size[idx]
+            at, size, pool = np.append(at, len(pool)), np.append(size, 1), np.append(pool, np.uint32(end))
+        n = size[word]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(begin[idx] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, upto[ends]
+        return pool[np.repeat(at[word] - upto[:-1], n) + np.arange(upto[-1])], upto[ends]
 
 
 @functools.lru_cache(maxsize=2)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import few, materialize, ready, release, table
-from lexforge.llm.ngram_join import mix, pack6, unpack6
+from lexforge.llm.hashing import BASE, hashes, mix, pack6, sums, unpack6
 
 THRESHOLD = 50
 HALF = THRESHOLD // 2
@@ -44,35 +44,6 @@ FEW = 1_000_000
 #: In a sort key, the bits of the position; the rest is the hash.
 PLACE_BITS = np.uint64(30)
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2 ** 64, for i up to n."""
-    size = (int(n) // (1 << 18) + 1) << 18
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
-
-
-def sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash over bytes."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def hashes(total: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-    """Hashes of the strings that begin at start, from sums()."""
-    _, down = powers(len(total))
-    return mix((total[start + length] - total[start]) * down[start])
-
 
 def _piece(data: np.ndarray, a: int, b: int, starts: np.ndarray, ends: np.ndarray):
     """units() for the strings that begin in [a, b)."""
@@ -251,7 +222,7 @@ def _rank(t: pa.Table) -> pa.Table:
     s = np.repeat(begin - upto, count) + np.arange(count.sum())
     # rank of a string: the pair of its halves' ranks
     with np.errstate(over="ignore"):
-        rank = mix(hashes(total, s, HALF) * np.uint64(_BASE) + hashes(total, s + HALF, HALF))
+        rank = mix(hashes(total, s, HALF) * np.uint64(BASE) + hashes(total, s + HALF, HALF))
     least = np.minimum.reduceat(ids, np.cumsum(times) - times)
     order = np.argsort(rank)
     sorted_rank = rank[order]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize, ready, release, table
+from lexforge.llm.hashing import hash_strings, split_words
 
 K, K1, B = 10, 1.2, 0.75
 IMPACT_UNIT = 10_000
@@ -40,16 +41,8 @@ QUERY_STEP = 50
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and where each text's words end."""
-    import xxhash
-
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    flat = pc.ascii_lower(split.values).slice(offsets[0], offsets[-1] - offsets[0])
-    keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]][1:]
-    coded = flat.filter(pa.array(keep)).dictionary_encode()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return h[coded.indices.to_numpy(zero_copy_only=False)] if len(h) else h, ends
+    distinct, word, ends = split_words(texts)
+    return hash_strings(distinct)[word], ends
 
 
 def counted(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
