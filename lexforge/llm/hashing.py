@@ -85,3 +85,42 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]][1:]
     coded = flat.filter(pa.array(keep)).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
+
+
+class Pool:
+    """Ids and a value of every known word, by the word's hash; all is forgotten beyond a number of words."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.value, self.ids, self.used = np.zeros(0), np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, words: pa.Array, make) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each distinct word, where its ids begin in self.ids, how many they are, and its value.
+        make(list of words): for each new one its ids as little-endian 32-bit bytes, and its value."""
+        h = hash_strings(words)
+        if len(self.hash) + len(h) > self.most:
+            self.forget()
+        order = np.argsort(h)
+        q = h[order]
+        place = np.searchsorted(self.hash, q)
+        there = self.hash[np.minimum(place, len(self.hash) - 1)] == q if len(self.hash) else np.zeros(len(q), bool)
+        miss = np.flatnonzero(~there)
+        if len(miss):
+            raw, value = make(words.take(pa.array(order[miss])).to_pylist())
+            size = np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw))
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(size) - size
+            self.used += len(ids)
+            at = place[miss]
+            self.hash, self.at, self.size, self.value = np.insert(self.hash, at, q[miss]), np.insert(self.at, at, begin), np.insert(self.size, at, size), np.insert(self.value, at, value)
+            place = np.searchsorted(self.hash, q)
+        back = np.empty(len(h), np.int64)
+        back[order] = place
+        return h, self.at[back], self.size[back], self.value[back]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize, ready, table
-from lexforge.llm.hashing import hash_strings
+from lexforge.llm.hashing import Pool
 
 MAX_LEN = 2048
 FAN_IN = 8
@@ -53,12 +53,11 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.lower = '"Lowercase"' in self.tok.to_str()
         self.cache: dict[str, bytes] = {}
-        self._forget()
+        self.known = Pool(KNOWN_WORDS)
 
-    def _forget(self) -> None:
-        """Known words by hash, in order; where the ids of each lie in the pool."""
-        self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+    @property
+    def pool(self) -> np.ndarray:
+        return self.known.ids[: self.known.used]
 
     def pieces(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Marks at a word's end are a pre-token of their own when all before them is
@@ -80,29 +79,7 @@ class WordEncoder:
 
     def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each distinct word, and where its ids begin in the pool and how many they are."""
-        h = hash_strings(distinct)
-        if len(self.hash) + len(h) > KNOWN_WORDS:
-            self._forget()
-        order = np.argsort(h)
-        q = h[order]
-        place = np.searchsorted(self.hash, q)
-        there = self.hash[np.minimum(place, max(0, len(self.hash) - 1))] == q if len(self.hash) else np.zeros(len(q), bool)
-        miss = np.flatnonzero(~there)
-        if len(miss):
-            raw = self.pieces(distinct.take(pa.array(order[miss])).to_pylist())
-            size = np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw))
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            begin = self.used + np.cumsum(size) - size
-            self.used += len(ids)
-            self.hash = np.insert(self.hash, place[miss], q[miss])
-            self.at, self.size = np.insert(self.at, place[miss], begin), np.insert(self.size, place[miss], size)
-            place = np.searchsorted(self.hash, q)
-        at, size = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        at[order], size[order] = self.at[place], self.size[place]
-        return h, at, size
+        return self.known.find(distinct, lambda new: (self.pieces(new), 0.0))[:3]
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words, the distinct word of each word, and where each text's words end."""
@@ -119,7 +96,7 @@ class WordEncoder:
         """All ids of the texts one after another, and where each text ends. end: an id put after each text."""
         distinct, word, ends = self.split(texts)
         _, at, size = self.words(distinct)
-        pool = self.pool[: self.used]
+        pool = self.pool
         if end is not None:
             word = np.insert(word, ends, len(at))
             ends = ends + np.arange(1, len(ends) + 1)

@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize, ready, table
+from lexforge.llm.hashing import Pool
 
 GIANT, CHUNK, BLOCK = 32_768, 8_192, 256
-CACHE_WORDS = 600_000
+KNOWN_WORDS, CACHE_WORDS = 2_000_000, 200_000
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _LOW = -np.inf
@@ -61,6 +62,9 @@ class Pieces:
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score)
+        # a line feed stands alone
+        self.simple = self.splits and not any("\n" in p for p in self.score)
+        self.known = Pool(KNOWN_WORDS)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.splits else re.compile(r"(?s).+")
         self.cache: dict[str, tuple[bytes, float]] = {}
         self.raw_size = np.array([len(r) for r in self.raw], np.int64)
@@ -116,42 +120,38 @@ class Pieces:
         return b"".join(parts), total
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, where each text ends, and the scores. Texts without empty
-        words are looked up as one batch of distinct words."""
+        """All ids of the texts one after another, where each text ends, and the scores. Where the vocabulary allows
+        it, texts are cut at spaces and before line feeds, and their distinct words looked up at once; texts with
+        empty words go one by one."""
         n = len(texts)
         plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " ")
-        lists = pc.split_pattern(plain, " ")
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
+        words = offsets - offsets[0]
         empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
-        odd = np.add.reduceat(empty, offsets[:-1]) > 0 if n else np.zeros(0, bool)
-        odd = odd | (not self.splits)
-        keep = ~np.repeat(odd, np.diff(offsets))
+        odd = (np.add.reduceat(empty, words[:-1]) > 0) | (not self.simple) if n else np.zeros(0, bool)
+        keep = ~np.repeat(odd, np.diff(words))
         coded = flat.filter(pa.array(keep)).dictionary_encode()
-        got = [self.cached(MARK + w) for w in coded.dictionary.to_pylist()]
+        words = np.concatenate([[0], np.cumsum(keep)])[words]
+        _, at, size, score = self.known.find(coded.dictionary, self._words)
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = np.fromiter((len(g[0]) // 4 for g in got), np.int64, len(got))
-        score = np.fromiter((g[1] for g in got), np.float64, len(got))
-        pool = np.frombuffer(b"".join([g[0] for g in got]), "<u4")
-        at = np.cumsum(size) - size
-        words = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        count = size[word] if len(word) else np.zeros(0, np.int64)
+        count = size[word]
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(at[word] - upto[:-1], count) + np.arange(upto[-1])] if len(word) else pool
+        ids = self.known.ids[np.repeat(at[word] - upto[:-1], count) + np.arange(upto[-1])]
         ends = upto[words]
-        totals = np.diff(np.concatenate([[0.0], np.cumsum(score[word] if len(word) else score)])[words])
-        if odd.any():
-            parts, lens = [], []
-            for k in range(n):
-                if odd[k]:
-                    raw, totals[k] = self.encode(self.marked(plain[k].as_py()))
-                    parts.append(np.frombuffer(raw, "<u4"))
-                else:
-                    parts.append(ids[ends[k] : ends[k + 1]])
-                lens.append(len(parts[-1]))
-            return np.concatenate(parts), np.cumsum(lens), totals
-        return ids, ends[1:], totals
+        totals = np.diff(np.concatenate([[0.0], np.cumsum(score[word])])[words])
+        if not odd.any():
+            return ids, ends[1:], totals
+        parts = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            raw, totals[k] = self.encode(self.marked(plain[k].as_py()))
+            parts[k] = np.frombuffer(raw, "<u4")
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts]), totals
+
+    def _words(self, new: list[str]) -> tuple[list[bytes], list[float]]:
+        got = [self.segment(w if w[:1] == "\n" else MARK + w) for w in new]
+        return [g[0] for g in got], [g[1] for g in got]
 
     def middle(self, s: str) -> tuple[np.ndarray, float]:
         """Ids and score of a marked stretch between two boundaries."""
