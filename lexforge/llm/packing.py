@@ -32,7 +32,7 @@ SLACK = 4
 #: Most underfull bins that one merging task takes.
 TASK_BINS = 50_000
 #: Words, and parts of words, that a worker keeps; it forgets all beyond that.
-KNOWN_WORDS, CACHE_WORDS = 2_000_000, 600_000
+KNOWN_WORDS, CACHE_WORDS = 1_500_000, 400_000
 #: White-space-free ASCII marks that form a pre-token of their own after a letter.
 MARKS = ".,;:!?$#*%&"
 
