@@ -25,8 +25,8 @@ from lexforge.llm.common import crc_mod, ready, table
 
 PER_CLASS = 1500
 MAX_TRAIN_CHARS = 20_000
-DICT_BYTES = 64 * 1024
-BLOCK = 1024
+DICT_BYTES = 32 * 1024
+BLOCK = 512
 LEVEL = 3
 
 
