@@ -92,7 +92,7 @@ def tfidf_keywords(docs: DataFrame, top_n: int = 30) -> DataFrame:
     n = docs.agg(F.count("*").alias("docs"))  # one row
     s = tf.join(df, "token").join(size, "doc_id").join(F.broadcast(n))
     s = s.withColumn("score", F.col("tf") / F.col("size") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1))
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "token")
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "token")  # equal scores may differ in their last digits
     return s.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top_n).select("doc_id", F.col("token").alias("term"), "tf", "score", "place")
 
 
