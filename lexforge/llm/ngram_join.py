@@ -2,18 +2,19 @@
 
 The global n-gram order is that of a 64-bit hash. Cutting it at fixed places cuts every document's set into
 fragments. Two sets at or above the threshold differ in at most D = (na + nb)(1 - s)/(1 + s) n-grams, so of
-D + 1 fragments at least one is equal in both: documents meet on the hash of a whole fragment, some ten
-n-grams, and frequent n-grams alone bring nobody together. The number of fragments depends on the size class;
-a class is as wide as the threshold allows, so a set sends the fragments of its own class and of the next.
+D + 1 + R fragments at least R + 1 are equal in both: documents meet on hashes of whole fragments, and only if
+they share R + 1 of theirs with others, so frequent n-grams or a common passage bring nobody together. The
+number of fragments depends on the size class; a class is as wide as the threshold allows, so a set sends the
+fragments of its own class and of the next.
 
 Exact copies of a set are one node. Every chunk of documents sends its distinct keys once, by bucket, and gets
-back the smallest node of those that are shared, so a key costs a row per chunk at most. Nodes that share a fragment are compared with the smallest node that has
-it, their leader: the overlap of each of PARTS fragments of the order is counted separately and summed per
-pair, and what differs from the leader is kept. Two nodes x, y of a leader's family differ in
-|dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are their differences from the leader. Those of them that
-are not in one component yet are joined on the rarest n-grams of these short differences, with prefix lengths
-from both sizes, and verified on the differences. So near copies that are not linked, however many, hardly
-meet, and no group is expanded into its pairs.
+back which are shared, so a key costs a row per chunk at most. Nodes that share a fragment are compared with
+the smallest node that has it, their leader: the overlap of each of PARTS fragments of the order is counted
+separately and summed per pair, and what differs from the leader is kept. Two nodes x, y of a leader's family
+differ in |dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are their differences from the leader. Those of
+them that are not in one component yet are joined on the rarest n-grams of these short differences, with
+prefix lengths from both sizes, and verified on the differences. So near copies that are not linked, however
+many, hardly meet, and no group is expanded into its pairs.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; repeated rows get the same component; rows with equal ids and other texts are
@@ -78,37 +79,35 @@ def classes(percent: int, most: int) -> np.ndarray:
 
 
 def fragments(first: np.ndarray, k: int, percent: int) -> tuple[int, int]:
-    """Number of fragments at level k, and the reserve in it. D, the most n-grams in which a pair of its sizes may
-    differ, and a reserve R make D + 1 + R fragments, of which a pair has at least R + 1 in common. R is twice the
-    share of fragments that hold at most one n-gram by chance."""
+    """Number of fragments at level k, and how many of them a pair of its sizes has in common at least. D, the most
+    n-grams in which such a pair may differ, and a reserve of a quarter of D make D + 1 + reserve fragments."""
     differ = int(2 * (first[k + 1] - 1) * (100 - percent) // (100 + percent))
     if not differ:
-        return 1, 0
-    mean = (100 + percent) / (2 * (100 - percent))
-    reserve = int(np.ceil(2 * np.exp(-mean) * (1 + mean) * (differ + 1)))
-    return differ + 1 + reserve, reserve
+        return 1, 1
+    reserve = -(-differ // 4) + 1
+    return differ + 1 + reserve, reserve + 1
 
 
-def fragment_keys(u: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the fragments of set u at its own level and the next. Fragments of at most one n-gram are left
-    out unless there are more of them than the reserve: up to that many, a fragment of two or more is common to
-    every pair of the set as well."""
+def fragment_keys(u: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
+    """At set u's own level and the next: hashes of its fragments, how many empty ones are left out, and how many
+    fragments it shares with any partner. Empty fragments are left out unless they are as many as that."""
     k = int(np.searchsorted(first, len(u), side="right")) - 1
     out = []
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(u))])
     for level in (k, k + 1):
-        m, reserve = fragments(first, level, percent)
+        m, least = fragments(first, level, percent)
         if m == 1:  # no two different sets of these sizes are linked
+            out.append((u[:0], 0, 1))
             continue
         place = np.arange(m, dtype=np.uint64)
         # fragment f: hashes from f/m of the range on
         cuts = np.append(np.searchsorted(u, place * np.uint64((1 << 64) // m)), len(u))
-        size = np.diff(cuts)
+        full = np.diff(cuts) > 0
         with np.errstate(over="ignore"):
             keys = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.uint64(level << 32) + place))
-        small = size < 2
-        out.append(keys if np.count_nonzero(small) > reserve else keys[~small])
-    return np.concatenate(out) if out else u[:0]
+        gaps = m - int(np.count_nonzero(full))
+        out.append((keys, 0, least) if gaps >= least else (keys[full], gaps, least))
+    return out
 
 
 def _signature(u: np.ndarray) -> tuple[int, int]:
@@ -129,8 +128,9 @@ def _sets(width: int, percent: int):
                 sets = shingle_sets(part.column(1), width)
                 first = classes(percent, max(map(len, sets)))
                 sig = [_signature(u) for u in sets]
-                keys = [fragment_keys(u, first, percent) >> np.uint64(16) for u in sets]
-                cols = ([chunk], [part.column(0).to_pylist()], [[len(u) for u in sets]], [[x[0] for x in sig]], [[x[1] for x in sig]], [pack6(np.concatenate(keys))], [np.array([len(k) for k in keys], "<u4").tobytes()], [sum(map(len, keys))])
+                levels = [x for u in sets for x in fragment_keys(u, first, percent)]  # two a document
+                flat = np.concatenate([x[0] for x in levels]) >> np.uint64(16)
+                cols = ([chunk], [part.column(0).to_pylist()], [[len(u) for u in sets]], [[x[0] for x in sig]], [[x[1] for x in sig]], [pack6(flat)], [np.array([(len(x), gaps, least) for x, gaps, least in levels], "<u4").tobytes()], [len(flat)])
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["chunk", "docs", "n", "s1", "s2", "keys", "counts", "total"])
                 chunk += 1
@@ -138,15 +138,17 @@ def _sets(width: int, percent: int):
     return run
 
 
-def _keys_of(keys: bytes, counts: bytes, copies: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's keys and the document of each, without copies; the distinct keys and each key's place in them."""
-    k = unpack6(keys)
-    doc = np.repeat(np.arange(len(counts) // 4), np.frombuffer(counts, "<u4"))
-    if copies:
-        keep = ~np.isin(doc, copies)
-        k, doc = k[keep], doc[keep]
+def _keys_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk, without copies: the level (2 * document, + 1) of each key, the distinct keys, each key's place in
+    them; and for every level its number of keys, of empty fragments left out, and of those that partners share."""
+    k = unpack6(r["keys"])
+    shape = np.frombuffer(r["counts"], "<u4").reshape(-1, 3).astype(np.int64)
+    level = np.repeat(np.arange(len(shape)), shape[:, 0])
+    if r["copies"]:
+        keep = ~np.isin(level >> 1, r["copies"])
+        k, level = k[keep], level[keep]
     known, inverse = np.unique(k, return_inverse=True)
-    return k, doc, known, inverse
+    return level, known, inverse, shape
 
 
 def _key_bucket(k: np.ndarray, buckets: int) -> np.ndarray:
@@ -154,58 +156,53 @@ def _key_bucket(k: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _send_keys(buckets: int):
-    """Per bucket the chunk's distinct keys, each with its first document and whether it has another."""
+    """Per bucket the chunk's distinct keys; the lowest bit tells that two documents of the chunk have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                _, doc, known, inverse = _keys_of(r["keys"], r["counts"], r["copies"])
+                level, known, inverse, _ = _keys_of(r)
                 if not len(known):
                     continue
-                low, high = np.full(len(known), 1 << 30), np.full(len(known), -1)
-                np.minimum.at(low, inverse, doc)
-                np.maximum.at(high, inverse, doc)
                 b = _key_bucket(known, buckets)
                 cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                flagged = known & ~np.uint64(1) | (np.bincount(inverse, minlength=len(known)) > 1).astype(np.uint64)
                 # keys are sorted, so a bucket is a stretch of them
-                rows = [(int(b[i]), r["chunk"], pack6(x), (y << 1 | z).astype("<u2").tobytes()) for i, x, y, z in zip(cut, np.split(known, cut[1:]), np.split(low, cut[1:]), np.split((low != high).astype(np.int64), cut[1:]), strict=True)]
+                rows = [(int(b[i]), r["chunk"], pack6(x)) for i, x in zip(cut, np.split(flagged, cut[1:]), strict=True)]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "firsts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys"])
 
     return run
 
 
-def _lead(t: pa.Table) -> pa.Table:
-    """For every chunk the places of its keys that two sets have, with the smallest node that has each."""
+def _shared(t: pa.Table) -> pa.Table:
+    """Which keys of each chunk two sets have, a bit each."""
     k = [unpack6(x) for x in t.column("keys").to_pylist()]
-    f = [np.frombuffer(x, "<u2").astype(np.int64) for x in t.column("firsts").to_pylist()]
-    rid = np.concatenate([(c << 16) | (x >> 1) for c, x in zip(t.column("chunk").to_pylist(), f, strict=True)])
-    known, inverse = np.unique(np.concatenate(k), return_inverse=True)
-    lead = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(lead, inverse, rid)
-    met = np.bincount(inverse, minlength=len(known)) + np.bincount(inverse, weights=(np.concatenate(f) & 1).astype(float), minlength=len(known)) > 1
-    edge = np.cumsum([len(x) for x in k])[:-1]
-    rows = [(c, b, np.flatnonzero(m).astype("<u4").tobytes(), x[m].astype("<i8").tobytes()) for c, b, m, x in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), np.split(met[inverse], edge), np.split(lead[inverse], edge), strict=True) if m.any()]
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "places", "leads"])
+    every = np.concatenate(k)
+    _, inverse = np.unique(every >> np.uint64(1), return_inverse=True)
+    met = np.bincount(inverse) + np.bincount(inverse, weights=(every & np.uint64(1)).astype(float)) > 1
+    bits = [np.packbits(m).tobytes() for m in np.split(met[inverse], np.cumsum([len(x) for x in k])[:-1])]
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
-def _pairs_of(buckets: int):
-    """Pairs (leader, node) of a chunk's nodes."""
+def _members(buckets: int):
+    """key, node and size for the shared keys of nodes that share as many as a partner would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                _, doc, known, inverse = _keys_of(r["keys"], r["counts"], r["copies"])
-                lead = np.full(len(known), -1)
+                level, known, inverse, shape = _keys_of(r)
                 b = _key_bucket(known, buckets)
+                met = np.zeros(len(known), bool)
                 for x in r["found"]:
-                    lead[np.searchsorted(b, x["bucket"]) + np.frombuffer(x["places"], "<u4")] = np.frombuffer(x["leads"], "<i8")
-                a, node = lead[inverse], (r["chunk"] << 16) | doc
-                keep = (a >= 0) & (a != node)
-                pair = np.unique(np.stack([a[keep], node[keep]], axis=1), axis=0)
+                    lo, hi = np.searchsorted(b, [x["bucket"], x["bucket"] + 1])
+                    met[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
+                each = met[inverse]
+                enough = np.bincount(level, weights=each, minlength=len(shape)) + shape[:, 1] >= shape[:, 2]
+                take = each & enough[level]
+                doc = level[take] >> 1
                 n = np.array(r["n"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n[pair[:, 1] & 0xFFFF])], names=["a", "b", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(known[inverse[take]].view(np.int64)), pa.array((r["chunk"] << 16) | doc), pa.array(n[doc])], names=["key", "rid", "n"])
 
     return run
 
@@ -290,15 +287,18 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     copies = materialize(copies.groupBy("chunk").agg(F.collect_list("at").alias("copies")), "copies")  # at most a chunk's documents
     keyed = chunks.select("chunk", "n", "keys", "counts").join(copies, "chunk", "left")
     buckets = max(16, (chunks.agg(F.sum("total")).head()[0] or 0) // BUCKET_KEYS)
-    sent = keyed.mapInArrow(_send_keys(buckets), "bucket long, chunk long, keys binary, firsts binary")
-    leads = sent.groupBy("bucket").applyInArrow(_lead, "chunk long, bucket long, places binary, leads binary")
-    leads = materialize(leads.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "places", "leads")).alias("found")), "leads")
-    found = keyed.join(leads, "chunk").mapInArrow(_pairs_of(buckets), "a long, b long, nb long")
-    first = materialize(found.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")).hint("merge"), "a").select("a", "b", "na", "nb"), "pairs")
+    sent = keyed.mapInArrow(_send_keys(buckets), "bucket long, chunk long, keys binary")
+    met = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, bits binary")
+    met = materialize(met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "met")
+    members = materialize(keyed.join(met, "chunk").mapInArrow(_members(buckets), "key long, rid long, n long"), "members")
+    own = F.struct(F.col("rid"), F.col("n"))
+    leads = members.groupBy("key").agg(F.min(own).alias("lead"), F.max("rid").alias("last")).filter("lead.rid <> last").select("key", "lead")
+    star = members.join(leads, "key").filter("rid <> lead.rid")
+    first = materialize(star.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
 
     # the sets of all members, from their texts
-    members = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    who = materialize(members.join(nodes.select("node", *same), "node").join(rows.select(F.col("rid").alias("node"), "doc_id"), "node"), "compared")
+    compared = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    who = materialize(compared.join(nodes.select("node", *same), "node").join(rows.select(F.col("rid").alias("node"), "doc_id"), "node"), "compared")
     texts = src.join(few(who.select("doc_id").distinct(), FEW), "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(_parts(width, PARTS), "n long, s1 long, s2 long, frags array<binary>").join(who.select("node", *same), same).dropDuplicates(["node"])
     sets = materialize(found.select("node", F.posexplode("frags").alias("f", "frag")), "parts")
@@ -314,7 +314,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
     by_set = materialize(named.join(least, "comp").select(*same, "component"), "components")
     out = rows.select("doc_id", *same).join(by_set, same, "left")
-    for t in (leads, first, who, copies):
+    for t in (met, members, first, who, copies):
         release(t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
