@@ -153,12 +153,17 @@ class Pieces:
         got = [self.segment(w if w[:1] == "\n" else MARK + w) for w in new]
         return [g[0] for g in got], [g[1] for g in got]
 
-    def middle(self, s: str) -> tuple[np.ndarray, float]:
-        """Ids and score of a marked stretch between two boundaries."""
-        if not s:
-            return np.zeros(0, "<u4"), 0.0
-        ids, _, score = self.encode_texts(pa.array([s[1:]], pa.large_string())) if s[0] == MARK and len(s) > 1 else (np.frombuffer(self.encode(s)[0], "<u4"), None, [self.encode(s)[1]])
-        return ids, float(score[0])
+    def middles(self, chunks: list[tuple[str, int]]) -> list[tuple[np.ndarray, float]]:
+        """Ids and score of each chunk's stretch between its cuts, all looked up at once."""
+        cuts = [self.cuts(s, n) for s, n in chunks]
+        at = [i for i, (a, b) in enumerate(cuts) if b > a]
+        out = [(np.zeros(0, "<u4"), 0.0)] * len(chunks)
+        if at:
+            # a stretch begins with a mark, which encode_texts() adds
+            ids, ends, score = self.encode_texts(pa.array([chunks[i][0][cuts[i][0] + 1 : cuts[i][1]] for i in at], pa.large_string()))
+            for i, a, b, v in zip(at, [0, *ends[:-1].tolist()], ends.tolist(), score.tolist(), strict=True):
+                out[i] = (ids[a:b], v)
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.raw_size[ids]
@@ -189,7 +194,7 @@ class Pieces:
                     np.maximum(best[:, j + k], col + v, out=best[:, j + k])
         return best
 
-    def matrix(self, s: str, n: int, last: bool) -> np.ndarray:
+    def matrix(self, s: str, n: int, last: bool, middle: float | None = None) -> np.ndarray:
         """Best scores from entry to exit states. The first chunk is only entered in state 0, the last only left in it."""
         width = self.longest
         a, b = self.cuts(s, n)
@@ -200,7 +205,7 @@ class Pieces:
             out[:, :m] = best[:, n : n + m]
         else:
             head = self.forward(s[:a], 0, a, width)[:, a] if a else np.where(np.arange(width) == 0, 0.0, _LOW)
-            middle = self.middle(s[a:b])[1]
+            middle = self.middles([(s, n)])[0][1] if middle is None else middle
             best = self.forward(s, b, n, 1)[0]
             tail = np.full(width, _LOW)
             m = min(width, len(best) - n)
@@ -210,12 +215,13 @@ class Pieces:
             out[:, 1:] = _LOW
         return out
 
-    def between(self, s: str, n: int, enter: int, leave: int) -> bytes:
+    def between(self, s: str, n: int, enter: int, leave: int, middle: np.ndarray | None = None) -> bytes:
         """Ids of a chunk's pieces between its two states."""
         a, b = self.cuts(s, n)
         if b < 0:
             return self._trace(s, enter, n, n + leave)
-        return self._trace(s[:a], enter, a, a) + self.middle(s[a:b])[0].tobytes() + self._trace(s, b, n, n + leave)
+        middle = self.middles([(s, n)])[0][0] if middle is None else middle
+        return self._trace(s[:a], enter, a, a) + middle.astype("<u4").tobytes() + self._trace(s, b, n, n + leave)
 
     def _trace(self, s: str, start: int, stop: int, end: int) -> bytes:
         best, back = [_LOW] * (len(s) + 1), [start] * (len(s) + 1)
@@ -288,7 +294,8 @@ def _matrices(path: str):
         p = pieces(path)
         for batch in batches:
             r = batch.to_pydict()
-            m = [p.matrix(s, n, last).tobytes() for s, n, last in zip(r["s"], r["n"], r["last"], strict=True)]
+            inner = p.middles(list(zip(r["s"], r["n"], strict=True)))
+            m = [p.matrix(s, n, last, v).tobytes() for s, n, last, (_, v) in zip(r["s"], r["n"], r["last"], inner, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(m, pa.binary())], names=["uid", "no", "m"])
 
     return run
@@ -325,7 +332,8 @@ def _backtrace(path: str):
         p = pieces(path)
         for batch in batches:
             r = batch.to_pydict()
-            ids = [p.between(s, n, a, b) for s, n, a, b in zip(r["s"], r["n"], r["enter"], r["leave"], strict=True)]
+            inner = p.middles(list(zip(r["s"], r["n"], strict=True)))
+            ids = [p.between(s, n, a, b, x) for s, n, a, b, (x, _) in zip(r["s"], r["n"], r["enter"], r["leave"], inner, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(r["uid"], pa.int64()), pa.array(r["doc_id"], pa.int64()), pa.array(r["no"], pa.int64()), pa.array(ids, pa.binary()), pa.array(r["score"], pa.float64())], names=["uid", "doc_id", "no", "ids", "score"])
 
     return run
