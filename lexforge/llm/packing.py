@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize, ready, table
+from lexforge.llm.common import give_back, materialize, ready, table
 from lexforge.llm.hashing import Pool
 
 MAX_LEN = 2048
@@ -32,7 +32,7 @@ SLACK = 4
 #: Most underfull bins that one merging task takes.
 TASK_BINS = 50_000
 #: Words, and parts of words, that a worker keeps; it forgets all beyond that.
-KNOWN_WORDS, CACHE_WORDS = 1_500_000, 400_000
+KNOWN_WORDS, CACHE_WORDS = 1_000_000, 250_000
 #: White-space-free ASCII marks that form a pre-token of their own after a letter.
 MARKS = ".,;:!?$#*%&"
 
@@ -162,6 +162,8 @@ def _tokenise(path: str, limit: int, slack: int):
         seq = TaskContext.get().partitionId() << 32
         items = [([docs[i]], [pieces[i]], [starts[i]], [lens[i]], [crcs[i]]) for i in range(len(docs))]
         yield from _emit(items, lens, limit, slack, seq)
+        del items
+        give_back()
 
     return run
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import few, materialize, ready, release, table
+from lexforge.llm.common import few, give_back, materialize, ready, release, table
 from lexforge.llm.hashing import BASE, hashes, mix, pack6, sums, unpack6
 
 THRESHOLD = 50
@@ -257,6 +257,7 @@ def _rank(t: pa.Table) -> pa.Table:
 
 def _result(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for docs, marks, ends, blob, found in _rows(batches, "docs", "marks", "ends", "blob", "found"):
             c = Chunk(docs, ends, blob)
             change = np.zeros(len(c.data) + 1, np.int16)
