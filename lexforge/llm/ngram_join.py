@@ -257,11 +257,13 @@ def _within_families(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFra
     w = Window.partitionBy("a", "b")
     held = held.withColumn("at", F.col("m") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "t")))
     most = f"cast(floor(nb * {100 - percent} / {percent}) as int) + 1"
-    held = materialize(held.filter(f"at <= {most}").select("a", "t", "b", "nb", "m", "at", "cb"), "places")
-    x, y = held.select("a", "t", *[F.col(c).alias(f"{c}1") for c in ("b", "nb", "m", "at", "cb")]), held.select("a", "t", *[F.col(c).alias(f"{c}2") for c in ("b", "nb", "m", "at", "cb")])
+    # a pair may meet in several families; it is taken in the first that both belong to
+    homes = fam.groupBy("b").agg(F.collect_set("a").alias("homes"))
+    held = materialize(held.filter(f"at <= {most}").select("a", "t", "b", "nb", "m", "at", "cb").join(homes, "b"), "places")
+    x, y = held.select("a", "t", *[F.col(c).alias(f"{c}1") for c in ("b", "nb", "m", "at", "cb", "homes")]), held.select("a", "t", *[F.col(c).alias(f"{c}2") for c in ("b", "nb", "m", "at", "cb", "homes")])
     differ = f"cast(floor((nb1 + nb2) * {100 - percent} / {100 + percent}) as int)"
     share = f"cast(ceil((m1 + m2 - {differ}) / 2) as int)"
-    met = x.join(y, ["a", "t"]).filter(F.expr(f"b1 < b2 and cb1 <> cb2 and at1 <= m1 - {share} + 1 and at2 <= m2 - {share} + 1"))
+    met = x.join(y, ["a", "t"]).filter(F.expr(f"b1 < b2 and cb1 <> cb2 and at1 <= m1 - {share} + 1 and at2 <= m2 - {share} + 1 and a = array_min(array_intersect(homes1, homes2))"))
     met = met.select("a", "b1", "b2").distinct()
     d1, d2 = fam.select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("diff").alias("d1")), fam.select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("diff").alias("d2"))
     both = met.join(d1, ["a", "b1"]).join(d2, ["a", "b2"])
