@@ -52,7 +52,7 @@ class Packed:
         self.word = np.frombuffer(d.decompress(r["words"], max_output_size=max(1, 4 * int(self.ends[-1]))) if self.ends[-1] else b"", "<u4").astype(np.int64)
         self.hashes = np.frombuffer(r["hashes"], "<u8")
         self.pool = np.frombuffer(r["pool"], "<u2")
-        self.sizes = np.frombuffer(r["sizes"], "<u2").astype(np.int64)
+        self.sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
 
     @property
     def starts(self) -> np.ndarray:
@@ -103,7 +103,7 @@ def _pack(path: str):
                 held = np.array(part.column(2).to_pylist(), bool)
                 n_tok = np.concatenate([[0], np.cumsum(sizes[word])])[ends]
                 per_doc = np.diff(np.concatenate([[0], n_tok])) + 1
-                row = (number, part.column(0).to_pylist(), held.tolist(), ends.tolist(), press.compress(word.astype("<u4").tobytes()), hashes.tobytes(), pool.astype("<u2").tobytes(), sizes.astype("<u2").tobytes(), int(per_doc.sum()), int(per_doc[~held].sum()))
+                row = (number, part.column(0).to_pylist(), held.tolist(), ends.tolist(), press.compress(word.astype("<u4").tobytes()), hashes.tobytes(), pool.astype("<u2").tobytes(), sizes.astype("<u4").tobytes(), int(per_doc.sum()), int(per_doc[~held].sum()))
                 number += 1
                 types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["chunk", "docs", "heldout", "ends", "words", "hashes", "pool", "sizes", "tokens", "train_tokens"])

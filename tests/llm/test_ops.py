@@ -145,6 +145,18 @@ def test_lm_scores(spark, docs, texts, empty):
     assert lm_scoring.score_documents(empty, F.lit(False), path).count() == 0
 
 
+def test_lm_takes_a_word_of_many_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "xq7" * 60_000), (2, "kan lor mist"), (3, "xq7" * 60_000 + " kan")]
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.col("doc_id") == 3, path).collect()}
+    tok = Tokenizer.from_file(path)
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {i: r["n_subwords"] for i, r in got.items()} == want and want[1] > 1 << 16
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+
+
 def test_lm_is_causal_and_normalised():
     from lexforge.llm import attention_lm as lm
 
