@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DIM, WINDOW, OVERLAP, CLASSES = 16, 40, 4, 32
+DIM, WINDOW, OVERLAP, CLASSES = 16, 40, 10, 32
 SYMBOLS = CLASSES * CLASSES
 STRIDE = WINDOW - OVERLAP
 BATCH = 128

@@ -175,6 +175,17 @@ def test_lm_is_causal_and_normalised():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_lm_windows_have_context():
+    from lexforge.llm import attention_lm as lm
+
+    assert 4 * lm.OVERLAP >= lm.WINDOW
+    n = 7 * lm.WINDOW + 3
+    *_, there, scored = lm.gather(np.arange(n) % lm.SYMBOLS, *lm.windows(np.array([0]), np.array([n])))
+    assert scored.sum() == n
+    first = scored.argmax(1)
+    assert (np.array([there[i, :k].sum() for i, k in enumerate(first)])[1:] >= lm.WINDOW // 4).all()
+
+
 # 5
 
 
