@@ -10,6 +10,8 @@ so an untrained model scores as the bigrams do.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 DIM, WINDOW, OVERLAP, CLASSES = 16, 40, 10, 32
@@ -234,6 +236,21 @@ def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], parts
     return w, len(first)
 
 
+def train_whole(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], parts: Iterable[tuple], rate: float, seed: int, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over every window of each part (symbols, where documents start and end), part by part, each part's
+    windows in random order; weights and the number of windows seen."""
+    rng, opt, seen = np.random.default_rng(seed), Adam(w), 0
+    for sym, starts, ends in parts:
+        first, lo, hi = windows(starts, ends)
+        order = rng.permutation(len(first))
+        for k in range(0, len(first), batch):
+            i = order[k : k + batch]
+            _, kept = forward(w, bigram, *gather(sym, first[i], lo[i], hi[i]), keep=True)
+            opt.step(w, backward(w, kept), rate * min(1.0, (opt.t + 1) / 20))
+        seen += len(first)
+    return w, seen
+
+
 def score(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Natural-log probability of every token, in order."""
     first, lo, hi = windows(starts, ends)

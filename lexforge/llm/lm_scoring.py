@@ -4,10 +4,10 @@ Documents are packed once into chunks: each word as an index into the chunk's di
 distinct word's subword ids. Word counts are summed by hash bucket and sent back per chunk, so no table of
 words is ever gathered or broadcast. Counts of subword ids and of their pairs cover all training documents;
 they are bounded by the vocabulary and become the model's starting point. The model then trains in rounds:
-a first one in one task on a bounded sample of windows (WARM_TOKENS), then rounds in which every task trains
-on its own chunks' share of windows from the same weights and the results are averaged by windows seen. The
-share is TRAIN_SHARE of all windows, more on small inputs (up to MIN_TOKENS tokens a round and ALL_TOKENS in
-all), so what is learnt from grows with the corpus. Scoring runs over whole texts in overlapping windows.
+a first one in one task on a bounded sample of windows (WARM_TOKENS), which only sets the starting point, then
+ROUNDS rounds in which every task trains on its own chunks from the same weights and the results are averaged
+by windows seen. Each training document is in exactly one of the rounds, with all its windows, so at every size
+every training window is trained on once. Scoring runs over whole texts in overlapping windows.
 
 Cases: a null or empty text is the end token alone; repeated rows are scored alike and count in training each;
 ties don't arise; without training documents the base is uniform (N = V = 0) and the model untrained; an empty
@@ -32,9 +32,9 @@ from lexforge.llm.packing import encoder
 CHUNK_WORDS = 500_000
 #: Chunks for each bucket of word counts.
 BUCKET_CHUNKS = 4
-TRAIN_SHARE, MIN_TOKENS, WARM_TOKENS = 1 / 64, 2_000_000, 1_000_000
-#: At least so many tokens are trained on in all, in at most so many rounds.
-ALL_TOKENS, MOST_ROUNDS = 4_000_000, 4
+WARM_TOKENS = 1_000_000
+#: Rounds of training at every size; the training documents are dealt out to them.
+ROUNDS = 4
 RATE = 0.02
 
 _CHUNK = "chunk long, docs array<long>, heldout array<boolean>, ends array<long>, words binary, hashes binary, pool binary, sizes binary, tokens long, train_tokens long"
@@ -188,6 +188,7 @@ class Model:
 
     def __init__(self, symbol_of: np.ndarray, rare: np.ndarray, bigram: tuple[np.ndarray, np.ndarray], weights: dict[str, np.ndarray]):
         self.symbol_of, self.rare, self.bigram, self.weights = symbol_of, rare, bigram, weights
+        self.seen = 0  # windows trained on in the rounds
 
     def log10(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log10 probability of every document's ids."""
@@ -210,6 +211,19 @@ def _sample(records: Iterator[dict], symbol_of: np.ndarray, share: float, salt:
             yield lm.pieces(symbol_of[ids], starts, ends, lambda n, rng=rng: rng.random(n) < share / of_docs)
 
 
+def _dealt(records: Iterator[dict], symbol_of: np.ndarray, k: int, end_id: int) -> Iterator[tuple]:
+    """Each chunk's training documents of round k, as symbols and where documents start and end."""
+    for r in records:
+        c = Packed(r)
+        rng = np.random.default_rng([0, r["chunk"] & 0xFFFFFFFF, r["chunk"] >> 32])
+        pick = (rng.integers(0, ROUNDS, len(c.heldout)) == k) & ~c.heldout
+        length = np.diff(np.concatenate([[0], c.ends]))
+        c.word, c.ends = c.word[np.repeat(pick, length)], np.cumsum(length[pick])
+        if pick.any():
+            ids, starts, ends = c.tokens(end_id)
+            yield symbol_of[ids], starts, ends
+
+
 _PIECES = "sym binary, first binary, last binary, whole binary"
 _WEIGHTS = "part long, seen long, weights binary"
 
@@ -238,12 +252,12 @@ def _train_samples(model, salt: int, rate: float):
     return run
 
 
-def _train_chunks(model, share: float, salt: int, end_id: int, rate: float):
-    """Weights after training on a share of the windows of the task's chunks, times the windows seen."""
+def _train_chunks(model, k: int, end_id: int, rate: float):
+    """Weights after training on the documents of round k in the task's chunks, times the windows seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        w, seen = lm.train({k: v.copy() for k, v in m.weights.items()}, m.bigram, list(_sample(_records(batches), m.symbol_of, share, salt, end_id)), rate, salt)
+        w, seen = lm.train_whole({n: v.copy() for n, v in m.weights.items()}, m.bigram, _dealt(_records(batches), m.symbol_of, k, end_id), rate, 2 + k)
         if seen:
             yield _weights(w, seen)
 
@@ -255,14 +269,15 @@ def _average(t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([0], pa.int64()), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def _averaged(each: DataFrame) -> dict[str, np.ndarray] | None:
-    """The mean of the tasks' weights by windows seen, summed in a tree: no task adds more than a square root of them."""
+def _averaged(each: DataFrame) -> tuple[dict[str, np.ndarray] | None, int]:
+    """The mean of the tasks' weights by windows seen, summed in a tree (no task adds more than a square root of
+    them), and the windows seen in all."""
     each = materialize(each.withColumn("part", F.spark_partition_id().cast("long")), "trained")
     width = max(1, int(each.count() ** 0.5))
     half = each.withColumn("part", F.col("part") % width).groupBy("part").applyInArrow(_average, _WEIGHTS)
     rows = half.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInArrow(_average, _WEIGHTS).collect()
     release(each)
-    return lm.unflat(np.frombuffer(rows[0]["weights"], np.float64) / rows[0]["seen"]) if rows else None
+    return (lm.unflat(np.frombuffer(rows[0]["weights"], np.float64) / rows[0]["seen"]), rows[0]["seen"]) if rows else (None, 0)
 
 
 def learn(chunks: DataFrame, tokens: int, end_id: int, vocabulary: int) -> Model:
@@ -289,12 +304,13 @@ def learn(chunks: DataFrame, tokens: int, end_id: int, vocabulary: int) -> Model
         return model
     spark = chunks.sparkSession
     warm = pick.mapInArrow(_samples(symbol_of, min(1.0, WARM_TOKENS / tokens), 1, end_id), _PIECES).repartition(1)
-    new = _averaged(warm.mapInArrow(_train_samples(spark.sparkContext.broadcast(model), 1, RATE), _WEIGHTS))
+    new, _ = _averaged(warm.mapInArrow(_train_samples(spark.sparkContext.broadcast(model), 1, RATE), _WEIGHTS))
     model.weights = new or model.weights
-    share = min(1.0, max(TRAIN_SHARE, MIN_TOKENS / tokens))
-    for k in range(min(MOST_ROUNDS, -(-ALL_TOKENS // max(1, int(share * tokens))))):
-        new = _averaged(pick.mapInArrow(_train_chunks(spark.sparkContext.broadcast(model), share, 2 + k, end_id, RATE / 2), _WEIGHTS))
+    for k in range(ROUNDS):
+        rate = RATE / 2 * (1 - 0.9 * k / (ROUNDS - 1))
+        new, seen = _averaged(pick.mapInArrow(_train_chunks(spark.sparkContext.broadcast(model), k, end_id, rate), _WEIGHTS))
         model.weights = new or model.weights
+        model.seen += seen
     return model
 
 

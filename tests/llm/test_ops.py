@@ -175,6 +175,20 @@ def test_lm_is_causal_and_normalised():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_lm_trains_on_every_window(spark, docs):
+    from lexforge.llm import attention_lm as lm
+    from lexforge.llm.common import ready
+
+    ready(spark)
+    path = tokenizers.path("word_bpe_49k.json")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    chunks = docs.select("doc_id", "text", held.alias("held")).mapInArrow(lm_scoring._pack(path), lm_scoring._CHUNK).cache()
+    kept = [n for r in lm_scoring.score_documents(docs, held, path).collect() if not r["held_out"] for n in [r["n_subwords"]]]
+    # whatever the size of the corpus is said to be
+    for tokens in (sum(kept), 300_000_000):
+        assert lm_scoring.learn(chunks, tokens, 49407, 49408).seen == sum(-(-n // lm.STRIDE) for n in kept)
+
+
 def test_lm_windows_have_context():
     from lexforge.llm import attention_lm as lm
 
