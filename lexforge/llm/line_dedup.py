@@ -8,11 +8,15 @@ overlap join into maximal runs, which extends each match both ways, and the line
 earlier equal are deleted. Order is (doc_id, hash of the text, line number), so a run may also repeat an
 earlier one of its own document; the first occurrence stays.
 
+With ``long_words``, runs of fewer lines count too if they hold that many words, also in documents of fewer
+lines than ``run_lines``, and a run without any word stays. op7_line_dedup follows its SQL, which has runs of
+RUN_LINES lines alone; the pipeline's stage asks for both.
+
 Per key the corpus-wide step is a minimum, combined before the shuffle, and a join that adaptive execution
 can split, so a run shared by a third of all documents costs one row per occurrence.
 
 Cases: a null text has no lines and stays null; an empty text is one empty line; texts with fewer lines than
-a run lose nothing; rows with the same id and text count as one document and get the same result each; an
+a run lose nothing (but see long_words); rows with the same id and text count as one document and get the same result each; an
 empty table gives no rows; equal ids with other texts are ordered by their texts' hash; null ids sort first.
 """
 
@@ -24,38 +28,57 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import materialize, table
 
 RUN_LINES = 3
+#: For long_words: a passage of so many words is worth deleting whatever its lines.
+LONG_WORDS = 50
+_WORDS = "size(filter(split(x, '[ \\\\t-\\\\r]+'), y -> y <> ''))"
 
 
-def windows(docs: DataFrame, run_lines: int) -> DataFrame:
-    """One row per window of run_lines lines: i (doc_id), t (hash of the text), at, fp, k1, k2."""
+def windows(docs: DataFrame, run_lines: int, long_words: int | None = None) -> DataFrame:
+    """One row per window of run_lines lines: i (doc_id), t (hash of the text), at, n (lines), any (has words), fp,
+    k1, k2; with long_words also windows of fewer lines with that many words."""
     src = docs.filter("text is not null").select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
-    src = src.filter(F.size("lines") >= run_lines)
-    src = src.select("i", "t", F.expr("transform(lines, x -> xxhash64(x))").alias("h"), F.expr("transform(lines, x -> xxhash64(x, 1))").alias("g"))
-    parts = f"transform(sequence(0, size(h) - {run_lines}), a -> named_struct('at', a, 'fp', array_min(slice(h, a + 1, {run_lines})), 'k1', xxhash64(slice(h, a + 1, {run_lines})), 'k2', xxhash64(slice(g, a + 1, {run_lines}), 2)))"
-    return src.select("i", "t", F.explode(F.expr(parts)).alias("w")).select("i", "t", "w.*")
+    if long_words is None:
+        src = src.filter(F.size("lines") >= run_lines)
+    counts = F.expr(f"transform(lines, x -> {_WORDS})") if long_words is not None else F.lit(None).cast("array<int>")
+    src = src.select("i", "t", F.expr("transform(lines, x -> xxhash64(x))").alias("h"), F.expr("transform(lines, x -> xxhash64(x, 1))").alias("g"), counts.alias("c"))
+    words = lambda n: f"aggregate(slice(c, a + 1, {n}), 0, (s, x) -> s + x)"
+
+    def parts(n: int) -> str:
+        has = "true" if long_words is None else f"{words(n)} > 0"
+        starts = "sequence(0, size(h) - {0})".format(n) if n == run_lines else f"filter(sequence(0, size(h) - {n}), a -> {words(n)} >= {long_words})"
+        return f"case when size(h) >= {n} then transform({starts}, a -> named_struct('at', a, 'n', {n}, 'any', {has}, 'fp', array_min(slice(h, a + 1, {n})), 'k1', xxhash64(slice(h, a + 1, {n})), 'k2', xxhash64(slice(g, a + 1, {n}), 2))) else array() end"
+
+    each = parts(run_lines) if long_words is None else f"concat({', '.join(parts(n) for n in range(1, run_lines + 1))})"
+    return src.select("i", "t", F.explode(F.expr(each)).alias("w")).select("i", "t", "w.*")
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
     """i, t and runs, the maximal runs (first line, lines) of each document that repeat earlier ones."""
     # identical rows are one document; their windows coincide
-    win = materialize(windows(docs, run_lines), "lines")
+    win = materialize(windows(docs, run_lines, long_words), "lines")
     place = F.struct("i", "t", "at")
     shared = win.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
     left = win.join(shared, "fp", "left_semi").drop("fp")
     first = left.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    hits = left.join(first, ["k1", "k2"]).filter(place > F.col("first")).select("i", "t", "at")
-    per_doc = hits.groupBy("i", "t").agg(F.sort_array(F.collect_set("at")).alias("s"))
-    # a run begins at a matching window that the one before doesn't touch, and ends where the next one begins anew
-    begin = f"filter(s, (x, k) -> k = 0 or get(s, k - 1) < x - {run_lines})"
-    end = f"filter(s, (x, k) -> k = size(s) - 1 or get(s, k + 1) > x + {run_lines})"
-    return per_doc.select("i", "t", F.expr(f"zip_with({begin}, {end}, (b, e) -> named_struct('first', b, 'lines', e - b + {run_lines}))").alias("runs"))
-
-
-def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    hits = left.join(first, ["k1", "k2"]).filter(place > F.col("first")).select("i", "t", "at", "n", "any")
+    per_doc = hits.groupBy("i", "t").agg(F.collect_set(F.struct("at", "n")).alias("w"), F.collect_set(F.expr("case when any then at end")).alias("worded"))
+    per_doc = per_doc.select("i", "t", "worded", F.expr("array_sort(array_distinct(flatten(transform(w, x -> sequence(x.at, x.at + x.n - 1)))))").alias("s"))
+    # a run begins at a matching line that the one before doesn't touch, and ends where the next one begins anew
+    begin = "filter(s, (x, k) -> k = 0 or get(s, k - 1) < x - 1)"
+    end = "filter(s, (x, k) -> k = size(s) - 1 or get(s, k + 1) > x + 1)"
+    runs = F.expr(f"zip_with({begin}, {end}, (b, e) -> named_struct('first', b, 'lines', e - b + 1))")
+    if long_words is None:
+        return per_doc.select("i", "t", runs.alias("runs"))
+    per_doc = per_doc.select("i", "t", "worded", runs.alias("runs"))
+    per_doc = per_doc.select("i", "t", F.expr("filter(runs, r -> exists(worded, a -> a between r.first and r.first + r.lines - 1))").alias("runs"))
+    return per_doc.filter("size(runs) > 0")
+
+
+def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """docs' rows and columns with text_col shortened, plus struct dedup(n_lines, n_removed, runs)."""
     names = docs.columns
     src = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    runs = materialize(repeated_lines(src, run_lines), "runs")
+    runs = materialize(repeated_lines(src, run_lines, long_words), "runs")
     # shuffled at every size: the documents with deletions grow with the input
     both = src.join(runs.hint("merge"), src["doc_id"].eqNullSafe(runs["i"]) & (F.xxhash64(src["text"]) == runs["t"]), "left").drop("i", "t")
     both = both.withColumn("lines", F.split("text", "\n"))

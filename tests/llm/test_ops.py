@@ -289,6 +289,37 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and got.count() == docs.count()
 
 
+def test_line_dedup_of_long_passages(spark):
+    rng = random.Random(4)
+    one, two, short = prose(rng, 50), [prose(rng, 30), prose(rng, 20)], prose(rng, 49)
+    three = [prose(rng, 2) for _ in range(3)]
+    texts = [one, one, short, short, "\n".join(two), prose(rng, 3) + "\n" + "\n".join(two) + "\n" + prose(rng, 3), "\n".join([prose(rng, 4), one, prose(rng, 4)])]
+    texts += [prose(rng, 4) + "\n\n \n\n\n" + prose(rng, 4) for _ in range(2)] + [None, "", ""]
+    texts += ["\n".join([prose(rng, 4), *three, "", "", "", "", prose(rng, 4)]) for _ in range(2)]
+    texts += ["\n".join(two + [one, short] + two)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        ls = [] if t is None else t.split("\n")
+        gone = set()
+        for k in range(len(ls)):
+            for n in range(1, 4):
+                g = tuple(ls[k : k + n])
+                if len(g) == n and (n == 3 or len(words(" ".join(g))) >= 50):
+                    gone |= set(range(k, k + n)) if g in seen else set()
+                    seen.add(g)
+        for k in sorted(gone):  # a run without a word stays
+            if k - 1 not in gone or k == 0:
+                end = next(e for e in range(k, len(ls) + 1) if e not in gone)
+                if not words(" ".join(ls[k:end])):
+                    gone -= set(range(k, end))
+        want[i] = None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS).collect()}
+    assert got == want
+    assert want[1] == "" and want[3] == short and want[5].count("\n") == 1 and want[6].count("\n") == 1 and want[8] == texts[8]
+    assert want[13].count("\n") == 1 and want[14] == short
+
+
 # 8
 
 

@@ -12,6 +12,13 @@ from lexforge.llm import quality_rules  # noqa: E402
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_line_stage_drops_copies_of_one_line(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([long, long, "a\n" + long + "\nb"])], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == {0: (long, len(long)), 2: ("a\nb", 3)}
+
+
 def test_stages(spark):
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("aeioklmnrst", k=rng.randint(2, 8))) for _ in range(400)]
