@@ -133,9 +133,10 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
             for v, (hi, lo) in ((0, (bad, good)), (2, (good, bad))):
                 if hi[j][v] < lo[j][v]:
                     hi[j][v] = lo[j][v] = (hi[j][v] + lo[j][v]) / 2
-        share = min(0.995, max(0.5, n_good / (n_good + n_bad)))
-        done = est is not None and abs(share - est.share) < 1e-10
-        est = Estimates(share, good, bad)
+        new = Estimates(n_good / (n_good + n_bad), good, bad)
+        flat = lambda e: [e.share, *(x for rule in [*e.given_good, *e.given_bad] for x in rule)]
+        done = est is not None and max(abs(x - y) for x, y in zip(flat(new), flat(est), strict=True)) < 1e-10
+        est = new
         if done:
             break
     return est

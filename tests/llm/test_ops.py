@@ -104,6 +104,21 @@ def test_rule_estimation_finds_the_bad_class():
     assert 0.8 < est.share < 0.9 and est.posterior((-1, -1, -1, 0, 0, 1)) < 0.5 < est.posterior((0, 1, 1, 0, 0, 1)) and min(est.accuracies()) > 0.6
 
 
+@pytest.mark.parametrize("share", [0.3, 0.998])
+def test_rule_estimation_at_any_share(share):
+    rng = random.Random(5)
+    counts = Counter()
+    for _ in range(20_000):
+        good = rng.random() < share
+        counts[tuple(-1 if rng.random() < (0.02 if good else 0.7) else rng.choice((0, 1, 1)) for _ in range(6))] += 1
+    est = quality_rules.estimate(sorted(counts.items()), 6)
+    assert abs(est.share - share) < 0.002 + 0.01 * (share < 0.9)
+    if share < 0.9:  # with 40 bad rows of 20,000 the rounds end first
+        more = quality_rules.estimate(sorted(counts.items()), 6, 400)
+        assert all(abs(b[0] - 0.7) < 0.05 for b in est.given_bad)
+        assert all(abs(x - y) < 1e-3 for a, b in zip(est.given_bad, more.given_bad, strict=True) for x, y in zip(a, b, strict=True))
+
+
 # 3
 
 
