@@ -8,8 +8,9 @@ chunk yields the matrix of best scores from every entry state to every exit stat
 associatively in the max-plus semiring, by blocks of BLOCK chunks and then over the blocks, which gives the
 best state at every boundary, and each chunk is backtraced by itself between its two states.
 
-No piece holds a word mark after another character, so a text splits before every run of marks, and a word's
-segmentation is kept in a cache; inside a chunk only the words at its two ends need the states.
+No piece holds a word mark after another character, so a text splits before every run of marks. Distinct words
+are segmented together, by a walk through a trie of the pieces and a Viterbi pass over word positions, both on
+arrays; a worker keeps a bounded number of them. Inside a chunk only the words at its two ends need the states.
 
 Cases: a null text gives null ids, an empty one no ids; ties go to the longer last piece within a chunk and to
 the smaller overhang at a boundary, with the same score either way; repeated ids are coded row by row; an
@@ -30,11 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize, ready, table
+from lexforge.llm.common import give_back, materialize, ready, release, table
 from lexforge.llm.hashing import Pool
 
 GIANT, CHUNK, BLOCK = 32_768, 8_192, 256
-KNOWN_WORDS, CACHE_WORDS = 2_000_000, 200_000
+#: Words that a worker keeps from batch to batch, and characters of text that it segments at a time.
+KNOWN_WORDS, BATCH_CHARS = 400_000, 4 << 20
+#: Words of at most LONG_WORD characters are segmented together, WORDS_AT_ONCE at a time; longer ones one by one.
+LONG_WORD, WORDS_AT_ONCE = 64, 16_384
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _LOW = -np.inf
@@ -66,7 +70,8 @@ class Pieces:
         self.simple = self.splits and not any("\n" in p for p in self.score)
         self.known = Pool(KNOWN_WORDS)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.splits else re.compile(r"(?s).+")
-        self.cache: dict[str, tuple[bytes, float]] = {}
+        self.mark = re.compile(f"(?<=[^{MARK}]){MARK}")
+        self._grow_trie()
         self.raw_size = np.array([len(r) for r in self.raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.raw_pool = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -98,26 +103,96 @@ class Pieces:
             at = j
         return np.array(out[::-1], "<u4").tobytes()
 
-    def cached(self, word: str) -> tuple[bytes, float]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            got = self.segment(word)
-            if len(word) <= 64:
-                self.cache[word] = got
-        return got
+    def _grow_trie(self) -> None:
+        """The pieces as a trie: sorted (node, character) keys with the node they lead to; each node's score and id."""
+        edges: dict[int, int] = {}
+        score, ids = [_LOW], [0]
+        for piece, value in self.score.items():
+            node = 0
+            for ch in piece:
+                key = node << 21 | ord(ch)
+                if key not in edges:
+                    edges[key] = len(score)
+                    score.append(_LOW)
+                    ids.append(0)
+                node = edges[key]
+            score[node], ids[node] = value, self.id[piece]
+        self.edge = np.array(sorted(edges), np.int64)
+        self.leads_to = np.array([edges[k] for k in self.edge.tolist()], np.int32)
+        self.node_score, self.node_id = np.array(score), np.array(ids, np.uint32)
+
+    def segment_words(self, words: list[str]) -> tuple[list[bytes], list[float]]:
+        """segment() of every word. Words that hold a character without a piece, and long ones, go one by one."""
+        out: list[tuple[bytes, float]] = [(b"", 0.0)] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        rest = np.flatnonzero((size > LONG_WORD) & (size > 0)).tolist()
+        order = np.flatnonzero((size <= LONG_WORD) & (size > 0))
+        order = order[np.argsort(-size[order], kind="stable")]  # the words that reach a place come first
+        for at in range(0, len(order), WORDS_AT_ONCE):
+            some = order[at : at + WORDS_AT_ONCE]
+            for i, got in zip(some.tolist(), self._segment_at_once([words[i] for i in some.tolist()], size[some]), strict=True):
+                if got is None:
+                    rest.append(i)
+                else:
+                    out[i] = got
+        for i in rest:
+            out[i] = self.segment(words[i])
+        return [o[0] for o in out], [o[1] for o in out]
+
+    def _segment_at_once(self, words: list[str], size: np.ndarray) -> list[tuple[bytes, float] | None]:
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        start = np.cumsum(size) - size
+        room = np.repeat(start + size, size) - np.arange(len(chars))
+        longest = int(min(self.longest, size[0]))
+        # the piece of k characters that begins at each place: its node, or 0
+        found = np.zeros((longest + 1, len(chars)), np.int32)
+        place, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for k in range(1, longest + 1):
+            key = node << 21 | chars[place + k - 1]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            on = self.edge[at] == key
+            place, node = place[on], self.leads_to[at[on]].astype(np.int64)
+            found[k, place] = node
+            on = room[place] > k
+            place, node = place[on], node[on]
+        gain = self.node_score[found]
+        odd = np.logical_or.reduceat(gain[1] == _LOW, start)
+        # best score up to each place of each word (one place more than characters), and the last piece's length
+        slot = start + np.arange(len(size))
+        best, last = np.full(len(chars) + len(size), _LOW), np.zeros(len(chars) + len(size), np.int8)
+        best[slot] = 0.0
+        reach = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        for i in range(1, int(size[0]) + 1):
+            n = reach[i - 1]
+            top, by = np.full(n, _LOW), np.zeros(n, np.int8)
+            for k in range(min(i, longest), 0, -1):  # the longer last piece wins a tie
+                v = best[slot[:n] + i - k] + gain[k, start[:n] + i - k]
+                more = v > top
+                top[more], by[more] = v[more], k
+            best[slot[:n] + i], last[slot[:n] + i] = top, by
+        at, step = size.copy(), 0
+        ids = np.zeros((int(size[0]), len(size)), np.uint32)
+        count = np.zeros(len(size), np.int64)
+        live = np.flatnonzero(~odd)
+        while len(live):
+            k = last[slot[live] + at[live]].astype(np.int64)
+            at[live] -= k
+            ids[step, live] = self.node_id[found[k, start[live] + at[live]]]
+            count[live] += 1
+            live, step = live[at[live] > 0], step + 1
+        upto = np.cumsum(count)
+        word = np.repeat(np.arange(len(size)), count)
+        flat = ids[np.repeat(upto, count) - 1 - np.arange(len(word)), word]
+        raw = memoryview(np.ascontiguousarray(flat.astype("<u4"))).cast("B")
+        score = best[slot + size].tolist()
+        return [None if o else (raw[4 * a : 4 * b].tobytes(), v) for o, a, b, v in zip(odd.tolist(), (upto - count).tolist(), upto.tolist(), score, strict=True)]
 
     def marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
     def encode(self, marked: str) -> tuple[bytes, float]:
-        cache, parts, total = self.cached, [], 0.0
-        for w in self.word.findall(marked):
-            ids, score = cache(w)
-            parts.append(ids)
-            total += score
-        return b"".join(parts), total
+        parts, scores = self.segment_words(self.word.findall(marked))
+        return b"".join(parts), sum(scores, 0.0)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts one after another, where each text ends, and the scores. Where the vocabulary allows
@@ -150,8 +225,7 @@ class Pieces:
         return np.concatenate(parts), np.cumsum([len(p) for p in parts]), totals
 
     def _words(self, new: list[str]) -> tuple[list[bytes], list[float]]:
-        got = [self.segment(w if w[:1] == "\n" else MARK + w) for w in new]
-        return [g[0] for g in got], [g[1] for g in got]
+        return self.segment_words([w if w[:1] == "\n" else MARK + w for w in new])
 
     def middles(self, chunks: list[tuple[str, int]]) -> list[tuple[np.ndarray, float]]:
         """Ids and score of each chunk's stretch between its cuts, all looked up at once."""
@@ -177,8 +251,13 @@ class Pieces:
         """First and last place in [0, n] where every segmentation has a boundary; (n + 1, -1) if there is none."""
         if not self.splits:
             return n + 1, -1
-        marks = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", s[: n + 1]) if m.start() <= n]
-        return (marks[0], marks[-1]) if marks else (n + 1, -1)
+        first = self.mark.search(s, 0, n + 1)
+        if first is None:
+            return n + 1, -1
+        last = s.rfind(MARK, 0, n + 1)
+        while s[last - 1] == MARK:
+            last -= 1
+        return first.start(), last
 
     def forward(self, s: str, start: int, stop: int, width: int) -> np.ndarray:
         """Best scores [entry, place] from entry states start..start + width - 1 to the places of s, by pieces
@@ -255,17 +334,28 @@ def states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
     return out[::-1]
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about most bytes in that column; a longer value makes one of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _slices(batch, 1, BATCH_CHARS):
                 ids, ends, score = p.encode_texts(part.column(1))
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 none = pc.is_null(part.column(1)).to_pylist()
                 each = [None if x else raw[4 * a : 4 * b].tobytes() for x, a, b in zip(none, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(each, pa.binary()), pa.array(score, mask=np.array(none, bool))], names=["doc_id", "ids", "score"])
+        p.known.forget()
+        give_back()
 
     return run
 
@@ -285,6 +375,7 @@ def _cut(path: str):
                 for i in range(0, len(rows), 500):
                     cols = list(zip(*rows[i : i + 500], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()), strict=True)], names=["uid", "doc_id", "no", "last", "n", "s"])
+        give_back()
 
     return run
 
@@ -292,11 +383,13 @@ def _cut(path: str):
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 5, BATCH_CHARS)):
             r = batch.to_pydict()
             inner = p.middles(list(zip(r["s"], r["n"], strict=True)))
             m = [p.matrix(s, n, last, v).tobytes() for s, n, last, (_, v) in zip(r["s"], r["n"], r["last"], inner, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(m, pa.binary())], names=["uid", "no", "m"])
+        p.known.forget()
+        give_back()
 
     return run
 
@@ -330,11 +423,13 @@ def _chunk_states(t: pa.Table) -> pa.Table:
 def _backtrace(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 4, BATCH_CHARS)):
             r = batch.to_pydict()
             inner = p.middles(list(zip(r["s"], r["n"], strict=True)))
             ids = [p.between(s, n, a, b, x) for s, n, a, b, (x, _) in zip(r["s"], r["n"], r["enter"], r["leave"], inner, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(r["uid"], pa.int64()), pa.array(r["doc_id"], pa.int64()), pa.array(r["no"], pa.int64()), pa.array(ids, pa.binary()), pa.array(r["score"], pa.float64())], names=["uid", "doc_id", "no", "ids", "score"])
+        p.known.forget()
+        give_back()
 
     return run
 
@@ -380,6 +475,7 @@ def _digest(path: str):
                 rows.append((None, None, None) if ids is None else (len(ids) // 4, zlib.crc32(ids), zlib.crc32(text)))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols], batch.column(2)], names=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "score"])
+        give_back()
 
     return run
 
