@@ -10,8 +10,6 @@ so an untrained model scores as the bigrams do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 
 DIM, WINDOW, OVERLAP, CLASSES = 16, 40, 10, 32
@@ -202,55 +200,21 @@ class Adam:
             w[k] -= _F(rate) * (self.m[k] / _F(1 - 0.9**self.t)) / (np.sqrt(self.v[k] / _F(1 - 0.98**self.t)) + _F(1e-7))
 
 
-def pieces(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen windows cut out with what comes before them: their symbols one after another, each one's
-    first scored position and end in these, and whether a document starts with it. choose(n): a mask of n."""
-    first, lo, hi = windows(starts, ends)
-    pick = choose(len(first))
-    first, lo, hi = first[pick], lo[pick], hi[pick]
-    a, b = np.maximum(first - OVERLAP - 2, lo), np.minimum(first + STRIDE, hi)
-    n = b - a
-    upto = np.cumsum(n)
-    return sym[np.repeat(a - (upto - n), n) + np.arange(n.sum())], upto - n + (first - a), upto, a == lo
-
-
-def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], parts: list[tuple], rate: float, seed: int, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
-    """Adam over windows from pieces(), in random order; weights and the number of windows seen."""
-    parts = [p for p in parts if len(p[1])]
-    if not parts:
-        return w, 0
-    offset = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-    sym = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    first = np.concatenate([p[1] + o for p, o in zip(parts, offset, strict=False)])
-    hi = np.concatenate([p[2] + o for p, o in zip(parts, offset, strict=False)])
-    whole = np.concatenate([p[3] for p in parts])
-    begin = np.concatenate([[0], hi[:-1]])
-    lo = np.where(whole, begin, begin - WINDOW)
-    rng = np.random.default_rng(seed)
-    opt, steps = Adam(w), -(-len(first) // batch)
-    order = rng.permutation(len(first))
+def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, whole: np.ndarray, rate: float, seed: list[int], batch: int = 32) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over every window of stretches [start, end) of sym, in random order; weights and the number of windows
+    seen. The first lead tokens of a stretch only give context; whole: a document starts with it."""
+    first, lo, hi = windows(starts + lead, ends)
+    n = -(-(ends - starts - lead) // STRIDE)
+    lo = np.repeat(np.where(whole, starts, starts - WINDOW), n)
+    rng, opt = np.random.default_rng(seed), Adam(w)
+    order, steps = rng.permutation(len(first)), -(-len(first) // batch)
     for k in range(steps):
         i = order[k * batch : (k + 1) * batch]
         _, kept = forward(w, bigram, *gather(sym, first[i], lo[i], hi[i]), keep=True)
-        opt.step(w, backward(w, kept), rate * min(1.0, (k + 1) / 20) * (1 - 0.9 * k / steps))
+        opt.step(w, backward(w, kept), rate * min(1.0, (k + 1) / 20) * (1 - 0.5 * k / steps))
     return w, len(first)
 
 
-def train_whole(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], parts: Iterable[tuple], rate: float, seed: int, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
-    """Adam over every window of each part (symbols, where documents start and end), part by part, each part's
-    windows in random order; weights and the number of windows seen."""
-    rng, opt, seen = np.random.default_rng(seed), Adam(w), 0
-    for sym, starts, ends in parts:
-        first, lo, hi = windows(starts, ends)
-        order = rng.permutation(len(first))
-        for k in range(0, len(first), batch):
-            i = order[k : k + batch]
-            _, kept = forward(w, bigram, *gather(sym, first[i], lo[i], hi[i]), keep=True)
-            opt.step(w, backward(w, kept), rate * min(1.0, (opt.t + 1) / 20))
-        seen += len(first)
-    return w, seen
-
-
 def score(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Natural-log probability of every token, in order."""
     first, lo, hi = windows(starts, ends)

@@ -46,14 +46,14 @@ class WordEncoder:
     order; only words that are new to the cache reach the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.lower = '"Lowercase"' in self.tok.to_str()
         self.cache: dict[str, bytes] = {}
-        self.known = Pool(KNOWN_WORDS)
+        self.known, self.cache_words = Pool(known_words), cache_words
 
     @property
     def pool(self) -> np.ndarray:
@@ -68,7 +68,7 @@ class WordEncoder:
         need.update(dict.fromkeys(w[len(c) :] for c, w, k in zip(cores, words, cut, strict=True) if k))
         cache = self.cache
         new = [w for w in need if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
+        if len(cache) + len(new) > self.cache_words:
             cache.clear()
             new = list(need)
         for i in range(0, len(new), 20_000):
@@ -107,9 +107,9 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, known_words: int = KNOWN_WORDS, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One encoder a worker process and path, so its cache outlives a task."""
-    return WordEncoder(path)
+    return WordEncoder(path, known_words, cache_words)
 
 
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:

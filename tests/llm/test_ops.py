@@ -160,6 +160,58 @@ def test_lm_scores(spark, docs, texts, empty):
     assert lm_scoring.score_documents(empty, F.lit(False), path).count() == 0
 
 
+def test_lm_scores_are_the_windows(spark, docs):
+    """score against a plain loop over windows, in double precision, with the model that was trained."""
+    from lexforge.llm import attention_lm as lm
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    got = {(r["doc_id"], r["n_subwords"]): r for r in lm_scoring.score_documents(docs, held, path).collect()}
+    rows = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    known = {t for i, x in rows if not is_held(i) for t in words(lower(x))}
+    chunks = docs.select("doc_id", "text", held.alias("held")).mapInArrow(lm_scoring._pack(path), lm_scoring._CHUNK)
+    model = lm_scoring.learn(chunks, chunks.agg(F.sum("train_tokens")).head()[0], 49407, 49408)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    tok, d = Tokenizer.from_file(path), lm.DIM
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def log10(ids):
+        sym, total = model.symbol_of[ids], 0.0
+        for at in range(0, len(ids), lm.STRIDE):
+            lo = max(0, at - lm.OVERLAP)
+            span = range(lo, min(at + lm.STRIDE, len(ids)))
+            x = np.array([w["emb"][sym[j - 1] if j else 0] + w["last"][sym[j - 2] if j > 1 else 0] for j in span])
+            q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+            for r, j in enumerate(span):
+                if j < at:
+                    continue
+                a = soft(np.clip(k[: r + 1] @ q[r] / np.sqrt(d) + w["rel"][r - np.arange(r + 1)], -30, 30))
+                y = x[r] + a @ v[: r + 1] @ w["out"]
+                z = y + np.maximum(y @ w["up"] + w["up_b"], 0) @ w["down"]
+                z /= np.sqrt((z * z).mean() + 1e-5)
+                prev, c, m = sym[j - 1] if j else 0, sym[j] // lm.CLASSES, sym[j] % lm.CLASSES
+                pc = soft(z @ w["cls"] + w["cls_b"] + model.bigram[0][prev])
+                pm = soft(z @ w["mem"][c] + w["mem_b"][c] + model.bigram[1][prev, c])
+                total += np.log(pc[c] * pm[m]) + model.rare[ids[j]]
+        return total / np.log(10)
+
+    for i, t in sorted(rows, key=str)[:40]:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 49407]
+        r = got[i, len(ids)]
+        assert abs(r["score"] - log10(np.array(ids))) < 1e-3 * abs(r["score"]), t
+        assert r["held_out"] == is_held(i) and r["n_known"] == sum(x in known for x in words(lower(t))) + 1
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    path = tokenizers.path("word_bpe_49k.json")
+    held = crc_mod("doc_id", 7) == 2
+    a, b = ([(r["doc_id"] or -1, r["n_subwords"], r["score"]) for r in lm_scoring.score_documents(d, held, path).collect()] for d in (docs.coalesce(1), docs.repartition(5, "text")))
+    for x, y in zip(sorted(a), sorted(b), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-4 * abs(x[2])
+
+
 def test_lm_takes_a_word_of_many_ids(spark):
     from tokenizers import Tokenizer
 
