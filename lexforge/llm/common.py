@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,9 +46,12 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder in local mode,
+    whose executors are the driver; on a cluster that would be another disk for each, so it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         os.makedirs(where[7:], exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -116,6 +120,14 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as it takes to differ from df's columns in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def few(df: DataFrame, limit: int) -> DataFrame:
     """df (a stored table), marked for broadcast if it has at most limit rows; beyond that a join shuffles it."""
     return F.broadcast(df) if df.count() <= limit else df
