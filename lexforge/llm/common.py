@@ -149,4 +149,6 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         lab = new
         if not new.filter("old <> comp").limit(1).count():
             release(both)
-            return new.select("node", "comp")
+            out = new.select("node", "comp")
+            out._stored_at = new._stored_at
+            return out

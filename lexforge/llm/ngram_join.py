@@ -10,11 +10,12 @@ fragments of its own class and of the next.
 Exact copies of a set are one node. Every chunk of documents sends its distinct keys once, by bucket, and gets
 back which are shared, so a key costs a row per chunk at most. Nodes that share a fragment are compared with
 the smallest node that has it, their leader: the overlap of each of PARTS fragments of the order is counted
-separately and summed per pair, and what differs from the leader is kept. Two nodes x, y of a leader's family
-differ in |dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are their differences from the leader. Those of
-them that are not in one component yet are joined on the rarest n-grams of these short differences, with
-prefix lengths from both sizes, and verified on the differences. So near copies that are not linked, however
-many, hardly meet, and no group is expanded into its pairs.
+separately and summed per pair, and what differs from the leader is kept by fragment. Nodes x, y of a leader's
+family that are not in one component yet become candidates if they meet on the rarest n-grams of these short
+differences, with prefix lengths from both sizes. Their overlap too is counted by fragment and summed per pair:
+fragment f of x and y differs in |dx| + |dy| - 2 |dx & dy| n-grams, where dx and dy are what differs there from the
+leader, so short lists give the count that the fragments would. So near copies that are not linked, however many,
+hardly meet, and no group is expanded into its pairs.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; repeated rows get the same component; rows with equal ids and other texts are
@@ -224,54 +225,64 @@ def _parts(width: int, parts: int):
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one fragment of a pair: the overlap, and the n-grams that only one of the two has."""
+    """Of one fragment of a pair: the overlap, the second one's n-grams, and those that only one of the two has."""
     for batch in batches:
-        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        n, rest = [], []
+        x, y = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+        n, own, rest = [], [], []
         for a, b in zip(x, y, strict=True):
             u, v = unpack6(a).view(np.int64), unpack6(b).view(np.int64)
             d = np.setxor1d(u, v, assume_unique=True)
             n.append((len(u) + len(v) - len(d)) // 2)
+            own.append(len(v))
             rest.append(d)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "part", "rest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "f", "part", "own", "rest"])
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, both (the overlap), diff (the n-grams that one of the two has) of every pair."""
+    """a, b, na, nb, f (a fragment), part (the overlap there), own (b's n-grams there) and rest (those that one of
+    the two has) of every pair and fragment."""
     left, right = sets.select(F.col("node").alias("a"), "f", F.col("frag").alias("fa")), sets.select(F.col("node").alias("b"), "f", F.col("frag").alias("fb"))
-    each = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "fa", "fb")
-    parts = each.mapInArrow(_overlap, "a long, b long, na long, nb long, part long, rest array<long>")
-    return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"), F.flatten(F.collect_list("rest")).alias("diff"))
+    each = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "f", "fa", "fb")
+    return each.mapInArrow(_overlap, "a long, b long, na long, nb long, f int, part long, own long, rest array<long>")
 
 
-def _within_families(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of one leader's family that comp has in different components."""
+def _linked(percent: int, both: str, n1: str, n2: str):
+    return F.expr(f"100 * {both} >= {percent} * ({n1} + {n2} - {both})")
+
+
+def _within_families(frags: DataFrame, pairs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one leader's family that comp has in different components. frags: _compare() of
+    the families; pairs: a, b, nb and m, the n-grams in which b differs from its leader a."""
     home = lambda df, node, name: df.join(comp.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    named = home(home(diffs.select("a", "b", "nb", "diff"), "b", "cb"), "a", "ca").withColumn("m", F.size("diff"))
-    unsettled = named.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("a")
-    fam = materialize(named.join(unsettled, "a", "left_semi"), "families")
-    tok = fam.select("a", "b", F.explode("diff").alias("t"))
-    often = tok.groupBy("a", "t").agg(F.count("*").alias("df")).filter("df > 1")
-    held = tok.join(often, ["a", "t"]).join(fam.drop("diff"), ["a", "b"])
+    # by leader first, so that the many nodes of one can be split between tasks
+    named = materialize(home(home(pairs.select("a", "b", "nb", "m"), "a", "ca"), "b", "cb"), "named")
+    unsettled = materialize(named.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("a"), "unsettled")
+    fam = materialize(named.drop("ca").join(unsettled, "a", "left_semi"), "families")
+    tok = frags.select("a", "b", "rest").join(fam.select("a", "b"), ["a", "b"]).select("a", "b", F.explode("rest").alias("t"))
+    often = materialize(tok.groupBy("a", "t").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    held = tok.join(often, ["a", "t"]).join(fam, ["a", "b"])
     # place of an n-gram in its node's difference, rarest first; those nobody else has come before all others
     w = Window.partitionBy("a", "b")
     held = held.withColumn("at", F.col("m") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "t")))
     most = f"cast(floor(nb * {100 - percent} / {percent}) as int) + 1"
-    # a pair may meet in several families; it is taken in the first that both belong to
+    # a pair may meet in several families, at most as many as a node has fragments; it is taken in the first that
+    # both belong to
     homes = fam.groupBy("b").agg(F.collect_set("a").alias("homes"))
     held = materialize(held.filter(f"at <= {most}").select("a", "t", "b", "nb", "m", "at", "cb").join(homes, "b"), "places")
+    release(often)
     x, y = held.select("a", "t", *[F.col(c).alias(f"{c}1") for c in ("b", "nb", "m", "at", "cb", "homes")]), held.select("a", "t", *[F.col(c).alias(f"{c}2") for c in ("b", "nb", "m", "at", "cb", "homes")])
     differ = f"cast(floor((nb1 + nb2) * {100 - percent} / {100 + percent}) as int)"
     share = f"cast(ceil((m1 + m2 - {differ}) / 2) as int)"
     met = x.join(y, ["a", "t"]).filter(F.expr(f"b1 < b2 and cb1 <> cb2 and at1 <= m1 - {share} + 1 and at2 <= m2 - {share} + 1 and a = array_min(array_intersect(homes1, homes2))"))
-    met = met.select("a", "b1", "b2").distinct()
-    d1, d2 = fam.select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("diff").alias("d1")), fam.select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("diff").alias("d2"))
-    both = met.join(d1, ["a", "b1"]).join(d2, ["a", "b2"])
-    apart = "size(d1) + size(d2) - 2 * size(array_intersect(d1, d2))"
-    links = both.filter(F.expr(f"{100 - percent} * (n1 + n2) >= {100 + percent} * ({apart})")).select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
-    out = materialize(links, "links2")
-    release(fam)
-    release(held)
+    met = materialize(met.select("a", "b1", "b2").distinct(), "candidates")
+    # the overlap of each fragment, summed per pair
+    side = lambda k: frags.select("a", "f", F.col("b").alias(f"b{k}"), F.col("nb").alias(f"n{k}"), F.col("own").alias(f"own{k}"), F.col("rest").alias(f"rest{k}"))
+    each = met.join(side(1), ["a", "b1"]).join(side(2), ["a", "b2", "f"])
+    part = "own1 + own2 - size(rest1) - size(rest2) + 2 * size(array_intersect(rest1, rest2))"
+    both = each.groupBy("b1", "b2", "n1", "n2").agg((F.sum(F.expr(part)) / 2).cast("long").alias("both"))
+    out = materialize(both.filter(_linked(percent, "both", "n1", "n2")).select(F.col("b1").alias("a"), F.col("b2").alias("b")), "links2")
+    for t in (named, unsettled, fam, held, met):
+        release(t)
     return out
 
 
@@ -281,7 +292,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     ready(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = materialize(src.mapInArrow(_sets(width, percent), "chunk long, docs array<long>, n array<long>, s1 array<long>, s2 array<long>, keys binary, counts binary, total long"), "sets")
-    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("docs", "n", "s1", "s2")).alias("at", "d")).select(F.expr("shiftleft(chunk, 16) + at").alias("rid"), F.col("d.docs").alias("doc_id"), "d.n", "d.s1", "d.s2")
+    rows = materialize(chunks.select("chunk", F.posexplode(F.arrays_zip("docs", "n", "s1", "s2")).alias("at", "d")).select(F.expr("shiftleft(chunk, 16) + at").alias("rid"), F.col("d.docs").alias("doc_id"), "d.n", "d.s1", "d.s2"), "rows")
     same = ["n", "s1", "s2"]
     nodes = materialize(rows.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "nodes")
     shared = nodes.filter("copies > 1").select(*same, "node")
@@ -293,10 +304,13 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     met = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, bits binary")
     met = materialize(met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "met")
     members = materialize(keyed.join(met, "chunk").mapInArrow(_members(buckets), "key long, rid long, n long"), "members")
+    for t in (chunks, met, copies):
+        release(t)
     own = F.struct(F.col("rid"), F.col("n"))
     leads = members.groupBy("key").agg(F.min(own).alias("lead"), F.max("rid").alias("last")).filter("lead.rid <> last").select("key", "lead")
     star = members.join(leads, "key").filter("rid <> lead.rid")
     first = materialize(star.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct(), "pairs")
+    release(members)
 
     # the sets of all members, from their texts
     compared = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
@@ -305,18 +319,21 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = texts.mapInArrow(_parts(width, PARTS), "n long, s1 long, s2 long, frags array<binary>").join(who.select("node", *same), same).dropDuplicates(["node"])
     sets = materialize(found.select("node", F.posexplode("frags").alias("f", "frag")), "parts")
 
-    diffs = materialize(_compare(first, sets), "diffs")
-    links = materialize(diffs.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    frags = materialize(_compare(first, sets), "fragments")
     release(sets)
-    more = _within_families(diffs, components(links, "near"), percent)
-    release(diffs)
+    pairs = materialize(frags.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"), F.sum(F.size("rest")).alias("m")), "overlaps")
+    links = materialize(pairs.filter(_linked(percent, "both", "na", "nb")).select("a", "b"), "links")
+    near = components(links, "near")
+    more = _within_families(frags, pairs, near, percent)
     comp = components(links.unionByName(more), "near2")
+    for t in (frags, pairs, links, near, more):
+        release(t)
 
     named = nodes.join(comp, "node", "left").select(*same, "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
     by_set = materialize(named.join(least, "comp").select(*same, "component"), "components")
     out = rows.select("doc_id", *same).join(by_set, same, "left")
-    for t in (met, members, first, who, copies):
+    for t in (first, who, nodes, comp):
         release(t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
