@@ -1,22 +1,27 @@
 """Suffix-array dedup: bytes of strings of THRESHOLD bytes that also start in a document with a smaller id.
 
-Distributed prefix doubling with discarding, over sampled positions. Ranking every byte position in each
-round would shuffle sixteen bytes and more per byte of text and round; instead
-
-* round one ranks HALF-byte prefixes (hashes; THRESHOLD = 2 * HALF) at the positions that are minimal among
-  the HALF + 1 prefixes of some THRESHOLD-byte string. Every string has one such anchor, which its bytes
-  alone decide. Spark sorts the anchors' ranks into buckets, and those that are unique are discarded;
-* round two takes the strings around the anchors that are left. A string's rank is the pair of its prefix
-  ranks at offsets 0 and HALF, which reaches the threshold: strings of equal rank are equal, and each gets
-  the smallest document id it starts in. Only the bytes around surviving anchors travel, once per chunk of
-  documents and distinct surrounding, so text shared by a third of all documents costs a row per chunk.
-
-The texts themselves are packed into compressed chunks once, in the shared folder; the rounds' answers go back
-to the chunks. Nothing is gathered beyond a bucket, whose number grows with the input.
+Prefix doubling with discarding, over the positions that sampling leaves. Ranking every byte position of the corpus
+in each round would shuffle sixteen bytes and more per byte of text and round (README); instead
+
+* positions are dealt by anchors. Every THRESHOLD-byte string has one: the smallest fingerprint (a hash) among its
+  HALF + 1 prefixes of HALF bytes (THRESHOLD = 2 * HALF), which its bytes alone decide, so equal strings have equal
+  anchors. Spark shuffles the anchors into buckets by fingerprint, and those of one document only are discarded.
+  Fingerprints only deal positions out: a collision keeps a position that might have gone, and changes no result;
+* the strings around the anchors that are left travel once per chunk of documents and distinct surrounding, with
+  the smallest and largest document id in the chunk, so text shared by a third of all documents costs a row per
+  chunk, whatever number of documents have it. Within a bucket, positions are ranked by their bytes and ranks
+  doubled: pairs of ranks are sorted at growing offsets (OFFSETS) and ranked anew, and after each round positions
+  whose prefix only one document has are discarded, until the threshold. Ranks come from the bytes themselves, so
+  strings of equal rank are equal. Each gets the smallest document id it starts in.
+
+The texts themselves are packed into compressed chunks once, in the shared folder; the answers go back to the
+chunks, which apply them to their own occurrences. Nothing is gathered beyond a bucket, whose number grows with the
+input.
 
 Cases: a null text is empty; texts under THRESHOLD bytes lose nothing; rows with equal ids don't remove each
 other's bytes; a null id neither removes nor loses; exact copies of an earlier text lose all of it; empty
-tables give no rows; strings across documents don't exist; further columns are ignored.
+tables give no rows; strings across documents don't exist; further columns of any name are ignored, and kept by
+dedup_rows(). Exact copies are told by length and 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import few, give_back, materialize, ready, release, table
-from lexforge.llm.hashing import BASE, hashes, mix, pack6, sums, unpack6
+from lexforge.llm.hashing import hashes, mix, pack6, sums, unpack6
 
 THRESHOLD = 50
 HALF = THRESHOLD // 2
+#: Bytes that the first ranks cover, and the offsets at which ranks are paired: 8, 16, 32 and THRESHOLD bytes.
+FIRST, OFFSETS = 8, (8, 16, THRESHOLD - 32)
 CHUNK_BYTES = 8 << 20
 #: Bytes whose strings are ranked at a time, so a very long text needs no more memory.
 PIECE = 1 << 20
@@ -171,101 +178,150 @@ def _discard(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
 
 
+class Around:
+    """The surroundings of a chunk's surviving anchors by bucket: every occurrence's first start and document id,
+    with equal ones together, and the distinct surroundings (index of the first occurrence, number of them)."""
+
+    def __init__(self, c: Chunk, bits: list, first_buckets: int, buckets: int):
+        b = bucket_of(c.kept << np.uint64(16), first_buckets)
+        alive = np.zeros(len(c.kept), bool)
+        for x in bits:
+            lo, hi = np.searchsorted(b, [x["bucket"], x["bucket"] + 1])
+            alive[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
+        take = np.flatnonzero(alive[c.inverse])
+        where = bucket_of(c.kept[c.inverse[take]] << np.uint64(16), buckets)
+        order = np.lexsort((c.start[take], c.same[take], where))
+        take, where = take[order], where[order]
+        self.start, self.count, same = c.start[take], c.count[take], c.same[take]
+        self.ids = np.array([-1 if d is None else d for d in c.docs], np.int64)[c.doc[take]]
+        self.first = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (where[1:] != where[:-1])])) if len(take) else take
+        self.times = np.diff(np.append(self.first, len(take)))
+        self.where = where[self.first].astype(np.int64)
+        self.cut = np.flatnonzero(np.concatenate([[True], self.where[1:] != self.where[:-1]])) if len(take) else take
+
+    def buckets(self) -> Iterator[tuple[int, slice]]:
+        """Each bucket and its distinct surroundings."""
+        for a, b in zip(self.cut.tolist(), [*self.cut[1:].tolist(), len(self.first)], strict=True):
+            yield int(self.where[a]), slice(a, b)
+
+
 def _second_round(first_buckets: int, buckets: int):
     """The surroundings of the surviving anchors of a chunk, each distinct one once, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, docs, ends, blob, bits in _rows(batches, "chunk", "docs", "ends", "blob", "bits"):
             c = Chunk(docs, ends, blob).anchors()
-            b = bucket_of(c.kept << np.uint64(16), first_buckets)
-            alive = np.zeros(len(c.kept), bool)
-            for x in bits:
-                lo, hi = np.searchsorted(b, [x["bucket"], x["bucket"] + 1])
-                alive[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
-            take = np.flatnonzero(alive[c.inverse])
-            if not len(take):
+            x = Around(c, bits, first_buckets, buckets)
+            if not len(x.first):
                 continue
-            start, count, doc = c.start[take], c.count[take], c.doc[take]
-            length = count + THRESHOLD - 1
-            same = c.same[take]
-            where = bucket_of(c.kept[c.inverse[take]] << np.uint64(16), buckets)
-            order = np.lexsort((start, same, where))
-            start, count, length, same, where = start[order], count[order], length[order], same[order], where[order]
-            ids = np.array([-1 if d is None else d for d in c.docs], np.int64)[doc[order]]
-            new = np.concatenate([[True], (same[1:] != same[:-1]) | (where[1:] != where[:-1])])
-            first = np.flatnonzero(new)
-            cut = np.flatnonzero(np.concatenate([[True], where[first][1:] != where[first][:-1]]))
+            low, high = np.minimum.reduceat(x.ids, x.first), np.maximum.reduceat(x.ids, x.first)
+            lens, start = x.count[x.first] + THRESHOLD - 1, x.start[x.first]
             out = []
-            for i, k in enumerate(cut):
-                u = first[k : cut[i + 1] if i + 1 < len(cut) else len(first)]
-                stop = first[cut[i + 1]] if i + 1 < len(cut) else len(start)
-                lens = length[u]
-                pos = np.repeat(start[u] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-                times = np.diff(np.append(u, stop))
-                span = slice(u[0], stop)
-                out.append((int(where[u[0]]), chunk, c.data[pos].tobytes(), lens.astype("<u2").tobytes(), times.astype("<u4").tobytes(), start[span].astype("<u4").tobytes(), ids[span].astype("<i8").tobytes()))
+            for bucket, u in x.buckets():
+                n = lens[u]
+                pos = np.repeat(start[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out.append((bucket, chunk, c.data[pos].tobytes(), n.astype("<u2").tobytes(), low[u].astype("<i8").tobytes(), high[u].astype("<i8").tobytes()))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["bucket", "chunk", "text", "lens", "times", "starts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["bucket", "chunk", "text", "lens", "low", "high"])
+        give_back()
 
     return run
 
 
+def dense(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks from 0 of the values, equal ones sharing theirs, and how many there are."""
+    order = np.argsort(x)
+    new = np.concatenate([[0], x[order][1:] != x[order][:-1]]) if len(x) else order
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, int(rank[order[-1]]) + 1 if len(x) else 0
+
+
+def smallest_ids(data: np.ndarray, s: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For the THRESHOLD-byte strings that begin at s, each in documents with ids from low to high: the smallest low of all
+    equal strings. A string of one document may get its own low early, when its prefix has told so."""
+    out = low.copy()
+    if not len(s):
+        return out
+    padded = np.concatenate([data, np.zeros(FIRST, np.uint8)])
+    words = np.zeros(len(data), np.uint64)
+    for k in range(FIRST):
+        words = (words << np.uint64(8)) | padded[k : k + len(data)]
+    rank, kinds = dense(words)
+    live = np.arange(len(s))
+    for offset in (0, *OFFSETS):
+        if offset:
+            # pairs of ranks; beyond the end of data no string needs one
+            later = np.concatenate([rank[offset:], np.zeros(min(offset, len(rank)), np.int64)])
+            if offset != OFFSETS[-1]:
+                rank, kinds = dense(rank * kinds + later)
+                mine = rank[s[live]]
+            else:
+                mine, kinds = dense((rank * kinds + later)[s[live]])
+        else:
+            mine = rank[s[live]]
+        least, most = np.full(kinds, np.iinfo(np.int64).max), np.full(kinds, np.iinfo(np.int64).min)
+        np.minimum.at(least, mine, low[live])
+        np.maximum.at(most, mine, high[live])
+        shared = least[mine] != most[mine]
+        live, mine = live[shared], mine[shared]
+    out[live] = least[mine]
+    return out
+
+
 def _rank(t: pa.Table) -> pa.Table:
-    """Byte runs of each chunk that strings of smaller documents cover."""
+    """For each chunk with a string that a smaller document has: the smallest id of every string, in order."""
+    import zstandard
+
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-    data, lens, times = join("text", np.uint8), join("lens", "<u2").astype(np.int64), join("times", "<u4").astype(np.int64)
-    starts, ids = join("starts", "<u4").astype(np.int64), join("ids", "<i8")
+    data, lens = join("text", np.uint8), join("lens", "<u2").astype(np.int64)
+    low, high = join("low", "<i8"), join("high", "<i8")
     count = lens - THRESHOLD + 1
-    begin = np.cumsum(lens) - lens
-    total = sums(data)
-    upto = np.cumsum(count) - count
-    s = np.repeat(begin - upto, count) + np.arange(count.sum())
-    # rank of a string: the pair of its halves' ranks
-    with np.errstate(over="ignore"):
-        rank = mix(hashes(total, s, HALF) * np.uint64(BASE) + hashes(total, s + HALF, HALF))
-    least = np.minimum.reduceat(ids, np.cumsum(times) - times)
-    order = np.argsort(rank)
-    sorted_rank = rank[order]
-    group = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-    low = np.minimum.reduceat(np.repeat(least, count)[order], group)
-    smallest = np.empty(len(rank), np.int64)
-    smallest[order] = np.repeat(low, np.diff(np.append(group, len(rank))))
-    # every occurrence of every surrounding
-    unit = np.repeat(np.arange(len(lens)), times)
-    n = count[unit]
-    w = np.repeat(upto[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    occ = np.repeat(np.arange(len(unit)), n)
-    gone = smallest[w] < ids[occ]
-    place = starts[occ] + (w - upto[unit][occ])
-    chunk_rows = t.column("chunk").to_pylist()
-    per_row = [len(x) // 4 for x in t.column("starts").to_pylist()]
-    row = np.repeat(np.arange(len(per_row)), per_row)[occ]
-    place, row, occ = place[gone], row[gone], occ[gone]
-    if not len(place):
-        return pa.table({"chunk": pa.array([], pa.int64()), "begins": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary())})
-    edge = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (occ[1:] != occ[:-1])])
-    f = np.flatnonzero(edge)
-    size = np.diff(np.append(f, len(place))) + THRESHOLD - 1
-    rf = row[f]
-    cut = np.flatnonzero(np.concatenate([[True], rf[1:] != rf[:-1]]))
-    return pa.table({
-        "chunk": pa.array([chunk_rows[r] for r in rf[cut]], pa.int64()),
-        "begins": pa.array([x.astype("<u4").tobytes() for x in np.split(place[f], cut[1:])], pa.binary()),
-        "sizes": pa.array([x.astype("<u2").tobytes() for x in np.split(size, cut[1:])], pa.binary()),
-    })
-
-
-def _result(with_text: bool):
+    upto = np.cumsum(count)
+    s = np.repeat(np.cumsum(lens) - lens - (upto - count), count) + np.arange(count.sum())
+    least = smallest_ids(data, s, np.repeat(low, count), np.repeat(high, count))
+    hit = least < np.repeat(high, count)
+    stop = upto[np.cumsum([len(x) // 2 for x in t.column("lens").to_pylist()]) - 1].tolist()
+    press, rows = zstandard.ZstdCompressor(level=1), []
+    for chunk, bucket, a, b in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), [0, *stop[:-1]], stop, strict=True):
+        if hit[a:b].any():
+            rows.append((chunk, bucket, press.compress(least[a:b].astype("<i8").tobytes())))
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    give_back()
+    return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()), "least": pa.array(cols[2], pa.binary())})
+
+
+def _covered(c: Chunk, bits: list, found: list, first_buckets: int, buckets: int) -> np.ndarray:
+    """Which bytes of a chunk strings of smaller documents cover, from the smallest ids of its strings."""
+    import zstandard
+
+    change = np.zeros(len(c.data) + 1, np.int32)
+    x = Around(c.anchors(), bits, first_buckets, buckets)
+    answers, press = {f["bucket"]: f["least"] for f in found}, zstandard.ZstdDecompressor()
+    for bucket, u in x.buckets():
+        if bucket not in answers:
+            continue
+        least = np.frombuffer(press.decompress(answers[bucket]), "<i8")
+        first, times = x.first[u], x.times[u]
+        n = x.count[first]
+        # every occurrence of every surrounding
+        occ = slice(int(first[0]), int(first[-1] + times[-1]))
+        unit = np.repeat(np.arange(len(first)), times)
+        m = n[unit]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        gone = least[np.repeat((np.cumsum(n) - n)[unit], m) + at] < np.repeat(x.ids[occ], m)
+        place = (np.repeat(x.start[occ], m) + at)[gone]
+        np.add.at(change, place, 1)
+        np.add.at(change, place + THRESHOLD, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def _result(with_text: bool, first_buckets: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        for docs, marks, ends, blob, found in _rows(batches, "docs", "marks", "ends", "blob", "found"):
+        for docs, marks, ends, blob, bits, found in _rows(batches, "docs", "marks", "ends", "blob", "bits", "found"):
             c = Chunk(docs, ends, blob)
-            change = np.zeros(len(c.data) + 1, np.int16)
-            for x in found or []:
-                a = np.frombuffer(x["begins"], "<u4").astype(np.int64)
-                np.add.at(change, a, 1)
-                np.add.at(change, a + np.frombuffer(x["sizes"], "<u2"), -1)
-            gone = np.cumsum(change[:-1], dtype=np.int16) > 0
+            gone = _covered(c, bits, found, first_buckets, buckets) if found else np.zeros(len(c.data), bool)
             out, a = [], 0
             for d, h, b in zip(docs, marks, ends, strict=True):
                 g, raw = gone[a:b], c.data[a:b]
@@ -275,6 +331,7 @@ def _result(with_text: bool):
                 a = b
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "source_hash"])
+        give_back()
 
     return run
 
@@ -290,8 +347,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sig = src.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     sig = materialize(sig.filter((F.col("n") >= THRESHOLD) & F.col("doc_id").isNotNull()), "texts")
-    first = sig.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    copies = materialize(sig.join(first, ["n", "h1", "h2"]).filter("doc_id > first").select("doc_id", "n", "h1"), "copies")
+    first = materialize(sig.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").drop("last"), "first")
+    copies = materialize(sig.join(first.hint("merge"), ["n", "h1", "h2"]).filter("doc_id > first").select("doc_id", "n", "h1"), "copies")
+    release(sig)
+    release(first)
     names = few(copies.select(F.col("doc_id").alias("i"), F.col("h1").alias("h")).distinct(), FEW)
     rest = src.join(names, (F.col("doc_id") == F.col("i")) & (F.xxhash64("text") == F.col("h")), "left_anti")
     packed = rest.select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("h")).mapInArrow(_chunks, "chunk long, docs array<long>, marks array<long>, ends array<long>, blob binary, bytes long")
@@ -301,26 +360,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranks = chunks.mapInArrow(_first_round(few_buckets), "bucket long, chunk long, ranks binary")
     bits = ranks.groupBy("bucket").applyInArrow(_discard, "chunk long, bucket long, bits binary")
     bits = materialize(bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "alive")
-    around = chunks.join(bits, "chunk").select("chunk", "docs", "ends", "blob", "bits").mapInArrow(_second_round(few_buckets, many_buckets), "bucket long, chunk long, text binary, lens binary, times binary, starts binary, ids binary")
-    runs = around.groupBy("bucket").applyInArrow(_rank, "chunk long, begins binary, sizes binary")
-    found = materialize(runs.groupBy("chunk").agg(F.collect_list(F.struct("begins", "sizes")).alias("found")), "found")
-    out = chunks.join(found, "chunk", "left").select("docs", "marks", "ends", "blob", "found").mapInArrow(_result(with_text), _OUT)
+    around = chunks.join(bits, "chunk").select("chunk", "docs", "ends", "blob", "bits").mapInArrow(_second_round(few_buckets, many_buckets), "bucket long, chunk long, text binary, lens binary, low binary, high binary")
+    answers = around.groupBy("bucket").applyInArrow(_rank, "chunk long, bucket long, least binary")
+    found = materialize(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "least")).alias("found")), "found")
+    out = chunks.join(bits.join(found, "chunk"), "chunk", "left").select("docs", "marks", "ends", "blob", "bits", "found").mapInArrow(_result(with_text, few_buckets, many_buckets), _OUT)
     empty = hashlib.sha256(b"").hexdigest()
     whole = copies.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.col("n").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"), F.col("h1").alias("source_hash"))
-    release(sig)
-    release(bits)
     return out.unionByName(whole)
 
 
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' own rows and columns with text_col shortened; rows that lose all of a text go."""
-    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    names = docs.columns
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].cast("long").alias("i"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("t"))
     cut = dedup_substrings(docs, id_col, text_col, with_text=True)
-    cut = materialize(cut.filter("n_removed > 0").select(F.col("doc_id").alias("_i"), "source_hash", "n_bytes", "n_removed", "kept_text").dropDuplicates(["_i", "source_hash"]), "shortened")
-    both = keyed.join(cut.hint("merge"), (keyed[id_col] == cut["_i"]) & (keyed["_t"] == cut["source_hash"]), "left")
+    cut = materialize(cut.filter("n_removed > 0").select("doc_id", "source_hash", "n_bytes", "n_removed", "kept_text").dropDuplicates(["doc_id", "source_hash"]), "shortened")
+    both = keyed.join(cut.hint("merge"), (keyed["i"] == cut["doc_id"]) & (keyed["t"] == cut["source_hash"]), "left")
     both = both.filter("n_removed is null or n_removed < n_bytes")
-    return both.select(*[F.coalesce("kept_text", both[c]).alias(c) if c == text_col else both[c] for c in docs.columns])
+    return both.select(*[F.coalesce(cut["kept_text"], F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text", "source_hash")
+
+
+#: Bytes as pairs of hex digits; for tables without null or repeated ids.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 49)) AS s, x FROM d WHERE length(x) >= 100),
+k AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 100)) AS g FROM w),
+m AS (SELECT g, min(doc_id) AS least FROM k GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT doc_id, s FROM k JOIN m USING (g) WHERE doc_id > least),
+e AS (SELECT *, s - max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM h),
+r AS (SELECT doc_id, s, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM e),
+z AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM r GROUP BY doc_id, run),
+p AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM z),
+q AS (SELECT p.doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+      FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN q ON q.doc_id = d.doc_id
+"""
