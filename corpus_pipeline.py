@@ -48,8 +48,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that repeat earlier ones: of three lines, or of fewer with 50 words. A
     document that loses all its lines goes."""
-    out = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS)
-    return _recount(out.filter("dedup.n_removed < dedup.n_lines or dedup.n_lines = 0").drop("dedup"))
+    out, info = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS), line_dedup.info_name(docs)
+    return _recount(out.filter((F.col(info)["n_removed"] < F.col(info)["n_lines"]) | (F.col(info)["n_lines"] == 0)).drop(info))
 
 
 @_stage
