@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import few, give_back, materialize, ready, release, table
+from lexforge.llm.common import few, forget, give_back, materialize, ready, release, stored, table
 from lexforge.llm.hashing import hashes, mix, pack6, sums, unpack6
 
 THRESHOLD = 50
@@ -276,10 +276,21 @@ def _rank(t: pa.Table) -> pa.Table:
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
     data, lens = join("text", np.uint8), join("lens", "<u2").astype(np.int64)
     low, high = join("low", "<i8"), join("high", "<i8")
-    count = lens - THRESHOLD + 1
+    # a surrounding that several chunks have is ranked once
+    raw, end = data.tobytes(), np.cumsum(lens)
+    index: dict[bytes, int] = {}
+    of = np.fromiter((index.setdefault(raw[a:b], len(index)) for a, b in zip((end - lens).tolist(), end.tolist(), strict=True)), np.int64, len(lens))
+    size = np.fromiter(map(len, index), np.int64, len(index))
+    least_id, most_id = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+    np.minimum.at(least_id, of, low)
+    np.maximum.at(most_id, of, high)
+    strings = size - THRESHOLD + 1
+    begin = np.cumsum(strings) - strings
+    s = np.repeat(np.cumsum(size) - size - begin, strings) + np.arange(strings.sum())
+    ranked = smallest_ids(np.frombuffer(b"".join(index), np.uint8), s, np.repeat(least_id, strings), np.repeat(most_id, strings))
+    count = strings[of]
     upto = np.cumsum(count)
-    s = np.repeat(np.cumsum(lens) - lens - (upto - count), count) + np.arange(count.sum())
-    least = smallest_ids(data, s, np.repeat(low, count), np.repeat(high, count))
+    least = ranked[np.repeat(begin[of] - (upto - count), count) + np.arange(count.sum())]
     hit = least < np.repeat(high, count)
     stop = upto[np.cumsum([len(x) // 2 for x in t.column("lens").to_pylist()]) - 1].tolist()
     press, rows = zstandard.ZstdCompressor(level=1), []
@@ -373,8 +384,11 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs' own rows and columns with text_col shortened; rows that lose all of a text go."""
     names = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].cast("long").alias("i"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("t"))
+    before = stored()
     cut = dedup_substrings(docs, id_col, text_col, with_text=True)
+    on_the_way = stored() - before
     cut = materialize(cut.filter("n_removed > 0").select("doc_id", "source_hash", "n_bytes", "n_removed", "kept_text").dropDuplicates(["doc_id", "source_hash"]), "shortened")
+    forget(on_the_way)
     both = keyed.join(cut.hint("merge"), (keyed["i"] == cut["doc_id"]) & (keyed["t"] == cut["source_hash"]), "left")
     both = both.filter("n_removed is null or n_removed < n_bytes")
     return both.select(*[F.coalesce(cut["kept_text"], F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])

@@ -499,3 +499,31 @@ def test_parallel_scan(monkeypatch):
         ids = b"".join(p.between(x[0], x[1], a, b) for x, a, b in zip(parts, st[:-1], st[1:], strict=True))
         assert sum(x[a, b] for x, a, b in zip(m, st[:-1], st[1:], strict=True)) == p.segment(s)[1]
         assert p.decode(np.frombuffer(ids, "<u4")).decode() == t
+
+
+# columns named as the operators' own
+
+
+def test_clashing_columns(spark):
+    """Further columns keep their names and values, whatever they are called."""
+    rng = random.Random(9)
+    lines = [prose(rng, 12) for _ in range(4)]
+    extra = "row i t h g c lines text_ dedup runs kept cut info n_removed n_bytes source_hash kept_text _t _i at fp w a1 m1 s1 chunk docs ends key component_id found first rank score".split()
+    rows = [(k, "\n".join(lines if k else [*lines, prose(rng, 9)]), *[f"{c}{k}" for c in extra]) for k in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *extra])
+    want = {r[0]: r[2:] for r in rows}
+    cut = line_dedup.dedup_lines(docs)
+    assert cut.columns == [*docs.columns, "dedup_"] == [*docs.columns, line_dedup.info_name(docs)]
+    for out in (cut.drop("dedup_"), suffix_dedup.dedup_rows(docs), quality_rules.keep_good(docs)):
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:] == want[r["doc_id"]] for r in out.collect())
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(docs).select("dedup_.n_removed").collect()].count(4) == 2
+    assert suffix_dedup.dedup_rows(docs).count() == 1
+    path = tokenizers.path("word_bpe_49k.json")
+    assert {r["component_id"] for r in ngram_join.join_documents(docs, 5, 80).collect()} <= {0, 1}
+    assert packing.pack_documents(docs, path).count() == 3 and topk_search.search_documents(docs, docs).count() == 9
+    assert sp_codec.encode_documents(docs, tokenizers.path("piece_bpe_32k.model")).count() == 3
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("text", F.lit("x"))
+    assert html_render.extract_pages(pages).columns == ["page_id", "text"]
+    assert {r["text"] for r in html_render.extract_pages(pages).collect()} != {"x"}
+    assert html_render.extract_pages(pages.limit(0)).count() == 0
