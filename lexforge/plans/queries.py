@@ -132,12 +132,13 @@ _LONG = " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, s_{d} AS score FROM
 
 @query("domain_scores_long", f"WITH a AS ({_analysis_sql(CJK_VALUES)}) {_LONG}")
 def _(spark, sf):
-    return tx.analyze(cjk_docs(spark)).select("doc_id", F.explode("domain_scores").alias("domain", "score"))
+    return tx.analyze(cjk_docs(spark)).select("doc_id", F.explode_outer("domain_scores").alias("domain", "score"))
 
 
+# explode_outer: explode would add a filter on the map's size, which repeats every keyword search
 @query("domain_scores_documents", f"WITH a AS ({_analysis_sql('documents')}) {_LONG}")
 def _(spark, sf):
-    return tx.analyze(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode("domain_scores").alias("domain", "score"))
+    return tx.analyze(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer("domain_scores").alias("domain", "score"))
 
 
 @query("paragraph_sentence_counts", f"SELECT doc_id, paragraphs, sentences FROM ({_analysis_sql('documents')})")

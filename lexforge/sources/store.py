@@ -20,7 +20,7 @@ class Files:
     """Small files and folders through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
         self.conf = spark._jsparkSession.sessionState().newHadoopConf()
 
     def _at(self, path: str):
@@ -47,9 +47,11 @@ class Files:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        # one step that replaces what is there: a reader sees the old file or the new one, also after a crash
+        overwrite = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        how = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = overwrite
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
 
     def folders(self, path: str) -> list[str]:
         p, fs = self._at(path)
