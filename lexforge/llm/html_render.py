@@ -4,8 +4,8 @@ A tree builder reads tags with one compiled pattern, closes and inserts what HTM
 li, dt/dd, option, table sections, rows and cells), tolerates misnesting and ends raw-text elements at their
 own end tags. A renderer walks the visible tree: white space collapses outside pre, blocks start lines,
 paragraph-like blocks are set off by an empty line, lists get markers and hanging indents, table cells are
-aligned in columns (colspan and rowspan kept); tables whose cells hold long or many lines are laid out as
-blocks instead.
+aligned in columns (colspan and rowspan kept) in tables of every size: a cell with others to its right is broken
+into lines of CELL_WIDTH between words, so padding stays small. A word is never cut, it pushes its own line aside.
 
 Invisible: head matter, script, style, template, noscript, embedded media's fallbacks, comments, elements with
 the hidden attribute, display:none or visibility:hidden, dialogs that aren't open.
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import ready, table
 
 MAX_DEPTH = 120
-#: A table with a cell of more lines, or a longer line, is laid out as blocks.
-CELL_LINES, CELL_WIDTH = 12, 100
+#: A column is padded to so many places at most; cells with others to their right are broken there.
+CELL_WIDTH = 100
+#: HTML's own largest spans.
+COLSPAN, ROWSPAN = 1000, 65534
 
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*)>|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -365,9 +367,31 @@ def _list(node: Node, depth: int) -> list[str]:
     return out
 
 
-def _span(node: Node, name: str) -> int:
-    v = node.attrs.get(name, "")
-    return max(1, min(1000, int(v))) if v.isascii() and v.isdigit() and len(v) < 6 else 1
+def _span(node: Node, name: str, most: int) -> int:
+    v = node.attrs.get(name, "").strip()
+    if not (v.isascii() and v.isdigit()):
+        return 1
+    v = v.lstrip("0")
+    return min(most, int(v[:6])) if v else most if name == "rowspan" else 1
+
+
+def _broken(lines: list[str]) -> list[str]:
+    """lines, those over CELL_WIDTH broken at single spaces; spaces beside others stay as they are."""
+    out: list[str] = []
+    for s in lines:
+        if width_of(s) <= CELL_WIDTH:
+            out.append(s)
+            continue
+        now, room = "", 0
+        for k, word in enumerate(s.split(" ")):
+            w = width_of(word)
+            if k and now.strip(" ") and word and room + 1 + w > CELL_WIDTH:
+                out.append(now)
+                now, room = word, w
+            else:
+                now, room = (now + " " + word, room + 1 + w) if k else (word, w)
+        out.append(now)
+    return out
 
 
 def _table(node: Node, depth: int) -> list[str]:
@@ -402,7 +426,6 @@ def _table(node: Node, depth: int) -> list[str]:
     collect(node)
     grid: list[list[tuple[int, int, list[str]]]] = []
     busy: dict[int, int] = {}
-    plain = False
     for row in rows:
         col, cells = 0, []
         for cell in row:
@@ -411,9 +434,8 @@ def _table(node: Node, depth: int) -> list[str]:
             block = Block()
             lay_out(cell, block, depth)
             lines = block.done()
-            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
-            plain = plain or len(lines) > CELL_LINES or any(len(s) > CELL_WIDTH for s in lines)
-            cells.append((col, wide, lines))
+            wide, high = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
+            cells.append((col, wide, lines if cell is row[-1] else _broken(lines)))
             for c in range(col, col + wide):
                 busy[c] = high
             col += wide
@@ -423,19 +445,11 @@ def _table(node: Node, depth: int) -> list[str]:
                 del busy[c]
         grid.append(cells)
     head = before.done()
-    if plain:
-        out = Block()
-        for cells in grid:
-            for _, _, lines in cells:
-                if lines:
-                    out.add(lines)
-                    out.space()
-        return [*head, *out.done()]
     width: dict[int, int] = {}
     for cells in grid:
         for col, wide, lines in cells:
             if wide == 1:
-                width[col] = max(width.get(col, 0), max(map(width_of, lines), default=0))
+                width[col] = min(CELL_WIDTH, max(width.get(col, 0), max(map(width_of, lines), default=0)))
     out_lines: list[str] = []
     for cells in grid:
         for k in range(max((len(c[2]) for c in cells), default=0)):
