@@ -3,7 +3,9 @@
 Every scan partition tokenises its documents, cuts only those above the limit, packs its pieces best-fit
 in decreasing order and emits the bins that are nearly full. Underfull bins travel on as items: a tree
 of rounds with a fan-in of FAN_IN merges them best-fit with other partitions' underfull bins. No text is
-shuffled, and only underfull bins' piece records ever move.
+shuffled, and only underfull bins' piece records ever move. Rounds go on to a single task where the bins fit one
+(TASK_BINS). Beyond that they end once a round removes under 2 % of the bins: best fit leaves at most one bin of
+half the limit or less in each task, and these few are packed together in a last task.
 
 Cases: a null or empty text is the single id 0; repeated doc_ids are packed as separate documents;
 documents of equal length tie by doc_id; an empty table gives no rows; other columns are ignored.
@@ -208,10 +210,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
         stat = bins.agg(F.sum(F.when(~F.col("done"), 1).otherwise(0)).alias("n"), F.count_distinct(F.expr("seq >> 32")).alias("p")).head()
         n, tasks = int(stat["n"] or 0), int(stat["p"] or 0)
         to = max(-(-tasks // FAN_IN), -(-n // TASK_BINS), 1)
-        # at the root, or when merging has stopped to help, what is left is final
-        if n <= 1 or (level and tasks <= 1) or (before is not None and to > 1 and n > 0.98 * before):
+        if n <= 1 or (level and tasks <= 1):  # at the root
             emitted.append(bins)
             break
+        if before is not None and n > TASK_BINS and n > 0.98 * before:
+            low = F.col("used") * 2 <= max_len
+            emitted.append(bins.filter(F.col("done") | ~low))
+            emitted.append(materialize(left.filter(low).coalesce(1).mapInArrow(_merge(max_len, slack, level + 1), _BINS), f"pack{level + 1}"))
+            break
         emitted.append(bins.filter(F.col("done")))
         level, before = level + 1, n
         dealt = left.repartition(to, F.xxhash64("seq")) if to > 1 else left.coalesce(1)
