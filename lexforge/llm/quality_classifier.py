@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "d
     if len(set(ids.values())) < 2:
         return CompressionModel(b"", b"", (0.0, 0.0), rate)
     picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("i").isin(list(ids)) & (F.length("t").between(1, max_train_chars)))
-    rows = sorted(((r["i"], r["t"]) for r in picked.limit(4 * per_class).collect()))
+    rows = sorted((r["i"], r["t"]) for r in picked.groupBy("i").agg(F.min("t").alias("t")).collect())
     seen: set[str] = set()
     rows = [(i, t) for i, t in rows if not (t in seen or seen.add(t))]  # copies would sit in both halves
     half = np.random.default_rng(7).permutation(len(rows)) % 2
@@ -153,4 +153,4 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     out = score_documents(docs, model)
-    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "size_difference")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
