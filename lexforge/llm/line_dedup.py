@@ -10,8 +10,7 @@ and the lines of every run that has an earlier equal are deleted. Order is (doc_
 number), so a run may also repeat an earlier one of its own document; the first occurrence stays.
 
 With ``long_words``, runs of fewer lines count too if they hold that many words, also in documents of fewer
-lines than ``run_lines``, and a run without any word stays. op7_line_dedup follows its SQL, which has runs of
-RUN_LINES lines alone; the pipeline's stage asks for both.
+lines than ``run_lines``, and a run without any word stays. op7_line_dedup and the pipeline's stage ask for it.
 
 Per key the corpus-wide step is a minimum, combined before the shuffle. The minima are written first and joined
 from there, so both sides of a join are plain shuffles, which adaptive execution splits where a fingerprint is hot.
@@ -116,19 +115,25 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=LONG_WORDS)
     return out.select("doc_id", F.col("dedup.n_lines"), F.col("dedup.n_removed"), F.size("dedup.runs").cast("long").alias("n_runs"), F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-OP7_SQL = """
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
-w AS (SELECT doc_id, pos, line,
-        lead(line, 1) OVER p AS l1, lead(line, 2) OVER p AS l2, lead(pos, 2) OVER p AS has
-      FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) AS nth FROM w WHERE has IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM k, (VALUES (0), (1), (2)) AS v(o) WHERE nth > 1),
-flag AS (SELECT l.doc_id, l.pos, l.line, gone.pos IS NOT NULL AS cut FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos),
+c AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[ \x09-\x0D]+'), lambda x: x <> '')) AS words FROM l),
+w AS (SELECT doc_id, pos, line, words, lead(pos, 1) OVER p AS p1, lead(pos, 2) OVER p AS p2,
+        lead(line, 1) OVER p AS l1, lead(line, 2) OVER p AS l2, lead(words, 1) OVER p AS w1, lead(words, 2) OVER p AS w2
+      FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, pos, 1 AS n, [line] AS run, words FROM w WHERE words >= 50
+      UNION ALL SELECT doc_id, pos, 2, [line, l1], words + w1 FROM w WHERE p1 IS NOT NULL AND words + w1 >= 50
+      UNION ALL SELECT doc_id, pos, 3, [line, l1, l2], words + w1 + w2 FROM w WHERE p2 IS NOT NULL),
+k AS (SELECT doc_id, pos, n, words, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM g),
+gone AS (SELECT doc_id, pos + o AS pos, max(words) AS words FROM k, (VALUES (0), (1), (2)) AS v(o) WHERE nth > 1 AND o < n GROUP BY 1, 2),
+near AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM gone),
+worded AS (SELECT doc_id, pos, max(words) OVER (PARTITION BY doc_id, block) > 0 AS cut FROM near),
+flag AS (SELECT l.doc_id, l.pos, l.line, coalesce(worded.cut, false) AS cut FROM l LEFT JOIN worded ON l.doc_id = worded.doc_id AND l.pos = worded.pos),
 starts AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM flag)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed, count(*) FILTER (begins) AS n_runs,
   length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '')) AS kept_chars,
