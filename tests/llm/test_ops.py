@@ -74,6 +74,39 @@ def test_classifier_learns_and_scores_all(spark):
     assert {r["score"] for r in quality_classifier.score_documents(d, none).collect()} == {0.5}
 
 
+def test_classifier_sizes_and_scores_by_hand(spark):
+    import zstandard as z
+
+    rng = random.Random(5)
+    rows = [(i, (prose(rng, 120) if i % 2 else prose(rng, 60).upper())) for i in range(80)]
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    rows += [(3, "another text of the same id"), (200, "é ß 中文 " * 400), (None, "null id"), (201, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    everything = F.lit(True)
+    model = quality_classifier.train(d, lab, everything)
+    again = quality_classifier.train(d.repartition(1), lab, everything)
+    assert (model.good, model.bad, model.weights) == (again.good, again.bad, again.weights)
+    a, c = model.weights
+
+    def size(text, dictionary):
+        how = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        raw = text.encode()
+        return sum(len(how.compress(raw[k : k + 512])) for k in range(0, len(raw), 512))
+
+    want = Counter()
+    for i, t in rows:
+        bad, good = size(t, model.bad), size(t, model.good)
+        want[(i, round((bad - good) / (bad + good) if t else 0.0, 9))] += 1
+    got = quality_classifier.score_documents(d, model).collect()
+    assert Counter((r["doc_id"], round(r["size_difference"], 9)) for r in got) == want
+    for r in got:
+        assert abs(r["score"] - 1 / (1 + np.exp(-(a * r["size_difference"] + c)))) < 1e-12
+        assert r["predicted"] == int(r["score"] >= 0.5)
+    nothing = spark.createDataFrame([], "doc_id long, text string")
+    assert quality_classifier.score_documents(nothing, model).count() == 0
+    assert quality_classifier.train(nothing, lab, everything).good == b""
+
+
 # 2
 
 
@@ -335,6 +368,18 @@ def test_packing_is_whole_and_tight(spark, docs, texts, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ends_with_no_two_half_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_BINS", 2)  # so that the tree can't reach a single task
+    words_ = [39] * 30 + [10] * 3
+    docs = spark.createDataFrame([(i, " ".join(["the"] * n)) for i, n in enumerate(words_)], "doc_id long, text string").repartition(6)
+    rows = packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"), 64, slack=1).collect()
+    used = Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in rows) == list(range(33)) and max(used.values()) <= 64
+    assert sum(n <= 32 for n in used.values()) <= 1
+
+
 # 7
 
 
@@ -419,6 +464,39 @@ def test_rendering_keeps_all_text(spark):
         assert Counter(re.findall(r"w\d+x\d+", h)) == Counter(re.findall(r"w\d+x\d+", got[i]))
 
 
+def test_rendering_aligns_tables_of_every_size():
+    """Random tables without spans against a plain version: each line of a row shows every cell at its column."""
+    rng = random.Random(11)
+    for _ in range(25):
+        cols, rows = rng.randint(2, 5), rng.randint(1, 30)
+        cells = [[[prose(rng, rng.randint(1, 4)) for _ in range(rng.choice([1, 1, 2, 20]))] for _ in range(cols)] for _ in range(rows)]
+        source = "<table>" + "".join("<tr>" + "".join("<td>" + "<br>".join(c) for c in row) for row in cells) + "</table>"
+        width = [max(len(x) for row in cells for x in row[k]) for k in range(cols)]
+        want = []
+        for row in cells:
+            for k in range(max(map(len, row))):
+                want.append(" | ".join((c[k] if k < len(c) else "").ljust(width[j]) for j, c in enumerate(row)).rstrip())
+        assert html_render.render(source).split("\n") == want
+
+
+def test_rendering_breaks_long_cells():
+    rng = random.Random(12)
+    long, giant = prose(rng, 300), "x" * 5000
+    lines = html_render.render(f"<table><tr><td>{long}<td>right<tr><td>a<td>{long}<tr><td>{giant}<td>b</table>").split("\n")
+    first = [x.split("|")[0].strip() for x in lines[:-2]]
+    assert " ".join(first) == long and all(len(x) <= 100 for x in first)
+    assert lines[0].index(" | right") == lines[-2].index(" | " + long) == 100
+    assert lines[-1] == giant + " | b"
+    assert html_render.render("<table><tr><td colspan=9999999>a<td rowspan=0>b<tr><td>c</table>")
+
+
+def test_rendering_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "t"), (None, "<p>b", "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
+    got = html_render.extract_pages(pages)
+    assert got.columns == ["page_id", "text"] and sorted((r["page_id"] or 0, r["text"]) for r in got.collect()) == [(0, "b"), (1, "a"), (1, "a")]
+    assert html_render.extract_pages(pages.limit(0)).count() == 0
+
+
 # 9
 
 
