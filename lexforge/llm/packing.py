@@ -204,11 +204,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
     ready(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bins = materialize(src.mapInArrow(_tokenise(tokenizer_path, max_len, slack), _BINS), "pack0")
-    emitted, level, before = [], 0, None
+    emitted, level, before, tasks = [], 0, None, None
     while True:
         left = bins.filter(~F.col("done"))
         stat = bins.agg(F.sum(F.when(~F.col("done"), 1).otherwise(0)).alias("n"), F.count_distinct(F.expr("seq >> 32")).alias("p")).head()
-        n, tasks = int(stat["n"] or 0), int(stat["p"] or 0)
+        n = int(stat["n"] or 0)
+        if tasks is None:  # later on those asked for: the tree narrows even where a session deals rows out wider
+            tasks = int(stat["p"] or 0)
         to = max(-(-tasks // FAN_IN), -(-n // TASK_BINS), 1)
         if n <= 1 or (level and tasks <= 1):  # at the root
             emitted.append(bins)
@@ -219,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
             emitted.append(materialize(left.filter(low).coalesce(1).mapInArrow(_merge(max_len, slack, level + 1), _BINS), f"pack{level + 1}"))
             break
         emitted.append(bins.filter(F.col("done")))
-        level, before = level + 1, n
+        level, before, tasks = level + 1, n, to
         dealt = left.repartition(to, F.xxhash64("seq")) if to > 1 else left.coalesce(1)
         bins = materialize(dealt.mapInArrow(_merge(max_len, slack, level), _BINS), f"pack{level}")
     out = emitted[0]
