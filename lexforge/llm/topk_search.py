@@ -1,19 +1,27 @@
-"""Exact BM25 top-k search: an inverted index per shard, pruned by block-max bounds, merged exactly.
+"""Exact BM25 top-k search: an inverted index per shard, pruned as in block-max WAND, merged exactly.
 
 Every shard holds the postings of some millions of words. Document frequencies, the number of documents and
 their mean length are taken over all shards (frequencies by hash bucket, sent back per shard), so a shard's
 scores are global scores and the merge of the shards' best k is exact. A posting's impact is its BM25
 contribution as an integer (IMPACT_UNIT parts of one), so scores don't depend on the order of summing.
 
-Dynamic pruning: postings are cut at blocks of BLOCK documents, each with its maximal impact. A query's bound
-on a block is the sum of its terms' maxima there. Blocks are taken by falling bound, in growing batches; once
-k documents are known, the k-th score is the threshold, and the search ends at the first block whose bound is
-below it. Queries come in groups of at most GROUP; each (shard, group) is one task's work.
+Dynamic pruning makes WAND's two tests on all documents of a shard at once, instead of moving a cursor per term.
+Pivot: a query's terms are put in order of their greatest contribution; those before the pivot, the first
+term at which the running sum reaches the threshold, can't carry a document in by themselves, so only
+postings of the pivot and the terms after it are read. Block maxima: postings are cut at blocks of BLOCK
+documents; what those terms give a document, with the maxima of the terms before the pivot in its block, must
+reach the threshold. Where that leaves few documents, they are scored whole, from the shard's terms by
+document; where it leaves many, half of the postings left are read and the test is made again.
+
+The threshold is a query's k-th best score so far. Shards are dealt to levels by a hash, each about as large
+as all searched before it; levels are searched in turn, and a level starts from the threshold that those before
+left. So a shard returns few documents that the merge would drop: about k a query and level, not k a query
+and shard. Queries come in groups of at most GROUP; a (cell of shards, group) is one task's work.
 
 Cases: null or empty texts are no hits and, as queries, have none; a document without a shared word is no hit,
-so a query may have fewer than k; ties go to the smaller id; repeated rows are separate hits with equal
-scores, but one query; a null id is never a query; an empty table gives no rows; further columns are ignored. A word is its
-64-bit hash.
+so a query may have fewer than k; ties go to the smaller id, a null id last; repeated rows are separate hits
+with equal scores, but one query; a null id is never a query; an empty table gives no rows; further columns are
+ignored. A word is its 64-bit hash.
 """
 
 from __future__ import annotations
@@ -35,7 +43,14 @@ SHARD_WORDS = 4_000_000
 #: Documents of a shard fit 16-bit numbers.
 SHARD_DOCS = 60_000
 BLOCK = 64
-GROUP = 20_000
+GROUP = 10_000
+#: Shards that the first round searches at least, if there are as many; up to LEVELS rounds.
+FIRST_SHARDS = 8
+LEVELS = 24
+#: Documents that are scored to find a first threshold, for each of the k.
+TRIAL = 4
+#: Cost of a posting read by document over one read by term.
+BY_DOC = 4
 QUERY_STEP = 50
 
 
@@ -63,11 +78,18 @@ def _wide(raw: bytes, count: int) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if len(raw) == 4 * count else "<u2")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(shard_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack_shards(batches, shard_words)
+
+    return run
+
+
+def _pack_shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 16
-    ids, words, ends, have, count = [], [], [], 0, 0
+    ids, null, words, ends, have, count = [], [], [], [], 0, 0
 
     def packed():
         w = np.concatenate(words)
@@ -75,20 +97,21 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, d, n = counted(w, e)
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([[0], e]))
-        row = (number, np.concatenate(ids).astype("<i8").tobytes(), length.astype("<u4").tobytes(), t[first].astype("<u8").tobytes(), np.append(first, len(t)).astype("<u4").tobytes(), d.astype("<u2").tobytes(), _narrow(n), len(e), int(length.sum()))
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()], strict=True)], names=["shard", "ids", "lens", "terms", "starts", "docs", "tfs", "n_docs", "n_words"])
+        row = (number, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(null).tobytes(), length.astype("<u4").tobytes(), t[first].astype("<u8").tobytes(), np.append(first, len(t)).astype("<u4").tobytes(), d.astype("<u2").tobytes(), _narrow(n), len(e), int(length.sum()))
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64()], strict=True)], names=["shard", "ids", "nulls", "lens", "terms", "starts", "docs", "tfs", "n_docs", "n_words"])
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        step = min(1000, SHARD_DOCS, max(1, shard_words // 100))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             w, e = word_hashes(part.column(1))
-            if ids and (have + len(w) > SHARD_WORDS or count + part.num_rows > SHARD_DOCS):
+            if ids and (have + len(w) > shard_words or count + part.num_rows > SHARD_DOCS):
                 yield packed()
                 number += 1
-                ids, words, ends, have, count = [], [], [], 0, 0
+                ids, null, words, ends, have, count = [], [], [], [], 0, 0
             count += part.num_rows
-            # a null id sorts last among ties
-            ids.append(pc.fill_null(part.column(0), (1 << 63) - 1).to_numpy(zero_copy_only=False))
+            ids.append(pc.fill_null(part.column(0), 0).to_numpy(zero_copy_only=False))
+            null.append(pc.is_null(part.column(0)).to_numpy(zero_copy_only=False))
             words.append(w)
             ends.append(e + have)
             have += len(w)
@@ -133,10 +156,10 @@ def _sum_frequencies(t: pa.Table) -> pa.Table:
 
 
 class Shard:
-    """An inverted index with impacts and block maxima."""
+    """An inverted index with impacts, block maxima and the terms of each document."""
 
     def __init__(self, r: dict, n_docs: int, mean: float, buckets: int):
-        self.ids = np.frombuffer(r["ids"], "<i8")
+        self.ids, self.null = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], bool)
         lens = np.frombuffer(r["lens"], "<u4").astype(np.float64)
         self.terms = np.frombuffer(r["terms"], "<u8")
         self.starts = np.frombuffer(r["starts"], "<u4").astype(np.int64)
@@ -150,53 +173,82 @@ class Shard:
             df[order[lo:hi]] = np.frombuffer(x["df"], "<u4")
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         each = np.repeat(idf, np.diff(self.starts))
-        self.impact = np.floor(each * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))) * IMPACT_UNIT + 0.5)
+        # whole numbers below 2^24, which 32 bits hold exactly
+        self.impact = np.floor(each * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))) * IMPACT_UNIT + 0.5).astype(np.float32)
+        del each, tf
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         # runs of one term's postings in one block
         block = self.docs // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
         run = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])) if len(block) else np.zeros(0, np.int64)
-        self.run_at, self.run_end, self.run_block = run, np.append(run[1:], len(block)), block[run]
+        self.run_block = block[run]
         self.run_top = np.maximum.reduceat(self.impact, run) if len(run) else self.impact
         self.term_runs = np.searchsorted(term[run], np.arange(len(self.terms) + 1))
+        self.term_top = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.terms) else self.impact
         self.n_blocks = -(-len(self.ids) // BLOCK)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k documents."""
+        self.block_of = np.arange(len(self.ids)) // BLOCK
+        # the same postings by document
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.doc_term, self.doc_impact = term[by_doc], self.impact[by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
+        self.asked = np.zeros(len(self.terms))
+
+    def _given(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these terms give every document."""
+        n = self.starts[t + 1] - self.starts[t]
+        p = _ranges(self.starts[t], self.starts[t + 1])
+        return np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(w, n), minlength=len(self.ids))
+
+    def _whole(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents, which all have postings, by all terms asked."""
+        lo, hi = self.doc_starts[docs], self.doc_starts[docs + 1]
+        p = _ranges(lo, hi)
+        return np.add.reduceat(self.doc_impact[p] * self.asked[self.doc_term[p]], np.concatenate([[0], np.cumsum(hi - lo)[:-1]])) if len(p) else np.zeros(0)
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, theta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the best k documents with a score of theta at least."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         t, w = at[hit], weights[hit].astype(np.float64)
-        if not len(t):
-            return self.ids[:0], np.zeros(0)
-        runs = _ranges(self.term_runs[t], self.term_runs[t + 1])
-        rw = np.repeat(w, self.term_runs[t + 1] - self.term_runs[t])
-        rb = self.run_block[runs]
-        bound = np.bincount(rb, weights=self.run_top[runs] * rw, minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        by_block = np.argsort(rb, kind="stable")
-        edges = np.searchsorted(rb[by_block], np.arange(self.n_blocks + 1))
-        docs, scores, theta, done, step = self.ids[:0], np.zeros(0), 0.0, 0, max(4, 2 * k // BLOCK + 1)
-        while done < len(order) and bound[order[done]] >= theta:
-            take = order[done : done + step]
-            take = take[bound[take] >= theta]
-            done, step = done + step, step * 3
-            sel = by_block[_ranges(edges[take], edges[take + 1])]
-            r = runs[sel]
-            n = self.run_end[r] - self.run_at[r]
-            p = _ranges(self.run_at[r], self.run_end[r])
-            d = self.docs[p]
-            total = np.bincount(d, weights=self.impact[p] * np.repeat(rw[sel], n), minlength=0)
-            found = np.flatnonzero(total)
-            found = found[total[found] >= theta]
-            docs, scores = np.concatenate([docs, self.ids[found]]), np.concatenate([scores, total[found]])
-            if len(docs) > k:
-                best = np.lexsort((docs, -scores))[:k]
-                docs, scores = docs[best], scores[best]
-            if len(docs) == k:
-                theta = scores.min()
-        best = np.lexsort((docs, -scores))[:k]
-        return docs[best], scores[best]
+        most = w * self.term_top[t]
+        order = np.argsort(most, kind="stable")
+        t, w, upto = t[order], w[order], np.cumsum(most[order])
+        if not len(t) or upto[-1] < theta:
+            return none
+        self.asked[t] = w
+        if not theta:
+            # a first threshold: whole scores of the documents that the upper half of the terms likes best
+            part = self._given(t[len(t) // 2 :], w[len(t) // 2 :])
+            some = np.argpartition(-part, TRIAL * k - 1)[: TRIAL * k] if len(part) > TRIAL * k else np.arange(len(part))
+            score = self._whole(some[part[some] > 0])
+            if len(score) >= k:
+                theta = np.partition(score, -k)[-k]
+        size = np.cumsum(self.starts[t + 1] - self.starts[t])
+        low = pivot = int(np.searchsorted(upto, theta))
+        part = self._given(t[pivot:], w[pivot:])
+        while True:
+            docs = np.flatnonzero(part)
+            if not low:
+                score = part[docs]
+                break
+            n = self.term_runs[t[:low] + 1] - self.term_runs[t[:low]]
+            runs = _ranges(self.term_runs[t[:low]], self.term_runs[t[:low] + 1])
+            rest = np.bincount(self.run_block[runs], weights=self.run_top[runs] * np.repeat(w[:low], n), minlength=self.n_blocks)
+            docs = docs[part[docs] + rest[self.block_of[docs]] >= theta]
+            if BY_DOC * (self.doc_starts[docs + 1] - self.doc_starts[docs]).sum() <= size[low - 1]:
+                score = self._whole(docs)
+                break
+            # too many pass: half of the postings left, of the terms next below, then the test again
+            down = int(np.searchsorted(size[:low], size[low - 1] // 2)) if low > 8 else 0
+            more = self._given(t[down:low], w[down:low])
+            more[part == 0] = 0
+            part += more
+            low = down
+        self.asked[t] = 0
+        docs, score = docs[score >= theta], score[score >= theta]
+        best = np.lexsort((self.ids[docs], self.null[docs], -score))[:k]
+        return docs[best], score[best]
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -208,48 +260,73 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _search(n_docs: int, mean: float, buckets: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shape = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("points", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return shape.empty_table()
-        index = Shard(left.slice(0, 1).to_pylist()[0], n_docs, mean, buckets)
+        shape = pa.schema([("batch", pa.int64()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("points", pa.int64())])
         out = []
-        for r in range(right.num_rows):
-            ids, stops, terms, weights = (right.column(c)[r].as_py() for c in ("ids", "stops", "terms", "weights"))
-            ids, stops, terms, weights = np.frombuffer(ids, "<i8"), np.frombuffer(stops, "<u4"), np.frombuffer(terms, "<u8"), _wide(weights, len(terms) // 8)
-            for q, a, b in zip(ids.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                d, s = index.top(terms[a:b], weights[a:b], k)
-                out.append((np.full(len(d), q), d, s.astype(np.int64)))
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], schema=shape)
+        for r in range(left.num_rows if right.num_rows else 0):
+            index = Shard(left.slice(r, 1).to_pylist()[0], n_docs, mean, buckets)
+            for a in range(right.num_rows):
+                batch, ids, stops, terms, weights, known = (right.column(c)[a].as_py() for c in ("batch", "ids", "stops", "terms", "weights", "known"))
+                ids, stops, terms, weights = np.frombuffer(ids, "<i8"), np.frombuffer(stops, "<u4"), np.frombuffer(terms, "<u8"), _wide(weights, len(terms) // 8)
+                theta = {x["query_id"]: float(x["points"]) for x in known or ()}
+                for q, lo, hi in zip(ids.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    d, s = index.top(terms[lo:hi], weights[lo:hi], k, theta.get(q, 0.0))
+                    if len(d):
+                        out.append((np.full(len(d), batch), np.full(len(d), q), index.ids[d], s.astype(np.int64), index.null[d]))
+        if not out:
+            return shape.empty_table()
+        batch, query, doc, points, null = (np.concatenate([o[i] for o in out]) for i in range(5))
+        return pa.table([pa.array(batch), pa.array(query), pa.array(doc, mask=null), pa.array(points)], schema=shape)
 
     return run
 
 
-def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rounds(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Levels from the rarest on, as (first, last, shards): the first round takes levels until it has FIRST_SHARDS."""
+    out, have, last = [], 0, LEVELS
+    for level in range(LEVELS, -1, -1):
+        have += counts.get(level, 0)
+        if have and (out or have >= FIRST_SHARDS or level == 0):
+            out.append((level, last, have))
+            have, last = 0, level - 1
+    return out
+
+
+def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """query_id, doc_id, rank and score of the best k documents for every query."""
     spark = docs.sparkSession
     ready(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = materialize(pick(docs).mapInArrow(_shards, "shard long, ids binary, lens binary, terms binary, starts binary, docs binary, tfs binary, n_docs long, n_words long"), "shards")
+    shards = pick(docs).mapInArrow(_shards(shard_words), "shard long, ids binary, nulls binary, lens binary, terms binary, starts binary, docs binary, tfs binary, n_docs long, n_words long")
+    # zeros at the end of a hash: half of all shards have none (level 0), a quarter one, and so on
+    level = F.least(F.length(F.regexp_extract(F.bin(F.xxhash64("shard")), "0*$", 0)), F.lit(LEVELS)).cast("int")
+    shards = materialize(shards.withColumn("level", level), "shards", parts="level")
     # an id asked twice is one query with the words of its different texts
     asks = pick(queries).filter("doc_id is not null").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("text"))
-    q = materialize(asks.mapInArrow(_queries, "ids binary, stops binary, terms binary, weights binary, n long"), "queries")
-    n_shards, n_docs, n_words = shards.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).head()
+    q = materialize(asks.mapInArrow(_queries, "ids binary, stops binary, terms binary, weights binary, n long").withColumn("batch", F.xxhash64("ids")), "queries")
     n_queries = q.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    totals = shards.groupBy("level").agg(F.count("*"), F.sum("n_docs"), F.sum("n_words")).collect()  # LEVELS + 1 rows at most
+    n_shards, n_docs, n_words = (sum(r[i] for r in totals) for i in (1, 2, 3))
     mean = n_words / n_docs if n_words else 1.0
     buckets, groups = max(8, n_shards), max(1, -(-n_queries // GROUP))
     sums = shards.select("shard", "terms", "starts").mapInArrow(_frequencies(buckets), "bucket long, shard long, terms binary, n binary").groupBy("bucket").applyInArrow(_sum_frequencies, "shard long, bucket long, df binary")
     sums = materialize(sums.groupBy("shard").agg(F.collect_list(F.struct("bucket", "df")).alias("found")), "frequencies")
-    names = [r["shard"] for r in shards.select("shard").collect()]  # one small number for each shard
-    index = shards.join(sums, "shard", "left").withColumn("found", F.coalesce("found", F.array())).drop("n_docs", "n_words").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = q.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.lit(names) if names else F.array().cast("array<bigint>")))
-    asked = asked.withColumn("shard", F.col("shard").cast("long"))
-    hits = index.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_search(n_docs, mean, buckets, k), "query_id long, doc_id long, points long")
-    hits = materialize(hits, "hits")
-    release(sums)
-    w = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc_id")
-    best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    none = (1 << 63) - 1
-    return best.select("query_id", F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"), F.col("rank").cast("long").alias("rank"), (F.col("points") / F.lit(float(IMPACT_UNIT))).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("points").desc(), F.col("doc_id").asc_nulls_last())
+    rows = "batch long, query_id long, doc_id long, points long"
+    best = materialize(spark.createDataFrame([], rows).withColumn("rank", F.lit(1)), "best")
+    for first, last, cells in _rounds({r[0]: r[1] for r in totals}):
+        cell = F.pmod(F.xxhash64("shard", F.lit(last)), F.lit(cells)).cast("int")
+        index = shards.filter(F.col("level").between(first, last)).join(sums, "shard", "left").withColumn("found", F.coalesce("found", F.array()))
+        index = index.drop("n_docs", "n_words", "level").withColumn("cell", cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        known = best.filter(F.col("rank") == k).groupBy("batch").agg(F.collect_list(F.struct("query_id", "points")).alias("known"))  # 200 a batch at most
+        asked = q.join(known, "batch", "left").withColumn("part", F.pmod("batch", F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        hits = index.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_search(n_docs, mean, buckets, k), rows)
+        hits = best.drop("rank").unionByName(hits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        new = materialize(hits, "best")
+        release(best)
+        best = new
+    for done in (sums, shards, q):
+        release(done)
+    return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.col("points") / F.lit(float(IMPACT_UNIT))).alias("score"))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,9 +171,46 @@ def test_search_is_exact(spark, docs, texts, empty):
         qt = Counter(words(lower(q["text"])))
         hits = [(-sum(k * imp(c, t) for t, k in qt.items() if t in c), (1 << 63) if r["doc_id"] is None else r["doc_id"]) for r, c in zip(rows, tf, strict=True) if set(qt) & set(c)]
         want += [(q["doc_id"], k, None if d == 1 << 63 else d, -s) for k, (s, d) in enumerate(sorted(hits)[:7], 1)]
-    got = [(r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 10_000)) for r in topk_search.search_documents(docs, queries, 7).collect()]
-    assert sorted(got) == sorted(want)
+    for shard_words in (topk_search.SHARD_WORDS, 200):  # a shard for each partition, and many in several rounds
+        got = [(r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 10_000)) for r in topk_search.search_documents(docs, queries, 7, shard_words=shard_words).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert topk_search.search_documents(empty, empty).count() == 0
+    top = (1 << 63) - 1
+    odd = docs.sparkSession.createDataFrame([(top, "a b", 1), (None, "a b", 2), (0, "a", 3), (7, None, 4)], "doc_id long, text string, rank int")
+    assert [(r["doc_id"], r["rank"]) for r in topk_search.search_documents(odd, odd.filter("doc_id = 0"), 5).orderBy("rank").collect()] == [(0, 1), (top, 2), (None, 3)]
+
+
+def test_search_rounds_cover_every_level_once():
+    for counts in ({}, {0: 1}, {3: 2, 0: 9}, {5: 1, 2: 8, 1: 20, 0: 40}, {4: 30}):
+        rounds = topk_search._rounds(counts)
+        assert sum(n for _, _, n in rounds) == sum(counts.values())
+        for level, n in counts.items():
+            assert [r[2] >= n for r in rounds if r[0] <= level <= r[1]] == [True]
+        assert all(n >= topk_search.FIRST_SHARDS for _, _, n in rounds[:1]) or sum(counts.values()) < topk_search.FIRST_SHARDS
+
+
+def test_search_prunes_nothing_it_needs():
+    """Every threshold up to the k-th score leaves the same best documents, whatever the test before it skipped."""
+    rng = np.random.default_rng(4)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) if x < 500) for _ in range(700)]
+    w, e = topk_search.word_hashes(pa.array(texts))
+    t, d, n = topk_search.counted(w, e)
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    df, b = np.diff(np.append(first, len(t))), t[first] % np.uint64(8)
+    size = np.diff(np.concatenate([[0], e]))
+    row = {"ids": np.arange(700, dtype="<i8").tobytes(), "nulls": bytes(700), "lens": size.astype("<u4").tobytes(), "terms": t[first].tobytes(), "starts": np.append(first, len(t)).astype("<u4").tobytes()}
+    row |= {"docs": d.astype("<u2").tobytes(), "tfs": topk_search._narrow(n), "found": [{"bucket": i, "df": df[b == i].astype("<u4").tobytes()} for i in range(8)]}
+    index = topk_search.Shard(row, 700, size.mean(), 8)
+    for q in range(0, 700, 7):
+        mine = d == q
+        whole = index._given(np.searchsorted(index.terms, t[mine]), n[mine].astype(float))
+        best = np.lexsort((np.arange(700), -whole))[:10]
+        for theta in (0.0, whole[best[-1]] // 2, whole[best[-1]], whole[best[3]]):
+            docs, score = index.top(t[mine], n[mine], 10, theta)
+            want = best[whole[best] >= theta]
+            assert docs.tolist() == want.tolist() and score.tolist() == whole[want].tolist()
 
 
 # 4
