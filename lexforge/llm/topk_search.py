@@ -13,10 +13,12 @@ documents; what those terms give a document, with the maxima of the terms before
 reach the threshold. Where that leaves few documents, they are scored whole, from the shard's terms by
 document; where it leaves many, half of the postings left are read and the test is made again.
 
-The threshold is a query's k-th best score so far. Shards are dealt to levels by a hash, each about as large
-as all searched before it; levels are searched in turn, and a level starts from the threshold that those before
-left. So a shard returns few documents that the merge would drop: about k a query and level, not k a query
-and shard. Queries come in groups of at most GROUP; a (cell of shards, group) is one task's work.
+The threshold is a query's k-th best score so far. Shards are dealt to levels by their number (odd
+ones to level 0, those divisible by 2 alone to level 1, and so on), each about as large as all searched before it;
+levels are searched in turn, and a level starts from the threshold that those before left. So
+a shard returns few documents that the merge would drop: about k a query and level, not k a query and shard.
+Queries come in groups of about GROUP. One task searches a cell of shards, one after another, for a group, so
+that queries are copied once a cell, not once a shard.
 
 Cases: null or empty texts are no hits and, as queries, have none; a document without a shared word is no hit,
 so a query may have fewer than k; ties go to the smaller id, a null id last; repeated rows are separate hits
@@ -47,6 +49,8 @@ GROUP = 10_000
 #: Shards that the first round searches at least, if there are as many; up to LEVELS rounds.
 FIRST_SHARDS = 8
 LEVELS = 24
+#: Shards that share one copy of the queries in a round, once the round has CELLS cells.
+CELL_SHARDS, CELLS = 8, 8
 #: Documents that are scored to find a first threshold, for each of the k.
 TRIAL = 4
 #: Cost of a posting read by document over one read by term.
@@ -88,7 +92,7 @@ def _shards(shard_words: int):
 def _pack_shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 16
+    number = TaskContext.get().partitionId() << 32
     ids, null, words, ends, have, count = [], [], [], [], 0, 0
 
     def packed():
@@ -297,8 +301,9 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: st
     ready(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = pick(docs).mapInArrow(_shards(shard_words), "shard long, ids binary, nulls binary, lens binary, terms binary, starts binary, docs binary, tfs binary, n_docs long, n_words long")
-    # zeros at the end of a hash: half of all shards have none (level 0), a quarter one, and so on
-    level = F.least(F.length(F.regexp_extract(F.bin(F.xxhash64("shard")), "0*$", 0)), F.lit(LEVELS)).cast("int")
+    # the partition's number and the shard's within it: dense, so that levels and cells come out even
+    place = F.shiftright("shard", 32) + F.col("shard").bitwiseAND((1 << 32) - 1)
+    level = F.least(F.length(F.regexp_extract(F.bin(place), "0*$", 0)), F.lit(LEVELS)).cast("int")  # zeros at its end
     shards = materialize(shards.withColumn("level", level), "shards", parts="level")
     # an id asked twice is one query with the words of its different texts
     asks = pick(queries).filter("doc_id is not null").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("text"))
@@ -313,8 +318,10 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: st
     w = Window.partitionBy("query_id").orderBy(F.col("points").desc(), F.col("doc_id").asc_nulls_last())
     rows = "batch long, query_id long, doc_id long, points long"
     best = materialize(spark.createDataFrame([], rows).withColumn("rank", F.lit(1)), "best")
-    for first, last, cells in _rounds({r[0]: r[1] for r in totals}):
-        cell = F.pmod(F.xxhash64("shard", F.lit(last)), F.lit(cells)).cast("int")
+    for first, last, n in _rounds({r[0]: r[1] for r in totals}):
+        cells = min(n, max(CELLS, -(-n // CELL_SHARDS)))
+        # places of one level alone have a one before their zeros
+        cell = F.pmod(F.shiftright(place, first + (first == last)), F.lit(cells)).cast("int")
         index = shards.filter(F.col("level").between(first, last)).join(sums, "shard", "left").withColumn("found", F.coalesce("found", F.array()))
         index = index.drop("n_docs", "n_words", "level").withColumn("cell", cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         known = best.filter(F.col("rank") == k).groupBy("batch").agg(F.collect_list(F.struct("query_id", "points")).alias("known"))  # 200 a batch at most
