@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize, ready, release, table
+from lexforge.llm.common import give_back, materialize, ready, release, table
 from lexforge.llm.hashing import hash_strings, split_words
 
 K, K1, B = 10, 1.2, 0.75
@@ -266,7 +266,10 @@ def _search(n_docs: int, mean: float, buckets: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shape = pa.schema([("batch", pa.int64()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("points", pa.int64())])
         out = []
+        index = None
         for r in range(left.num_rows if right.num_rows else 0):
+            del index  # one shard at a time, its memory given back before the next is built
+            give_back()
             index = Shard(left.slice(r, 1).to_pylist()[0], n_docs, mean, buckets)
             for a in range(right.num_rows):
                 batch, ids, stops, terms, weights, known = (right.column(c)[a].as_py() for c in ("batch", "ids", "stops", "terms", "weights", "known"))
@@ -276,6 +279,8 @@ def _search(n_docs: int, mean: float, buckets: int, k: int):
                     d, s = index.top(terms[lo:hi], weights[lo:hi], k, theta.get(q, 0.0))
                     if len(d):
                         out.append((np.full(len(d), batch), np.full(len(d), q), index.ids[d], s.astype(np.int64), index.null[d]))
+        del index
+        give_back()
         if not out:
             return shape.empty_table()
         batch, query, doc, points, null = (np.concatenate([o[i] for o in out]) for i in range(5))
