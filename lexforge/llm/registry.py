@@ -15,6 +15,7 @@ from lexforge.llm.quality_classifier import op1_compression_quality
 from lexforge.llm.quality_rules import op2_quality_rules
 from lexforge.llm.sp_codec import op10_sp_codec
 from lexforge.llm.suffix_dedup import OP9_SQL, op9_suffix_dedup
+from lexforge.llm.survivorship import OP13_SQL, op13_golden_record
 from lexforge.llm.topk_search import OP3_SQL, op3_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,8 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_render": op8_html_render,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sp_codec": op10_sp_codec,
+    "op13_golden_record": op13_golden_record,
 }
-ORACLE: dict[str, str] = {"op3_topk_search": OP3_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_suffix_dedup": OP9_SQL}
+ORACLE: dict[str, str] = {"op3_topk_search": OP3_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op13_golden_record": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
