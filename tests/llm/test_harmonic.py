@@ -23,15 +23,37 @@ def odd_texts():
 
 
 def test_encoder_equals_the_tokenizer():
-    enc = harmonic.UnitEncoder(PATH)
+    enc = harmonic.ByteEncoder(PATH)
+    assert enc.fast is not None
     texts = odd_texts()
-    for k in range(0, len(texts), 500):  # the later ones meet known units
+    for k in range(0, len(texts), 500):
         part = texts[k : k + 500]
         ids, ends = enc.encode(pa.array([*["skip me"], *part]).slice(1))
         got = [x.tolist() for x in np.split(ids, ends[:-1])]
         assert got == [[*enc.tok.encode(t or "", add_special_tokens=False).ids, 0] for t in part]
 
 
+def test_encoder_equals_the_tokenizer_on_every_character():
+    enc = harmonic.ByteEncoder(PATH)
+    points = [*range(0x3100), *range(0x3100, 0xD800, 97), *range(0xE000, 0x110000, 997)]
+    texts = [f"a{c}b {c} {c}{c}1{c}.{c} \n{c}" for c in map(chr, points)]
+    got = [enc.fast(t) for t in texts]
+    assert got == [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", [" " * 50_000, "\n" * 50_000 + "a", "x" * 50_000, "é" * 20_000, " a" * 50_000, "a\n\n" * 30_000])
+def test_encoder_of_extreme_texts(text):
+    enc = harmonic.ByteEncoder(PATH)
+    assert enc.fast(text) == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_used_as_they_are():
+    path = tokenizers.path("word_bpe_49k.json")
+    enc = harmonic.ByteEncoder(path)
+    assert enc.fast is None
+    assert enc.ids("Some words, é") == enc.tok.encode("Some words, é", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("max_len", [2, 8, 1024])
 def test_cut(max_len):
     lengths = np.array([1, 2, 3, 1023, 1024, 1025, 5000, 7])
@@ -49,7 +71,7 @@ def test_packing_is_whole_and_without_padding(spark, max_len, parts):
     rows = [(None if i == 9 else i % 50, t, 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int").repartition(parts)
     got = harmonic.pack_harmonic(df, PATH, max_len).collect()
-    tok = harmonic.UnitEncoder(PATH).tok
+    tok = harmonic.ByteEncoder(PATH).tok
     want = defaultdict(int)
     for i, t, _ in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
