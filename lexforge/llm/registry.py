@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexforge.llm.centroids import OP11_SQL, op11_centroid_clustering
 from lexforge.llm.harmonic import op12_harmonic_packing
 from lexforge.llm.html_render import op8_html_render
 from lexforge.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -30,10 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_render": op8_html_render,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sp_codec": op10_sp_codec,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_harmonic_packing": op12_harmonic_packing,
     "op13_golden_record": op13_golden_record,
 }
-ORACLE: dict[str, str] = {"op3_topk_search": OP3_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op13_golden_record": OP13_SQL}
+ORACLE: dict[str, str] = {"op3_topk_search": OP3_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op13_golden_record": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
