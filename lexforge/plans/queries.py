@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, each beside its DuckDB SQL.
 
 There is no termbase among the tables: terms derive from part and associations from lineitem, by the same SQL
-in both engines. The tables hold no Chinese text, so inline documents (CJK_DOCS) exercise those operators.
+in both engines; so do imported rows and dictionary responses. The tables hold no Chinese text either: conversations
+with their letters mapped to Chinese characters exercise those operators.
 """
 
 from __future__ import annotations
@@ -49,29 +50,33 @@ ASSOC_SQL = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS term_id
   CASE l_linenumber % 3 WHEN 0 THEN 'synonym' WHEN 1 THEN 'collocation' ELSE 'translation' END AS relation_type, 1.0 - l_discount AS score, 'manual' AS source FROM lineitem"""
 
 
+def derived(spark: SparkSession, sf: str, sql: str, table: str) -> DataFrame:
+    """The rows of sql, which reads one of the given tables."""
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(plain.replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: read(spark, sf, table)})
+
+
 def terms_of(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(TERMS_SQL.replace("FROM part", "FROM {part}"), part=read(spark, sf, "part"))
+    return derived(spark, sf, TERMS_SQL, "part")
 
 
 def assoc_of(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(ASSOC_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf, "lineitem"))
+    return derived(spark, sf, ASSOC_SQL, "lineitem")
 
 
-CJK_DOCS = [
-    (1, "本合同由甲方和乙方签订。合同条款规定了双方的责任；如有争议，提交仲裁。合同条款不得更改！合同条款有效吗？"),
-    (2, "患者的诊断和治疗需要临床数据。医院使用AI辅助诊断系统，AI系统分析患者的症状。\n\n患者的治疗方案由医生决定。\n \t\n诊断系统提高效率。"),
-    (3, "The software framework uses a database server. WebApplicationFactory and IWebHostBuilder configure the API server. Visit New York City for NASA news."),
-    (4, "数据库服务器 The party of the first part signs the contract 合同 pursuant to clause four. 软件 software 接口 interface 算法."),
-    (5, ""),
-    (6, "Revenue\tand equity　rose!!! The fiscal audit... done? é AB ÀÉ US Treasury Bond and US Treasury Bond."),
-    (7, "研究方法研究方法研究方法分析结论，实验理论实证摘要。" * 12),
-    (8, "hello world " * 400 + "Mixed 内容分析内容分析内容分析内容分析内容分析" + "中文" * 2000),
-]
-CJK_VALUES = "(VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{t}')" for i, t in CJK_DOCS) + ") AS v(doc_id, text)"
+#: Letters, and the Chinese characters that take their place; many pairs are domain keywords.
+_LETTERS, _HANZI = "etaonirshldcumfpgwybvkxjqz", "合同患者诊断资产软件研究方法条款责任临床收入系统算法"
+#: All letters, vowels alone, or all letters with full-width marks, and blank lines after sentences, by turn.
+CJK_SQL = f"""SELECT conv_id * 1000 + turn AS doc_id, CASE turn % 4
+  WHEN 0 THEN translate(lower(text), '{_LETTERS}', '{_HANZI}')
+  WHEN 1 THEN translate(text, 'aeiou', '患合断者方')
+  WHEN 2 THEN replace(replace(translate(lower(text), '{_LETTERS}', '{_HANZI}'), '.', '。'), ',', '；')
+  ELSE concat(replace(text, '. ', concat('.', chr(10), ' ', chr(10))), ' Chat', upper(substring(role, 1, 1)), substring(role, 2, 20), '.') END AS text FROM conversations"""
+CJK_SOURCE = f"({CJK_SQL}) AS v"
 
 
-def cjk_docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CJK_DOCS, "doc_id long, text string")
+def cjk_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, CJK_SQL, "conversations")
 
 
 # document profile (regular expressions in DuckDB's dialect; its \\s is ASCII)
@@ -106,9 +111,9 @@ def _(spark, sf):
     return _profile(read(spark, sf, "documents"))
 
 
-@query("analyze_inline", f"SELECT {_FIELDS} FROM ({_analysis_sql(CJK_VALUES)})")
+@query("analyze_inline", f"SELECT {_FIELDS} FROM ({_analysis_sql(CJK_SOURCE)})")
 def _(spark, sf):
-    return _profile(cjk_docs(spark))
+    return _profile(cjk_docs(spark, sf))
 
 
 @query("analyze_conversations", f"SELECT {_FIELDS}, turn FROM (SELECT a.*, doc_id % 1000 AS turn FROM ({_analysis_sql('(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)')}) a)")
@@ -130,9 +135,9 @@ def _(spark, sf):
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, s_{d} AS score FROM a" for d in DOMAINS)
 
 
-@query("domain_scores_long", f"WITH a AS ({_analysis_sql(CJK_VALUES)}) {_LONG}")
+@query("domain_scores_long", f"WITH a AS ({_analysis_sql(CJK_SOURCE)}) {_LONG}")
 def _(spark, sf):
-    return tx.analyze(cjk_docs(spark)).select("doc_id", F.explode_outer("domain_scores").alias("domain", "score"))
+    return tx.analyze(cjk_docs(spark, sf)).select("doc_id", F.explode_outer("domain_scores").alias("domain", "score"))
 
 
 # explode_outer: explode would add a filter on the map's size, which repeats every keyword search
@@ -156,9 +161,9 @@ def _(spark, sf):
     return _profile(read(spark, sf, "documents")).select("doc_id", "chars_total", "chars_no_space")
 
 
-@query("guess_language", "SELECT doc_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS guessed FROM " + CJK_VALUES)
+@query("guess_language", "SELECT doc_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS guessed FROM " + CJK_SOURCE)
 def _(spark, sf):
-    return cjk_docs(spark).select("doc_id", tx.guess_language(F.col("text")).alias("guessed"))
+    return cjk_docs(spark, sf).select("doc_id", tx.guess_language(F.col("text")).alias("guessed"))
 
 
 # proper nouns
@@ -174,11 +179,11 @@ def _nouns_sql(source: str) -> str:
 
 
 for _name, _kind, _expr in (("proper_noun_phrases", 0, _PHRASES), ("identifiers", 1, _IDENT), ("acronyms", 2, _ACRO)):
-    _src = f"(SELECT doc_id, text FROM documents UNION ALL SELECT 10000000000 + doc_id, text FROM {CJK_VALUES})"
+    _src = f"(SELECT doc_id, text FROM documents UNION ALL SELECT 10000000000 + doc_id, text FROM {CJK_SOURCE})"
 
     @query(_name, f"SELECT doc_id, unnest({_expr}) AS term FROM {_src}")
     def _(spark, sf, kind=_kind):
-        docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(cjk_docs(spark).withColumn("doc_id", F.col("doc_id") + 10_000_000_000))
+        docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(cjk_docs(spark, sf).withColumn("doc_id", F.col("doc_id") + 10_000_000_000))
         return tm.proper_nouns(docs).filter(F.col("kind") == kind).select("doc_id", "term")
 
 
@@ -200,14 +205,14 @@ _CN = "regexp_replace(text, '[^一-鿿]', '', 'g')"
 _PICK = ["doc_id", "n", "term", "frequency", "place"]
 
 
-@query("ngram_topn_cjk", _grams_sql(CJK_VALUES, _CN, 3, 5, 30, 2))
+@query("ngram_topn_cjk", _grams_sql(CJK_SOURCE, _CN, 3, 5, 30, 2))
 def _(spark, sf):
-    return tm.top_ngrams(cjk_docs(spark), 30).select(*_PICK)
+    return tm.top_ngrams(cjk_docs(spark, sf), 30).select(*_PICK)
 
 
-@query("bigram_topn_cjk", _grams_sql(CJK_VALUES, _CN, 2, 2, 30, 1))
+@query("bigram_topn_cjk", _grams_sql(CJK_SOURCE, _CN, 2, 2, 30, 1))
 def _(spark, sf):
-    return tm.top_bigrams(cjk_docs(spark), 30).select(*_PICK)
+    return tm.top_bigrams(cjk_docs(spark, sf), 30).select(*_PICK)
 
 
 @query("ngram_topn_generic", _grams_sql("(SELECT item_id AS doc_id, text FROM benchmark)", "regexp_replace(lower(text), '[^a-z]', '', 'g')", 3, 5, 30, 2))
@@ -233,9 +238,9 @@ SELECT doc_id, term, frequency, score, word_type, rank FROM (SELECT *, row_numbe
 _ROUND = "SELECT doc_id, term, frequency, round(score, 9) AS score, word_type, rank FROM"
 
 
-@query("extract_terms", f"{_ROUND} ({_extract_sql(CJK_VALUES, 30)})")
+@query("extract_terms", f"{_ROUND} ({_extract_sql(CJK_SOURCE, 30)})")
 def _(spark, sf):
-    return tm.extract(cjk_docs(spark), 30).withColumn("score", F.round("score", 9))
+    return tm.extract(cjk_docs(spark, sf), 30).withColumn("score", F.round("score", 9))
 
 
 @query("extract_terms_documents", f"{_ROUND} ({_extract_sql('documents', 30)})")
@@ -243,9 +248,9 @@ def _(spark, sf):
     return tm.extract(read(spark, sf, "documents"), 30).withColumn("score", F.round("score", 9))
 
 
-@query("terms_by_type", f"SELECT doc_id, word_type, min(rank) AS first_rank, array_to_string(list(term ORDER BY rank)[1:10], ', ') AS terms FROM ({_extract_sql(CJK_VALUES, 30)}) GROUP BY ALL")
+@query("terms_by_type", f"SELECT doc_id, word_type, min(rank) AS first_rank, array_to_string(list(term ORDER BY rank)[1:10], ', ') AS terms FROM ({_extract_sql(CJK_SOURCE, 30)}) GROUP BY ALL")
 def _(spark, sf):
-    return tm.terms_by_type(tm.extract(cjk_docs(spark), 30))
+    return tm.terms_by_type(tm.extract(cjk_docs(spark, sf), 30))
 
 
 _TOKENS = f"""SELECT doc_id, unnest(list_concat(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({", ".join(f"'{w}'" for w in tm.STOPWORDS)})),
@@ -356,15 +361,21 @@ def _(spark, sf):
     return tb.merge_counts(a, b, ["id"])
 
 
-_IMPORT = [(1, " alpha ", "甲", None), (2, "alpha", "甲", "it"), (3, "  ", "x", None), (4, "beta", None, ""), (5, "beta", None, "legal"), (6, "gamma", "", "it"), (7, "gamma", "", None), (8, "known", "k", None)]
-_IMPORT_SQL = ", ".join("(" + ", ".join("NULL" if v is None else (str(v) if isinstance(v, int) else f"'{v}'") for v in r) + ")" for r in _IMPORT)
+#: Rows as a file has them: white space around, blank words, missing translations and domains, repeated keys.
+_IMPORT_SQL = """SELECT p_partkey AS line, CASE WHEN p_partkey % 50 = 0 THEN '   ' WHEN p_partkey % 4 = 0 THEN concat(' ', p_name, chr(9)) ELSE p_name END AS word,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN concat(p_brand, '  ') ELSE p_brand END AS translation,
+  CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END AS domain FROM part"""
+_KNOWN_SQL = "SELECT p_name AS word, p_brand AS translation FROM part WHERE p_size < 10"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-@query("import_dedup", f"""SELECT word, translation, domain, lang, status, line FROM (SELECT trim(word) AS word, trim(coalesce(translation, '')) AS translation, domain, 'auto' AS lang, 'draft' AS status, line,
-  row_number() OVER (PARTITION BY trim(word), trim(coalesce(translation, '')) ORDER BY line) AS nth FROM (VALUES {_IMPORT_SQL}) v(line, word, translation, domain) WHERE trim(word) <> '') WHERE nth = 1 AND NOT (word = 'known' AND translation = 'k')""")
+@query("import_dedup", f"""SELECT word, translation, domain, 'auto' AS lang, 'draft' AS status, line FROM (
+  SELECT *, row_number() OVER (PARTITION BY word, translation ORDER BY line) AS nth FROM (
+    SELECT line, {_STRIP.format("word")} AS word, {_STRIP.format("coalesce(translation, '')")} AS translation, domain FROM ({_IMPORT_SQL})) WHERE word <> '') r
+  WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM ({_KNOWN_SQL}) k WHERE k.word = r.word AND k.translation = r.translation)""")
 def _(spark, sf):
-    rows = tb.normalise_import(spark.createDataFrame(_IMPORT, "line int, word string, translation string, domain string"))
-    base = spark.createDataFrame([("known", "k")], "word string, translation string")
+    rows = tb.normalise_import(derived(spark, sf, _IMPORT_SQL, "part"))
+    base = derived(spark, sf, _KNOWN_SQL, "part")
     return tb.new_rows(base, rows, ["line"]).select("word", "translation", "domain", "lang", "status", "line")
 
 
@@ -401,26 +412,22 @@ def _(spark, sf):
 
 # lookups
 
-YOUDAO_JSON = [
-    ("server", '{"errorCode": "0", "query": "server", "translation": ["服务器", "服务员"], "basic": {"explains": ["n. 服务器", "n. 侍者", "n. 发球员"], "us-phonetic": "sɜrvər", "uk-phonetic": ""}, "web": [{"key": "Server", "value": ["服务器", "服务端", "伺服器", "多余"]}, {"key": "Web Server", "value": ["网页服务器"]}]}'),
-    ("bad", '{"errorCode": "108", "translation": ["不"]}'),
-    ("bare", '{"errorCode": "0", "translation": ["光"]}'),
-]
-WEBSTER_JSON = [
-    ("audit", '[{"shortdef": ["a formal examination", "a review"], "meta": {"stems": ["audit", "audits", "audited"], "syns": [["check", "examination", "inspection"], ["review"]]}}, {"shortdef": ["second entry"]}]'),
-    ("typo", '["autid", "audio"]'),
-    ("none", "[]"),
-    ("plain", '[{"shortdef": ["only"]}]'),
-]
-WIKI_JSON = [
-    ("audit", "en", '{"type": "standard", "title": "Audit", "extract": "An audit is an examination."}'),
-    ("audit", "zh", '{"type": "standard", "title": "审计", "extract": "审计是检查。"}'),
-    ("mercury", "en", '{"type": "disambiguation", "title": "Mercury", "extract": "Mercury may refer to"}'),
-    ("mercury", "zh", '{"type": "standard", "extract": "水银。"}'),
-    ("empty", "en", '{"type": "standard", "title": "Empty", "extract": ""}'),
-]
-_RAW = lambda rows, names: "(VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + f") v({names})"
-_Y, _WB, _WK = _RAW(YOUDAO_JSON, "query, json"), _RAW(WEBSTER_JSON, "query, json"), _RAW(WIKI_JSON, "query, lang, json")
+_ID = "CAST(p_partkey AS VARCHAR(20))"
+#: Responses in each service's form, with errors, missing blocks and more items than the limits.
+YOUDAO_SQL = f"""SELECT concat(p_name, ' ', {_ID}) AS query, concat('{{"errorCode": "', CASE WHEN p_partkey % 9 = 0 THEN '108' ELSE '0' END, '"',
+  CASE WHEN p_partkey % 2 = 0 THEN concat(', "query": "', p_name, '"') ELSE '' END,
+  ', "translation": ["', p_brand, '", "', p_type, '", "third"]',
+  CASE WHEN p_partkey % 3 <> 0 THEN concat(', "basic": {{"explains": ["n. ', p_name, '", "v. ', p_brand, '", "adj."], "us-phonetic": "',
+    CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END, '", "uk-phonetic": "', p_brand, '"}}') ELSE '' END,
+  CASE WHEN p_partkey % 4 <> 0 THEN concat(', "web": [{{"key": "', p_name, '", "value": ["', p_brand, '", "b", "c", "d"]}}, {{"key": "服务器", "value": ["', p_type, '"]}}, {{"key": "L", "value": ["z"]}}]') ELSE '' END,
+  '}}') AS json FROM part"""
+WEBSTER_SQL = f"""SELECT concat(p_name, ' ', {_ID}) AS query, CASE WHEN p_partkey % 11 = 0 THEN '[]' WHEN p_partkey % 7 = 0 THEN concat('["', p_name, '", "', p_brand, '"]')
+  ELSE concat('[{{"shortdef": ["a ', p_name, '", "', p_type, '", "third"]', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(', "meta": {{"stems": ["', p_name, '", "', p_name, 's", "x"]',
+    CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat(', "syns": [["', p_brand, '", "', p_type, '", "c"], ["', p_type, '"]]') END, '}}') END, '}}, {{"shortdef": ["second entry"]}}]') END AS json FROM part"""
+_PAGE = f"""SELECT concat(p_name, ' ', {_ID}) AS query, '%s' AS lang, concat('{{"type": "', CASE WHEN p_partkey %% %d = 0 THEN 'disambiguation' ELSE 'standard' END, '"',
+  CASE WHEN p_partkey %% 4 = 0 THEN '' ELSE concat(', "title": "', p_name, '"') END, ', "extract": "', CASE WHEN p_partkey %% 6 = 0 THEN '' ELSE concat('About ', p_type) END, '"}}') AS json FROM part"""
+WIKI_SQL = _PAGE % ("en", 5) + " UNION ALL " + _PAGE % ("zh", 7)
+_Y, _WB, _WK = f"({YOUDAO_SQL}) v", f"({WEBSTER_SQL}) v", f"({WIKI_SQL}) v"
 _SHAPE = "query, word, type, source, score, definition, source_rank, ordinal"
 
 
@@ -441,13 +448,9 @@ _WEBS = f"""SELECT query, k AS word, 'collocation' AS type, 'youdao' AS source,
 _YOUDAO_SQL = " UNION ALL ".join([_block(_Y, _strings("$.translation", 2), "translation", "youdao", 0.95, "coalesce(json_extract_string(json, '$.query'), query)", 1, 0, _OK), _block(_Y, _strings("$.basic.explains", 2), "explanation", "youdao", 0.85, "''", 1, 1, _OK), _PHON, _WEBS])
 
 
-def _raw(spark, rows, names: str) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split(", ")))
-
-
 @query("lookup_flatten_youdao", f"SELECT {_SHAPE} FROM ({_YOUDAO_SQL})")
 def _(spark, sf):
-    return lk.flatten_youdao(_raw(spark, YOUDAO_JSON, "query, json"), 2)
+    return lk.flatten_youdao(derived(spark, sf, YOUDAO_SQL, "part"), 2)
 
 
 _OBJ = "json_type(json, '$[0]') = 'OBJECT'"
@@ -457,7 +460,7 @@ _SYNS = f"""SELECT query, w AS word, 'synonym' AS type, 'webster' AS source, 0.7
 
 @query("lookup_flatten_webster", f"SELECT {_SHAPE} FROM (" + " UNION ALL ".join([_block(_WB, _strings("$[0].shortdef", 2), "definition", "webster", 0.9, "w", 2, 0, _OBJ), _block(_WB, _strings("$[0].meta.stems", 2), "root", "webster", 0.6, "''", 2, 1, _OBJ), _SYNS]) + ")")
 def _(spark, sf):
-    return lk.flatten_webster(_raw(spark, WEBSTER_JSON, "query, json"), 2)
+    return lk.flatten_webster(derived(spark, sf, WEBSTER_SQL, "part"), 2)
 
 
 _WIKI_SQL = f"SELECT query, coalesce(json_extract_string(json, '$.title'), query) AS word, 'concept' AS type, 'wikipedia-' || lang AS source, 0.8::DOUBLE AS score, json_extract_string(json, '$.extract') AS definition, 3 AS source_rank, CASE WHEN lang = 'en' THEN 0 ELSE 1 END::BIGINT AS ordinal FROM {_WK} WHERE coalesce(json_extract_string(json, '$.type'), '') <> 'disambiguation' AND coalesce(json_extract_string(json, '$.extract'), '') <> ''"
@@ -465,7 +468,7 @@ _WIKI_SQL = f"SELECT query, coalesce(json_extract_string(json, '$.title'), query
 
 @query("lookup_flatten_wikipedia", _WIKI_SQL)
 def _(spark, sf):
-    return lk.flatten_wikipedia(_raw(spark, WIKI_JSON, "query, lang, json"), 10)
+    return lk.flatten_wikipedia(derived(spark, sf, WIKI_SQL, "part"), 10)
 
 
 _FED = f"""SELECT query, word, type, source, score, definition, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, source_rank, ordinal) AS place FROM (
@@ -476,7 +479,7 @@ _FED = f"""SELECT query, word, type, source, score, definition, place FROM (SELE
 @query("federated_search", _FED)
 def _(spark, sf):
     local = lk.local_results(terms_of(spark, sf), assoc_of(spark, sf), "al", 4).withColumn("query", F.lit("server"))
-    web = lk.flatten_youdao(_raw(spark, YOUDAO_JSON, "query, json"), 2).unionByName(lk.flatten_wikipedia(_raw(spark, WIKI_JSON, "query, lang, json"), 10))
+    web = lk.flatten_youdao(derived(spark, sf, YOUDAO_SQL, "part"), 2).unionByName(lk.flatten_wikipedia(derived(spark, sf, WIKI_SQL, "part"), 10))
     return lk.federate(local, web, 6).select("query", "word", "type", "source", "score", "definition", F.col("place").cast("long").alias("place"))
 
 
@@ -513,9 +516,9 @@ _COUNTS = f"(SELECT count(*) AS total, count(*) FILTER (status = 'confirmed') AS
 
 
 @query("recommendations", f"""SELECT doc_id, CASE WHEN codes = '' THEN 'none' ELSE codes END AS codes FROM (SELECT doc_id, concat_ws(',', CASE WHEN difficulty = 'hard' THEN 'hard' END, CASE WHEN lang = 'mixed' THEN 'mixed' END, CASE WHEN domain <> 'general' THEN 'domain' END,
-  CASE WHEN confirmed < total * 0.5 THEN 'unconfirmed' END) AS codes FROM ({_analysis_sql(CJK_VALUES)}) a, {_COUNTS})""")
+  CASE WHEN confirmed < total * 0.5 THEN 'unconfirmed' END) AS codes FROM ({_analysis_sql(CJK_SOURCE)}) a, {_COUNTS})""")
 def _(spark, sf):
     counts = terms_of(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "confirmed").alias("confirmed"))
-    a = tx.analyze(cjk_docs(spark)).join(F.broadcast(counts))  # one row
+    a = tx.analyze(cjk_docs(spark, sf)).join(F.broadcast(counts))  # one row
     codes = rp.recommendation_codes(F.col("lang"), F.col("domain"), F.col("difficulty"), F.col("confirmed"), F.col("total"))
     return a.select("doc_id", F.array_join(codes, ",").alias("codes"))
