@@ -85,15 +85,18 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def tfidf_keywords(docs: DataFrame, top_n: int = 30) -> DataFrame:
-    """Term frequency by inverse document frequency over the collection, ln((N + 1) / (df + 1)) + 1."""
+    """Term frequency by inverse document frequency over the collection, ln((N + 1) / (df + 1)) + 1. N is counted at
+    once. A common token's rows are many, but equally long and independent, so adaptive execution can split them."""
+    n = docs.count()
     tf = tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     # counted from tf's own column, so that both sides read one shuffle of tf
     df = tf.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
-    n = docs.agg(F.count("*").alias("docs"))  # one row
-    s = tf.join(df, "token").join(F.broadcast(n)).withColumn("size", F.sum("tf").over(Window.partitionBy("doc_id")))
-    s = s.withColumn("score", F.col("tf") / F.col("size") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1))
-    w = Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "token")  # equal scores may differ in their last digits
-    return s.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top_n).select("doc_id", F.col("token").alias("term"), "tf", "score", "place")
+    s = tf.join(df, "token").withColumn("size", F.sum("tf").over(Window.partitionBy("doc_id")))
+    s = s.withColumn("score", F.col("tf") / F.col("size") * (F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1))
+    # equal scores may differ in their last digits
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "token")
+    best = s.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top_n)
+    return best.select("doc_id", F.col("token").alias("term"), "tf", "score", "place")
 
 
 def segmenter_keywords(docs: DataFrame, top_n: int = 30) -> DataFrame:

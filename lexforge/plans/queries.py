@@ -17,7 +17,7 @@ from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
 from lexforge.operators import report as rp
 from lexforge.operators import termbase as tb
 from lexforge.operators import terms as tm
-from lexforge.pipeline import attach_results, first_translations
+from lexforge.pipeline import first_translations, hit_count, result_summary
 from lexforge.sources import lookup as lk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,18 +487,16 @@ _RES = "(SELECT t.word AS query, a.related_word AS word, a.relation_type AS type
 
 
 def _results(spark, sf) -> DataFrame:
-    from pyspark.sql import Window
-
     t, a = terms_of(spark, sf).select("id", F.col("word").alias("query")), assoc_of(spark, sf).withColumnRenamed("id", "aid")
     j = a.join(t, a["term_id"] == t["id"])
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "related_word", "relation_type", "aid", "id")
-    return j.select("query", F.col("related_word").alias("word"), F.col("relation_type").alias("type"), "source", "score", F.lit("").alias("definition"), F.row_number().over(w).alias("place"))
+    place = F.struct((-F.col("score")).alias("s"), "related_word", "relation_type", "aid", "id")
+    return j.select("query", F.col("related_word").alias("word"), F.col("relation_type").alias("type"), "source", "score", place.alias("place"))
 
 
 @query("pipeline_term_join", f"SELECT term, coalesce(n, 0) AS n_results, best FROM (SELECT DISTINCT word AS term FROM {_T} UNION ALL SELECT 'no such term') x LEFT JOIN (SELECT query, count(*) AS n, arg_min(word, place) AS best FROM {_RES} GROUP BY query) r ON r.query = x.term")
 def _(spark, sf):
     terms = terms_of(spark, sf).select(F.col("word").alias("term")).distinct().unionByName(spark.createDataFrame([("no such term",)], "term string"))
-    return attach_results(terms, _results(spark, sf)).select("term", F.size("search_results").cast("long").alias("n_results"), F.expr("get(search_results, 0).word").alias("best"))
+    return result_summary(terms, _results(spark, sf)).select("term", "n_results", "best")
 
 
 @query("first_translation", f"SELECT query, arg_min(word, place) AS translation FROM {_RES} WHERE type = 'translation' GROUP BY query")
@@ -509,7 +507,7 @@ def _(spark, sf):
 @query("search_hit_count", f"SELECT count(DISTINCT query) AS hits FROM {_RES}")
 def _(spark, sf):
     terms = terms_of(spark, sf).select(F.col("word").alias("term")).distinct()
-    return attach_results(terms, _results(spark, sf)).agg(F.count_if(F.size("search_results") > 0).alias("hits"))
+    return hit_count(terms, _results(spark, sf))
 
 
 _COUNTS = f"(SELECT count(*) AS total, count(*) FILTER (status = 'confirmed') AS confirmed FROM {_T}) c"
