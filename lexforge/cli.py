@@ -17,6 +17,7 @@ from lexforge.operators.termbase import search_terms
 from lexforge.operators.terms import extract, frequency_table
 from lexforge.pipeline import format_pipeline_result, run_pipeline
 from lexforge.sources import lookup as lk
+from lexforge.sources.base import known
 from lexforge.sources.store import Termbase, delete_termbase, list_termbases
 
 
@@ -30,7 +31,7 @@ def load_env(path: str = ".env") -> None:
                     os.environ.setdefault(key.strip(), value.strip().strip("\"'"))
 
 
-def _search(spark: SparkSession, root: str, terms: list[str], source: str, limit: int):
+def _search(spark: SparkSession, root: str, terms: list[str], source: str, limit: int, cache: str = ""):
     """Ranked rows of every term; a missing termbase has no local results."""
     asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "query string")
     local = None
@@ -43,7 +44,7 @@ def _search(spark: SparkSession, root: str, terms: list[str], source: str, limit
                 local = one if local is None else local.unionByName(one)
         except FileNotFoundError:
             local = None
-    web = lk.lookup(asked, lk.http_fetch, limit) if source in ("web", "all") else None
+    web = lk.lookup(asked, lk.http_fetch, limit, cache or None) if source in ("web", "all") else None
     if local is None and web is None:
         return []
     return lk.federate(local, web, limit).orderBy("query", "place").collect()
@@ -66,8 +67,9 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     db_opt, limit = ("--db", {"default": "terms"}), ("--limit", {"type": int, "default": 20})
-    command(sub, "search", ("term",), ("--source", {"choices": ["local", "web", "all"], "default": "all"}), limit)
-    command(sub, "batch", ("input",), ("--output|-o", {"default": ""}), ("--source", {"choices": ["local", "web", "all"], "default": "all"}), limit)
+    cache = ("--cache", {"default": "", "help": "folder of kept responses"})
+    command(sub, "search", ("term",), ("--source", {"choices": ["local", "web", "all"], "default": "all"}), limit, cache)
+    command(sub, "batch", ("input",), ("--output|-o", {"default": ""}), ("--source", {"choices": ["local", "web", "all"], "default": "all"}), limit, cache)
     command(sub, "analyze", ("file",))
     command(sub, "extract", ("file",), ("--top", {"type": int, "default": 30}), ("--strategy", {"default": "bigram"}))
     command(sub, "report", ("file",), ("--name", {"default": "Untitled Project"}), ("--output|-o", {"default": ""}), ("--db", {"default": ""}), ("--notes", {"default": ""}), ("--top", {"type": int, "default": 30}))
@@ -105,10 +107,10 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     root = a.root
     what = a.command if a.command not in ("db", "term") else f"{a.command} {a.action}"
     if what == "search":
-        _print_rows(_search(spark, root, [a.term], a.source, a.limit))
+        _print_rows(_search(spark, root, [a.term], a.source, a.limit, a.cache))
     elif what == "batch":
         lines = [r["t"] for r in spark.read.text(a.input).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("t")).filter("t <> ''").toLocalIterator()]
-        rows = _search(spark, root, lines, a.source, a.limit)
+        rows = _search(spark, root, lines, a.source, a.limit, a.cache)
         by: dict = {}
         for r in rows:
             by.setdefault(r["query"], []).append(r)
@@ -132,8 +134,8 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         else:
             print(text[:2000])
     elif what == "sources":
-        for s in lk.SOURCES:
-            print(f"{s}\t{'available' if lk.available(s) else 'not configured'}")
+        for s in known():
+            print(f"{s.name}\t{'available' if s.available else 'not configured'}")
     elif what == "pipeline":
         formats = [f.strip() for f in a.formats.split(",") if f.strip()]
         print(format_pipeline_result(run_pipeline(spark, root, a.file, None, a.name, a.top, a.search_limit, a.db or None, a.report, formats, a.notes, fetch=lk.http_fetch if a.lookup else None)))

@@ -7,6 +7,7 @@ with their letters mapped to Chinese characters exercise those operators.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from lexforge.operators import termbase as tb
 from lexforge.operators import terms as tm
 from lexforge.pipeline import first_translations, hit_count, result_summary
 from lexforge.sources import lookup as lk
+from lexforge.sources.base import DictSource, item, register, rows
+from lexforge.sources.dictionary import dictionary, lookup_dictionary, write_dictionary
+from lexforge.sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -483,6 +487,71 @@ def _(spark, sf):
     return lk.federate(local, web, 6).select("query", "word", "type", "source", "score", "definition", F.col("place").cast("long").alias("place"))
 
 
+# kept dictionaries and responses
+
+USAGE_SQL = """SELECT l_partkey AS id, concat('{"count": ', CAST(count(*) AS VARCHAR(20)), ', "flags": ["', min(l_returnflag), '", "', max(l_returnflag), '"], "status": "', max(l_linestatus), '"}') AS json
+  FROM lineitem GROUP BY l_partkey"""
+
+
+class Usage(DictSource):
+    """A source of our own: how often a term was used, and under which flags."""
+
+    name, rank, needs_key = "usage", 7, False
+
+    def flatten(self, raw: DataFrame, limit: int) -> DataFrame:
+        d = raw.select("query", F.from_json("json", "count long, flags array<string>, status string").alias("d"))
+        flags = F.transform(F.slice("d.flags", 1, limit), lambda x: item(x, "flag", self.name, 0.95, F.col("d.count").cast("string")))
+        status = F.array(item(F.col("d.status"), "status", self.name, 0.4, F.lit("")))
+        return rows(d, flags, self.rank, 0).unionByName(rows(d, status, self.rank, 1))
+
+
+register(Usage())
+_PLACED = "row_number() OVER (PARTITION BY query ORDER BY score DESC, source_rank, ordinal)"
+_USAGE = f"SELECT concat(p_name, ' ', {_ID}) AS query, json FROM ({USAGE_SQL}) u JOIN part ON p_partkey = id"
+_USAGE_ROWS = f"""SELECT query, w AS word, 'flag' AS type, 'usage' AS source, 0.95::DOUBLE AS score, json_extract_string(json, '$.count') AS definition, 7 AS source_rank, (i - 1)::BIGINT AS ordinal
+  FROM (SELECT query, json, unnest({_strings("$.flags", 2)}) AS w, generate_subscripts({_strings("$.flags", 2)}, 1) AS i FROM ({_USAGE}))
+  UNION ALL SELECT query, json_extract_string(json, '$.status'), 'status', 'usage', 0.4::DOUBLE, '', 7, 1000000::BIGINT FROM ({_USAGE})"""
+_WEBSTER_ROWS = " UNION ALL ".join([_block(_WB, _strings("$[0].shortdef", 2), "definition", "webster", 0.9, "w", 2, 0, _OBJ), _block(_WB, _strings("$[0].meta.stems", 2), "root", "webster", 0.6, "''", 2, 1, _OBJ), _SYNS])
+
+
+def _dictionary(spark: SparkSession, sf: str) -> str:
+    """Two sources' responses, kept as dictionaries in the shared folder."""
+    path = scratch(spark, "dictionary")
+    write_dictionary(derived(spark, sf, WEBSTER_SQL, "part").withColumnRenamed("query", "term"), path, "webster")
+    part = read(spark, sf, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("term"), F.col("p_partkey").alias("id"))
+    write_dictionary(derived(spark, sf, USAGE_SQL, "lineitem").join(part, "id"), path, "usage")
+    return path
+
+
+@query("dictionary_lookup", f"SELECT query, word, type, source, score, definition, {_PLACED} AS place FROM ({_WEBSTER_ROWS} UNION ALL {_USAGE_ROWS}) QUALIFY place <= 4")
+def _(spark, sf):
+    terms = derived(spark, sf, YOUDAO_SQL, "part").select("query")
+    found = lookup_dictionary(terms, _dictionary(spark, sf), ["webster", "usage"], 2)
+    return lk.federate(None, found, 4).select("query", "word", "type", "source", "score", "definition", F.col("place").cast("long").alias("place"))
+
+
+@query("dictionary_range", f"SELECT source, query AS term, json FROM (SELECT 'webster' AS source, query, json FROM {_WB} UNION ALL SELECT 'usage', query, json FROM ({_USAGE})) WHERE query LIKE 'hot %' AND query > 'hot g'")
+def _(spark, sf):
+    return dictionary(spark, _dictionary(spark, sf), pushdown=True).filter("term like 'hot %' and term > 'hot g'").select("source", "term", "json")
+
+
+def _page_of(term: str, endpoint: str) -> str | None:
+    return json.dumps({"type": "standard", "title": term.upper(), "extract": f"{endpoint}: {term}"}) if endpoint == "wikipedia-en" else None
+
+
+def _no_page(term: str, endpoint: str) -> str | None:
+    raise RuntimeError(f"{term} was kept already")
+
+
+@query("kept_responses", "SELECT DISTINCT p_name AS query, upper(p_name) AS word, 'concept' AS type, 'wikipedia-en' AS source, concat('wikipedia-en: ', p_name) AS definition FROM part")
+def _(spark, sf):
+    """Looked up once; the second time all responses come from the kept ones."""
+    asked, path, sources = read(spark, sf, "part").select(F.col("p_name").alias("query")), scratch(spark, "responses"), [lk.Wikipedia()]
+    sources[0].rate = 1e6
+    lk.lookup(asked, _page_of, 9, path, sources)
+    return lk.lookup(asked, _no_page, 9, path, sources).select("query", "word", "type", "source", "definition")
+
+
 _RES = "(SELECT t.word AS query, a.related_word AS word, a.relation_type AS type, a.score, row_number() OVER (PARTITION BY t.word ORDER BY a.score DESC, related_word, relation_type, a.id, t.id) AS place FROM " + f"{_A} a JOIN {_T} t ON t.id = a.term_id)"
 
 

@@ -15,6 +15,7 @@ from lexforge.functions.text import analyze, summary
 from lexforge.operators.terms import extract
 from lexforge.pipeline import run_pipeline
 from lexforge.sources import lookup as lk
+from lexforge.sources.base import known
 from lexforge.sources.store import Termbase, list_termbases
 
 
@@ -99,7 +100,7 @@ class Service:
         return self.spark.createDataFrame([("text", text)], "doc_id string, text string")
 
     def sources(self, _: dict) -> dict:
-        return {"sources": [{"name": s, "available": lk.available(s)} for s in lk.SOURCES]}
+        return {"sources": [{"name": s.name, "available": s.available} for s in known()]}
 
     def analyze(self, body: dict) -> dict:
         row = analyze(self._docs(_need(TextRequest(**body).text, "text"))).drop("text", "doc_id").head()

@@ -1,14 +1,16 @@
 """Dictionary lookups: raw JSON responses flattened by from_json, federated with local results.
 
-Responses come from a fetcher (term, source) -> JSON text or None. Fetching is off unless a fetcher is given;
-an HTTP one is provided. Flattening is plain DataFrame work: one projection per block of a response.
+Sources are DictSource objects (sources/base.py); the three built-in ones register themselves here. Responses come from
+a fetcher (term, endpoint) -> JSON text or None. Fetching is off unless a fetcher is given; http_fetch asks the sources
+themselves. Flattening is plain DataFrame work: one projection per block of a response. Results can be kept: with a
+cache folder, only terms without a kept response are asked for again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
@@ -18,23 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.schemas import LOOKUP
+from lexforge.sources.base import DictSource, item, known, register, rows, source
+from lexforge.sources.files import Files
+from lexforge.sources.shared import scratch, workers_import
 
-#: In the order in which results of equal score are listed, after local ones (rank 0).
-SOURCES = ["youdao", "webster", "wikipedia"]
-RANK = {"local": 0, "youdao": 1, "webster": 2, "wikipedia": 3}
 _YOUDAO = "errorCode string, query string, translation array<string>, basic struct<explains: array<string>, `us-phonetic`: string, `uk-phonetic`: string>, web array<struct<key: string, value: array<string>>>"
 _WEBSTER = "shortdef array<string>, meta struct<stems: array<string>, syns: array<array<string>>>"
 _WIKIPEDIA = "type string, title string, extract string"
+_RANK = {"youdao": 1, "webster": 2, "wikipedia": 3}
 
 
-def _rows(df: DataFrame, items, source: str, block: int) -> DataFrame:
-    """query, ordinal and the fields of each struct(word, type, score, definition) in items."""
-    e = df.select("query", F.posexplode(items).alias("pos", "x"))
-    return e.select("query", F.col("x.word").alias("word"), F.col("x.type").alias("type"), F.col("x.source").alias("source"), F.col("x.score").alias("score"), F.col("x.definition").alias("definition"), F.lit(RANK[source]).alias("source_rank"), (F.lit(block * 1_000_000).cast("long") + F.col("pos")).alias("ordinal"))
+def _rows(df: DataFrame, items, name: str, block: int) -> DataFrame:
+    return rows(df, items, _RANK[name], block)
 
 
-def _item(word, kind: str, source: str, score: float, definition) -> object:
-    return F.struct(word.alias("word"), F.lit(kind).alias("type"), F.lit(source).alias("source"), F.lit(score).alias("score"), definition.alias("definition"))
+_item = item
 
 
 def _first(arr, limit: int):
@@ -67,7 +67,7 @@ def flatten_wikipedia(raw: DataFrame, limit: int = 10) -> DataFrame:
     """raw(query, lang, json): a concept per language, English first; no disambiguation pages or empty extracts."""
     d = raw.select("query", "lang", F.from_json("json", _WIKIPEDIA).alias("d")).filter("coalesce(d.type, '') <> 'disambiguation' and coalesce(d.extract, '') <> ''")
     order = F.when(F.col("lang") == "en", 0).otherwise(1)
-    out = d.select("query", F.coalesce("d.title", "query").alias("word"), F.lit("concept").alias("type"), F.concat(F.lit("wikipedia-"), "lang").alias("source"), F.lit(0.8).alias("score"), F.col("d.extract").alias("definition"), F.lit(RANK["wikipedia"]).alias("source_rank"), order.cast("long").alias("ordinal"))
+    out = d.select("query", F.coalesce("d.title", "query").alias("word"), F.lit("concept").alias("type"), F.concat(F.lit("wikipedia-"), "lang").alias("source"), F.lit(0.8).alias("score"), F.col("d.extract").alias("definition"), F.lit(_RANK["wikipedia"]).alias("source_rank"), order.cast("long").alias("ordinal"))
     # the English page alone when one result is asked for and it exists
     best = out.groupBy("query").agg(F.min("ordinal").alias("_first"))
     return out.join(best, "query").filter(F.col("ordinal") < F.col("_first") + max(1, limit)).drop("_first") if limit < 2 else out
@@ -75,7 +75,7 @@ def flatten_wikipedia(raw: DataFrame, limit: int = 10) -> DataFrame:
 
 def source_limit(limit: int) -> int:
     """Results asked of each source."""
-    return max(1, limit // max(1, len(SOURCES)))
+    return max(1, limit // max(1, len(known())))
 
 
 def federate(local: DataFrame | None, web: DataFrame | None, limit: int = 20, query_col: str = "query") -> DataFrame:
@@ -98,7 +98,7 @@ def local_results(terms: DataFrame, associations: DataFrame, query: str, limit:
 
     got = search_associations(terms, associations, query, limit)
     w = Window.orderBy(F.col("score").desc(), "word", "type", "source")
-    return got.select(F.lit(query).alias("query"), "word", "type", "source", "score", F.lit(None).cast("string").alias("definition"), F.lit(RANK["local"]).alias("source_rank"), F.row_number().over(w).cast("long").alias("ordinal"))
+    return got.select(F.lit(query).alias("query"), "word", "type", "source", "score", F.lit(None).cast("string").alias("definition"), F.lit(0).alias("source_rank"), F.row_number().over(w).cast("long").alias("ordinal"))
 
 
 # fetching
@@ -106,55 +106,148 @@ def local_results(terms: DataFrame, associations: DataFrame, query: str, limit:
 Fetcher = Callable[[str, str], str | None]
 
 
-def credentials(name: str) -> tuple[str, str]:
-    """Key and secret of a source from LEXFORGE_<NAME>_KEY and _SECRET."""
-    return os.environ.get(f"LEXFORGE_{name.upper()}_KEY", ""), os.environ.get(f"LEXFORGE_{name.upper()}_SECRET", "")
-
-
 def available(name: str) -> bool:
     """Whether a source can be asked: it has a key, or needs none."""
-    return name == "wikipedia" or bool(credentials(name)[0])
+    return source(name).available
 
 
 def youdao_signature(key: str, term: str, salt: str, now: str, secret: str) -> str:
     return hashlib.sha256((key + term + salt + now + secret).encode()).hexdigest()
 
 
-def http_fetch(term: str, source: str) -> str | None:
-    """The response's text, or None on any failure. source: youdao, webster, wikipedia-en or wikipedia-zh."""
-    key, secret = credentials(source.split("-")[0])
-    if source == "youdao":
-        salt, now = str(uuid.uuid4()), str(int(time.time()))
-        args = {"q": term, "from": "auto", "to": "auto", "appKey": key, "salt": salt, "sign": youdao_signature(key, term, salt, now, secret), "signType": "v3", "curtime": now}
-        url, wait = "https://openapi.youdao.com/api?" + urllib.parse.urlencode(args), 10
-    elif source == "webster":
-        url, wait = f"https://www.dictionaryapi.com/api/v3/references/collegiate/json/{urllib.parse.quote(term)}?key={key}", 10
-    else:
-        url, wait = f"https://{source[-2:]}.wikipedia.org/api/rest_v1/page/summary/{urllib.parse.quote(term.strip())}", 8
+def _get(url: str, wait: float) -> str | None:
+    """The body of a 200 response, None for another one; what a second try may mend is raised."""
+    ask = urllib.request.Request(url, headers={"User-Agent": "lexforge/0.1"})
     try:
-        ask = urllib.request.Request(url, headers={"User-Agent": "lexforge/0.1"})
         with urllib.request.urlopen(ask, timeout=wait) as r:  # noqa: S310
             return r.read().decode("utf-8") if r.status == 200 else None
-    except Exception:  # noqa: BLE001  a failed lookup is an empty one
+    except urllib.error.HTTPError as e:
+        if e.code == 429 or e.code >= 500:
+            raise
         return None
 
 
-def lookup(terms: DataFrame, fetch: Fetcher | None, limit: int = 20) -> DataFrame:
-    """Web results for every distinct query in terms(query). Without a fetcher there are none."""
-    spark: SparkSession = terms.sparkSession
-    if fetch is None:
-        return spark.createDataFrame([], LOOKUP)
-    ask = [s for s in ("youdao", "webster") if available(s)] + ["wikipedia-en", "wikipedia-zh"]
+class Youdao(DictSource):
+    name, rank = "youdao", _RANK["youdao"]
+
+    def fetch(self, term: str, page: str = "") -> str | None:
+        salt, now = str(uuid.uuid4()), str(int(time.time()))
+        sign = youdao_signature(self.key, term, salt, now, self.secret)
+        args = {"q": term, "from": "auto", "to": "auto", "appKey": self.key, "salt": salt, "sign": sign, "signType": "v3", "curtime": now}
+        return _get("https://openapi.youdao.com/api?" + urllib.parse.urlencode(args), 10)
+
+    def flatten(self, raw: DataFrame, limit: int) -> DataFrame:
+        return flatten_youdao(raw, limit)
+
+
+class Webster(DictSource):
+    name, rank = "webster", _RANK["webster"]
+
+    def fetch(self, term: str, page: str = "") -> str | None:
+        return _get(f"https://www.dictionaryapi.com/api/v3/references/collegiate/json/{urllib.parse.quote(term)}?key={self.key}", 10)
+
+    def flatten(self, raw: DataFrame, limit: int) -> DataFrame:
+        return flatten_webster(raw, limit)
+
+
+class Wikipedia(DictSource):
+    name, rank, needs_key = "wikipedia", _RANK["wikipedia"], False
+    pages = ("en", "zh")
 
-    def run(batches) -> Iterator:
+    def fetch(self, term: str, page: str = "") -> str | None:
+        return _get(f"https://{page}.wikipedia.org/api/rest_v1/page/summary/{urllib.parse.quote(term.strip())}", 8)
+
+    def flatten(self, raw: DataFrame, limit: int) -> DataFrame:
+        return flatten_wikipedia(raw, limit)
+
+
+for _s in (Youdao(), Webster(), Wikipedia()):
+    register(_s)
+
+
+def http_fetch(term: str, endpoint: str) -> str | None:
+    """The response of a registered source's endpoint; None where there is none."""
+    name, _, page = endpoint.partition("-")
+    return source(name).fetch(term, page)
+
+
+def fetch_all(asked: DataFrame, fetch: Fetcher, sources: list[DictSource], seconds: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """query, source, lang, json: the response of every source's pages to every query of asked(query), null where
+    there is none. A source's queries are dealt out apart from the other sources', so a slow one doesn't hold them up;
+    a task keeps to the source's rate, and waits twice as long before each further try of a failed request."""
+    workers_import(asked.sparkSession)
+    ends = F.array(*[F.struct(F.lit(s.name).alias("source"), F.lit(p).alias("lang")) for s in sources for p in s.pages])
+    by = {s.name: s for s in sources}
+    own = fetch is http_fetch  # sources fetch by themselves, also those that a worker hasn't registered
+
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        last: dict[str, float] = {}
+
+        def one(q: str, name: str, page: str) -> str | None:
+            s = by[name]
+            for k in range(s.tries):
+                wait = max(0.0, last.get(name, -1e9) + (2**k) / s.rate - seconds())
+                if wait:
+                    sleep(wait)
+                last[name] = seconds()
+                try:
+                    return s.fetch(q, page) if own else fetch(q, s.endpoint(page))
+                except Exception:  # noqa: BLE001  a lookup that fails to the end is an empty one
+                    continue
+            return None
+
         for b in batches:
-            yield pd.DataFrame([(q, s, fetch(q, s)) for q in b["query"] for s in ask], columns=["query", "source", "json"])
+            yield pd.DataFrame({"query": b["query"], "source": b["source"], "lang": b["lang"], "json": [one(*x) for x in zip(b["query"], b["source"], b["lang"], strict=True)]})
 
-    raw = terms.select("query").distinct().mapInPandas(run, "query string, source string, json string").filter("json is not null").persist()
-    per = source_limit(limit)
-    wiki = raw.filter("source like 'wikipedia-%'").select("query", F.substring("source", -2, 2).alias("lang"), "json")
-    return flatten_youdao(raw.filter("source = 'youdao'"), per).unionByName(flatten_webster(raw.filter("source = 'webster'"), per)).unionByName(flatten_wikipedia(wiki, per))
+    # a range of terms and a source to a task
+    pairs = asked.select("query", F.explode(ends).alias("e")).select("query", "e.source", "e.lang").repartitionByRange("source", "query")
+    return pairs.mapInPandas(run, "query string, source string, lang string, json string")
 
 
+def lookup(terms: DataFrame, fetch: Fetcher | None, limit: int = 20, cache: str | None = None, sources: list[DictSource] | None = None) -> DataFrame:
+    """Web results for every distinct query in terms(query), of the sources that can be asked. Without a fetcher there
+    are none. cache: a folder of kept responses; a query and page found there isn't asked for again, new responses
+    (also that there is none) are added, and all are read from there, so nothing is fetched twice by one result."""
+    spark: SparkSession = terms.sparkSession
+    if fetch is None:
+        return spark.createDataFrame([], LOOKUP)
+    ask = [s for s in (known() if sources is None else sources) if s.available]
+    if not ask:
+        return spark.createDataFrame([], LOOKUP)
+    asked = terms.select("query").filter("query is not null").distinct()
+    kept = ResponseCache(spark, cache or scratch(spark, "responses"))
+    kept.add(asked, fetch, ask)
+    raw = kept.rows().join(asked, "query", "left_semi").filter("json is not null")
+    per = source_limit(limit)
+    out = None
+    for s in ask:
+        one = s.flatten(raw.filter(F.col("source") == s.name).select("query", "lang", "json"), per)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+class ResponseCache:
+    """Kept responses: query, source, lang, json and when they came, as Parquet by source. A pair of query and page is
+    kept once; a run adds what is missing and never writes over what is there."""
+
+    SCHEMA = "query string, lang string, json string, fetched_at timestamp, source string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        if not Files(self.spark).folders(self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def add(self, asked: DataFrame, fetch: Fetcher, sources: list[DictSource]) -> None:
+        """Fetch and keep what isn't there yet of every source's pages."""
+        have = self.rows()
+        for s in sources:
+            # pages of a source that are all there leave no query to ask for
+            of = have.filter(F.col("source") == s.name).groupBy("query").agg(F.count_distinct("lang").alias("n")).filter(F.col("n") >= len(s.pages))
+            new = fetch_all(asked.join(of, "query", "left_anti"), fetch, [s]).withColumn("fetched_at", F.current_timestamp())
+            new = new.join(have.select("query", "source", "lang"), ["query", "source", "lang"], "left_anti")
+            new.select("query", "lang", "json", "fetched_at", "source").write.mode("append").partitionBy("source").parquet(self.path)
