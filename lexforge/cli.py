@@ -38,10 +38,7 @@ def _search(spark: SparkSession, root: str, terms: list[str], source: str, limit
     if source in ("local", "all"):
         try:
             base = Termbase(spark, root)
-            t, a = base.terms, base.associations
-            for q in dict.fromkeys(terms):
-                one = lk.local_results(t, a, q, limit)
-                local = one if local is None else local.unionByName(one)
+            local = lk.local_results_many(base.terms, base.associations, asked, limit)
         except FileNotFoundError:
             local = None
     web = lk.lookup(asked, lk.http_fetch, limit, cache or None) if source in ("web", "all") else None

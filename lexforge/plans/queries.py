@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
 from lexforge.operators import report as rp
+from lexforge.operators import substring as sub
 from lexforge.operators import termbase as tb
 from lexforge.operators import terms as tm
 from lexforge.pipeline import first_translations, hit_count, result_summary
@@ -291,6 +292,50 @@ def _(spark, sf):
     return tb.search_terms(terms_of(spark, sf), "EGAL", 20)
 
 
+# many searches at once
+
+_BENCH_WORDS = "SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS pattern FROM benchmark"
+_KINDS = "SELECT DISTINCT unnest(string_split(lower(concat(p_name, ' ', p_type)), ' ')) AS query FROM part"
+
+
+def _bench_words(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.explode(F.split("text", "[^\\p{L}]+", -1)).alias("pattern")).distinct()
+
+
+def _kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("query")).distinct()
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HITS = f"{_FOLD.format('{0}')} LIKE concat('%', {_FOLD.format('{1}')}, '%')"
+
+
+@query("substring_matches", f"SELECT pattern, p_name AS word, count(*) AS n FROM part JOIN ({_BENCH_WORDS}) ON {_HITS.format('p_name', 'pattern')} GROUP BY ALL")
+def _(spark, sf):
+    found = sub.search_many(read(spark, sf, "part").select("p_name"), "p_name", _bench_words(spark, sf))
+    return found.groupBy("pattern", F.col("p_name").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query("substring_patterns", f"""SELECT pattern, word, count(*) AS n FROM (SELECT p_name AS word FROM part) JOIN (SELECT DISTINCT concat(upper(substring(p_name, 1, 2)), '_', substring(p_name, 4, 2), '%', right(p_name, 2)) AS pattern FROM part)
+  ON {_HITS.format("word", "pattern")} GROUP BY ALL""")
+def _(spark, sf):
+    names = read(spark, sf, "part").select(F.col("p_name").alias("word"))
+    wild = names.select(F.concat(F.upper(F.substring("word", 1, 2)), F.lit("_"), F.substring("word", 4, 2), F.lit("%"), F.expr("right(word, 2)")).alias("pattern"))
+    return sub.search_many(names, "word", wild).groupBy("pattern", "word").agg(F.count("*").alias("n"))
+
+
+@query("batch_term_search", f"""SELECT query, place, id, word FROM (SELECT query, id, word, row_number() OVER (PARTITION BY query ORDER BY updated_at DESC, id DESC) AS place
+  FROM {_T} t JOIN ({_KINDS}) ON {_HITS.format("word", "query")} OR {_HITS.format("translation", "query")} OR {_HITS.format("domain", "query")}) WHERE place <= 20""")
+def _(spark, sf):
+    return sub.search_terms_many(terms_of(spark, sf), _kinds(spark, sf), 20).select("query", "place", "id", "word")
+
+
+@query("batch_search", f"""SELECT query, word, type, source, score, place FROM (SELECT query, related_word AS word, relation_type AS type, source, a.score, row_number() OVER (PARTITION BY query ORDER BY a.score DESC, related_word, relation_type, source) AS place
+  FROM {_A} a JOIN {_T} t ON t.id = a.term_id JOIN ({_KINDS}) ON {_HITS.format("t.word", "query")}) WHERE place <= 5""")
+def _(spark, sf):
+    return sub.search_associations_many(terms_of(spark, sf), assoc_of(spark, sf), _kinds(spark, sf), 5)
+
+
 @query("filter_domain", f"SELECT {_TS} FROM {_T} WHERE domain = 'it' ORDER BY word, id LIMIT 100")
 def _(spark, sf):
     return tb.filter_by(terms_of(spark, sf), "domain", "it", 100)

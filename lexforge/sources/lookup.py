@@ -101,6 +101,15 @@ def local_results(terms: DataFrame, associations: DataFrame, query: str, limit:
     return got.select(F.lit(query).alias("query"), "word", "type", "source", "score", F.lit(None).cast("string").alias("definition"), F.lit(0).alias("source_rank"), F.row_number().over(w).cast("long").alias("ordinal"))
 
 
+def local_results_many(terms: DataFrame, associations: DataFrame, asked: DataFrame, limit: int = 20) -> DataFrame:
+    """local_results() of every distinct query of asked(query), by one join."""
+    from lexforge.operators.substring import search_associations_many
+
+    got = search_associations_many(terms, associations, asked, limit)
+    none = F.lit(None).cast("string").alias("definition")
+    return got.select("query", "word", "type", "source", "score", none, F.lit(0).alias("source_rank"), F.col("place").alias("ordinal"))
+
+
 # fetching
 
 Fetcher = Callable[[str, str], str | None]
