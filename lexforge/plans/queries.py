@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
+from lexforge.operators import keywords as kw
 from lexforge.operators import report as rp
 from lexforge.operators import substring as sub
 from lexforge.operators import termbase as tb
@@ -171,6 +172,35 @@ def _(spark, sf):
     return cjk_docs(spark, sf).select("doc_id", tx.guess_language(F.col("text")).alias("guessed"))
 
 
+# keyword tables
+
+_NAMES = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part"
+_TYPES = "SELECT DISTINCT lower(p_type) AS domain, unnest(string_split(p_name, ' ')) AS keyword FROM part"
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("keyword")).distinct()
+
+
+@query("keyword_table_hits", f"SELECT DISTINCT doc_id, keyword FROM documents JOIN ({_NAMES}) ON contains(text, keyword)")
+def _(spark, sf):
+    return kw.keyword_hits(read(spark, sf, "documents"), _names(spark, sf))
+
+
+@query("keyword_table_joined", f"SELECT DISTINCT doc_id, keyword FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) JOIN ({_NAMES}) ON contains(text, keyword)")
+def _(spark, sf):
+    """By the join on grams, as for tables too large to broadcast."""
+    docs = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return kw.keyword_hits(docs, _names(spark, sf), most_bytes=0)
+
+
+@query("keyword_table_scores", f"""SELECT doc_id, domain, count(*) AS hits, least(1.0::DOUBLE, count(*)::DOUBLE / greatest(1.0::DOUBLE, any_value(n) * 0.1::DOUBLE)) AS score
+  FROM (SELECT DISTINCT doc_id, domain, keyword, n FROM documents JOIN (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM ({_TYPES})) ON contains(lower(text), keyword)) GROUP BY doc_id, domain""")
+def _(spark, sf):
+    lists = read(spark, sf, "part").select(F.lower("p_type").alias("domain"), F.explode(F.split("p_name", " ")).alias("keyword")).distinct()
+    return kw.keyword_scores(read(spark, sf, "documents"), lists)
+
+
 # proper nouns
 
 _W = r"[^\p{L}\p{N}_]"
