@@ -80,9 +80,14 @@ def stats(terms: DataFrame, associations: DataFrame, name: str = "terms", domain
 
 def catalog(bases: dict[str, DataFrame]) -> DataFrame:
     """base, total_terms and langs (values by falling count, comma-joined) of every termbase."""
-    each = [df.select(F.lit(n).alias("base"), "lang") for n, df in sorted(bases.items())]
-    u = reduce(lambda a, b: a.unionByName(b), each)
-    g = u.groupBy("base", "lang").agg(F.count("*").alias("n")).groupBy("base").agg(F.sum("n").alias("total_terms"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "lang"))).alias("p"))
+    return catalog_of(reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(n).alias("base"), "lang") for n, df in sorted(bases.items())]))
+
+
+def catalog_of(terms: DataFrame) -> DataFrame:
+    """The catalog of terms(base, lang)."""
+    by_lang = terms.groupBy("base", "lang").agg(F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "lang"))).alias("p")
+    g = by_lang.groupBy("base").agg(F.sum("n").alias("total_terms"), ordered)
     return g.select("base", "total_terms", F.expr("array_join(transform(p, x -> x.lang), ', ')").alias("langs"))
 
 

@@ -25,6 +25,8 @@ from lexforge.sources import lookup as lk
 from lexforge.sources.base import DictSource, item, register, rows
 from lexforge.sources.dictionary import dictionary, lookup_dictionary, write_dictionary
 from lexforge.sources.shared import scratch
+from lexforge.sources.store import Termbase, all_terms
+from lexforge.streaming.intake import add_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -562,6 +564,60 @@ def _(spark, sf):
     return lk.federate(local, web, 6).select("query", "word", "type", "source", "score", "definition", F.col("place").cast("long").alias("place"))
 
 
+# changes through the store
+
+
+def _base(spark: SparkSession, sf: str, name: str = "base") -> Termbase:
+    """A termbase with the derived terms and associations."""
+    base = Termbase.create(spark, scratch(spark, "termbases"), name)
+    base.load(terms_of(spark, sf), assoc_of(spark, sf))
+    return base
+
+
+@query("store_update", f"""SELECT id, CASE WHEN id = 42 THEN 'last word' WHEN id = 43 THEN 'other word' ELSE word END AS word, CASE WHEN id % 5 = 0 THEN 'deprecated' ELSE status END AS status,
+  CASE WHEN id % 5 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' WHEN id IN (42, 43) THEN NULL ELSE updated_at END AS updated_at FROM {_T}""")
+def _(spark, sf):
+    """A set of rows, then single ones, one of them twice: read through their deltas."""
+    base = _base(spark, sf)
+    base.update_where(F.col("id") % 5 == 0, F.expr("timestamp '2025-01-01 00:00:00'"), status="deprecated", no_such="x")
+    base.update_term(42, word="first word")
+    base.update_term(43, word="other word")
+    base.update_term(42, word="last word")
+    return base.terms.select("id", "word", "status", F.when(~F.col("id").isin(42, 43), F.col("updated_at")).alias("updated_at"))
+
+
+@query("store_delete", f"SELECT 'terms' AS part, count(*) AS n, sum(id) AS ids FROM {_T} WHERE id % 10 <> 0 UNION ALL SELECT 'associations', count(*), sum(term_id) FROM {_A} WHERE term_id % 10 <> 0")
+def _(spark, sf):
+    """Terms and what hangs on them deleted; the terms then compacted, the associations read through their deltas."""
+    base = _base(spark, sf)
+    base.delete_where(F.col("id") % 10 == 0)
+    base.compact("terms")
+    t = base.terms.agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit("terms").alias("part"), "n", "ids")
+    a = base.associations.agg(F.count("*").alias("n"), F.sum("term_id").alias("ids")).select(F.lit("associations").alias("part"), "n", "ids")
+    return t.unionByName(a)
+
+
+@query("store_catalog", f"SELECT base, sum(n)::BIGINT AS total_terms, array_to_string(list(lang ORDER BY n DESC, lang), ', ') AS langs FROM (SELECT concat('base-', id % 3) AS base, CASE WHEN id % 4 = 0 THEN 'en' ELSE lang END AS lang, count(*) AS n FROM {_T} WHERE id % 7 <> 0 GROUP BY ALL) GROUP BY base")
+def _(spark, sf):
+    """Three termbases, changed, counted by one read over all of them."""
+    root, t = scratch(spark, "termbases"), terms_of(spark, sf)
+    for k in range(3):
+        base = Termbase.create(spark, root, f"base-{k}")
+        base.load(t.filter(F.col("id") % 3 == k))
+        base.update_where(F.col("id") % 4 == 0, lang="en")
+        base.delete_where(F.col("id") % 7 == 0)
+    return tb.catalog_of(all_terms(spark, root, {f"base-{k}": Termbase(spark, root, f"base-{k}")._state() for k in range(3)}))
+
+
+@query("store_batches", f"SELECT word, translation, count(*) AS n FROM (SELECT DISTINCT word, translation FROM {_T}) GROUP BY ALL")
+def _(spark, sf):
+    """Batches of a stream, one of them delivered again: every pair of word and translation is there once."""
+    base, rows = Termbase.create(spark, scratch(spark, "termbases"), "stream"), terms_of(spark, sf).select("word", "translation")
+    for number in (0, 1, 1, 2, 0):
+        add_batch(base, rows.filter(F.pmod(F.xxhash64("word"), F.lit(2)) == number % 2), "words", number)
+    return base.terms.groupBy("word", "translation").agg(F.count("*").alias("n"))
+
+
 # kept dictionaries and responses
 
 USAGE_SQL = """SELECT l_partkey AS id, concat('{"count": ', CAST(count(*) AS VARCHAR(20)), ', "flags": ["', min(l_returnflag), '", "', max(l_returnflag), '"], "status": "', max(l_linestatus), '"}') AS json

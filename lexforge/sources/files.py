@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,6 +46,47 @@ class Files:
         how[0] = overwrite
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
 
+    def create(self, path: str, data: bytes) -> bool:
+        """Write a file unless there is one of that name; False then. Of several writers one succeeds, and readers see
+        all of it or nothing: a link on a local disk, a rename that doesn't replace elsewhere (one step on HDFS)."""
+        p, fs = self._at(path)
+        tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(tmp, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        whole, part = fs.makeQualified(p), fs.makeQualified(tmp)
+        try:
+            if fs.getScheme() == "file":
+                try:
+                    os.link(part.toUri().getPath(), whole.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            if fs.exists(p):
+                return False
+            how = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            try:
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self.conf).rename(part, whole, how)
+            except Exception:
+                if fs.exists(p):
+                    return False
+                raise
+            return True
+        finally:
+            fs.delete(tmp, False)
+
+    def names(self, path: str) -> list[str]:
+        """Names of the files in a folder."""
+        p, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        p, fs = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def folders(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
