@@ -122,6 +122,11 @@ def candidates(docs: DataFrame, top_n: int = 30, strategy: str = "bigram") -> Da
         first = top_bigrams(src, top_n).select("doc_id", "term", "frequency", "score", "word_type", (F.col("place")).cast("long").alias("ord"))
     elif strategy == "tfidf":
         first = tfidf_keywords(src, top_n).select("doc_id", "term", F.lit(1).cast("long").alias("frequency"), "score", F.lit("keyword").alias("word_type"), F.col("place").cast("long").alias("ord"))
+    elif strategy == "newwords":
+        from lexforge.operators.newwords import match_words, new_words
+
+        own = match_words(src, new_words(src), top_n)
+        first = own.select("doc_id", "term", "frequency", "score", F.lit("keyword").alias("word_type"), F.col("place").cast("long").alias("ord"))
     elif strategy == "segmenter":
         first = segmenter_keywords(src, top_n).select("doc_id", "term", F.lit(1).cast("long").alias("frequency"), "score", F.lit("keyword").alias("word_type"), F.col("place").cast("long").alias("ord"))
     else:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
+from lexforge.functions.pieces import analyze_pieces
 from lexforge.operators import keywords as kw
+from lexforge.operators import newwords as nw
 from lexforge.operators import report as rp
 from lexforge.operators import substring as sub
 from lexforge.operators import termbase as tb
@@ -140,6 +142,16 @@ def _(spark, sf):
     return _profile(read(spark, sf, "documents")).groupBy("domain", "difficulty").agg(F.count("*").alias("n"))
 
 
+@query("analyze_pieces", f"SELECT {_FIELDS} FROM ({_analysis_sql('documents')})")
+def _(spark, sf):
+    """The same profiles from pieces of a hundred characters."""
+    n = F.floor((F.length("text") + 99) / 100).cast("int")
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    rows = read(spark, sf, "documents").select("doc_id", "text", F.explode(at).alias("piece"))
+    pieces = rows.select("doc_id", "piece", F.expr("substring(text, piece * 100 + 1, 100)").alias("text"))
+    return analyze_pieces(pieces).select(*_FIELDS.split(", "))
+
+
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, s_{d} AS score FROM a" for d in DOMAINS)
 
 
@@ -301,6 +313,32 @@ def _(spark, sf):
     return tm.tfidf_keywords(read(spark, sf, "documents").select("doc_id", "text"), 10).select("doc_id", "term", "tf", F.round("score", 9).alias("score"))
 
 
+def _new_words_sql(source: str, pattern: str, text: str, longest: int, least: int, pmi: float, entropy: float) -> str:
+    side = """SELECT gram, ln(sum(n)::DOUBLE) - sum(n * ln(n::DOUBLE)) / sum(n) AS h FROM (SELECT gram, {0}, sum(n) AS n FROM g GROUP BY ALL) GROUP BY gram"""
+    return f"""WITH r AS (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all({text}, '{pattern}')) AS run FROM {source}) GROUP BY run),
+g AS (SELECT gram, l, r, sum(times) AS n FROM (SELECT times, substring(run, i, k) AS gram, CASE WHEN i > 1 THEN substring(run, i - 1, 1) ELSE '' END AS l, substring(run, i + k, 1) AS r
+  FROM r, range(1, {longest + 1}) t(k), LATERAL (SELECT unnest(range(1, length(run) - k + 2)) AS i)) GROUP BY ALL),
+z AS (SELECT length(gram) AS size, sum(n) AS total FROM g GROUP BY ALL),
+c AS (SELECT gram, sum(n) AS n, sum(n) / any_value(total)::DOUBLE AS p FROM g JOIN z ON size = length(gram) GROUP BY gram HAVING sum(n) >= {least}),
+m AS (SELECT c.gram, min(ln(c.p / (a.p * b.p))) AS pmi FROM c, range(1, {longest}) t(k) JOIN c a ON a.gram = substring(c.gram, 1, k) JOIN c b ON b.gram = substring(c.gram, k + 1) WHERE k < length(c.gram) GROUP BY c.gram)
+SELECT m.gram AS word, c.n AS frequency, round(pmi, 6) AS pmi, round(x.h, 6) AS left_entropy, round(y.h, 6) AS right_entropy FROM m JOIN c ON c.gram = m.gram
+  JOIN ({side.format("l")}) x ON x.gram = m.gram JOIN ({side.format("r")}) y ON y.gram = m.gram WHERE pmi >= {pmi} AND least(x.h, y.h) >= {entropy}"""
+
+
+def _found_words(df: DataFrame) -> DataFrame:
+    return df.select("word", F.col("frequency").cast("long").alias("frequency"), *[F.round(c, 6).alias(c) for c in ("pmi", "left_entropy", "right_entropy")])
+
+
+@query("new_words", f"SELECT word, frequency::BIGINT AS frequency, pmi, left_entropy, right_entropy FROM ({_new_words_sql('documents', '[a-z]+', 'lower(text)', 4, 20, 1.0, 1.5)})")
+def _(spark, sf):
+    return _found_words(nw.new_words(read(spark, sf, "documents"), 4, 20, 1.0, 1.5, "[a-z]+", F.lower("text")))
+
+
+@query("new_words_cjk", f"SELECT word, frequency::BIGINT AS frequency, pmi, left_entropy, right_entropy FROM ({_new_words_sql(CJK_SOURCE, '[一-鿿]+', 'text', 4, 5, 1.0, 0.5)})")
+def _(spark, sf):
+    return _found_words(nw.new_words(cjk_docs(spark, sf), 4, 5, 1.0, 0.5))
+
+
 # termbase
 
 
