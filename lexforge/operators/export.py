@@ -1,26 +1,33 @@
 """Single-file exports of a termbase: CSV with byte order mark, XLSX, TBX and JSON.
 
-Rows come from export_rows() through toLocalIterator(), a partition at a time; use write_terms_csv() in
-lexforge.sources.store for a distributed export.
+The rows of CSV, TBX and JSON become text in Spark, a range of the order to a task, and are written as parts; the file
+is then put together from these by the file system, with its head and tail, so no row passes through Python and the
+driver's memory stays the same whatever the size. Paths without a scheme are local files. A workbook holds at most a
+million rows by its format; its rows come through toLocalIterator(), a partition at a time.
 """
 
 from __future__ import annotations
 
-import csv
 import json
+import os
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lexforge.operators.termbase import export_rows, with_status
 from lexforge.schemas import EXPORTED
+from lexforge.sources.files import Files
+from lexforge.sources.shared import drop, scratch
 
 _BOM = b"\xef\xbb\xbf"
 _SHEET_HEAD = ["Word", "Translation", "Type", "Domain", "Status", "Language", "Notes"]
 _SHEET_WIDTHS = [30, 30, 15, 15, 12, 10, 30]
+_ROW = ["id", "word", "translation", "type", "domain", "status", "lang", "notes"]
 
 
 def _rows(terms: DataFrame, status: str | None) -> Iterator[dict]:
@@ -28,61 +35,119 @@ def _rows(terms: DataFrame, status: str | None) -> Iterator[dict]:
         yield r.asDict()
 
 
+def _local(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str, head: bytes, tail: bytes = b"", sep: str = "\n", last: bool = True) -> None:
+    """One file of head, the lines (column line) in order, each with sep after it (the last one only if last), and tail."""
+    spark = lines.sparkSession
+    parts = scratch(spark, "export")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.option("lineSep", sep).text(parts)
+    files = Files(spark)
+    names = [f"{parts}/{n}" for n in files.names(parts) if n.startswith("part-")]
+    files.join(names, _local(path), head, tail, 0 if last else len(sep.encode()))
+    drop(spark, parts)
+
+
+def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), pairs, c)
+
+
+def csv_lines(terms: DataFrame, status: str | None = None) -> DataFrame:
+    """id and line: the seven exported columns, quoted where they hold a comma, a quote or a line break."""
+
+    def cell(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    return with_status(terms, status).select("id", F.concat_ws(",", *[cell(c) for c in EXPORTED]).alias("line"))
+
+
 def export_csv(terms: DataFrame, path: str, status: str | None = None, bom: bool = True) -> int:
-    """The seven exported columns; rows in table order. The number of rows."""
-    n = 0
-    with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(EXPORTED)
-        for r in with_status(terms, status).select(*EXPORTED).toLocalIterator():
-            out.writerow(["" if v is None else v for v in r])
-            n += 1
-    return n
+    """The seven exported columns by id. The number of rows."""
+    head = (_BOM if bom else b"") + (",".join(EXPORTED) + "\r\n").encode()
+    write_lines(csv_lines(terms, status), ["id"], path, head, sep="\r\n")
+    return with_status(terms, status).count()
+
+
+#: Characters that JSON text can't hold as they are.
+_JSON = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+_JSON += [(chr(k), f"\\u{k:04x}") for k in range(32) if chr(k) not in "\n\r\t\b\f"]
+
+
+def json_lines(terms: DataFrame, status: str | None = None) -> DataFrame:
+    """id, word and line: a term as an indented object, without a comma after it."""
+
+    def field(c: str) -> Column:
+        v = F.col(c).cast("string")
+        if c != "id":
+            v = F.concat(F.lit('"'), F.when(v.rlike(r'[\x00-\x1f"\\]'), _replaced(v, _JSON)).otherwise(v), F.lit('"'))
+        return F.concat(F.lit(f'      "{c}": '), F.coalesce(v, F.lit("null")))
+
+    text = F.concat(F.lit("    {\n"), F.concat_ws(",\n", *[field(c) for c in _ROW]), F.lit("\n    }"))
+    return with_status(terms, status).select("id", "word", text.alias("line"))
 
 
 def export_json(terms: DataFrame, stats: dict, path: str, status: str | None = None) -> int:
-    """Name, domain, statistics of the whole base and the (filtered) terms."""
-    rows = list(_rows(terms, status))
-    body = {"termbase": stats["name"], "domain": stats["domain"], "total": len(rows), "stats": {k: stats[k] for k in ("confirmed", "by_domain", "by_status")}, "terms": rows}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(body, f, ensure_ascii=False, indent=2)
-    return len(rows)
+    """Name, domain, statistics of the whole base and the (filtered) terms, by word."""
+    n = with_status(terms, status).count()
+    body = {"termbase": stats["name"], "domain": stats["domain"], "total": n, "stats": {k: stats[k] for k in ("confirmed", "by_domain", "by_status")}, "terms": []}
+    whole = json.dumps(body, ensure_ascii=False, indent=2)
+    head, tail = (whole[: -len("]\n}")] + "\n", "\n  ]\n}") if n else (whole, "")
+    write_lines(json_lines(terms, status), ["word", "id"], path, head.encode(), tail.encode(), ",\n", last=False)
+    return n
+
+
+_ENTRY = "@entries@"
 
 
-def tbx_tree(rows: Iterator[dict], name: str) -> tuple[ET.Element, int]:
-    """ISO 30042 tree of exported rows, and their number; rows without a word count but make no entry."""
+def _tbx_frame(name: str, some: bool) -> tuple[bytes, bytes]:
+    """What stands before and after the entries of an ISO 30042 file."""
     root = ET.Element("martif", {"type": "TBX", "xml:lang": "en", "xmlns": "urn:iso:std:iso:30042:ed-1"})
-    head = ET.SubElement(root, "martifHeader")
-    desc = ET.SubElement(head, "fileDesc")
+    desc = ET.SubElement(ET.SubElement(root, "martifHeader"), "fileDesc")
     for tag, text in (("title", name or "TermBase"), ("source", "lexforge")):
         ET.SubElement(desc, tag).text = text
-    ET.SubElement(ET.SubElement(head, "encodingDesc"), "encoding").text = "UTF-8"
+    ET.SubElement(ET.SubElement(root[0], "encodingDesc"), "encoding").text = "UTF-8"
     body = ET.SubElement(ET.SubElement(root, "text"), "body")
-    n = 0
-
-    def group(entry: ET.Element, lang: str, term: str) -> ET.Element:
-        tig = ET.SubElement(ET.SubElement(entry, "langSet", {"xml:lang": lang}), "tig")
-        ET.SubElement(tig, "term").text = term
-        return tig
-
-    for n, r in enumerate(rows, 1):  # noqa: B007
-        if not r["word"]:
-            continue
-        entry = ET.SubElement(body, "termEntry", {"id": f"t{r['id']}"})
-        tig = group(entry, r["lang"] or "en", r["word"])
-        for kind, field in (("partOfSpeech", "type"), ("subjectField", "domain"), ("status", "status")):
-            if r[field]:
-                ET.SubElement(tig, "termNote", {"type": kind}).text = r[field]
-        if r["translation"]:
-            group(entry, "zh" if r["lang"] in ("en", "auto") else "en", r["translation"])
+    if some:
+        ET.SubElement(body, _ENTRY)
     ET.indent(root)
-    return root, n
+    whole = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    if not some:
+        return whole, b""
+    head, _, tail = whole.rpartition(f"      <{_ENTRY} />\n".encode())
+    return head, tail
+
+
+def tbx_lines(terms: DataFrame, status: str | None = None) -> DataFrame:
+    """id, word and line: an entry for each term that has a word."""
+    text = lambda c: _replaced(F.col(c), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")])
+    attribute = lambda v: _replaced(v, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;")])
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+
+    def group(lang: Column, term: str, notes: Column) -> Column:
+        return F.concat(F.lit('\n        <langSet xml:lang="'), lang, F.lit('">\n          <tig>\n            <term>'), text(term), F.lit("</term>"), notes, F.lit("\n          </tig>\n        </langSet>"))
+
+    def note(kind: str, c: str) -> Column:
+        return F.when(filled(c), F.concat(F.lit(f'\n            <termNote type="{kind}">'), text(c), F.lit("</termNote>"))).otherwise("")
+
+    notes = F.concat(note("partOfSpeech", "type"), note("subjectField", "domain"), note("status", "status"))
+    source = F.when(filled("lang"), attribute(F.col("lang"))).otherwise("en")
+    target = F.when(F.coalesce(F.col("lang"), F.lit("")).isin("en", "auto"), "zh").otherwise("en")
+    entry = F.concat(
+        F.lit('      <termEntry id="t'), F.col("id").cast("string"), F.lit('">'), group(source, "word", notes),
+        F.when(filled("translation"), group(target, "translation", F.lit(""))).otherwise(""), F.lit("\n      </termEntry>"),
+    )
+    return with_status(terms, status).filter(filled("word")).select("id", "word", entry.alias("line"))
 
 
 def export_tbx(terms: DataFrame, name: str, path: str, status: str | None = None) -> int:
-    root, n = tbx_tree(_rows(terms, status), name)
-    ET.ElementTree(root).write(path, encoding="UTF-8", xml_declaration=True)
-    return n
+    """ISO 30042 entries by word. The number of rows; those without a word count but make no entry."""
+    lines = tbx_lines(terms, status)
+    head, tail = _tbx_frame(name, bool(lines.limit(1).count()))
+    write_lines(lines, ["word", "id"], path, head, tail)
+    return with_status(terms, status).count()
 
 
 def export_xlsx(terms: DataFrame, path: str, status: str | None = None) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
 from lexforge.functions.pieces import analyze_pieces
+from lexforge.operators import export as ex
 from lexforge.operators import keywords as kw
 from lexforge.operators import newwords as nw
 from lexforge.operators import report as rp
@@ -23,6 +24,7 @@ from lexforge.operators import substring as sub
 from lexforge.operators import termbase as tb
 from lexforge.operators import terms as tm
 from lexforge.pipeline import first_translations, hit_count, result_summary
+from lexforge.schemas import EXPORTED
 from lexforge.sources import lookup as lk
 from lexforge.sources.base import DictSource, item, register, rows
 from lexforge.sources.dictionary import dictionary, lookup_dictionary, write_dictionary
@@ -522,6 +524,24 @@ def _(spark, sf):
     return tb.tbx_rows(terms_of(spark, sf))
 
 
+_CELL = """CASE WHEN regexp_matches(coalesce({0}, ''), '[",\\r\\n]') THEN concat('"', replace({0}, '"', '""'), '"') ELSE coalesce({0}, '') END"""
+
+
+@query("export_csv_lines", f"SELECT id, concat_ws(',', {', '.join(_CELL.format(c) for c in EXPORTED)}) AS line FROM {_T} WHERE status = 'confirmed'")
+def _(spark, sf):
+    return ex.csv_lines(terms_of(spark, sf), "confirmed")
+
+
+_TIG = """concat(chr(10), '        <langSet xml:lang="', {0}, '">', chr(10), '          <tig>', chr(10), '            <term>', {1}, '</term>', {2}, chr(10), '          </tig>', chr(10), '        </langSet>')"""
+_NOTE = """CASE WHEN {1} <> '' THEN concat(chr(10), '            <termNote type="{0}">', {1}, '</termNote>') ELSE '' END"""
+
+
+@query("export_tbx_entries", f"""SELECT id, word, concat('      <termEntry id="t', id, '">', {_TIG.format("lang", "word", "concat(" + ", ".join(_NOTE.format(k, c) for k, c in (("partOfSpeech", "type"), ("subjectField", "domain"), ("status", "status"))) + ")")},
+  CASE WHEN translation = '' THEN '' ELSE {_TIG.format("'zh'", "translation", "''")} END, chr(10), '      </termEntry>') AS line FROM {_T} WHERE word <> ''""")
+def _(spark, sf):
+    return ex.tbx_lines(terms_of(spark, sf))
+
+
 @query("json_payload_stats", f"SELECT (SELECT count(*) FROM {_T} WHERE status = 'draft') AS total, (SELECT count(*) FROM {_T} WHERE status = 'confirmed') AS confirmed, (SELECT count(DISTINCT domain) FROM {_T}) AS domains, (SELECT count(DISTINCT status) FROM {_T}) AS statuses")
 def _(spark, sf):
     t = terms_of(spark, sf)

@@ -77,6 +77,33 @@ class Files:
         finally:
             fs.delete(tmp, False)
 
+    def join(self, parts: list[str], path: str, head: bytes = b"", tail: bytes = b"", cut: int = 0) -> None:
+        """One file of head, the parts' bytes in order, and tail, streamed within the JVM; without the last cut bytes
+        of all parts together (a separator)."""
+        p, fs = self._at(path)
+        raw = fs.getRaw() if fs.getScheme() == "file" else fs  # no checksum file beside a local one
+        sizes = []
+        for part in parts:
+            q, of = self._at(part)
+            sizes.append(of.getFileStatus(q).getLen())
+        left = sum(sizes) - cut
+        out = raw.create(p, True)
+        try:
+            out.write(bytearray(head))
+            for part, size in zip(parts, sizes, strict=True):
+                n = min(size, left)
+                if n > 0:
+                    q, of = self._at(part)
+                    stream = of.open(q)
+                    try:
+                        self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, n)
+                    finally:
+                        stream.close()
+                    left -= n
+            out.write(bytearray(tail))
+        finally:
+            out.close()
+
     def names(self, path: str) -> list[str]:
         """Names of the files in a folder."""
         p, fs = self._at(path)
