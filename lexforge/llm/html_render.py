@@ -6,18 +6,24 @@ own end tags. A renderer walks the visible tree: white space collapses outside p
 paragraph-like blocks are set off by an empty line, lists get markers and hanging indents, table cells are
 aligned in columns (colspan and rowspan kept) in tables of every size: a cell with others to its right is broken
 into lines of CELL_WIDTH between words, so padding stays small. A word is never cut, it pushes its own line aside.
+Columns in which no cell begins take no place. A table whose padding would be over MOST_PADDING times its text, cells
+and lines has its cells set off by bars without padding, so the text stays within a fixed multiple of the html.
 
 Invisible: head matter, script, style, template, noscript, embedded media's fallbacks, comments, elements with
-the hidden attribute, display:none or visibility:hidden, dialogs that aren't open.
+the hidden attribute or display:none, dialogs that aren't open, details that aren't open but for their summary. Text
+under visibility:hidden or collapse is, unless an element between says visibility:visible.
 
-Cases: null html gives a null text, empty html an empty one; unclosed or unknown tags are tolerated; elements
-nested deeper than MAX_DEPTH are laid out as if at that depth, with all their text; repeated ids are rendered
-row by row; an empty table gives no rows; further columns are ignored.
+Cases: null html gives a null text, empty html an empty one; unclosed or unknown tags are tolerated, in time linear
+in the tags however deep they nest; elements nested deeper than MAX_DEPTH (which bounds indentation) are laid out as if
+at that depth, with all their text; repeated ids are rendered row by row; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,13 +37,16 @@ from lexforge.llm.common import ready, table
 MAX_DEPTH = 120
 #: A column is padded to so many places at most; cells with others to their right are broken there.
 CELL_WIDTH = 100
+#: Places of padding in a table for each character of text, cell and line.
+MOST_PADDING = 200
 #: HTML's own largest spans.
 COLSPAN, ROWSPAN = 1000, 65534
 
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*)>|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template")}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,36 +90,83 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def build(source: str) -> Node:
-    """The element tree. Text is a str among the kids."""
-    root = Node("#root", {})
-    stack = [root]
-
-    def close(names: frozenset, stop: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i].tag
-            if t in names:
-                del stack[i:]
-                return
-            if t in stop:
-                return
-
-    def push(tag: str, attrs: dict[str, str]) -> Node:
+class Open:
+    """The elements that are open, and where each tag is among them, so none is looked for from the top down."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node | None] = [root]  # None: closed before those that were opened in it
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
-        stack.append(node)
+        self.top.kids.append(node)
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
         return node
 
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place, and all that were opened in it."""
+        while len(self.nodes) > place or self.nodes[-1] is None:
+            node = self.nodes.pop()
+            if node is not None:
+                self.at[node.tag].pop()
+                if node.tag in BLOCKS:
+                    self.blocks.pop()
+
+    def pop(self) -> None:
+        if len(self.nodes) > 1:
+            self.cut(len(self.nodes) - 1)
+
+    def close(self, names: frozenset, stop: frozenset) -> None:
+        """Close the innermost element of names, unless one of stop is within it."""
+        place = self.last(names)
+        if place > self.last(stop - names):
+            self.cut(place)
+
+    def end(self, name: str) -> None:
+        """An end tag: closes to its element; an inline one that blocks have been opened in is only taken off."""
+        place = self.last((name,))
+        wall = _ROW_WALL if name in _TABLE_PARTS else _WALL
+        if not place or place < self.last(wall - {name}):
+            return
+        if name in BLOCKS or not (self.blocks and self.blocks[-1] > place):
+            self.cut(place)
+        else:
+            self.at[name].pop()
+            self.nodes[place] = None
+
+
+_TABLE_PARTS = frozenset(("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "body", "html"))
+_WALL, _ROW_WALL = frozenset(("td", "th", "table", "caption", "button")), frozenset(("table",))
+_P, _P_STOP = frozenset(("p",)), frozenset(("td", "th", "table", "button", "caption"))
+
+
+def build(source: str) -> Node:
+    """The element tree. Text is a str among the kids."""
+    root = Node("#root", {})
+    opened = Open(root)
+    push, close = opened.push, opened.close
     at, find = 0, _TAG.search
     while True:
         m = find(source, at)
         if m is None:
             if at < len(source):
-                stack[-1].kids.append(html.unescape(source[at:]))
+                opened.top.kids.append(html.unescape(source[at:]))
             return root
         if m.start() > at:
             text = source[at : m.start()]
-            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
+            opened.top.kids.append(html.unescape(text) if "&" in text else text)
         at = m.end()
         name = m["name"]
         if name is None:
@@ -118,66 +174,69 @@ def build(source: str) -> Node:
         name = name.lower()
         if m["end"]:
             if name == "br":
-                stack[-1].kids.append(Node("br", {}))
-            elif name == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].kids.append(Node("p", {}))
+                opened.top.kids.append(Node("br", {}))
+            elif name == "p" and not opened.last(_P):
+                opened.top.kids.append(Node("p", {}))
             else:
-                _end(stack, name)
+                opened.end(name)
             continue
         raw = m["attrs"]
         attrs = attributes(raw)
         if name in ENDS_P:
-            close(frozenset(("p",)), frozenset(("td", "th", "table", "button", "caption", "li")) if name == "li" else frozenset(("td", "th", "table", "button", "caption")))
+            close(_P, _P_STOP)
         rule = CLOSES.get(name)
         if rule is not None:
             close(*rule)
             if name in ("td", "th"):
-                _imply(stack, push, ("tr",), ("table", *SECTIONS))
-            if name == "tr" and stack[-1].tag == "table":
+                if opened.top.tag == "table":
+                    push("tbody", {})
+                if opened.top.tag in SECTIONS:
+                    push("tr", {})
+            if name == "tr" and opened.top.tag == "table":
                 push("tbody", {})
             elif name == "tr":
                 close(frozenset(("td", "th", "tr")), frozenset(("table", *SECTIONS)))
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        if name == "body" and stack[-1].tag == "head":
-            stack.pop()
-        if stack[-1].tag == "head" and name not in UNSEEN:
-            stack.pop()  # content ends an unclosed head
+        if name in ("h1", "h2", "h3", "h4", "h5", "h6") and opened.top.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            opened.pop()
+        if name == "body" and opened.top.tag == "head":
+            opened.pop()
+        if opened.top.tag == "head" and name not in UNSEEN:
+            opened.pop()  # content ends an unclosed head
         if name in VOID:
-            stack[-1].kids.append(Node(name, attrs))
+            opened.top.kids.append(Node(name, attrs))
             continue
         if name in _RAW:
             end = _RAW[name].search(source, at)
             node = Node(name, attrs)
             inner = source[at : end.start() if end else len(source)]
             node.kids.append(html.unescape(inner) if name in ("textarea", "title") else inner)
-            stack[-1].kids.append(node)
+            opened.top.kids.append(node)
             at = end.end() if end else len(source)
             continue
         push(name, attrs)
 
 
-def _imply(stack: list[Node], push, want: tuple[str, ...], among: tuple[str, ...]) -> None:
-    """Insert the row, and the section, that a cell implies inside a table."""
-    if stack[-1].tag == "table":
-        push("tbody", {})
-    if stack[-1].tag in among:
-        push("tr", {})
-
-
-def _end(stack: list[Node], name: str) -> None:
-    """An end tag: closes to its element; an inline one that blocks have been opened in is only taken off."""
-    wall = ("td", "th", "table", "caption", "button") if name not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "body", "html") else ("table",)
-    for i in range(len(stack) - 1, 0, -1):
-        t = stack[i].tag
-        if t == name:
-            if name in BLOCKS or not any(n.tag in BLOCKS for n in stack[i + 1 :]):
-                del stack[i:]
-            else:
-                del stack[i]
-            return
-        if t in wall:
-            return
+def unhidden(root: Node) -> Node:
+    """The tree without the text under visibility:hidden, where no element between is visible again, and without what
+    closed details hold besides their summary."""
+    work = [(root, True)]
+    while work:
+        node, shown = work.pop()
+        if node.tag == "details" and "open" not in node.attrs:
+            node.kids = [k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1]
+        kids = []
+        for kid in node.kids:
+            if isinstance(kid, str):
+                if shown:
+                    kids.append(kid)
+                continue
+            said = _VISIBILITY.findall(kid.attrs.get("style", ""))
+            seen = said[-1].lower() == "visible" if said else shown
+            if seen or kid.kids:
+                kids.append(kid)
+                work.append((kid, seen))
+        node.kids = kids
+    return root
 
 
 def visible(node: Node) -> bool:
@@ -425,45 +484,65 @@ def _table(node: Node, depth: int) -> list[str]:
 
     collect(node)
     grid: list[list[tuple[int, int, list[str]]]] = []
-    busy: dict[int, int] = {}
-    for row in rows:
-        col, cells = 0, []
+    busy: list[tuple[int, int, int]] = []  # columns from, to, and the row after the last one that they are taken in
+    for r, row in enumerate(rows):
+        busy = [x for x in busy if x[2] > r]
+        col, taken, cells, new = 0, iter(busy), [], []
+        now = next(taken, None)
         for cell in row:
-            while busy.get(col, 0) > 0:
-                col += 1
+            while now is not None and now[0] <= col:
+                col = max(col, now[1])
+                now = next(taken, None)
             block = Block()
             lay_out(cell, block, depth)
             lines = block.done()
             wide, high = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
             cells.append((col, wide, lines if cell is row[-1] else _broken(lines)))
-            for c in range(col, col + wide):
-                busy[c] = high
+            if high > 1:
+                if new and new[-1][1:] == (col, r + high):
+                    new[-1] = (new[-1][0], col + wide, r + high)
+                else:
+                    new.append((col, col + wide, r + high))
             col += wide
-        for c in list(busy):
-            busy[c] -= 1
-            if not busy[c]:
-                del busy[c]
+        busy = sorted(busy + new) if new else busy
         grid.append(cells)
-    head = before.done()
-    width: dict[int, int] = {}
+    return [*before.done(), *_aligned(grid)]
+
+
+def _aligned(grid: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """The lines of a table's rows of cells (column, columns that it spans, lines)."""
+    # only columns in which some cell begins have a place
+    begins = sorted({c[0] for cells in grid for c in cells})
+    place = {c: k for k, c in enumerate(begins)}
+    width = [0] * len(begins)
     for cells in grid:
         for col, wide, lines in cells:
-            if wide == 1:
-                width[col] = min(CELL_WIDTH, max(width.get(col, 0), max(map(width_of, lines), default=0)))
-    out_lines: list[str] = []
+            k = place[col]
+            if wide == 1 or k + 1 == len(begins) or begins[k + 1] >= col + wide:
+                width[k] = min(CELL_WIDTH, max(width[k], max(map(width_of, lines), default=0)))
+    edge = [0, *itertools.accumulate(w + 3 for w in width)]  # where each column begins
+    size, text = 0, 0
     for cells in grid:
+        high = max((len(c[2]) for c in cells), default=0)
+        size += high * edge[place[cells[-1][0]]] if cells else 0
+        text += high + sum(1 + sum(map(len, c[2])) for c in cells)
+    pad = size <= MOST_PADDING * text
+    out = []
+    for cells in grid:
+        ends = [edge[bisect.bisect_left(begins, col + wide)] for col, wide, _ in cells]
         for k in range(max((len(c[2]) for c in cells), default=0)):
-            line, col = "", 0
-            for start, wide, lines in cells:
-                while col < start:  # places that a rowspan or a short row leaves empty
-                    line += " " * width.get(col, 0) + " | "
-                    col += 1
+            if not pad:
+                out.append(" | ".join(c[2][k] for c in cells if k < len(c[2]) and c[2][k]))
+                continue
+            line, used = [], 0  # used: where the next column begins
+            for (col, _, lines), end in zip(cells, ends, strict=True):
+                for c in range(bisect.bisect_left(edge, used), place[col]):  # places that a rowspan or a short row leaves empty
+                    line.append(" " * width[c] + " | ")
                 s = lines[k] if k < len(lines) else ""
-                room = sum(width.get(c, 0) for c in range(col, min(col + wide, 64 + col))) + 3 * (min(wide, 64) - 1) if wide > 1 else width.get(col, 0)
-                line += s + " " * max(0, room - width_of(s)) + " | "
-                col = start + wide
-            out_lines.append(line[:-3].rstrip() if line else "")
-    return [*head, *out_lines]
+                line.append(s + " " * max(0, end - edge[place[col]] - 3 - width_of(s)) + " | ")
+                used = end
+            out.append("".join(line)[:-3].rstrip() if line else "")
+    return out
 
 
 def _wrap(kid: Node) -> Node:
@@ -476,7 +555,9 @@ def render(source: str | None) -> str | None:
     if source is None:
         return None
     out = Block()
-    lay_out(build(source), out, 0)
+    root = build(source)
+    low = source.lower()
+    lay_out(unhidden(root) if "visibility" in low or "<details" in low else root, out, 0)
     lines = out.done()
     while lines and not lines[0]:
         lines.pop(0)
