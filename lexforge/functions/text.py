@@ -118,6 +118,20 @@ def summary(row) -> str:
     ])
 
 
+def summary_text() -> Column:
+    """summary() of an analyzed row as a column."""
+    lines = [
+        F.concat(F.lit("Language: "), "lang"),
+        F.concat(F.lit("Characters: "), F.col("chars_total").cast("string"), F.lit(" (no spaces: "), F.col("chars_no_space").cast("string"), F.lit(")")),
+        F.concat(F.lit("Words (estimated): "), (F.col("words_cn") + F.col("words_en")).cast("string"), F.lit(" (CN: "), F.col("words_cn").cast("string"), F.lit(", EN: "), F.col("words_en").cast("string"), F.lit(")")),
+        F.concat(F.lit("Paragraphs: "), F.col("paragraphs").cast("string")),
+        F.concat(F.lit("Sentences: "), F.col("sentences").cast("string")),
+        F.concat(F.lit("Domain: "), "domain"),
+        F.concat(F.lit("Difficulty: "), "difficulty"),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions detect_language(text), count_paragraphs(text), chinese_words(text) and guess_language(word)."""
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION detect_language(t STRING) RETURNS STRING RETURN

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
-from lexforge.functions.pieces import analyze_pieces
+from lexforge.functions.pieces import analyze_files, analyze_pieces
 from lexforge.operators import export as ex
 from lexforge.operators import keywords as kw
 from lexforge.operators import newwords as nw
@@ -24,7 +24,7 @@ from lexforge.operators import substring as sub
 from lexforge.operators import termbase as tb
 from lexforge.operators import terms as tm
 from lexforge.pipeline import first_translations, hit_count, result_summary
-from lexforge.schemas import EXPORTED
+from lexforge.schemas import EDITABLE, EXPORTED
 from lexforge.sources import lookup as lk
 from lexforge.sources.base import DictSource, item, register, rows
 from lexforge.sources.dictionary import dictionary, lookup_dictionary, write_dictionary
@@ -768,6 +768,56 @@ def _(spark, sf):
     return hit_count(terms, _results(spark, sf))
 
 
+# reports, files and names
+
+_LONG_PLACED = " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, s_{d} AS score, {k} AS i FROM a" for k, d in enumerate(DOMAINS))
+
+
+@query("report_domain_bars", f"""WITH a AS ({_analysis_sql(CJK_SOURCE)}) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS place, domain, score,
+  concat(repeat('█', trunc(score * 20)::INT), repeat('░', 20 - trunc(score * 20)::INT)) AS bar FROM ({_LONG_PLACED})""")
+def _(spark, sf):
+    return rp.domain_bars(tx.analyze(cjk_docs(spark, sf)))
+
+
+@query("document_summaries", f"""SELECT doc_id, concat('Language: ', lang, chr(10), 'Characters: ', chars_total, ' (no spaces: ', chars_no_space, ')', chr(10), 'Words (estimated): ', words_cn + words_en, ' (CN: ', words_cn, ', EN: ', words_en, ')', chr(10),
+  'Paragraphs: ', paragraphs, chr(10), 'Sentences: ', sentences, chr(10), 'Domain: ', domain, chr(10), 'Difficulty: ', difficulty) AS summary FROM ({_analysis_sql('documents')})""")
+def _(spark, sf):
+    return tx.analyze(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.summary_text().alias("summary"))
+
+
+@query("analyze_text_files", f"SELECT {_FIELDS} FROM ({_analysis_sql('(SELECT item_id AS doc_id, concat(text, chr(10)) AS text FROM benchmark)')})")
+def _(spark, sf):
+    """A file for each benchmark text, profiled as whole files are."""
+    path = scratch(spark, "texts")
+    read(spark, sf, "benchmark").select("item_id", "text").filter("text is not null").repartition("item_id").write.partitionBy("item_id").text(path)
+    got = analyze_files(spark, f"{path}/*/*.txt")
+    return got.withColumn("doc_id", F.regexp_extract("doc_id", r"item_id=(\d+)/", 1).cast("long")).select(*_FIELDS.split(", "))
+
+
+@query("csv_round_trip", f"SELECT word, lang, type, translation, domain, status, notes, count(*) AS n FROM {_T} GROUP BY ALL")
+def _(spark, sf):
+    """Exported to a single file, and imported into a new termbase."""
+    root = scratch(spark, "termbases")
+    ex.export_csv(terms_of(spark, sf), f"{root}/terms.csv")
+    base = Termbase.create(spark, f"{root}/bases", "copy")
+    base.import_csv(f"{root}/terms.csv", dedup=False)
+    return base.terms.groupBy("word", "lang", "type", "translation", "domain", "status", "notes").agg(F.count("*").alias("n"))
+
+
+@query("request_signatures", "SELECT p_partkey AS id, sha256(concat('key', p_name, p_brand, CAST(p_partkey AS VARCHAR(20)), 'secret')) AS sign FROM part")
+def _(spark, sf):
+    sign = lk.signature_column(F.lit("key"), F.col("p_name"), F.col("p_brand"), F.col("p_partkey").cast("string"), F.lit("secret"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), sign.alias("sign"))
+
+
+@query("terms_added", f"SELECT count(*) AS added, min(id) AS first_id, max(id) AS last_id FROM (SELECT row_number() OVER (ORDER BY min(id)) AS id FROM {_T} GROUP BY word, translation)")
+def _(spark, sf):
+    """The first of each word and translation, added to a termbase; ids without gaps."""
+    base = Termbase.create(spark, scratch(spark, "termbases"), "added")
+    base.add_rows(tb.new_rows(base.terms, terms_of(spark, sf), ["id"]).select("id", *EDITABLE), ["id"])
+    return base.terms.agg(F.count("*").alias("added"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 _COUNTS = f"(SELECT count(*) AS total, count(*) FILTER (status = 'confirmed') AS confirmed FROM {_T}) c"
 
 

@@ -16,7 +16,7 @@ import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.schemas import LOOKUP
@@ -124,6 +124,11 @@ def youdao_signature(key: str, term: str, salt: str, now: str, secret: str) -> s
     return hashlib.sha256((key + term + salt + now + secret).encode()).hexdigest()
 
 
+def signature_column(key: Column, term: Column, salt: Column, now: Column, secret: Column) -> Column:
+    """youdao_signature() as a column."""
+    return F.sha2(F.concat(key, term, salt, now, secret), 256)
+
+
 def _get(url: str, wait: float) -> str | None:
     """The body of a 200 response, None for another one; what a second try may mend is raised."""
     ask = urllib.request.Request(url, headers={"User-Agent": "lexforge/0.1"})

@@ -408,9 +408,11 @@ def _merged(spark: SparkSession, table: str, base: DataFrame, deltas: list[list[
 
 
 def read_terms_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file's rows with their line order in _line; a leading byte order mark is dropped."""
+    """A CSV file's rows with their line order in _line; a leading byte order mark is dropped. An empty cell is an empty
+    string, and so is one that a short row lacks."""
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", nullValue="\x00", emptyValue="")
     df = df.toDF(*[c.lstrip("﻿").strip('"') for c in df.columns])
+    df = df.na.fill("")
     # multiLine keeps a file in one partition, so the generated number follows the lines
     return df.withColumn("_line", F.monotonically_increasing_id())
 
