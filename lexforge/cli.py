@@ -16,9 +16,11 @@ from lexforge.operators.report import generate_report, save_report
 from lexforge.operators.termbase import search_terms
 from lexforge.operators.terms import extract, frequency_table
 from lexforge.pipeline import format_pipeline_result, run_pipeline
+from lexforge.service import Service
 from lexforge.sources import lookup as lk
 from lexforge.sources.base import known
 from lexforge.sources.store import Termbase, delete_termbase, list_termbases
+from lexforge.web import server
 
 
 def load_env(path: str = ".env") -> None:
@@ -72,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
     command(sub, "report", ("file",), ("--name", {"default": "Untitled Project"}), ("--output|-o", {"default": ""}), ("--db", {"default": ""}), ("--notes", {"default": ""}), ("--top", {"type": int, "default": 30}))
     command(sub, "sources")
     command(sub, "pipeline", ("file",), ("--name", {"default": "Untitled"}), ("--top", {"type": int, "default": 20}), ("--search-limit", {"type": int, "default": 5}), ("--db", {"default": ""}), ("--report|-r", {"default": ""}), ("--formats|-f", {"default": ""}), ("--notes", {"default": ""}), ("--lookup", {"action": "store_true"}))
+    command(sub, "web", ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8000}), ("--lookup", {"action": "store_true"}))
     db = sub.add_parser("db").add_subparsers(dest="action", required=True)
     command(db, "list")
     command(db, "init", ("name",), ("--domain", {"default": ""}))
@@ -136,6 +139,13 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     elif what == "pipeline":
         formats = [f.strip() for f in a.formats.split(",") if f.strip()]
         print(format_pipeline_result(run_pipeline(spark, root, a.file, None, a.name, a.top, a.search_limit, a.db or None, a.report, formats, a.notes, fetch=lk.http_fetch if a.lookup else None)))
+    elif what == "web":
+        with server(Service(spark, root, lk.http_fetch if a.lookup else None), a.host, a.port) as http:
+            print(f"http://{a.host}:{http.server_address[1]}")
+            try:
+                http.serve_forever()
+            except KeyboardInterrupt:
+                pass
     elif what == "db list":
         for b in list_termbases(spark, root):
             print(f"{b['name']}\t{b['domain']}\t{b['lang']}\t{b['total_terms']}")

@@ -95,6 +95,8 @@ class Service:
             return e.status, {"detail": str(e)}
         except FileNotFoundError as e:
             return 404, {"detail": str(e)}
+        except TypeError as e:  # a field that the request doesn't have
+            return 422, {"detail": str(e)}
 
     def _docs(self, text: str):
         return self.spark.createDataFrame([("text", text)], "doc_id string, text string")
