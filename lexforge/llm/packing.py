@@ -4,8 +4,8 @@ Every scan partition tokenises its documents, cuts only those above the limit, p
 in decreasing order and emits the bins that are nearly full. Underfull bins travel on as items: a tree
 of rounds with a fan-in of FAN_IN merges them best-fit with other partitions' underfull bins. No text is
 shuffled, and only underfull bins' piece records ever move. Rounds go on to a single task where the bins fit one
-(TASK_BINS). Beyond that they end once a round removes under 2 % of the bins: best fit leaves at most one bin of
-half the limit or less in each task, and these few are packed together in a last task.
+(TASK_BINS). Beyond that, once a round removes under 2 % of the bins, those of over half the limit stay as they are, since
+no two of them fit together, and the others, of which best fit leaves at most one in each task, go on to the root.
 
 Cases: a null or empty text is the single id 0; repeated doc_ids are packed as separate documents;
 documents of equal length tie by doc_id; an empty table gives no rows; other columns are ignored.
@@ -198,6 +198,22 @@ def _emit(items: list[tuple], used: list[int], limit: int, slack: int, seq: int)
             rows = []
 
 
+def _merge_low(bins: DataFrame, max_len: int, slack: int, level: int) -> list[DataFrame]:
+    """bins with those of half the limit or less merged by further rounds of the tree, up to its root. Each task leaves
+    one such bin at most, so a round leaves no more of them than it has tasks."""
+    low = ~F.col("done") & (F.col("used") * 2 <= max_len)
+    out = []
+    while True:
+        out.append(bins.filter(~low))
+        rest = bins.filter(low)
+        tasks = max(1, -(-rest.count() // TASK_BINS))
+        level += 1
+        dealt = rest.repartition(tasks, F.xxhash64("seq")) if tasks > 1 else rest.repartition(1)
+        bins = materialize(dealt.mapInArrow(_merge(max_len, slack, level), _BINS), f"pack{level}")
+        if tasks == 1:
+            return [*out, bins]
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, id_col: str = "doc_id", text_col: str = "text", slack: int = SLACK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
@@ -216,9 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
             emitted.append(bins)
             break
         if before is not None and n > TASK_BINS and n > 0.98 * before:
-            low = F.col("used") * 2 <= max_len
-            emitted.append(bins.filter(F.col("done") | ~low))
-            emitted.append(materialize(left.filter(low).coalesce(1).mapInArrow(_merge(max_len, slack, level + 1), _BINS), f"pack{level + 1}"))
+            emitted += _merge_low(bins, max_len, slack, level)
             break
         emitted.append(bins.filter(F.col("done")))
         level, before, tasks = level + 1, n, to
