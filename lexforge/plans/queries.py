@@ -26,7 +26,7 @@ from lexforge.operators import terms as tm
 from lexforge.pipeline import first_translations, hit_count, result_summary
 from lexforge.schemas import EDITABLE, EXPORTED
 from lexforge.sources import lookup as lk
-from lexforge.sources.base import DictSource, item, register, rows
+from lexforge.sources.base import DictSource, item, rows
 from lexforge.sources.dictionary import dictionary, lookup_dictionary, write_dictionary
 from lexforge.sources.shared import scratch
 from lexforge.sources.store import Termbase, all_terms
@@ -694,7 +694,6 @@ class Usage(DictSource):
         return rows(d, flags, self.rank, 0).unionByName(rows(d, status, self.rank, 1))
 
 
-register(Usage())
 _PLACED = "row_number() OVER (PARTITION BY query ORDER BY score DESC, source_rank, ordinal)"
 _USAGE = f"SELECT concat(p_name, ' ', {_ID}) AS query, json FROM ({USAGE_SQL}) u JOIN part ON p_partkey = id"
 _USAGE_ROWS = f"""SELECT query, w AS word, 'flag' AS type, 'usage' AS source, 0.95::DOUBLE AS score, json_extract_string(json, '$.count') AS definition, 7 AS source_rank, (i - 1)::BIGINT AS ordinal
@@ -715,7 +714,7 @@ def _dictionary(spark: SparkSession, sf: str) -> str:
 @query("dictionary_lookup", f"SELECT query, word, type, source, score, definition, {_PLACED} AS place FROM ({_WEBSTER_ROWS} UNION ALL {_USAGE_ROWS}) QUALIFY place <= 4")
 def _(spark, sf):
     terms = derived(spark, sf, YOUDAO_SQL, "part").select("query")
-    found = lookup_dictionary(terms, _dictionary(spark, sf), ["webster", "usage"], 2)
+    found = lookup_dictionary(terms, _dictionary(spark, sf), ["webster", Usage()], 2)
     return lk.federate(None, found, 4).select("query", "word", "type", "source", "score", "definition", F.col("place").cast("long").alias("place"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from lexforge.schemas import LOOKUP
-from lexforge.sources.base import known, source
+from lexforge.sources.base import DictSource, known, source
 from lexforge.sources.files import Files
 from lexforge.sources.shared import workers_import
 
@@ -199,17 +199,16 @@ def dictionary(spark: SparkSession, path: str, sources: list[str] | None = None,
     return reader.load()
 
 
-def flatten_entries(raw: dict[str, DataFrame], limit: int) -> DataFrame:
-    """Result rows of each source's raw(query, lang, json) by its own rules."""
-    each = [source(name).flatten(df.select("query", "lang", "json"), limit) for name, df in raw.items()]
-    return functools.reduce(DataFrame.unionByName, each)
-
-
-def lookup_dictionary(terms: DataFrame, path: str, sources: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """Result rows for every distinct query of terms(query), from the dictionaries kept under path."""
+def lookup_dictionary(terms: DataFrame, path: str, sources: list[str | DictSource] | None = None, limit: int = 10) -> DataFrame:
+    """Result rows for every distinct query of terms(query), from the dictionaries kept under path: of the given
+    sources, or of all known ones that have one there."""
     spark, asked = terms.sparkSession, terms.select("query").distinct()
-    names = sources or [n for n in Files(spark).folders(path) if n in {s.name for s in known()}]
-    if not names:
+    if sources is None:
+        have = Files(spark).folders(path)
+        of = [s for s in known() if s.name in have]
+    else:
+        of = [source(s) if isinstance(s, str) else s for s in sources]
+    if not of:
         return spark.createDataFrame([], LOOKUP)
-    raw = {n: dictionary(spark, path, [n]).withColumnRenamed("term", "query").join(asked, "query", "left_semi") for n in names}
-    return flatten_entries(raw, limit)
+    raw = {s: dictionary(spark, path, [s.name]).withColumnRenamed("term", "query").join(asked, "query", "left_semi") for s in of}
+    return functools.reduce(DataFrame.unionByName, [s.flatten(df.select("query", "lang", "json"), limit) for s, df in raw.items()])

@@ -33,7 +33,7 @@ def glossary():
 
 
 def test_registry(glossary, monkeypatch):
-    assert [s.name for s in base.known() if s.name != "usage"] == ["youdao", "webster", "wikipedia", "glossary"]
+    assert [s.name for s in base.known()] == ["youdao", "webster", "wikipedia", "glossary"]
     assert glossary.available and glossary.endpoint("a") == "glossary-a"
     assert not base.source("webster").available
     monkeypatch.setenv("LEXFORGE_WEBSTER_KEY", "k")
@@ -93,6 +93,7 @@ def test_a_new_source_is_looked_up(spark, path, glossary):
     asked = spark.createDataFrame([("beta",), ("beta",), ("none",)], "query string")
     got = dictionary.lookup_dictionary(asked, path, ["webster", "glossary"])
     assert sorted((r["source"], r["word"]) for r in got.collect()) == [("glossary", "x"), ("webster", "again"), ("webster", "second")]
+    assert {r["source"] for r in dictionary.lookup_dictionary(asked, path).collect()} == {"webster", "glossary"}
     web = lookup.lookup(asked, lookup.http_fetch, 9, sources=[glossary])
     assert sorted((r["word"], r["definition"]) for r in web.collect()) == [("a", "a"), ("b", "b"), ("beta", "a"), ("beta", "b")]
 
