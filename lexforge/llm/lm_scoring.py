@@ -12,7 +12,8 @@ the input is partitioned. Scoring runs over whole texts in overlapping windows.
 
 Cases: a null or empty text is the end token alone; repeated rows are scored alike and count in training each;
 ties don't arise; without training documents the base is uniform (N = V = 0) and the model untrained; an empty
-table gives no rows; further columns are ignored. A word is its 64-bit hash in the base counts.
+table gives no rows; further columns are ignored. A word is its 64-bit hash in the base counts. Subword ids are kept in
+16 bits, so a tokenizer with more than 65,536 ids raises an error.
 """
 
 from __future__ import annotations
@@ -369,6 +370,8 @@ def score_documents(docs: DataFrame, held_out: Column, tokenizer_path: str, id_c
 
     tok = Tokenizer.from_file(tokenizer_path)
     vocabulary = tok.get_vocab_size()
+    if vocabulary > 1 << 16:
+        raise ValueError(f"the tokenizer has {vocabulary} ids; 65,536 are the most")
     end_id = vocabulary - 1  # the tokenizer's end-of-text id, which texts don't yield
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = materialize(src.mapInArrow(_pack(tokenizer_path), _CHUNK), "lm-chunks")

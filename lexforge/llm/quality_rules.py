@@ -3,7 +3,9 @@
 One projection measures each whole text; each rule then votes good, bad or abstains. The votes of all
 documents are counted by vote pattern (at most 3^rules rows, whatever the corpus), expectation-maximisation
 over these counts estimates each rule's accuracy and the share of good documents, and a document is kept
-when its posterior probability of being good is at least one half and the base rules don't fail it.
+when its posterior probability of being good is at least one half and the base rules don't fail it. Repeated 5-word
+windows are told by 64-bit hashes. Estimation ends when all estimates have settled, or after ROUNDS rounds. The rules'
+thresholds and their starting weights are hand-set, after common rules for web text.
 
 Cases: a null text has no words; an empty text fails the base rules; very long texts are measured whole;
 repeated rows are judged row by row and alike; an empty table gives no rows (estimates stay at their
