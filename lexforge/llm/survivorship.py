@@ -34,7 +34,7 @@ from lexforge.llm.common import WORD_BREAKS, table
 TRUST = ("crm", "web", "store", "partner")
 STALE_HOURS = 60 * 24
 #: Rows of one cluster in a slice, about; and slices whose survivors meet in the next round.
-SLICE_ROWS, FAN_IN = 2_000, 200
+SLICE_ROWS, FAN_IN = 500, 1000
 
 _FIELDS = ("source", "name", "email", "city", "nation", "segment", "balance")
 
