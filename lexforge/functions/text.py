@@ -6,6 +6,8 @@ profile is one projection without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from lexforge.functions.domains import DOMAIN_KEYWORDS, DOMAINS
 CJK = "一-鿿"
 
 
+# counted by what is left without the rest: regexp_count() makes an array with a string for every character
 def cjk_count(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(f"[{CJK}]")).cast("long")
+    return F.length(F.regexp_replace(t, f"[^{CJK}]+", "")).cast("long")
 
 
 def letter_count(t: Column) -> Column:
-    return F.regexp_count(t, F.lit("[a-zA-Z]")).cast("long")
+    return F.length(F.regexp_replace(t, "[^a-zA-Z]+", "")).cast("long")
 
 
 def language(cn: Column, en: Column) -> Column:
@@ -30,7 +33,7 @@ def language(cn: Column, en: Column) -> Column:
 
 def chars_no_space(t: Column) -> Column:
     """Characters but U+0020 and line feeds; tabs and other spaces count."""
-    return F.length(F.translate(t, " \n", "")).cast("long")
+    return F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))).cast("long")
 
 
 def paragraphs(t: Column) -> Column:
@@ -52,10 +55,16 @@ def english_words(t: Column) -> Column:
     return F.regexp_count(t, F.lit("[a-zA-Z]+")).cast("long")
 
 
-def domain_score(low: Column, domain: str) -> Column:
-    """Distinct keywords found as substrings, against a tenth of the list's length; at most 1."""
+def domain_score(low: Column, domain: str, cn: Column) -> Column:
+    """Distinct keywords found as substrings, against a tenth of the list's length; at most 1. Chinese keywords are
+    sought only in texts with Chinese characters, of which cn is the number."""
     words = DOMAIN_KEYWORDS[domain]
-    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in words[1:]), F.contains(low, F.lit(words[0])).cast("int"))
+
+    def found(some: list[str]) -> Column:
+        return sum((F.contains(low, F.lit(w)).cast("int") for w in some), F.lit(0))
+
+    chinese = [w for w in words if re.search(f"[{CJK}]", w)]
+    hits = found([w for w in words if w not in chinese]) + F.when(cn > 0, found(chinese)).otherwise(0)
     return F.least(F.lit(1.0), hits.cast("double") / F.lit(max(1, len(words) * 0.1)).cast("double"))
 
 
@@ -89,7 +98,7 @@ def analyze(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     step = docs.withColumn("_cn", cjk_count(t)).withColumn("_en", letter_count(t)).withColumn("_low", F.lower(t))
     scores = {d: F.col(f"_s_{d}") for d in DOMAINS}
-    step = step.withColumns({f"_s_{d}": domain_score(F.col("_low"), d) for d in DOMAINS})
+    step = step.withColumns({f"_s_{d}": domain_score(F.col("_low"), d, F.col("_cn")) for d in DOMAINS})
     step = step.withColumn("lang", language(F.col("_cn"), F.col("_en")))
     step = step.withColumns({
         "chars_total": F.length(t).cast("long"), "chars_no_space": chars_no_space(t), "words_cn": chinese_words(F.col("_cn")),

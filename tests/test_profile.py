@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from lexforge.functions import text as tx
 from lexforge.functions.domains import DOMAIN_KEYWORDS
 from lexforge.functions.text import analyze, read_documents, register_functions, summary
 
@@ -50,3 +53,16 @@ def test_file_source_and_plan(spark, tmp_path):
     assert (r["paragraphs"], r["sentences"], r["domain"]) == (2, 2, "legal")
     plan = analyze(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") <= 2
+
+
+def test_counts_make_no_array_of_characters(spark):
+    odd = ["", "\n \t\u3000", "a1b2-C", "合同abc患者", "😀é한K\u212a", "一鿿㐀", " liability 责任", None]
+    got = tx.analyze(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"[{x}], 0)" in plan for x in ("a-zA-Z", tx.CJK)) and "translate(" not in plan
+    rows = {r["doc_id"]: r for r in got.select("*", tx.cjk_count(F.col("text")).alias("cn"), tx.letter_count(F.col("text")).alias("en")).collect()}
+    for i, t in enumerate(odd):
+        assert rows[i]["chars_no_space"] == len((t or "").replace(" ", "").replace("\n", ""))
+        if t is not None:
+            assert (rows[i]["cn"], rows[i]["en"]) == (sum("一" <= c <= "鿿" for c in t), sum(c.isascii() and c.isalpha() for c in t))
+    assert rows[6]["domain_scores"]["legal"] == 2 / 2.2 and rows[7]["lang"] == "unknown"
