@@ -1,7 +1,7 @@
 """Term extraction over a document collection: character n-grams, proper nouns, keywords, merge and rank.
 
-Grams are counted per (doc_id, n, gram) with a partial aggregation before the only shuffle on that key; only
-(doc_id, characters) is exploded. Every top-k has a total order, so results are deterministic.
+Texts are shuffled by doc_id before they are exploded, so that grams are counted, summed up and ranked where they arise
+and never travel. Every top-k has a total order, so results are deterministic.
 """
 
 from __future__ import annotations
@@ -14,21 +14,34 @@ from lexforge.functions.text import CJK
 PHRASE = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 IDENTIFIER = r"(?U)\b(?:[A-Z][a-z]+){2,}\b|\b[A-Z][a-zA-Z]*[a-z][A-Z][a-zA-Z]*\b"
 ACRONYM = r"(?U)\b([A-Z]{2,5})\b"
+#: Characters of the parts that texts are cut into for grams.
+PART = 200
 #: English words that the corpus strategy passes over.
 STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
 
 
 def cjk_only(t: Column) -> Column:
-    return F.regexp_replace(t, f"[^{CJK}]", "")
+    return F.regexp_replace(t, f"[^{CJK}]+", "")
+
+
+def by_document(docs: DataFrame) -> DataFrame:
+    """doc_id and text, the rows of a document in one partition. Their number is given, as adaptive execution would
+    choose it by the size of the texts, of which each character becomes several rows."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("doc_id", "text").repartition(parts, "doc_id")
 
 
 def grams(docs: DataFrame, sizes: list[int], chars: Column) -> DataFrame:
     """doc_id, n, gram, frequency, first_pos and total (of all grams of that n in the document)."""
-    c = docs.select("doc_id", chars.alias("c")).filter(F.length("c") >= min(sizes))
-    parts = [F.expr(f"transform(case when length(c) >= {n} then sequence(1, length(c) - {n - 1}) else cast(array() as array<int>) end, i -> struct({n} as n, substring(c, i, {n}) as gram, i as pos))") for n in sizes]
+    c = by_document(docs).select("doc_id", chars.alias("c"))
+    whole = Window.partitionBy("doc_id")
+    c = c.select("doc_id", "c", *[F.sum(F.greatest(F.lit(0), F.length("c") - (n - 1))).over(whole).alias(f"total_{n}") for n in sizes])
+    # cut first, with what the grams reach over: a place costs the same anywhere in a text
+    cut = f"(?s)(?=(.{{1,{PART + max(sizes) - 1}}})).{{1,{PART}}}"
+    c = c.select("*", F.posexplode(F.regexp_extract_all("c", F.lit(cut), 1)).alias("k", "s"))
+    parts = [F.expr(f"transform(case when length(s) >= {n} then sequence(1, least({PART}, length(s) - {n - 1})) else cast(array() as array<int>) end, i -> struct({n} as n, substring(s, i, {n}) as gram, k * {PART} + i as pos, total_{n} as total))") for n in sizes]
     rows = c.select("doc_id", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("g"))
-    got = rows.groupBy("doc_id", "g.n", "g.gram").agg(F.count("*").alias("frequency"), F.min("g.pos").alias("first_pos"))
-    return got.withColumn("total", F.sum("frequency").over(Window.partitionBy("doc_id", "n")))
+    return rows.groupBy("doc_id", "g.n", "g.gram").agg(F.count("*").alias("frequency"), F.min("g.pos").alias("first_pos"), F.max("g.total").alias("total"))
 
 
 def _ranked(g: DataFrame, top_n: int) -> DataFrame:
@@ -38,7 +51,7 @@ def _ranked(g: DataFrame, top_n: int) -> DataFrame:
 
 def top_ngrams(docs: DataFrame, top_n: int = 30, sizes: tuple[int, ...] = (3, 4, 5), chars: Column | None = None) -> DataFrame:
     """The most frequent grams of each size that occur at least twice, weighted by length."""
-    g = _ranked(grams(docs, list(sizes), cjk_only(F.col("text")) if chars is None else chars), top_n).filter("frequency >= 2")
+    g = _ranked(grams(docs, list(sizes), cjk_only(F.col("text")) if chars is None else chars).filter("frequency >= 2"), top_n)
     score = (F.col("frequency") / F.col("total")) * (F.col("n") * F.lit(0.3))
     return g.select("doc_id", F.col("gram").alias("term"), "frequency", score.alias("score"), F.lit("ngram").alias("word_type"), F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
 

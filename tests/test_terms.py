@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 from lexforge.operators import terms as tm
@@ -51,3 +52,25 @@ def test_types_strategies_and_table(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_grams_dont_travel_and_long_texts_take_linear_time(spark):
+    """One shuffle, of texts; grams across the borders of parts, and of rows with one doc_id together."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("数据库合同条款患", k=n)) for n in (150_000, 199, 200, 201, 204, 205, 3, 0)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[2])], "doc_id long, text string")
+    top = tm.top_ngrams(docs, 30)
+    assert top._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    began = time.time()
+    got: dict = {}
+    for r in top.collect():
+        got.setdefault((r["doc_id"], r["n"]), []).append((r["place"], r["term"], r["frequency"], round(r["score"], 9)))
+    for i, t in enumerate(texts):
+        for n in (3, 4, 5):
+            if i != 1:
+                want = [(k, g, x, round(x / total * (n * 0.3), 9)) for k, (g, x, total) in enumerate(grams(t or "", n, 30), 1) if x >= 2]
+                assert sorted(got.get((i, n), [])) == want
+    both = Counter(t[k : k + 3] for t in texts[1:3] for k in range(len(t) - 2))
+    assert sorted(x for _, _, x, _ in got[1, 3]) == sorted(sorted((x for x in both.values() if x >= 2), reverse=True)[:30])
+    assert all(round(x / sum(both.values()) * 0.9, 9) == s for _, _, x, s in got[1, 3])
+    assert time.time() - began < 40
