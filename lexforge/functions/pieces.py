@@ -11,6 +11,8 @@ read_pieces() reads files line by line, in parallel also within a file; no file
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,19 @@ _STATE = (*_SUMS, "words", "word_first", "word_last", "marks", "mark_first", "ma
 
 
 def keyword_bits(low: Column, domain: str) -> Column:
-    """The domain's keywords found in a lower-cased text, a bit for each."""
-    bits = [F.when(F.contains(low, F.lit(w)), F.lit(1 << k)).otherwise(0) for k, w in enumerate(DOMAIN_KEYWORDS[domain])]
-    return sum(bits[1:], bits[0]).cast("long")
+    """The domain's keywords found in a lower-cased text, a bit for each; Chinese ones are sought only where there is
+    a Chinese character."""
+    bits = {w: F.when(F.contains(low, F.lit(w)), F.lit(1 << k)).otherwise(0) for k, w in enumerate(DOMAIN_KEYWORDS[domain])}
+    chinese = [b for w, b in bits.items() if re.search(f"[{tx.CJK}]", w)]
+    others = [b for w, b in bits.items() if not re.search(f"[{tx.CJK}]", w)]
+    return (sum(others, F.lit(0)) + F.when(low.rlike(f"[{tx.CJK}]"), sum(chinese, F.lit(0))).otherwise(0)).cast("long")
 
 
 def piece_state(t: Column) -> Column:
     """The state of a piece of text with at least one character."""
     low = F.lower(t)
     blank = ~t.rlike(r"(?U)\S")
+    lines = F.contains(t, F.lit("\n"))  # most pieces have no line feed, so no blank lines either
     feeds = lambda s: F.length(F.regexp_extract(s, r"^((?U)\s*)", 1)) - F.length(F.translate(F.regexp_extract(s, r"^((?U)\s*)", 1), "\n", ""))
     fields = {
         "bytes": F.octet_length(t).cast("long"),
@@ -51,9 +57,9 @@ def piece_state(t: Column) -> Column:
         "mark_first": t.rlike("^[.!?]"),
         "mark_last": F.substring(t, -1, 1).rlike("[.!?]"),
         "has": ~blank,
-        "starts": F.when(blank, F.lit(0)).otherwise(tx.paragraphs(t) - 1).cast("long"),
-        "lead": feeds(t).cast("long"),
-        "trail": F.when(blank, F.lit(0)).otherwise(feeds(F.reverse(t))).cast("long"),
+        "starts": F.when(blank | ~lines, F.lit(0)).otherwise(tx.paragraphs(t) - 1).cast("long"),
+        "lead": F.when(lines, feeds(t)).otherwise(0).cast("long"),
+        "trail": F.when(blank | ~lines, F.lit(0)).otherwise(feeds(F.reverse(t))).cast("long"),
         "head": F.substring(low, 1, EDGE),
         "tail": F.right(low, F.lit(EDGE)),
         **{h: keyword_bits(low, d) for h, d in zip(_HITS, DOMAINS, strict=True)},
@@ -64,6 +70,7 @@ def piece_state(t: Column) -> Column:
 def joined(a: Column, b: Column) -> Column:
     """The state of two neighbouring pieces together; a null one is no text."""
     border = F.concat(a["tail"], b["head"])
+    apart = F.endswith(a["tail"], F.lit(" ")) | F.startswith(b["head"], F.lit(" "))  # no keyword has a space
     fields = {s: a[s] + b[s] for s in _SUMS}
     fields |= {
         "words": a["words"] + b["words"] - (a["word_last"] & b["word_first"]).cast("long"),
@@ -79,7 +86,7 @@ def joined(a: Column, b: Column) -> Column:
         "head": F.substring(F.concat(a["head"], b["head"]), 1, EDGE),
         "tail": F.right(F.concat(a["tail"], b["tail"]), F.lit(EDGE)),
         # most borders hold no keyword, and all that were found in either piece stay
-        **{h: a[h].bitwiseOR(b[h]).bitwiseOR(keyword_bits(border, d)) for h, d in zip(_HITS, DOMAINS, strict=True)},
+        **{h: a[h].bitwiseOR(b[h]).bitwiseOR(F.when(apart, 0).otherwise(keyword_bits(border, d)).cast("long")) for h, d in zip(_HITS, DOMAINS, strict=True)},
     }
     both = F.struct(*[fields[n].cast(_TYPES[n]).alias(n) for n in _STATE])
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)

@@ -147,10 +147,9 @@ def _(spark, sf):
 @query("analyze_pieces", f"SELECT {_FIELDS} FROM ({_analysis_sql('documents')})")
 def _(spark, sf):
     """The same profiles from pieces of a hundred characters."""
-    n = F.floor((F.length("text") + 99) / 100).cast("int")
-    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    rows = read(spark, sf, "documents").select("doc_id", "text", F.explode(at).alias("piece"))
-    pieces = rows.select("doc_id", "piece", F.expr("substring(text, piece * 100 + 1, 100)").alias("text"))
+    # a long text is neither copied nor passed over for each of its pieces
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,100}"), 0)
+    pieces = read(spark, sf, "documents").select("doc_id", F.posexplode_outer(cut).alias("piece", "text")).withColumn("piece", F.coalesce("piece", F.lit(0)))
     return analyze_pieces(pieces).select(*_FIELDS.split(", "))
 
 

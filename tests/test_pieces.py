@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.pieces import analyze_files, analyze_pieces
 from lexforge.functions.text import analyze
+from lexforge.plans.queries import QUERIES
 
 COLUMNS = ["lang", "chars_total", "chars_no_space", "words_cn", "words_en", "paragraphs", "sentences", "domain", "difficulty", "domain_scores"]
 
@@ -42,3 +43,14 @@ def test_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert have == profiles(analyze(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")))
+
+
+def test_query_cuts_each_text_once(spark, tmp_path):
+    """A text isn't repeated beside each of its pieces; nulls, empty texts and characters of four bytes stay whole."""
+    some = ["x" * 98 + "contract 合同", "😀" * 250 + ".\n\nserver", "", None, "a" * 100, "b" * 95 + "audit" + "audit", "one\n \u3000\ntwo" * 40]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["analyze_pieces"](spark, str(tmp_path))
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    columns = got.columns
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in analyze(docs).select(*columns).collect()}
