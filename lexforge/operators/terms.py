@@ -101,8 +101,8 @@ def tfidf_keywords(docs: DataFrame, top_n: int = 30) -> DataFrame:
     """Term frequency by inverse document frequency over the collection, ln((N + 1) / (df + 1)) + 1. N is counted at
     once. A common token's rows are many, but equally long and independent, so adaptive execution can split them."""
     n = docs.count()
-    tf = tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    # counted from tf's own column, so that both sides read one shuffle of tf
+    tf = tokens(by_document(docs)).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    # both sides read one shuffle of texts, which are smaller than their counted tokens, and tell the tokens again
     df = tf.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
     s = tf.join(df, "token").withColumn("size", F.sum("tf").over(Window.partitionBy("doc_id")))
     s = s.withColumn("score", F.col("tf") / F.col("size") * (F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1))

@@ -74,3 +74,10 @@ def test_grams_dont_travel_and_long_texts_take_linear_time(spark):
     assert sorted(x for _, _, x, _ in got[1, 3]) == sorted(sorted((x for x in both.values() if x >= 2), reverse=True)[:30])
     assert all(round(x / sum(both.values()) * 0.9, 9) == s for _, _, x, s in got[1, 3])
     assert time.time() - began < 40
+
+
+def test_tfidf_shuffles_texts_before_their_tokens(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (1, "beta gamma"), (2, "alpha"), (3, None), (None, "alpha delta")], "doc_id long, text string")
+    got = tm.tfidf_keywords(docs, 5)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in got.collect()} == {(1, "alpha"): 1, (1, "beta"): 3, (1, "gamma"): 1, (2, "alpha"): 1, (None, "alpha"): 1, (None, "delta"): 1}
