@@ -5,19 +5,18 @@ their mean length are taken over all shards (frequencies by hash bucket, sent ba
 scores are global scores and the merge of the shards' best k is exact. A posting's impact is its BM25
 contribution as an integer (IMPACT_UNIT parts of one), so scores don't depend on the order of summing.
 
-Dynamic pruning makes WAND's two tests on all documents of a shard at once, instead of moving a cursor per term.
-Pivot: a query's terms are put in order of their greatest contribution; those before the pivot, the first
-term at which the running sum reaches the threshold, can't carry a document in by themselves, so only
-postings of the pivot and the terms after it are read. Block maxima: postings are cut at blocks of BLOCK
-documents; what those terms give a document, with the maxima of the terms before the pivot in its block, must
-reach the threshold. Where that leaves few documents, they are scored whole, from the shard's terms by
-document; where it leaves many, half of the postings left are read and the test is made again.
+Dynamic pruning makes WAND's tests on all documents of a shard at once, instead of moving a cursor per term.
+Terms that many of a shard's documents have (one in DENSE) have small maxima; they take the place of the terms
+before the pivot. Postings of the others are read; a document whose sum, with the block maxima of the
+dense terms (of BLOCK documents), doesn't reach the threshold is out. What is left in any block is scored for a
+batch of queries by one matrix product of the dense terms' impacts. That product is in 32 bits, so it only picks:
+documents within its rounding error of the threshold are scored again in whole numbers.
 
 The threshold is a query's k-th best score so far. Shards are dealt to levels by their number (odd
 ones to level 0, those divisible by 2 alone to level 1, and so on), each about as large as all searched before it;
 levels are searched in turn, and a level starts from the threshold that those before left. So
 a shard returns few documents that the merge would drop: about k a query and level, not k a query and shard.
-Queries come in groups of about GROUP. One task searches a cell of shards, one after another, for a group, so
+Queries come in groups of about GROUP, BATCH to a row, whose words are kept once. One task searches a cell of shards, one after another, for a group, so
 that queries are copied once a cell, not once a shard.
 
 Cases: null or empty texts are no hits and, as queries, have none; a document without a shared word is no hit,
@@ -44,17 +43,17 @@ IMPACT_UNIT = 10_000
 SHARD_WORDS = 4_000_000
 #: Documents of a shard fit 16-bit numbers.
 SHARD_DOCS = 60_000
-BLOCK = 64
+BLOCK = 16
+#: A term that one in so many of a shard's documents have is dense, up to so many cells of a shard's matrix.
+DENSE, DENSE_CELLS = 16, 16_000_000
 GROUP = 10_000
+#: Queries of a row, and numbers that a product of some of them may have.
+BATCH, PRODUCT = 2000, 2_000_000
 #: Shards that the first round searches at least, if there are as many; up to LEVELS rounds.
 FIRST_SHARDS = 8
 LEVELS = 24
 #: Shards that share one copy of the queries in a round, once the round has CELLS cells.
 CELL_SHARDS, CELLS = 8, 8
-#: Documents that are scored to find a first threshold, for each of the k.
-TRIAL = 4
-#: Cost of a posting read by document over one read by term.
-BY_DOC = 4
 QUERY_STEP = 50
 
 
@@ -124,15 +123,34 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterato
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of queries: their distinct words, most asked first, and each query's words as numbers of these. query * words
+    + word rises, so its steps are small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            w, e = word_hashes(part.column(1))
-            t, d, n = counted(w, e)
-            order = np.argsort(d, kind="stable")
-            t, d, n = t[order], d[order], n[order]
-            stop = np.searchsorted(d, np.arange(part.num_rows), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part.column(0).to_numpy().astype("<i8").tobytes(), stop.astype("<u4").tobytes(), t.astype("<u8").tobytes(), _narrow(n), part.num_rows), (*[pa.binary()] * 4, pa.int64()), strict=True)], names=["ids", "stops", "terms", "weights", "n"])
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            t, d, n = counted(*word_hashes(part.column(1)))
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            asked = np.diff(np.append(first, len(t)))
+            order = np.argsort(-asked, kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            place = d * np.int64(len(order)) + np.repeat(number, asked)
+            by = np.argsort(place)
+            row = (part.column(0).to_numpy().astype("<i8").tobytes(), t[first][order].astype("<u8").tobytes(), _press(np.diff(place[by], prepend=0)), _press(n[by]), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (*[pa.binary()] * 4, pa.int64()), strict=True)], names=["ids", "terms", "steps", "weights", "n"])
+
+
+def _press(x: np.ndarray) -> bytes:
+    """Numbers, their first bytes before their second ones and so on, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpress(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _frequencies(buckets: int):
@@ -180,21 +198,19 @@ class Shard:
         # whole numbers below 2^24, which 32 bits hold exactly
         self.impact = np.floor(each * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))) * IMPACT_UNIT + 0.5).astype(np.float32)
         del each, tf
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
-        # runs of one term's postings in one block
-        block = self.docs // BLOCK
-        run = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])) if len(block) else np.zeros(0, np.int64)
-        self.run_block = block[run]
-        self.run_top = np.maximum.reduceat(self.impact, run) if len(run) else self.impact
-        self.term_runs = np.searchsorted(term[run], np.arange(len(self.terms) + 1))
         self.term_top = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.terms) else self.impact
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-        self.block_of = np.arange(len(self.ids)) // BLOCK
-        # the same postings by document
-        by_doc = np.argsort(self.docs, kind="stable")
-        self.doc_term, self.doc_impact = term[by_doc], self.impact[by_doc]
-        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
-        self.asked = np.zeros(len(self.terms))
+        # the dense terms' impacts by term and document, and their maxima by block
+        n, size = len(self.ids), np.diff(self.starts)
+        some = np.flatnonzero(size * DENSE >= n)
+        some = some[np.argsort(-size[some], kind="stable")[: DENSE_CELLS // max(1, n)]]
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[some] = np.arange(len(some))
+        self.dense = np.zeros((len(some), n), np.float32)
+        p = _ranges(self.starts[some], self.starts[some + 1])
+        self.dense[np.repeat(np.arange(len(some)), size[some]), self.docs[p]] = self.impact[p]
+        self.block_top = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n else self.dense
+        #: what 32-bit sums of numbers of one sign are off by at most, with room to spare
+        self.off = (len(some) + 16) * 2.0**-22
 
     def _given(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What these terms give every document."""
@@ -202,57 +218,57 @@ class Shard:
         p = _ranges(self.starts[t], self.starts[t + 1])
         return np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(w, n), minlength=len(self.ids))
 
-    def _whole(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents, which all have postings, by all terms asked."""
-        lo, hi = self.doc_starts[docs], self.doc_starts[docs + 1]
-        p = _ranges(lo, hi)
-        return np.add.reduceat(self.doc_impact[p] * self.asked[self.doc_term[p]], np.concatenate([[0], np.cumsum(hi - lo)[:-1]])) if len(p) else np.zeros(0)
-
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, theta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and scores of the best k documents with a score of theta at least."""
-        none = np.zeros(0, np.int64), np.zeros(0)
+        for _, docs, score in self.tops(terms, np.zeros(len(terms), np.int64), np.arange(len(terms)), weights, k, np.array([theta])):
+            return docs, score
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def tops(self, terms: np.ndarray, query: np.ndarray, number: np.ndarray, weights: np.ndarray, k: int, theta: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for many queries: theirs, in order, are the terms of these numbers. Queries that find nothing are left out."""
+        if not len(self.terms) or not len(terms):
+            return
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        t, w = at[hit], weights[hit].astype(np.float64)
-        most = w * self.term_top[t]
-        order = np.argsort(most, kind="stable")
-        t, w, upto = t[order], w[order], np.cumsum(most[order])
-        if not len(t) or upto[-1] < theta:
-            return none
-        self.asked[t] = w
-        if not theta:
-            # a first threshold: whole scores of the documents that the upper half of the terms likes best
-            part = self._given(t[len(t) // 2 :], w[len(t) // 2 :])
-            some = np.argpartition(-part, TRIAL * k - 1)[: TRIAL * k] if len(part) > TRIAL * k else np.arange(len(part))
-            score = self._whole(some[part[some] > 0])
-            if len(score) >= k:
-                theta = np.partition(score, -k)[-k]
-        size = np.cumsum(self.starts[t + 1] - self.starts[t])
-        low = pivot = int(np.searchsorted(upto, theta))
-        part = self._given(t[pivot:], w[pivot:])
-        while True:
-            docs = np.flatnonzero(part)
-            if not low:
-                score = part[docs]
-                break
-            n = self.term_runs[t[:low] + 1] - self.term_runs[t[:low]]
-            runs = _ranges(self.term_runs[t[:low]], self.term_runs[t[:low] + 1])
-            rest = np.bincount(self.run_block[runs], weights=self.run_top[runs] * np.repeat(w[:low], n), minlength=self.n_blocks)
-            docs = docs[part[docs] + rest[self.block_of[docs]] >= theta]
-            if BY_DOC * (self.doc_starts[docs + 1] - self.doc_starts[docs]).sum() <= size[low - 1]:
-                score = self._whole(docs)
-                break
-            # too many pass: half of the postings left, of the terms next below, then the test again
-            down = int(np.searchsorted(size[:low], size[low - 1] // 2)) if low > 8 else 0
-            more = self._given(t[down:low], w[down:low])
-            more[part == 0] = 0
-            part += more
-            low = down
-        self.asked[t] = 0
-        docs, score = docs[score >= theta], score[score >= theta]
-        best = np.lexsort((self.ids[docs], self.null[docs], -score))[:k]
-        return docs[best], score[best]
+        hit = (self.terms[at] == terms)[number]
+        query, t, w = query[hit], at[number[hit]], weights[hit].astype(np.float64)
+        most = np.bincount(query, weights=w * self.term_top[t], minlength=len(theta))
+        open_ = (most > 0) & (most >= theta)
+        row, n = self.row[t], len(self.ids)
+        stop = np.searchsorted(query, np.arange(len(theta)), side="right")
+        start = np.concatenate([[0], stop[:-1]])
+        todo = np.flatnonzero(open_)
+        step = max(1, min(256, PRODUCT // max(n, len(self.dense))))
+        for a in range(0, len(todo), step):
+            some = todo[a : a + step]
+            least = (theta[some] * (1 - self.off))[:, None]
+            by_row, given = np.zeros((len(some), len(self.dense)), np.float32), np.zeros((len(some), n))
+            for i, q in enumerate(some.tolist()):
+                own = slice(start[q], stop[q])
+                r, few = row[own], row[own] < 0
+                by_row[i, r[~few]] = w[own][~few]
+                given[i] = self._given(t[own][few], w[own][few])
+            cols, score = np.arange(n), given
+            if len(self.dense):
+                blocks = np.arange(0, n, BLOCK)
+                live = (np.maximum.reduceat(given, blocks, axis=1) + by_row @ self.block_top >= least).any(0)
+                if live.mean() < 0.7:
+                    cols = np.flatnonzero(np.repeat(live, BLOCK)[:n])
+                    score = given[:, cols] + by_row @ self.dense[:, cols]
+                else:
+                    score = given + by_row @ self.dense
+            for i, q in enumerate(some.tolist()):
+                near = np.flatnonzero((score[i] >= least[i]) & (score[i] > 0))
+                if len(near) > 2 * k:  # below the k-th, by more than both may be off
+                    s = score[i][near]
+                    near = near[s >= np.partition(s, -k)[-k] * (1 - 3 * self.off)]
+                docs, own = cols[near], slice(start[q], stop[q])
+                r, many = row[own], row[own] >= 0
+                whole = given[i, docs] + w[own][many] @ self.dense[np.ix_(r[many], docs)].astype(np.float64)
+                docs, whole = docs[whole >= theta[q]], whole[whole >= theta[q]]
+                best = np.lexsort((self.ids[docs], self.null[docs], -whole))[:k]
+                if len(best):
+                    yield q, docs[best], whole[best]
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,18 +283,22 @@ def _search(n_docs: int, mean: float, buckets: int, k: int):
         shape = pa.schema([("batch", pa.int64()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("points", pa.int64())])
         out = []
         index = None
-        for r in range(left.num_rows if right.num_rows else 0):
+        found: dict[int, list[dict]] = {}
+        here = left.column("df").is_valid()
+        for x in left.filter(here).select(["shard", "bucket", "df"]).to_pylist():
+            found.setdefault(x["shard"], []).append(x)
+        for r in np.flatnonzero(~here.to_numpy()).tolist() if right.num_rows else ():
             del index  # one shard at a time, its memory given back before the next is built
             give_back()
-            index = Shard(left.slice(r, 1).to_pylist()[0], n_docs, mean, buckets)
+            row = left.slice(r, 1).to_pylist()[0]
+            index = Shard(row | {"found": found.get(row["shard"], [])}, n_docs, mean, buckets)
             for a in range(right.num_rows):
-                batch, ids, stops, terms, weights, known = (right.column(c)[a].as_py() for c in ("batch", "ids", "stops", "terms", "weights", "known"))
-                ids, stops, terms, weights = np.frombuffer(ids, "<i8"), np.frombuffer(stops, "<u4"), np.frombuffer(terms, "<u8"), _wide(weights, len(terms) // 8)
+                batch, ids, terms, steps, weights, known = (right.column(c)[a].as_py() for c in ("batch", "ids", "terms", "steps", "weights", "known"))
+                ids, terms = np.frombuffer(ids, "<i8"), np.frombuffer(terms, "<u8")
+                query, number = np.divmod(np.cumsum(_unpress(steps)), max(1, len(terms)))
                 theta = {x["query_id"]: float(x["points"]) for x in known or ()}
-                for q, lo, hi in zip(ids.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    d, s = index.top(terms[lo:hi], weights[lo:hi], k, theta.get(q, 0.0))
-                    if len(d):
-                        out.append((np.full(len(d), batch), np.full(len(d), q), index.ids[d], s.astype(np.int64), index.null[d]))
+                for q, d, s in index.tops(terms, query, number, _unpress(weights), k, np.array([theta.get(i, 0.0) for i in ids.tolist()])):
+                    out.append((np.full(len(d), batch), np.full(len(d), ids[q]), index.ids[d], s.astype(np.int64), index.null[d]))
         del index
         give_back()
         if not out:
@@ -312,14 +332,14 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: st
     shards = materialize(shards.withColumn("level", level), "shards", parts="level")
     # an id asked twice is one query with the words of its different texts
     asks = pick(queries).filter("doc_id is not null").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("text"))
-    q = materialize(asks.mapInArrow(_queries, "ids binary, stops binary, terms binary, weights binary, n long").withColumn("batch", F.xxhash64("ids")), "queries")
+    q = materialize(asks.mapInArrow(_queries, "ids binary, terms binary, steps binary, weights binary, n long").withColumn("batch", F.xxhash64("ids")), "queries")
     n_queries = q.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     totals = shards.groupBy("level").agg(F.count("*"), F.sum("n_docs"), F.sum("n_words")).collect()  # LEVELS + 1 rows at most
     n_shards, n_docs, n_words = (sum(r[i] for r in totals) for i in (1, 2, 3))
     mean = n_words / n_docs if n_words else 1.0
     buckets, groups = max(8, n_shards), max(1, -(-n_queries // GROUP))
     sums = shards.select("shard", "terms", "starts").mapInArrow(_frequencies(buckets), "bucket long, shard long, terms binary, n binary").groupBy("bucket").applyInArrow(_sum_frequencies, "shard long, bucket long, df binary")
-    sums = materialize(sums.groupBy("shard").agg(F.collect_list(F.struct("bucket", "df")).alias("found")), "frequencies")
+    sums = materialize(sums.withColumn("level", level), "frequencies", parts="level")
     w = Window.partitionBy("query_id").orderBy(F.col("points").desc(), F.col("doc_id").asc_nulls_last())
     rows = "batch long, query_id long, doc_id long, points long"
     best = materialize(spark.createDataFrame([], rows).withColumn("rank", F.lit(1)), "best")
@@ -327,9 +347,9 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = K, id_col: st
         cells = min(n, max(CELLS, -(-n // CELL_SHARDS)))
         # places of one level alone have a one before their zeros
         cell = F.pmod(F.shiftright(place, first + (first == last)), F.lit(cells)).cast("int")
-        index = shards.filter(F.col("level").between(first, last)).join(sums, "shard", "left").withColumn("found", F.coalesce("found", F.array()))
+        index = shards.unionByName(sums, allowMissingColumns=True).filter(F.col("level").between(first, last))
         index = index.drop("n_docs", "n_words", "level").withColumn("cell", cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        known = best.filter(F.col("rank") == k).groupBy("batch").agg(F.collect_list(F.struct("query_id", "points")).alias("known"))  # 200 a batch at most
+        known = best.filter(F.col("rank") == k).groupBy("batch").agg(F.collect_list(F.struct("query_id", "points")).alias("known"))  # BATCH a batch at most
         asked = q.join(known, "batch", "left").withColumn("part", F.pmod("batch", F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         hits = index.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_search(n_docs, mean, buckets, k), rows)
         hits = best.drop("rank").unionByName(hits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

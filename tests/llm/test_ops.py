@@ -213,6 +213,41 @@ def test_search_prunes_nothing_it_needs():
             assert docs.tolist() == want.tolist() and score.tolist() == whole[want].tolist()
 
 
+def test_search_of_a_batch_is_brute_force(monkeypatch):
+    """Queries travel with each word once, and a batch of them finds what each finds alone: with and without
+    thresholds, ties, queries without words, and with dense terms, few cells for them or none."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 50))) if x < 300) for _ in range(400)]
+    texts[50:60], texts[300:330] = [""] * 10, [texts[7]] * 30
+    w, e = topk_search.word_hashes(pa.array(texts))
+    t, d, n = topk_search.counted(w, e)
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    df, b = np.diff(np.append(first, len(t))), t[first] % np.uint64(8)
+    row = {"ids": np.arange(400, dtype="<i8").tobytes(), "nulls": bytes(400), "lens": np.diff(np.concatenate([[0], e])).astype("<u4").tobytes(), "terms": t[first].tobytes(), "starts": np.append(first, len(t)).astype("<u4").tobytes()}
+    row |= {"docs": d.astype("<u2").tobytes(), "tfs": topk_search._narrow(n), "found": [{"bucket": i, "df": df[b == i].astype("<u4").tobytes()} for i in range(8)]}
+    asked = next(topk_search._queries(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])]))).to_pylist()[0]
+    assert sum(len(x) for x in asked.values() if isinstance(x, bytes)) < 8 * 400 + 4 * len(t)
+    terms = np.frombuffer(asked["terms"], "<u8")
+    query, number = np.divmod(np.cumsum(topk_search._unpress(asked["steps"])), len(terms))
+    for dense, cells, product in ((16, 1 << 24, 1 << 21), (2, 1 << 24, 900), (16, 2000, 1 << 21), (16, 0, 1 << 21)):
+        monkeypatch.setattr(topk_search, "DENSE", dense)
+        monkeypatch.setattr(topk_search, "DENSE_CELLS", cells)
+        monkeypatch.setattr(topk_search, "PRODUCT", product)
+        index = topk_search.Shard(row, 400, len(w) / 400, 8)
+        whole = np.zeros((400, 400))
+        for q in range(400):
+            whole[q] = index._given(np.searchsorted(index.terms, t[d == q]), n[d == q].astype(float))
+        kth = -np.sort(-whole, axis=1)[:, 9]
+        for theta in (np.zeros(400), kth, kth + 1, np.where(np.arange(400) % 2, kth // 2, 0)):
+            got = {q: (docs.tolist(), score.tolist()) for q, docs, score in index.tops(terms, query, number, topk_search._unpress(asked["weights"]), 10, theta)}
+            for q in range(400):
+                best = np.lexsort((np.arange(400), -whole[q]))[:10]
+                best = best[(whole[q][best] >= theta[q]) & (whole[q][best] > 0)]
+                assert got.get(q, ([], [])) == (best.tolist(), whole[q][best].tolist())
+
+
 # 4
 
 
