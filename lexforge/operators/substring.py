@@ -95,6 +95,12 @@ def search_associations_many(terms: DataFrame, associations: DataFrame, queries:
     """For each distinct query of queries(query) the words related to the terms that match, best first: query, word,
     type, source, score, place."""
     hit = search_many(terms.select("id", "word"), "word", queries, "query").select(F.col("pattern").alias("query"), F.col("id").alias("term_id"))
-    rows = associations.join(hit, "term_id").select("query", F.col("related_word").alias("word"), F.col("relation_type").alias("type"), "source", "score")
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "word", "type", "source")
+    order = F.col("score").desc(), "word", "type", "source"
+    # what isn't among a term's best can't be among a query's: a term's rows are cut before they are repeated for each query
+    own = Window.partitionBy("term_id").orderBy(*order)
+    rows = associations.filter("term_id is not null").select("term_id", F.col("related_word").alias("word"), F.col("relation_type").alias("type"), "source", "score")
+    rows = rows.repartition("term_id")  # or tasks would sort all that they read before it is dealt out
+    rows = rows.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= limit).drop("place")
+    rows = rows.join(hit, "term_id").select("query", "word", "type", "source", "score")
+    w = Window.partitionBy("query").orderBy(*order)
     return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit)

@@ -33,3 +33,23 @@ def test_batches_keep_each_querys_best(spark):
     got = {(r["query"], r["place"]): r["word"] for r in sub.search_associations_many(terms, assoc, asked, 5).collect()}
     assert got == {("serv", 1): "help", ("serv", 2): "host"}
     assert sub.search_terms_many(terms, asked.limit(0)).count() == 0 and sub.search_terms_many(terms.limit(0), asked).count() == 0
+
+
+def test_associations_are_cut_by_term_before_the_join(spark):
+    """A term's rows beyond its best limit aren't repeated for each query and sorted; what is found stays the same."""
+    rng = random.Random(5)
+    words = ["red ring", "red rod", "Ring", "bolt", "red ring", None]
+    terms = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    rows = [(rng.choice([0, 1, 2, 3, 4, 5, 9, None]), rng.choice("abc"), rng.choice("xy"), "m", rng.choice([0.1, 0.5, None])) for _ in range(300)]
+    assoc = spark.createDataFrame(rows, "term_id long, related_word string, relation_type string, source string, score double")
+    asked = ["ring", "RED", "r", "bolt", "zzz"]
+    df = sub.search_associations_many(terms, assoc, spark.createDataFrame([(a,) for a in asked], "query string"), 4)
+    got = sorted((r["query"], r["place"], r["word"], r["type"], r["score"]) for r in df.collect())
+    want = []
+    for a in asked:
+        ids = [i for i, w in enumerate(words) if w and a.lower() in w.lower()]
+        best = sorted((r for r in rows if r[0] in ids), key=lambda r: (r[4] is None, -(r[4] or 0), r[1], r[2]))[:4]
+        want += [(a, k, r[1], r[2], r[4]) for k, r in enumerate(best, 1)]
+    assert got == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [term_id" in plan and plan.index("WindowGroupLimit [term_id") > plan.index("Join Inner")
