@@ -59,8 +59,9 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), _F))
-_APART = np.maximum(0, np.arange(WINDOW)[:, None] - np.arange(WINDOW))
+#: For positions that can be scored, the only ones that attend: what each may see, and how far back it is.
+_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), _F))[OVERLAP:]
+_APART = np.maximum(0, np.arange(WINDOW)[:, None] - np.arange(WINDOW))[OVERLAP:]
 
 
 def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def forward(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], bef
     b = len(before)
     x = w["emb"][before] + w["last"][last]
     qkv = (x.reshape(-1, DIM) @ w["qkv"]).reshape(b, WINDOW, 3 * DIM)
-    q, k, v = qkv[..., :DIM] * _F(1 / np.sqrt(DIM)), qkv[..., DIM : 2 * DIM], np.ascontiguousarray(qkv[..., 2 * DIM :])
+    q, k, v = qkv[:, OVERLAP:, :DIM] * _F(1 / np.sqrt(DIM)), qkv[..., DIM : 2 * DIM], np.ascontiguousarray(qkv[..., 2 * DIM :])
     e = q @ k.transpose(0, 2, 1)
     e += w["rel"][_APART]
     np.clip(e, -30, 30, out=e)
@@ -98,29 +99,28 @@ def forward(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], bef
     e[odd] *= there[odd][:, None, :]
     total = e.sum(-1, keepdims=True) + _F(1e-9)
     ctx = (e @ v) / total
-    y = x + (ctx.reshape(-1, DIM) @ w["out"]).reshape(b, WINDOW, DIM)
-    s = scored.ravel()
-    pick = np.flatnonzero(s)
+    y = x[:, OVERLAP:] + (ctx.reshape(-1, DIM) @ w["out"]).reshape(b, STRIDE, DIM)
+    pick = np.flatnonzero(scored[:, OVERLAP:])
     ys = y.reshape(-1, DIM)[pick]
     hid = ys @ w["up"] + w["up_b"]
     np.maximum(hid, 0, out=hid)
     z = ys + hid @ w["down"]
     norm = 1 / np.sqrt((z * z).mean(1, keepdims=True) + _F(1e-5))
     z *= norm
-    t = target.ravel()[pick]
+    t = target[:, OVERLAP:].ravel()[pick]
     c, m = t // CLASSES, t % CLASSES
-    prev = before.ravel()[pick]
+    prev = before[:, OVERLAP:].ravel()[pick]
     logit = z @ w["cls"] + w["cls_b"] + bigram[0][prev]
     np.exp(logit, out=logit)
     pc = logit / logit.sum(1, keepdims=True)
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
     zo = z[order]
     pm = np.empty((len(t), CLASSES), _F)
-    for j in range(CLASSES):
-        lo, hi = cuts[j], cuts[j + 1]
+    for m_j, lo, hi in zip(w["mem"], cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
-            pm[lo:hi] = zo[lo:hi] @ w["mem"][j] + w["mem_b"][j]
+            np.matmul(zo[lo:hi], m_j, out=pm[lo:hi])
+    pm += w["mem_b"][c[order]]
     pm += bigram[1].reshape(SYMBOLS * CLASSES, CLASSES)[(prev * CLASSES + c)[order]]
     np.exp(pm, out=pm)
     pm /= pm.sum(1, keepdims=True)
@@ -146,32 +146,35 @@ def backward(w: dict[str, np.ndarray], kept) -> dict[str, np.ndarray]:
     dm = pm * r
     dm[rows, mo] -= r
     g["mem"], g["mem_b"] = np.zeros_like(w["mem"]), np.zeros_like(w["mem_b"])
-    dzo = np.zeros_like(zo)
-    for j in range(CLASSES):
-        lo, hi = cuts[j], cuts[j + 1]
+    dzo, zt = np.empty_like(zo), zo.T
+    for m_j, g_j, lo, hi in zip(w["mem"], g["mem"], cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
-            g["mem"][j] = zo[lo:hi].T @ dm[lo:hi]
-            g["mem_b"][j] = dm[lo:hi].sum(0)
-            dzo[lo:hi] = dm[lo:hi] @ w["mem"][j].T
+            np.matmul(zt[:, lo:hi], dm[lo:hi], out=g_j)
+            np.matmul(dm[lo:hi], m_j.T, out=dzo[lo:hi])
+    some = np.flatnonzero(np.diff(cuts))
+    g["mem_b"][some] = np.add.reduceat(dm, np.array(cuts)[some])
     dz[order] += dzo
     dz = norm * (dz - z * (dz * z).mean(1, keepdims=True))
     g["down"] = hid.T @ dz
     dh = (dz @ w["down"].T) * (hid > 0)
     g["up"], g["up_b"] = ys.T @ dh, dh.sum(0)
     dys = dz + dh @ w["up"].T
-    dy = np.zeros((b * WINDOW, DIM), _F)
+    dy = np.zeros((b * STRIDE, DIM), _F)
     dy[pick] = dys
     g["out"] = ctx.reshape(-1, DIM).T @ dy
-    dctx = (dy @ w["out"].T).reshape(b, WINDOW, DIM)
+    dctx = (dy @ w["out"].T).reshape(b, STRIDE, DIM)
     a = e / total
     dv = a.transpose(0, 2, 1) @ dctx
     da = dctx @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq = ds @ k * _F(1 / np.sqrt(DIM))
-    dk = ds.transpose(0, 2, 1) @ q
-    dqkv = np.concatenate([dq, dk, dv], -1).reshape(-1, 3 * DIM)
+    dqkv = np.zeros((b, WINDOW, 3 * DIM), _F)
+    dqkv[:, OVERLAP:, :DIM] = ds @ k * _F(1 / np.sqrt(DIM))
+    dqkv[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
+    dqkv[..., 2 * DIM :] = dv
+    dqkv = dqkv.reshape(-1, 3 * DIM)
     g["qkv"] = x.reshape(-1, DIM).T @ dqkv
-    dx = dy + dqkv @ w["qkv"].T
+    dx = dqkv @ w["qkv"].T
+    dx.reshape(b, WINDOW, DIM)[:, OVERLAP:] += dy.reshape(b, STRIDE, DIM)
     g["rel"] = np.bincount(_APART.ravel(), weights=(ds.sum(0) * _CAUSAL).ravel().astype(float), minlength=WINDOW).astype(_F)
     g["emb"], g["last"] = _scatter(before.ravel(), dx), _scatter(last.ravel(), dx)
     return g
@@ -179,11 +182,8 @@ def backward(w: dict[str, np.ndarray], kept) -> dict[str, np.ndarray]:
 
 def _scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sum of the rows at each symbol."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-    out = np.zeros((SYMBOLS, DIM), rows.dtype)
-    out[at[order][first]] = np.add.reduceat(rows[order], first)
-    return out
+    place = (at * DIM)[:, None] + np.arange(DIM)
+    return np.bincount(place.ravel(), weights=rows.ravel(), minlength=SYMBOLS * DIM).reshape(SYMBOLS, DIM).astype(rows.dtype)
 
 
 class Adam:
@@ -195,9 +195,18 @@ class Adam:
     def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
         for k in w:
-            self.m[k] += _F(0.1) * (g[k] - self.m[k])
-            self.v[k] += _F(0.02) * (g[k] * g[k] - self.v[k])
-            w[k] -= _F(rate) * (self.m[k] / _F(1 - 0.9**self.t)) / (np.sqrt(self.v[k] / _F(1 - 0.98**self.t)) + _F(1e-7))
+            m, v, x = self.m[k], self.v[k], g[k] - self.m[k]
+            x *= _F(0.1)
+            m += x
+            np.multiply(g[k], g[k], out=x)
+            x -= v
+            x *= _F(0.02)
+            v += x
+            np.divide(v, _F(1 - 0.98**self.t), out=x)
+            np.sqrt(x, out=x)
+            x += _F(1e-7)
+            np.divide(m * _F(rate / (1 - 0.9**self.t)), x, out=x)
+            w[k] -= x
 
 
 def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, whole: np.ndarray, rate: float, seed: list[int], batch: int = 32) -> tuple[dict[str, np.ndarray], int]:
