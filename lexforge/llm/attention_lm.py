@@ -50,18 +50,24 @@ def flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64)
 
 
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+def _views(v: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).astype(_F)
+        out[k] = v[at : at + n].reshape(s)
         at += n
     return out
 
 
+def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+    return _views(v.astype(_F))
+
+
 #: For positions that can be scored, the only ones that attend: what each may see, and how far back it is.
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), _F))[OVERLAP:]
 _APART = np.maximum(0, np.arange(WINDOW)[:, None] - np.arange(WINDOW))[OVERLAP:]
+_SCALE = np.repeat([1 / np.sqrt(DIM), 1, 1], DIM).astype(_F)
+_ONES = np.ones(max(WINDOW, CLASSES), _F)
 
 
 def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,21 +81,35 @@ def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def gather(sym: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     """Inputs, the symbols before them, targets (B, WINDOW), which positions exist, and which are scored. The input before a document's
     first token is symbol 0, its end."""
-    at = first[:, None] - OVERLAP + np.arange(WINDOW)
-    there = (at >= lo[:, None]) & (at < hi[:, None])
-    safe = np.clip(at, 0, len(sym) - 1)
-    target = sym[safe]
-    before = np.where(at > lo[:, None], sym[np.clip(at - 1, 0, len(sym) - 1)], 0)
-    last = np.where(at > lo[:, None] + 1, sym[np.clip(at - 2, 0, len(sym) - 1)], 0)
-    return before, last, target, there, there & (np.arange(WINDOW) >= OVERLAP)
+    at = first[:, None] - OVERLAP - 2 + np.arange(WINDOW + 2)
+    own = sym.take(at, mode="clip")
+    odd = np.flatnonzero(at[:, 0] < lo)
+    own[odd] *= at[odd] >= lo[odd, None]
+    there = (at[:, 2:] >= lo[:, None]) & (at[:, 2:] < hi[:, None])
+    scored = there.copy()
+    scored[:, :OVERLAP] = False
+    return own[:, 1:-1], own[:, :-2], own[:, 2:], there, scored
+
+
+def by_class(bigram: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same logs, those of members stored class by class, as forward() reads them."""
+    return bigram[0], np.ascontiguousarray(bigram[1].transpose(1, 0, 2)).transpose(1, 0, 2)
+
+
+def _with_ones(rows: np.ndarray) -> np.ndarray:
+    """A column of ones beside the rows, so that one product takes weights and bias."""
+    out = np.empty((len(rows), DIM + 1), _F)
+    out[:, :DIM], out[:, DIM] = rows, 1
+    return out
 
 
 def forward(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], before: np.ndarray, last: np.ndarray, target: np.ndarray, there: np.ndarray, scored: np.ndarray, keep: bool = False):
     """Log-probability of every scored target, in row order; with keep also what backward() needs."""
     b = len(before)
-    x = w["emb"][before] + w["last"][last]
-    qkv = (x.reshape(-1, DIM) @ w["qkv"]).reshape(b, WINDOW, 3 * DIM)
-    q, k, v = qkv[:, OVERLAP:, :DIM] * _F(1 / np.sqrt(DIM)), qkv[..., DIM : 2 * DIM], np.ascontiguousarray(qkv[..., 2 * DIM :])
+    x = w["emb"].take(before, axis=0)
+    x += w["last"].take(last, axis=0)
+    qkv = (x.reshape(-1, DIM) @ (w["qkv"] * _SCALE)).reshape(b, WINDOW, 3 * DIM)
+    q, k, v = qkv[:, OVERLAP:, :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
     e = q @ k.transpose(0, 2, 1)
     e += w["rel"][_APART]
     np.clip(e, -30, 30, out=e)
@@ -97,116 +117,132 @@ def forward(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], bef
     e *= _CAUSAL
     odd = np.flatnonzero(~there[:, :OVERLAP].all(1))  # windows that begin before their document
     e[odd] *= there[odd][:, None, :]
-    total = e.sum(-1, keepdims=True) + _F(1e-9)
-    ctx = (e @ v) / total
-    y = x[:, OVERLAP:] + (ctx.reshape(-1, DIM) @ w["out"]).reshape(b, STRIDE, DIM)
-    pick = np.flatnonzero(scored[:, OVERLAP:])
-    ys = y.reshape(-1, DIM)[pick]
-    hid = ys @ w["up"] + w["up_b"]
+    total = (e.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(b, STRIDE, 1)
+    total += _F(1e-9)
+    ctx = e @ v
+    ctx /= total
+    y = (ctx.reshape(-1, DIM) @ w["out"]).reshape(b, STRIDE, DIM)
+    y += x[:, OVERLAP:]
+    # what is scored, sorted by class
+    place = np.flatnonzero(scored[:, OVERLAP:])
+    t = target[:, OVERLAP:].ravel().take(place)
+    order = np.argsort((t // CLASSES).astype(np.uint8), kind="stable")
+    place, t = place.take(order), t.take(order)
+    c, m, prev = t // CLASSES, t % CLASSES, before[:, OVERLAP:].ravel().take(place)
+    cuts = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    ys = _with_ones(y.reshape(-1, DIM).take(place, axis=0))
+    hid = ys @ np.vstack([w["up"], w["up_b"]])
     np.maximum(hid, 0, out=hid)
-    z = ys + hid @ w["down"]
-    norm = 1 / np.sqrt((z * z).mean(1, keepdims=True) + _F(1e-5))
+    z = hid @ w["down"]
+    z += ys[:, :DIM]
+    norm = 1 / np.sqrt(np.einsum("ij,ij->i", z, z) * _F(1 / DIM) + _F(1e-5))[:, None]
     z *= norm
-    t = target[:, OVERLAP:].ravel()[pick]
-    c, m = t // CLASSES, t % CLASSES
-    prev = before[:, OVERLAP:].ravel()[pick]
-    logit = z @ w["cls"] + w["cls_b"] + bigram[0][prev]
-    np.exp(logit, out=logit)
-    pc = logit / logit.sum(1, keepdims=True)
-    order = np.argsort(c, kind="stable")
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
-    zo = z[order]
+    z = _with_ones(z)
+    pc = bigram[0].take(prev, axis=0)
+    pc += z @ np.vstack([w["cls"], w["cls_b"]])
     pm = np.empty((len(t), CLASSES), _F)
-    for m_j, lo, hi in zip(w["mem"], cuts[:-1], cuts[1:], strict=True):
+    mem = np.concatenate([w["mem"], w["mem_b"][:, None]], axis=1)
+    for m_j, lo, hi in zip(mem, cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
-            np.matmul(zo[lo:hi], m_j, out=pm[lo:hi])
-    pm += w["mem_b"][c[order]]
-    pm += bigram[1].reshape(SYMBOLS * CLASSES, CLASSES)[(prev * CLASSES + c)[order]]
+            np.dot(z[lo:hi], m_j, out=pm[lo:hi])
+    pm += bigram[1].transpose(1, 0, 2).reshape(SYMBOLS * CLASSES, CLASSES).take(c * SYMBOLS + prev, axis=0)
+    rows = np.arange(len(t)) * CLASSES
+    own = pc.ravel().take(rows + c) + pm.ravel().take(rows + m)
+    np.exp(pc, out=pc)
     np.exp(pm, out=pm)
-    pm /= pm.sum(1, keepdims=True)
-    rows = np.arange(len(t))
-    own = np.empty(len(t), _F)
-    own[order] = pm[rows, mo := m[order]]
-    logp = np.log(pc[rows, c] * own)
+    sum_c, sum_m = pc @ _ONES[:CLASSES], pm @ _ONES[:CLASSES]
+    logp = np.empty(len(t), _F)
+    logp[order] = own - np.log(sum_c) - np.log(sum_m)
     if not keep:
         return logp
-    return logp, (x, q, k, v, e, total, ctx, pick, ys, hid, z, norm, c, mo, pc, order, cuts, zo, pm, rows, before, last, b)
-
-
-def backward(w: dict[str, np.ndarray], kept) -> dict[str, np.ndarray]:
-    """Gradient of the mean negative log-probability."""
-    x, q, k, v, e, total, ctx, pick, ys, hid, z, norm, c, mo, pc, order, cuts, zo, pm, rows, before, last, b = kept
-    n = len(c)
-    g: dict[str, np.ndarray] = {}
-    r = _F(1 / n)
-    dc = pc * r
-    dc[rows, c] -= r
-    g["cls"], g["cls_b"] = z.T @ dc, dc.sum(0)
-    dz = dc @ w["cls"].T
-    dm = pm * r
-    dm[rows, mo] -= r
-    g["mem"], g["mem_b"] = np.zeros_like(w["mem"]), np.zeros_like(w["mem_b"])
-    dzo, zt = np.empty_like(zo), zo.T
-    for m_j, g_j, lo, hi in zip(w["mem"], g["mem"], cuts[:-1], cuts[1:], strict=True):
+    return logp, (x, q, k, v, e, total, ctx, place, ys, hid, z, norm, c, m, pc, sum_c, cuts, pm, sum_m, rows, before, last, b)
+
+
+def backward(w: dict[str, np.ndarray], kept, g: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Gradient of the mean negative log-probability, in g's arrays if they are given. What was kept is used up."""
+    x, q, k, v, e, total, ctx, place, ys, hid, z, norm, c, m, pc, sum_c, cuts, pm, sum_m, rows, before, last, b = kept
+    g = {n: np.empty_like(v) for n, v in w.items()} if g is None else g
+    r = _F(1 / len(c))
+    pc *= (r / sum_c)[:, None]
+    pc.ravel()[rows + c] -= r
+    both = z.T @ pc
+    g["cls"][:], g["cls_b"][:] = both[:DIM], both[DIM]
+    dz = pc @ w["cls"].T
+    pm *= (r / sum_m)[:, None]
+    pm.ravel()[rows + m] -= r
+    dzm, zt, both = np.empty_like(dz), z.T, np.zeros((CLASSES, DIM + 1, CLASSES), _F)
+    for m_j, g_j, lo, hi in zip(w["mem"], both, cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
-            np.matmul(zt[:, lo:hi], dm[lo:hi], out=g_j)
-            np.matmul(dm[lo:hi], m_j.T, out=dzo[lo:hi])
-    some = np.flatnonzero(np.diff(cuts))
-    g["mem_b"][some] = np.add.reduceat(dm, np.array(cuts)[some])
-    dz[order] += dzo
-    dz = norm * (dz - z * (dz * z).mean(1, keepdims=True))
-    g["down"] = hid.T @ dz
-    dh = (dz @ w["down"].T) * (hid > 0)
-    g["up"], g["up_b"] = ys.T @ dh, dh.sum(0)
-    dys = dz + dh @ w["up"].T
+            part = pm[lo:hi]
+            np.dot(zt[:, lo:hi], part, out=g_j)
+            np.dot(part, m_j.T, out=dzm[lo:hi])
+    g["mem"][:], g["mem_b"][:] = both[:, :DIM], both[:, DIM]
+    dz += dzm
+    z = z[:, :DIM]
+    dz -= z * (np.einsum("ij,ij->i", dz, z) * _F(1 / DIM))[:, None]
+    dz *= norm
+    g["down"][:] = hid.T @ dz
+    dh = dz @ w["down"].T
+    dh *= hid > 0
+    both = ys.T @ dh
+    g["up"][:], g["up_b"][:] = both[:DIM], both[DIM]
+    dz += dh @ w["up"].T
     dy = np.zeros((b * STRIDE, DIM), _F)
-    dy[pick] = dys
-    g["out"] = ctx.reshape(-1, DIM).T @ dy
+    dy[place] = dz
+    g["out"][:] = ctx.reshape(-1, DIM).T @ dy
     dctx = (dy @ w["out"].T).reshape(b, STRIDE, DIM)
-    a = e / total
-    dv = a.transpose(0, 2, 1) @ dctx
-    da = dctx @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dqkv = np.zeros((b, WINDOW, 3 * DIM), _F)
-    dqkv[:, OVERLAP:, :DIM] = ds @ k * _F(1 / np.sqrt(DIM))
-    dqkv[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
-    dqkv[..., 2 * DIM :] = dv
+    dctx /= total
+    # of the scores: a row's mean of da is dctx * ctx, summed
+    ds = dctx @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", dctx, ctx)[..., None]
+    ds *= e
+    dqkv = np.empty((b, WINDOW, 3 * DIM), _F)
+    dqkv[:, :OVERLAP, :DIM] = 0
+    np.matmul(ds, k, out=dqkv[:, OVERLAP:, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
+    np.matmul(e.transpose(0, 2, 1), dctx, out=dqkv[..., 2 * DIM :])
     dqkv = dqkv.reshape(-1, 3 * DIM)
-    g["qkv"] = x.reshape(-1, DIM).T @ dqkv
-    dx = dqkv @ w["qkv"].T
+    g["qkv"][:] = x.reshape(-1, DIM).T @ dqkv
+    g["qkv"] *= _SCALE
+    dx = dqkv @ (w["qkv"] * _SCALE).T
     dx.reshape(b, WINDOW, DIM)[:, OVERLAP:] += dy.reshape(b, STRIDE, DIM)
-    g["rel"] = np.bincount(_APART.ravel(), weights=(ds.sum(0) * _CAUSAL).ravel().astype(float), minlength=WINDOW).astype(_F)
-    g["emb"], g["last"] = _scatter(before.ravel(), dx), _scatter(last.ravel(), dx)
+    g["rel"][:] = np.bincount(_APART.ravel(), weights=(np.ones(b, _F) @ ds.reshape(b, -1)) * _CAUSAL.ravel(), minlength=WINDOW)
+    _scatter(before.ravel(), dx, g["emb"])
+    _scatter(last.ravel(), dx, g["last"])
     return g
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _scatter(at: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     """Sum of the rows at each symbol."""
-    place = (at * DIM)[:, None] + np.arange(DIM)
-    return np.bincount(place.ravel(), weights=rows.ravel(), minlength=SYMBOLS * DIM).reshape(SYMBOLS, DIM).astype(rows.dtype)
+    out[:] = 0
+    np.add.at(out.reshape(-1), ((at * DIM)[:, None] + np.arange(DIM)).ravel(), rows.ravel())
 
 
 class Adam:
-    def __init__(self, w: dict[str, np.ndarray]):
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in w.items()}
-        self.t = 0
+    """Steps on all weights as one vector. m and v are the decayed sums of gradients and of their squares, without the
+    factors 0.1 and 0.02 that make means of them."""
+
+    def __init__(self, w: np.ndarray):
+        self.m, self.v, self.t = np.zeros_like(w), np.zeros_like(w), 0
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, w: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """Change w; g is used up."""
         self.t += 1
-        for k in w:
-            m, v, x = self.m[k], self.v[k], g[k] - self.m[k]
-            x *= _F(0.1)
+        root = np.sqrt(0.02 / (1 - 0.98**self.t))
+        a, least = _F(0.1 * rate / (1 - 0.9**self.t) / root), _F(1e-7 / root)
+        for at in range(0, len(w), 8192):  # pieces stay in the cache
+            i = slice(at, at + 8192)
+            m, v, x = self.m[i], self.v[i], g[i]
+            m *= _F(0.9)
             m += x
-            np.multiply(g[k], g[k], out=x)
-            x -= v
-            x *= _F(0.02)
+            x *= x
+            v *= _F(0.98)
             v += x
-            np.divide(v, _F(1 - 0.98**self.t), out=x)
-            np.sqrt(x, out=x)
-            x += _F(1e-7)
-            np.divide(m * _F(rate / (1 - 0.9**self.t)), x, out=x)
-            w[k] -= x
+            np.sqrt(v, out=x)
+            x += least
+            np.divide(m, x, out=x)
+            x *= a
+            w[i] -= x
 
 
 def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, whole: np.ndarray, rate: float, seed: list[int], batch: int = 32) -> tuple[dict[str, np.ndarray], int]:
@@ -215,18 +251,24 @@ def train(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym:
     first, lo, hi = windows(starts + lead, ends)
     n = -(-(ends - starts - lead) // STRIDE)
     lo = np.repeat(np.where(whole, starts, starts - WINDOW), n)
-    rng, opt = np.random.default_rng(seed), Adam(w)
+    bigram = by_class(bigram)
+    own = flat(w).astype(_F)
+    grad = np.empty_like(own)
+    w, g = _views(own), _views(grad)
+    rng, opt = np.random.default_rng(seed), Adam(own)
     order, steps = rng.permutation(len(first)), -(-len(first) // batch)
     for k in range(steps):
         i = order[k * batch : (k + 1) * batch]
         _, kept = forward(w, bigram, *gather(sym, first[i], lo[i], hi[i]), keep=True)
-        opt.step(w, backward(w, kept), rate * min(1.0, (k + 1) / 20) * (1 - 0.5 * k / steps))
+        backward(w, kept, g)
+        opt.step(own, grad, rate * min(1.0, (k + 1) / 20) * (1 - 0.5 * k / steps))
     return w, len(first)
 
 
 def score(w: dict[str, np.ndarray], bigram: tuple[np.ndarray, np.ndarray], sym: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Natural-log probability of every token, in order."""
     first, lo, hi = windows(starts, ends)
+    bigram = by_class(bigram)
     out = np.zeros(len(sym), np.float64)
     for a in range(0, len(first), BATCH):
         i = slice(a, a + BATCH)

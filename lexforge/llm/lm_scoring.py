@@ -107,7 +107,7 @@ def _pack(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path, KNOWN_WORDS, CACHE_WORDS)
+        enc = encoder(path, KNOWN_WORDS, CACHE_WORDS, letters=True)
         number = TaskContext.get().partitionId() << 24
         longs, types = pa.list_(pa.int64()), [*[pa.binary()] * 4, pa.int64(), pa.int64()]
         for batch in batches:

@@ -22,3 +22,30 @@ def test_only_scored_positions_attend():
         d /= np.sqrt((d * d).sum())
         up, down = (-lm.forward(w | {name: w[name] + np.float32(s) * d}, big, *inputs).astype(float).mean() for s in (0.02, -0.02))
         assert abs((up - down) / 0.04 - float((g[name] * d).sum())) < 2e-3 * max(1.0, float(np.abs(g[name]).max())), name
+
+
+def test_gradient_goes_to_given_arrays_and_member_logs_may_lie_by_class():
+    rng = np.random.default_rng(3)
+    w = lm.start_weights()
+    big = lm.bigram_logs(rng.integers(0, 3, (lm.SYMBOLS, lm.SYMBOLS)))
+    starts, ends = np.array([0, 5, 70]), np.array([5, 70, 190])
+    inputs = lm.gather(rng.integers(0, lm.SYMBOLS, 190), *lm.windows(starts, ends))
+    logp, kept = lm.forward(w, big, *inputs, keep=True)
+    want = lm.backward(w, kept)
+    logp2, kept = lm.forward(w, lm.by_class(big), *inputs, keep=True)
+    vector = rng.standard_normal(len(lm.flat(w))).astype(np.float32)
+    got = lm.backward(w, kept, lm._views(vector))
+    assert np.array_equal(logp, logp2) and all(np.array_equal(want[k], got[k]) for k in w)
+    assert np.array_equal(vector, lm.flat(want).astype(np.float32))
+
+
+def test_adam_steps_on_one_vector():
+    rng = np.random.default_rng(4)
+    w = rng.standard_normal(20_000).astype(np.float32)
+    opt, plain, m, v = lm.Adam(w), w.astype(float), 0.0, 0.0
+    for t in range(1, 30):
+        g = rng.standard_normal(len(w)) * 10.0 ** rng.integers(-6, 3, len(w))
+        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
+        plain -= 0.03 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.98**t)) + 1e-7)
+        opt.step(w, g.astype(np.float32), 0.03)
+    assert np.abs(w - plain).max() < 1e-4

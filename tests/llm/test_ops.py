@@ -317,6 +317,39 @@ def test_lm_scores_do_not_depend_on_partitions(spark, docs):
         assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-4 * abs(x[2])
 
 
+def test_words_of_letters_get_the_tokenizers_ids():
+    import random
+
+    path, rng = tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    new, old = packing.WordEncoder(path, letters=True), packing.WordEncoder(path)
+    tokens = [t.removesuffix("</w>") for t in old.tok.get_vocab()]
+    some = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzßàáâäçéèêëíñóôöúûüýþÿ" if k % 2 else "aabéü") for _ in range(rng.randint(1, 25))) for k in range(20_000)]
+    odd = ["a" * 3000, "é" * 1001, "naïve.", "łódź", "étÉ", "o’er", "x1y", "÷", "e\u0301", "ǆ", "it's", "日本", "\x00", "a\x1cb"]
+    words_ = list(dict.fromkeys([t for t in tokens if t.isalpha()] + some + odd))
+    assert new.pieces(words_) == old.pieces(words_)
+    # only words with other characters reach the tokenizer
+    new.cache.clear()
+    seen, whole = [], new.tok
+
+    class Tok:
+        def encode_batch_fast(self, part, **kw):
+            seen.extend(part)
+            return whole.encode_batch_fast(part, **kw)
+
+    new.tok = Tok()
+    new.pieces(some + odd)
+    assert set(seen) <= set(odd) | {"."} and len(seen) < 20
+    # a file that promises less gets no such encoder
+    import json
+
+    spec = json.loads(old.tok.to_str())
+    assert packing.letter_encoder(spec)
+    for change in (lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["model"].update(end_of_word_suffix=None), lambda d: d["model"]["merges"].reverse()):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        assert packing.letter_encoder(other) is None
+
+
 def test_lm_takes_a_word_of_many_ids(spark):
     from tokenizers import Tokenizer
 
