@@ -113,9 +113,12 @@ class Pool:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 18, np.uint8), 0
 
-    def _add_ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw))
-        ids = np.frombuffer(b"".join(raw), "<u4")
+    def _add_ids(self, raw: list[bytes] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(raw, tuple):
+            ids, size = raw
+        else:
+            size = np.fromiter((len(b) // 4 for b in raw), np.int64, len(raw))
+            ids = np.frombuffer(b"".join(raw), "<u4")
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -123,8 +126,8 @@ class Pool:
         self.used += len(ids)
         return begin, size
 
-    def _learn(self, h: np.ndarray, words: pa.Array, make) -> None:
-        raw, value = make(words.to_pylist())
+    def _learn(self, h: np.ndarray, words: pa.Array, make, arrays: bool) -> None:
+        raw, value = make(words if arrays else words.to_pylist())
         begin, size = self._add_ids(raw)
         data, lens = string_bytes(words)
         while self.text_used + len(data) > len(self.text):
@@ -137,9 +140,10 @@ class Pool:
         place = np.searchsorted(self.hash, h)
         self.hash, self.slot = np.insert(self.hash, place, h), np.insert(self.slot, place, slot)
 
-    def find(self, words: pa.Array, make) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, words: pa.Array, make, arrays: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each distinct word, where its ids begin in self.ids, how many they are, and its value.
-        make(list of words): for each new one its ids as little-endian 32-bit bytes, and its value."""
+        make(list of words): for each new one its ids as little-endian 32-bit bytes, and its value. arrays: make takes an
+        Arrow array, and gives all ids one after another and how many each word has in place of the bytes."""
         h = hash_strings(words)
         if len(self.hash) + len(h) > self.most:
             self.forget()
@@ -150,7 +154,7 @@ class Pool:
         there[1:] |= q[1:] == q[:-1]  # the first of equal hashes is learnt
         miss = np.flatnonzero(~there)
         if len(miss):
-            self._learn(q[miss], words.take(pa.array(order[miss])), make)
+            self._learn(q[miss], words.take(pa.array(order[miss])), make, arrays)
         slot = self.slot[np.searchsorted(self.hash, h)] if len(h) else np.zeros(0, np.int64)
         at, size, value = self.at[slot], self.size[slot], self.value[slot]
         data, lens = string_bytes(words)
@@ -162,7 +166,8 @@ class Pool:
             odd[np.repeat(np.arange(len(n)), n)[wrong]] = True
         if odd.any():
             other = np.flatnonzero(odd)
-            raw, own = make(words.take(pa.array(other)).to_pylist())
+            again = words.take(pa.array(other))
+            raw, own = make(again if arrays else again.to_pylist())
             at[other], size[other] = self._add_ids(raw)
             value[other] = own
         return h, at, size, value

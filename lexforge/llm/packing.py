@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import give_back, materialize, ready, table
 from lexforge.llm.harmonic import byte_names
-from lexforge.llm.hashing import Pool
+from lexforge.llm.hashing import Pool, gather, string_bytes
 
 MAX_LEN = 2048
 FAN_IN = 8
@@ -46,6 +46,10 @@ _BINS = "seq long, used int, done boolean, docs array<long>, pieces array<int>,
 
 #: Lower-case letters of one byte, or of two that begin with C3, in UTF-8.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Bytes of LETTERS: UTF-8 has no other characters of them alone. And of MARKS.
+_IS_LETTER, _IS_MARK = np.zeros((2, 256), bool)
+_IS_LETTER[[*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_IS_MARK[list(MARKS.encode())] = True
 
 
 class LetterEncoder:
@@ -61,16 +65,32 @@ class LetterEncoder:
         self.plain, self.end, self.space = plain, end, 1 + max(ranks.values())
         self.encoding = tiktoken.Encoding("letters", pat_str="[^ ]+| ", mergeable_ranks=ranks | {b" ": self.space}, special_tokens={})
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        raw = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    def _ids(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of words in UTF-8, each with a space after it, as is each word's ids' self.space."""
         last = np.flatnonzero(raw == 32) - 1
         text = self.plain[raw]
         text[last] = self.end[raw[last]]
-        ids = self.encoding.encode_to_numpy(text.tobytes().decode("ascii"), disallowed_special=())
+        return self.encoding.encode_to_numpy(text.tobytes().decode("ascii"), disallowed_special=())
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        ids = self._ids(np.frombuffer((" ".join(words) + " ").encode(), np.uint8))
         stop = np.flatnonzero(ids == self.space) * 4
         data = ids.astype("<u4").tobytes()
         return [data[a:b] for a, b in zip([0, *(stop[:-1] + 4).tolist()], stop.tolist(), strict=True)]
 
+    def stretches(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that begin in data and have so many bytes, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(size), 50_000):
+            n = size[i : i + 50_000]
+            raw = np.full(int(n.sum()) + len(n), 32, np.uint8)
+            raw[gather(np.cumsum(n + 1) - n - 1, n)] = data[gather(begin[i : i + 50_000], n)]
+            part = self._ids(raw)
+            space = part == self.space
+            sizes.append(np.diff(np.flatnonzero(space), prepend=-1) - 1)
+            ids.append(part[~space].astype(np.uint32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
 
 def letter_encoder(spec: dict) -> LetterEncoder | None:
     """None unless the file is a BPE over bytes with an end-of-word suffix and lower-casing, that takes a run of letters as one
@@ -172,8 +192,41 @@ class WordEncoder:
                 cache[w] = np.array(e.ids, dtype="<u4").tobytes()
         return [cache[c] + cache[w[len(c) :]] if k else cache[w] for c, w, k in zip(cores, words, cut, strict=True)]
 
+    def arrays(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As pieces(), of a large_string array: all ids one after another, and how many each word has. Words of LETTERS,
+        with or without MARKS after them, are told by their bytes and never become Python objects."""
+        data, lens = string_bytes(words)
+        stop = np.cumsum(lens)
+        begin = stop - lens
+        # where each word would end without marks; one of marks alone would end before it begins
+        core = np.append(np.maximum.accumulate(np.where(_IS_MARK[data], 0, np.arange(1, len(data) + 1))), 0)[stop - 1] - begin
+        strange = np.concatenate([[0], np.cumsum(~_IS_LETTER[data])])
+        core = np.where(core > 0, core, 0)
+        plain = (core > 0) & (strange[begin + core] == strange[begin])
+        other, tail = np.flatnonzero(~plain), np.flatnonzero(plain & (core < lens))
+        plain = np.flatnonzero(plain)
+        ids, n_core = self.letters.stretches(data, begin[plain], core[plain])
+        # marks, of which there are few kinds
+        n = lens[tail] - core[tail]
+        marks = data[gather(begin[tail] + core[tail], n)]
+        coded = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(marks))).dictionary_encode()
+        rest = [np.frombuffer(x, "<u4") for x in self.pieces(coded.dictionary.to_pylist()) + self.pieces(words.take(pa.array(other)).to_pylist())]
+        size = np.fromiter(map(len, rest), np.int64, len(rest))
+        kinds = len(coded.dictionary)
+        # a word's ids come from one or two stretches of all that is known
+        known = np.concatenate([ids, *rest])
+        at = len(ids) + np.cumsum(size) - size
+        a, a_at, b, b_at = np.zeros((4, len(lens)), np.int64)
+        a[plain], a_at[plain] = n_core, np.cumsum(n_core) - n_core
+        a[other], a_at[other] = size[kinds:], at[kinds:]
+        kind = coded.indices.to_numpy(zero_copy_only=False)
+        b[tail], b_at[tail] = size[:kinds][kind], at[:kinds][kind]
+        return known[gather(np.stack([a_at, b_at], 1).ravel(), np.stack([a, b], 1).ravel())], a + b
+
     def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each distinct word, and where its ids begin in the pool and how many they are."""
+        if self.letters:
+            return self.known.find(distinct, lambda new: (self.arrays(new), 0.0), arrays=True)[:3]
         return self.known.find(distinct, lambda new: (self.pieces(new), 0.0))[:3]
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

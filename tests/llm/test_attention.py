@@ -49,3 +49,31 @@ def test_adam_steps_on_one_vector():
         plain -= 0.03 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.98**t)) + 1e-7)
         opt.step(w, g.astype(np.float32), 0.03)
     assert np.abs(w - plain).max() < 1e-4
+
+
+def test_scores_of_many_windows_are_those_of_each_batch():
+    rng = np.random.default_rng(6)
+    w = lm.start_weights()
+    w["cls"] *= 20
+    w["mem"] *= 20
+    w["qkv"] *= 12  # some attention scores are beyond the limit of 30
+    big = lm.bigram_logs(rng.integers(0, 3, (lm.SYMBOLS, lm.SYMBOLS)))
+    n = rng.integers(1, 200, 300)
+    ends = np.cumsum(n)
+    sym = np.minimum(rng.zipf(1.3, ends[-1]), lm.SYMBOLS) - 1
+    inputs = lm.gather(sym, *lm.windows(ends - n, ends))
+    assert len(inputs[0]) > 2 * lm.BATCH and ends[-1] > 2 * lm.BLOCK
+    parts = [lm.forward(w, big, *(x[k : k + 50] for x in inputs)) for k in range(0, len(inputs[0]), 50)]
+    assert np.abs(lm._log_probabilities(w, big, *inputs) - np.concatenate(parts)).max() < 1e-4
+    assert np.abs(lm.score(w, big, sym, ends - n, ends) - np.concatenate(parts)).max() < 1e-4
+    # the attention of one window in double precision
+    before, last, target, there, scored = (x[:1] for x in inputs)
+    x = (w["emb"][before[0]] + w["last"][last[0]]).astype(float)
+    q, k, v = np.split(x @ w["qkv"].astype(float), 3, axis=1)
+    e = q @ k.T / np.sqrt(lm.DIM) + w["rel"][np.maximum(0, np.arange(lm.WINDOW)[:, None] - np.arange(lm.WINDOW))]
+    assert np.abs(e).max() > 30
+    e = np.exp(np.clip(e, -30, 30)) * np.tril(there[0][None, :] * np.ones((lm.WINDOW, lm.WINDOW)))
+    want = (e / np.maximum(e.sum(1, keepdims=True), 1e-300) @ v)[scored[0]]
+    _, kept = lm.forward(w, big, before, last, target, there, scored, keep=True)
+    got = (kept[6] * kept[5][:, None])[scored[0, lm.OVERLAP :]]
+    assert np.abs(got - want).max() < 1e-2 * np.abs(want).max()

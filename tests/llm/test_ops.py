@@ -350,6 +350,34 @@ def test_words_of_letters_get_the_tokenizers_ids():
         assert packing.letter_encoder(other) is None
 
 
+def test_new_words_of_letters_and_marks_stay_arrays():
+    import random
+
+    import pyarrow as pa
+
+    path, rng = tokenizers.path("word_bpe_49k.json"), random.Random(6)
+    new, old = packing.WordEncoder(path, letters=True), packing.WordEncoder(path)
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâäçéèêëíñóôöúûüýþÿ"
+    some = ["".join(rng.choice(letters if k % 2 else "aabéü") for _ in range(rng.randint(1, 15))) + rng.choice(["", "", ".", ",", "?!", "$#*%&"]) for k in range(60_000)]
+    odd = ["...", "." * 300, "é÷", "÷.", "łódź.", "É", "a.b", "a..b.", "日本.", "ağ.", "ğ", "\x00", "<|endoftext|>", "’a", "it's,", "Ã", "x1"]
+    words_ = list(dict.fromkeys([*odd, *some]))
+    rng.shuffle(words_)
+    seen, pieces = [], new.pieces
+    new.pieces = lambda part: seen.extend(part) or pieces(part)
+    ids, size = new.arrays(pa.array(words_, pa.large_string()))
+    assert [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] == old.pieces(words_)
+    assert set(seen) <= {*odd, ".", ",", "?!", "$#*%&"}
+    for part in ([], ["日"], ["...", "b"], ["b", "..."]):
+        a = pa.array(["x.", *part], pa.large_string()).slice(1)
+        ids, size = new.arrays(a)
+        assert (ids.astype("<u4").tobytes(), len(size)) == (b"".join(old.pieces(part)), len(part))
+    # and so they come to the pool, once
+    _, at, size = new.words(pa.array(words_, pa.large_string()))
+    _, at2, size2 = new.words(pa.array(words_[::-1], pa.large_string()))
+    assert [new.pool[a : a + n].tobytes() for a, n in zip(at, size)] == old.pieces(words_)
+    assert np.array_equal(at, at2[::-1]) and np.array_equal(size, size2[::-1])
+
+
 def test_lm_takes_a_word_of_many_ids(spark):
     from tokenizers import Tokenizer
 
